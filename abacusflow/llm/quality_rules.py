@@ -13,8 +13,9 @@ is the only thing that reaches the driver. Documents that the base checks reject
 have no part in it: the model is for those that these checks let through.
 
 Defined cases: a null or blank text has no words, all counts 0, base_failed and
-not kept; repeated rows are each judged; an empty table gives no rows; only
-``text`` and the named id column are read, other columns may have any name.
+not kept; repeated rows are each judged; an empty table gives no rows. Only the
+text column is read; ``judged`` replaces input columns that bear the name of a
+measure, vote or verdict, ``keep_good`` carries every column through untouched.
 """
 
 from __future__ import annotations
@@ -142,15 +143,18 @@ def probability(model: dict) -> Column:
     return 1 / (1 + F.exp(-odds))
 
 
+def with_verdict(rows: DataFrame, names: list[str], keep_at: float) -> DataFrame:
+    """Fit the model to the measured ``rows`` and add posterior, base check and verdict."""
+    model = fit(rows.where(~base_failed()), names)
+    return rows.withColumn("quality", probability(model)).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= keep_at))
+
+
 def judged(docs: DataFrame, text: str = "text", keep_at: float = KEEP_AT) -> DataFrame:
     """Add measures, votes, ``quality`` (posterior), ``base_failed`` and ``kept``; the measured rows are written once."""
     votes = rules()
-    clash = [c for c in docs.columns if c in {*MEASURES, *votes, "quality", "base_failed", "kept"}]
-    if clash:
-        raise ValueError(f"rename these columns first: {clash}")
+    docs = docs.drop(*(c for c in (*MEASURES, *votes, "quality", "base_failed", "kept") if c != text))
     rows = cut(measured(docs, text).withColumns(votes))
-    model = fit(rows.where(~base_failed()), list(votes))
-    return rows.withColumn("quality", probability(model)).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= keep_at))
+    return with_verdict(rows, list(votes), keep_at)
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -160,9 +164,8 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    slim = measured(docs).drop("text").withColumns(rules())
-    rows = cut(slim)
-    model = fit(rows.where(~base_failed()), list(rules()))
-    out = rows.withColumn("quality", probability(model)).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP_AT))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality", *rules())
+    """Every document with its measures, votes, posterior and verdict."""
+    votes = rules()
+    rows = cut(measured(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text").withColumns(votes))
+    out = with_verdict(rows, list(votes), KEEP_AT)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality", *votes)
