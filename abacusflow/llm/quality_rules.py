@@ -31,6 +31,9 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 KEEP_AT = 0.5
 ROUNDS = 50
+#: Vote rates to start with, by class, and the documents that this belief weighs.
+START = {1: {1: 0.58, 0: 0.4, -1: 0.02}, -1: {1: 0.25, 0: 0.4, -1: 0.35}}
+PSEUDO = 10.0
 
 # Frequent function words of the four languages.
 FUNCTION_WORDS = (
@@ -75,8 +78,10 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     ).drop("_words", "_lines", "_word", "_hash", "_twice", "_placed", "_starts")
 
 
-def _three_way(good: Column, bad: Column) -> Column:
-    return F.when(bad, -1).when(good, 1).otherwise(0).cast("byte")
+def _vote(bad: Column, good: Column | None = None) -> Column:
+    """-1 on a sign of poor quality, 1 on a sign of good quality, else an abstention."""
+    vote = F.when(bad, -1)
+    return (vote if good is None else vote.when(good, 1)).otherwise(0).cast("byte")
 
 
 def _share(part: str, whole: str) -> Column:
@@ -85,16 +90,16 @@ def _share(part: str, whole: str) -> Column:
 
 def rules() -> dict[str, Column]:
     """name -> vote over the measures."""
-    length = _share("word_chars", "n_words")
+    length, symbols = _share("word_chars", "n_words"), _share("n_symbols", "n_words")
     return {
-        "rule_length": _three_way(F.col("n_words") >= 2 * MIN_WORDS, F.col("n_words") < MIN_WORDS),
-        "rule_repeats": _three_way(_share("n_repeat_words", "n_words") <= 0.2, _share("n_repeat_words", "n_words") > 0.5),
-        "rule_lines": _three_way(_share("n_dup_lines", "n_lines") <= 0.1, (_share("n_dup_lines", "n_lines") > 0.3) & (F.col("n_dup_lines") >= 3)),
-        "rule_symbols": _three_way(_share("n_symbols", "n_words") <= 0.05, _share("n_symbols", "n_words") > 0.1),
-        "rule_word_length": _three_way((length >= 3) & (length <= 10), (length < 2) | (length > 15)),
-        "rule_markup": _three_way(_share("n_symbols", "n_words") <= 0.15, _share("n_symbols", "n_words") > 0.3),
-        "rule_function_words": _three_way(F.col("n_function") >= 2, (F.col("n_function") == 0) & (F.col("n_words") >= MIN_WORDS)),
-        "rule_sentences": _three_way(_share("n_stops", "n_words").between(0.01, 0.3), (F.col("n_stops") == 0) & (F.col("n_words") >= MIN_WORDS)),
+        "rule_length": _vote(F.col("n_words") < MIN_WORDS, F.col("n_words") >= 2 * MIN_WORDS),
+        "rule_repeats": _vote(_share("n_repeat_words", "n_words") > 0.3),
+        "rule_lines": _vote((_share("n_dup_lines", "n_lines") > 0.3) & (F.col("n_dup_lines") >= 3)),
+        "rule_symbols": _vote(symbols > 0.1),
+        "rule_symbol_density": _vote(_share("n_symbols", "word_chars") > 0.05),
+        "rule_word_length": _vote((length < 2) | (length > 15), (length >= 3) & (length <= 10) & (symbols <= 0.1)),
+        "rule_function_words": _vote((F.col("n_function") == 0) & (F.col("n_words") >= MIN_WORDS), F.col("n_function") >= 2),
+        "rule_sentences": _vote((F.col("n_stops") == 0) & (F.col("n_words") >= MIN_WORDS), _share("n_stops", "n_words").between(0.01, 0.3)),
     }
 
 
@@ -106,18 +111,16 @@ def fit(votes: DataFrame, names: list[str], rounds: int = ROUNDS) -> dict:
     """EM over the histogram of vote vectors.
 
     Two hidden classes; given the class, rules vote independently (naive
-    Bayes). The start trusts every vote (80 % right), which also fixes which
-    class is the good one. An empty corpus keeps that start.
+    Bayes). The start (START) is a weak belief that rules seldom accuse good
+    documents; it also fixes which class is the good one, and stays in the
+    estimates as pseudo-counts. An empty corpus keeps that start.
     """
     histogram = sorted((tuple(r[n] for n in names), r["n"]) for r in votes.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect())
-    prior = 0.8
-    rate = {c: {n: {v: 0.7 if v == c else 0.1 if v else 0.2 for v in (-1, 0, 1)} for n in names} for c in (1, -1)}
+    prior = 0.85
+    rate = {c: {n: dict(START[c]) for n in names} for c in (1, -1)}
     for _ in range(rounds if histogram else 0):
         mass = {1: 0.0, -1: 0.0}
-        seen = {c: {n: {-1: 1.0, 0: 1.0, 1: 1.0} for n in names} for c in (1, -1)}
-        for c in (1, -1):  # votes for a class are expected of it: a little prior weight
-            for n in names:
-                seen[c][n][c] += 3.0
+        seen = {c: {n: {v: PSEUDO * p for v, p in START[c].items()} for n in names} for c in (1, -1)}
         for vector, count in histogram:
             p = posterior(dict(zip(names, vector, strict=True)), prior, rate)
             for c, w in ((1, p * count), (-1, (1 - p) * count)):
