@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import mixing, quality_rules, sharding
 
-_MODULES = (quality_rules,)
+_MODULES = (quality_rules, sharding, mixing)
 
 
 def queries() -> dict:
