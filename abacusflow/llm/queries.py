@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, sharding, token_files
+from . import decontamination, mixing, quality_rules, sharding, token_files
 
-_MODULES = (quality_rules, sharding, mixing, token_files)
+_MODULES = (quality_rules, sharding, mixing, token_files, decontamination)
 
 
 def queries() -> dict:
