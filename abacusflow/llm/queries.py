@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, quality_rules, sharding, token_files
+from . import decontamination, mixing, quality_rules, sharding, substring_dedup, token_files
 
-_MODULES = (quality_rules, sharding, mixing, token_files, decontamination)
+_MODULES = (quality_rules, sharding, mixing, token_files, decontamination, substring_dedup)
 
 
 def queries() -> dict:
