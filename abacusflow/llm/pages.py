@@ -29,6 +29,7 @@ from .common import cut
 PAGE_BYTES = 6 << 20
 #: Hash buckets for each shuffle partition: enough that partitions come out even.
 BUCKETS_PER_PARTITION = 8
+SUMMARY = -1
 
 
 def _packed(texts: pa.Array) -> bytes:
@@ -110,19 +111,23 @@ def asked(pages: DataFrame, ask: Callable[[dict, pa.Array], Iterator[tuple[int,
 
 
 def answered(questions: DataFrame, answer: Callable[[int, list[list[bytes]]], list[bytes]], parts: int = 1) -> DataFrame:
-    """(page, bucket, answer): ``answer`` gets a bucket's number and its blocks (a list per part), and gives a block for each."""
+    """(page, bucket, answer): ``answer`` gets a bucket's number and its blocks (a list per part), and gives a block for each.
+
+    One block more is the bucket's own summary, which goes to page ``SUMMARY``.
+    """
 
     def group(key, table):
         table = table.sort_by("page")
         found = answer(key[0].as_py(), [table.column(f"part{k}").to_pylist() for k in range(parts)])
-        return pa.table({"page": table.column("page"), "bucket": table.column("bucket"), "answer": pa.array(found, pa.binary())})
+        pages = table.column("page").to_pylist() + [SUMMARY] * (len(found) - table.num_rows)
+        return pa.table({"page": pa.array(pages, pa.int64()), "bucket": pa.array([key[0].as_py()] * len(found), pa.int32()), "answer": pa.array(found, pa.binary())})
 
     return questions.groupBy("bucket").applyInArrow(group, "page bigint, bucket int, answer binary")
 
 
 def with_answers(pages: DataFrame, answers: DataFrame, name: str = "answers") -> DataFrame:
     """The pages with their answers, in bucket order."""
-    own = answers.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("bucket", "answer"))).alias("_a"))
+    own = answers.where(F.col("page") != SUMMARY).groupBy("page").agg(F.sort_array(F.collect_list(F.struct("bucket", "answer"))).alias("_a"))
     return pages.join(own.select("page", F.col("_a.answer").alias(name)), "page", "left")
 
 
@@ -137,3 +142,17 @@ def in_two(blocks: list[bytes], dtype=np.uint64) -> list[bytes]:
     out = np.zeros(len(keys), np.uint8)
     out[order] = np.repeat(np.minimum(times, 255), times)
     return [x.tobytes() for x in np.split(out, np.cumsum([len(a) for a in arrays])[:-1])]
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    """Ascending or small integers in few bytes: differences, a plane per byte, zstd."""
+    steps = np.diff(values.astype(np.uint64), prepend=np.uint64(0))
+    return pa.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True) if len(values) else b""
+
+
+def restored(data: bytes, count: int) -> np.ndarray:
+    """The integers of ``squeezed`` as uint64."""
+    if not count:
+        return np.zeros(0, np.uint64)
+    planes = np.frombuffer(pa.decompress(data, count * 8, codec="zstd", asbytes=True), np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
