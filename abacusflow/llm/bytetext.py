@@ -92,7 +92,11 @@ def hashed(texts: Texts, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span of bytes, the same wherever the span stands."""
     n = len(texts.data)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((texts.data.astype(np.uint64) + np.uint64(1)) * _power(_MULT, n), out=sums[1:])
+    terms = sums[1:]  # one array of this length, not four
+    terms[:] = texts.data
+    terms += np.uint64(1)
+    terms *= _power(_MULT, n)
+    np.cumsum(terms, out=terms)
     h = (sums[end] - sums[start]) * _power(_INV, n + 1)[start]
     return mixed(h + (end - start).astype(np.uint64))
 

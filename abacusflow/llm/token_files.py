@@ -19,9 +19,12 @@ gives no blocks; a document of any length is one entry of one block.
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -38,7 +41,9 @@ END_ID = 2
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 18
 #: Distinct words whose ids a task keeps between batches; more only means encoding some again.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 800_000
+#: Documents that are split into words at once.
+SLICE = 1024
 
 
 def width_of(vocabulary: int) -> int:
@@ -68,6 +73,7 @@ class WordIds:
     """Ids of texts through the ids of their distinct words."""
 
     def __init__(self, tokenizer_path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already use every core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
@@ -84,7 +90,7 @@ class WordIds:
         found = self.tokenizer.encode_batch_fast([data[a:b].decode() for a, b in zip(start.tolist(), end.tolist(), strict=True)], add_special_tokens=False)
         lists = [e.ids for e in found]
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        new = np.fromiter((x for ids in lists for x in ids), np.uint32, int(lengths.sum()))
+        new = np.fromiter(chain.from_iterable(lists), np.uint32, int(lengths.sum()))
         known = np.concatenate([self.known, hashes])
         order = np.argsort(known, kind="stable")
         self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(lengths) - lengths])[order]
@@ -112,6 +118,12 @@ class WordIds:
         return self.ids[spans(self.start[place], length)], np.diff(total[words.first])
 
 
+@cache
+def word_ids(tokenizer_path: str) -> WordIds:
+    """One for each Python worker: tasks that follow each other share it."""
+    return WordIds(tokenizer_path)
+
+
 #: Where a text may be split for the tokenizer: plain blanks and line ends, which it drops.
 SPACES = bytes([0x20, 0x0A, 0x0D, 0x09])
 
@@ -122,10 +134,10 @@ def encoded(docs: DataFrame, key: str, text: str, tokenizer_path: str, vocabular
     schema = docs.select(F.col(key)).withColumns({"_n": F.lit(0).cast("long"), "_packed": F.lit(b"")}).schema
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = WordIds(tokenizer_path)
+        ids_of = word_ids(tokenizer_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
                 ids, counts = ids_of.encoded(part.column(1))
                 bound = np.concatenate([[0], np.cumsum(counts)])
                 end = np.array([end_id], np.uint32)
