@@ -95,15 +95,15 @@ def blocks(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, int,
         yield int(bucket[a]), a, b, [c[a:b].tobytes() for c in columns]
 
 
-def asked(pages: DataFrame, ask: Callable[[dict, pa.Array], Iterator[tuple[int, list[bytes]]]], parts: int = 1) -> DataFrame:
-    """(bucket, page, part0..) of every page's questions; ``ask`` gets a page's row and texts."""
+def asked(pages: DataFrame, ask: Callable[[dict], Iterator[tuple[int, list[bytes]]]], parts: int = 1) -> DataFrame:
+    """(bucket, page, part0..) of every page's questions; ``ask`` gets a page's row."""
     names = [f"part{k}" for k in range(parts)]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {c: batch.column(c)[k] for c in batch.schema.names}
-                found = list(ask(row, texts_of(row["texts"].as_py())))
+                found = list(ask(row))
                 numbers = [pa.array([f[0] for f in found], pa.int32()), pa.array([row["page"].as_py()] * len(found), pa.int64())]
                 yield pa.RecordBatch.from_arrays([*numbers, *(pa.array([f[1][p] for f in found], pa.binary()) for p in range(parts))], names=["bucket", "page", *names])
 

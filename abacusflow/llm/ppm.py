@@ -213,8 +213,8 @@ def scored(docs: DataFrame, row: Column, learn: Column, text: str = "text", orde
     kind = pages.schema["rows"].dataType.elementType["row"].dataType.simpleString()
     buckets = bucket_count(pages)
 
-    def ask(row: dict, texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
-        page, learn = PageTokens(texts, order), _learn(row["rows"])
+    def ask(row: dict) -> Iterator[tuple[int, list[bytes]]]:
+        page, learn = PageTokens(texts_of(row["texts"].as_py()), order), _learn(row["rows"])
         marked = to_codes(page.run, order) << np.uint64(1)
         marked |= np.repeat(learn, page.symbols)
         marked.sort()

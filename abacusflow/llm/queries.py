@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, ppm, quality_rules, sharding, substring_dedup, token_files
+from . import decontamination, mixing, near_dedup, ppm, quality_rules, sharding, substring_dedup, token_files
 
-_MODULES = (quality_rules, ppm, sharding, mixing, token_files, decontamination, substring_dedup)
+_MODULES = (quality_rules, ppm, sharding, near_dedup, mixing, token_files, decontamination, substring_dedup)
 
 
 def queries() -> dict:

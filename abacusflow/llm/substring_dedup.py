@@ -91,13 +91,13 @@ def repeats(docs: DataFrame, row: Column, text: str = "text", window: int = WIND
     buckets = bucket_count(pages)
     kind = pages.schema["rows"].dataType.elementType.simpleString()
 
-    def ask_prefixes(_, texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
-        prefixes = PageWindows(texts, window, gram).prefixes
+    def ask_prefixes(row: dict) -> Iterator[tuple[int, list[bytes]]]:
+        prefixes = PageWindows(texts_of(row["texts"].as_py()), window, gram).prefixes
         for b, _a, _b, data in blocks(bucket_of(prefixes, buckets), prefixes):
             yield b, data
 
-    def ask_windows(row: dict, texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
-        bucket, key, _ = _asked_windows(PageWindows(texts, window, gram), row, buckets)
+    def ask_windows(row: dict) -> Iterator[tuple[int, list[bytes]]]:
+        bucket, key, _ = _asked_windows(PageWindows(texts_of(row["texts"].as_py()), window, gram), row, buckets)
         for b, _a, _b, data in blocks(bucket, key):
             yield b, data
 
