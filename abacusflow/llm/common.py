@@ -25,7 +25,7 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later plans start from files that outlive executors."""
     path = f"{shared_folder(df.sparkSession)}/abacusflow-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, near_dedup, ppm, quality_rules, sharding, substring_dedup, token_files
+from . import chat_format, decontamination, mixing, near_dedup, ppm, quality_rules, sharding, substring_dedup, token_counts, token_files
 
-_MODULES = (quality_rules, ppm, sharding, near_dedup, mixing, token_files, decontamination, substring_dedup)
+_MODULES = (quality_rules, ppm, sharding, near_dedup, chat_format, mixing, token_files, token_counts, substring_dedup, decontamination)
 
 
 def queries() -> dict:
