@@ -48,8 +48,6 @@ WIDTH = 5
 HALVES = 12
 ROWS = 3
 PERCENT = 85
-#: Sketch bytes that must agree, of 72; at 0.8 fewer do once in 10**5, at 0.85 once in 10**9.
-AGREE = 42
 #: Rounds with other pivots before the exhaustive one.
 PIVOT_ROUNDS = 4
 
@@ -168,13 +166,19 @@ def bucket_members(classes: DataFrame) -> DataFrame:
     return cut(with_answers(pages, answers).mapInArrow(task, "_key bigint, _class bigint, _n bigint"))
 
 
+def agreeing(percent: int) -> int:
+    """Sketch bytes that must agree: six standard deviations below what is expected at the threshold (once in 10**9 less)."""
+    n, p = len(_XOR), percent / 100
+    return int(n * p - 6 * (n * p * (1 - p)) ** 0.5)
+
+
 def _near_in_size(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
 def confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Written pairs (_a, _b) whose full sets are similar enough, of distinct candidate pairs."""
-    both = pairs
+    both, least = pairs, agreeing(percent)
     for side in "ab":
         both = both.join(sketches.select(F.col("_class").alias(f"_{side}"), F.col("_sketch").alias(f"_s{side}")), f"_{side}")
 
@@ -182,7 +186,7 @@ def confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, percent:
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("_sa", "_sb"))
-                keep = pa.array((a == b).sum(axis=1) >= AGREE)
+                keep = pa.array((a == b).sum(axis=1) >= least)
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("_a", "_b")], names=["_a", "_b"])
 
     close = cut(both.select("_a", "_b", "_sa", "_sb").mapInArrow(alike, "_a bigint, _b bigint"))
