@@ -68,12 +68,12 @@ class Texts:
 
 
 class Words:
-    """Where the words of Texts are: ``start`` and ``end`` (bytes); those of text i are ``first[i]:first[i + 1]``."""
+    """Where the words of Texts are: ``start`` and ``end`` (bytes); those of text i are ``first[i]:first[i + 1]``; ``inside``: bytes in words."""
 
     def __init__(self, texts: Texts, blanks: bytes = BLANKS):
         inside = np.ones(256, bool)
         inside[list(blanks)] = False
-        flags = inside[texts.data]
+        self.inside = flags = inside[texts.data]
         edges = np.flatnonzero(flags[1:] != flags[:-1]) + 1
         if len(flags) and flags[0]:
             edges = np.concatenate([[0], edges])

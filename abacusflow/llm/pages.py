@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-PAGE_BYTES = 6 << 20
+PAGE_BYTES = 4 << 20
 #: Hash buckets for each shuffle partition: enough that partitions come out even.
 BUCKETS_PER_PARTITION = 8
 SUMMARY = -1
@@ -145,14 +145,17 @@ def in_two(blocks: list[bytes], dtype=np.uint64) -> list[bytes]:
 
 
 def squeezed(values: np.ndarray) -> bytes:
-    """Ascending or small integers in few bytes: differences, a plane per byte, zstd."""
-    steps = np.diff(values.astype(np.uint64), prepend=np.uint64(0))
-    return pa.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True) if len(values) else b""
+    """Numbers in few bytes: for ascending 64-bit integers their steps; a plane per byte, zstd; the count in front."""
+    steps = np.diff(values, prepend=np.uint64(0)) if values.dtype == np.uint64 else np.ascontiguousarray(values)
+    planes = steps.view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return len(values).to_bytes(8, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
 
 
-def restored(data: bytes, count: int) -> np.ndarray:
-    """The integers of ``squeezed`` as uint64."""
+def restored(data: bytes, dtype=np.uint64) -> np.ndarray:
+    """The numbers of ``squeezed``."""
+    count, size = int.from_bytes(data[:8], "little"), np.dtype(dtype).itemsize
     if not count:
-        return np.zeros(0, np.uint64)
-    planes = np.frombuffer(pa.decompress(data, count * 8, codec="zstd", asbytes=True), np.uint8)
-    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+        return np.zeros(0, dtype)
+    planes = np.frombuffer(pa.decompress(data[8:], count * size, codec="zstd", asbytes=True), np.uint8)
+    values = np.ascontiguousarray(planes.reshape(size, -1).T).view(dtype).ravel()
+    return np.cumsum(values, dtype=np.uint64) if values.dtype == np.uint64 else values

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytetext import Texts, Words, hashed, spans
+from .bytetext import Texts, Words, hashed
 from .common import cut, table
 from .pages import PAGE_BYTES, SUMMARY, answered, asked, blocks, bucket_count, bucket_of, paged, restored, squeezed, texts_of, with_answers
 
@@ -64,22 +64,25 @@ class PageTokens:
         inner[self.token_first[1:] - 1] = False
         self.token[inner] = hashed(texts, words.start, words.end)
         # symbols: order ENDs to stand before a text, its words each with a blank, its END
-        length = words.end - words.start + 1
-        total = np.concatenate([[0], np.cumsum(length)])
-        size = np.diff(total[words.first]) + order + 1
-        first = np.concatenate([[0], np.cumsum(size)])
+        total = np.concatenate([[0], np.cumsum(words.end - words.start + 1)])
+        self.symbols = np.diff(total[words.first]) + 1
+        first = np.concatenate([[0], np.cumsum(self.symbols + order)])
+        kept = words.inside
+        body = np.where(kept, texts.data, np.uint8(BLANK))
+        kept[words.end] = True
+        inner = np.ones(first[-1], bool)
+        edge = (first[:-1, None] + np.arange(order)).ravel()
+        inner[edge] = False
+        inner[first[1:] - 1] = False
         stream = np.full(first[-1], END, np.uint8)
-        fill = spans(first[:-1] + order, size - order - 1)
-        body = texts.data[spans(words.start, length)] if len(length) else texts.data[:0]
-        body[total[1:] - 1] = BLANK
-        stream[fill] = body
-        self.symbols = size - order
-        self.symbol_first = np.concatenate([[0], np.cumsum(self.symbols)])
+        stream[inner] = body[kept]
         run = np.zeros(max(0, len(stream) - order), np.uint64)
         for k in range(order + 1):
             run <<= np.uint64(8)
             run |= stream[k : len(stream) - order + k]
-        self.run = run[spans(first[:-1], self.symbols)] if n else run
+        inner[:] = True
+        inner[(first[1:, None] - 1 - np.arange(order)).ravel()] = False
+        self.run = run[inner[: len(run)]]
 
     def words(self, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct tokens, their uses in texts to learn from, and which of them each token is."""
@@ -200,8 +203,11 @@ def _learn(rows: pa.Scalar) -> np.ndarray:
     return rows.values.field("learn").to_numpy(zero_copy_only=False).astype(bool)
 
 
-def _int64(count: int) -> bytes:
-    return int(count).to_bytes(8, "little")
+def _counts(data: bytes) -> np.ndarray:
+    """64-bit counts from their high and low halves, each behind its length."""
+    at = 8 + int.from_bytes(data[:8], "little")
+    high, low = restored(data[8:at], np.uint32), restored(data[at + 8 :], np.uint32)
+    return (high.astype(np.int64) << 32) | low
 
 
 def scored(docs: DataFrame, row: Column, learn: Column, text: str = "text", order: int = ORDER, page_bytes: int = PAGE_BYTES) -> DataFrame:
@@ -222,31 +228,29 @@ def scored(docs: DataFrame, row: Column, learn: Column, text: str = "text", orde
         at = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
         codes, used = codes[at], (np.add.reduceat(used, at) if len(at) else used)
         for b, x, y, _ in blocks(bucket_of_codes(codes, order, buckets)):
-            yield b, [_int64(y - x) + squeezed(codes[x:y]), pa.compress(used[x:y].astype(np.uint32).tobytes(), codec="zstd", asbytes=True)]
+            yield b, [squeezed(codes[x:y]), squeezed(used[x:y].astype(np.uint32))]
         tops, n = _sums(to_runs(codes, order) & _mask(SPLIT - 1), used)
         yield TOP, [tops.astype(np.uint32).tobytes(), n.astype(np.uint32).tobytes()]
         words, n, _ = page.words(learn)
-        for b, _x, _y, data in blocks(bucket_of(words, buckets), words, n.astype(np.uint32)):
-            yield buckets + b, data
+        for b, x, y, _ in blocks(bucket_of(words, buckets)):
+            yield buckets + b, [squeezed(words[x:y]), squeezed(n[x:y].astype(np.uint32))]
 
     questions = cut(asked(pages, ask, 2))
     top = pages.sparkSession.sparkContext.broadcast(_top(questions))
 
     def answer(bucket: int, parts: list[list[bytes]]) -> list[bytes]:
+        keys, uses = [restored(x) for x in parts[0]], [restored(x, np.uint32) for x in parts[1]]
+        ends = np.cumsum([len(x) for x in keys])[:-1]
+        distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
+        counts = np.bincount(which, np.concatenate(uses), len(distinct)).astype(np.int64)
         if bucket >= buckets:
-            keys = [np.frombuffer(x, np.uint64) for x in parts[0]]
-            distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
-            counts = np.bincount(which, np.concatenate([np.frombuffer(x, np.uint32) for x in parts[1]]), len(distinct)).astype(np.int64)
             summary = np.array([counts.sum(), (counts > 0).sum()], np.int64).tobytes()
-            return [*(x.tobytes() for x in np.split(counts[which], np.cumsum([len(x) for x in keys])[:-1])), summary]
-        sizes = [int.from_bytes(x[:8], "little") for x in parts[0]]
-        codes = np.concatenate([restored(x[8:], n) for x, n in zip(parts[0], sizes, strict=True)])
-        used = np.concatenate([np.frombuffer(pa.decompress(x, n * 4, codec="zstd", asbytes=True), np.uint32) for x, n in zip(parts[1], sizes, strict=True)])
-        distinct, which = np.unique(codes, return_inverse=True)
-        counts = np.bincount(which, used, len(distinct)).astype(np.int64)
+            # a word's uses may pass 2 ** 32: high and low halves
+            halves = [[squeezed(x.astype(np.uint32)) for x in np.split(h[which], ends)] for h in (counts >> 32, counts)]
+            return [*(a + b for a, b in zip(*[[len(x).to_bytes(8, "little") + x for x in h] for h in halves], strict=True)), summary]
         runs = to_runs(distinct, order)
         cost = costs(runs, order, top.value | levels(runs, counts, range(SPLIT, order + 1))).astype(np.float32)
-        return [x.tobytes() for x in np.split(cost[which], np.cumsum(sizes)[:-1])]
+        return [squeezed(x) for x in np.split(cost[which], ends)]
 
     answers = cut(answered(questions.where(F.col("bucket") != TOP), answer, 2))
     totals = [np.frombuffer(r[0], np.int64) for r in answers.where(F.col("page") == SUMMARY).select("answer").collect()]  # a row per word bucket
@@ -260,14 +264,16 @@ def scored(docs: DataFrame, row: Column, learn: Column, text: str = "text", orde
                 words, _, which = page.words(learn)
                 n_words = len(np.unique(bucket_of(words, buckets)))
                 found = batch.column("answers")[k].as_py() or []
-                cost = np.frombuffer(b"".join(found[: len(found) - n_words]), np.float32)
+                cost = np.concatenate([restored(x, np.float32) for x in found[: len(found) - n_words]])
                 codes = to_codes(page.run, order)
                 by = np.argsort(codes)
                 codes = codes[by]
-                nth = np.cumsum(np.concatenate([[False], codes[1:] != codes[:-1]]))  # the distinct code of each symbol, in code order
-                owner = np.repeat(np.arange(len(learn)), page.symbols)[by]
+                nth = np.cumsum(np.concatenate([[False], codes[1:] != codes[:-1]]), dtype=np.int32)  # the distinct code of each symbol, in code order
+                del codes
+                owner = np.repeat(np.arange(len(learn), dtype=np.int32), page.symbols)[by]
+                del by
                 score = np.bincount(owner, cost[nth].astype(np.float64), len(learn))
-                c = np.frombuffer(b"".join(found[len(found) - n_words :]), np.int64)[which]
+                c = np.concatenate([_counts(x) for x in found[len(found) - n_words :]])[which]
                 base_score = np.add.reduceat(np.log10(c + 0.1) - base, page.token_first[:-1])
                 known = np.add.reduceat((c > 0).astype(np.int64), page.token_first[:-1])
                 columns = [batch.column("rows")[k].values.field("row"), pa.array(page.tokens, pa.int64()), pa.array(known), pa.array(np.full(len(known), train_tokens), pa.int64()), pa.array(base_score), pa.array(score)]
