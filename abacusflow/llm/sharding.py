@@ -56,7 +56,7 @@ def balanced(load: dict[int, tuple[int, int]], slots: int, shards: int, before:
     if versions:
         old = versions[-1]["owner"]
         for s in heavy_first:
-            if old[s] < shards and held[old[s]] + weight[s] <= fair:
+            if old[s] < shards and held[old[s]] + weight[s] / 2 <= fair:
                 owner[s] = old[s]
                 held[old[s]] += weight[s]
     free = [(b, k) for k, b in held.items()]
