@@ -22,9 +22,22 @@ def query(sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    """Import the modules that register queries."""
+    from . import bank, holdings, invoices  # noqa: F401
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bank movements of every account: balances repaired, months controlled."""
+    _load()
+    return QUERIES["monthly_control"](spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return ORACLE
