@@ -14,15 +14,16 @@ hashes; with fewer words, the whole sequence as one. Words are
 1. Documents with equal sets are one class, whatever their number.
 2. Classes ask which of their keys other classes have too; only those become
    rows (bucket members).
-3. Every bucket proposes links from its pivot to its members: linear in its
-   size. Sketches (a byte of each minhash) drop what is far below the threshold,
-   full sets decide, and components are joined. Buckets whose members are
-   already in one component are done; others try other pivots while that is
-   cheaper than what is left.
-4. What is left is checked exhaustively: within every bucket, each member outside
-   its largest component against all members of other components.
+3. A bucket's members join the star of its least member, once for each star. Two
+   classes that share any bucket thus share that bucket's star, and a class whose
+   buckets agree on their least member is in one star only.
+4. Stars are cut into blocks of bounded size, and pairs of blocks are compared in
+   tasks on full sets, all pairs at once by a matrix product over the shingles
+   that at least two members have. A task hands on a spanning forest of its
+   links, at most one row per member; components are joined from these.
 
-So no link is lost to pivots, and a group of n near copies costs about n checks.
+So all candidates are confirmed or refuted, and the rows that move are linear in
+the stars' sizes, also for thousands of near copies.
 
 Defined cases: a null or wordless text has an empty set and is linked with
 nothing; a null id never is the smallest while others are there; repeated rows
@@ -48,8 +49,9 @@ WIDTH = 5
 HALVES = 12
 ROWS = 3
 PERCENT = 85
-#: Rounds with other pivots before the exhaustive one.
-PIVOT_ROUNDS = 4
+#: Members and words of a block, at most (a longer text is a block's only one).
+BLOCK_MEMBERS = 512
+BLOCK_WORDS = 1 << 20
 
 _SEEDS = np.random.default_rng(20240229).integers(0, 1 << 63, (2, 2 * HALVES * ROWS), np.int64).astype(np.uint64)
 _XOR, _TIMES = _SEEDS[0], _SEEDS[1] * np.uint64(2) + np.uint64(1)
@@ -78,8 +80,8 @@ def shingle_sets(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.n
     return codes, np.searchsorted(owner, np.arange(len(column) + 1))
 
 
-def signatures(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per set: half keys (n, 2 * HALVES), sketch bytes (n, minhashes) and a hash of the whole set; empty sets get zeros."""
+def signatures(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per set: half keys (n, 2 * HALVES) and a hash of the whole set; empty sets get zeros."""
     n = len(first) - 1
     full = np.flatnonzero(np.diff(first) > 0)
     least = np.zeros((len(_XOR), n), np.uint64)
@@ -93,7 +95,7 @@ def signatures(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
     half = least[0::ROWS].copy()
     for r in range(1, ROWS):
         half = mixed(half * np.uint64(0x9E3779B97F4A7C15) + least[r::ROWS])
-    return half.T.copy(), least.T.astype(np.uint8), whole
+    return half.T.copy(), whole
 
 
 def table_keys(half: np.ndarray) -> np.ndarray:
@@ -104,7 +106,7 @@ def table_keys(half: np.ndarray) -> np.ndarray:
 
 
 def described(docs: DataFrame, key: Column, text: str = "text") -> DataFrame:
-    """Written rows (_id, _th, _n, _class, _half, _sketch): what the links need of each document."""
+    """Written rows (_id, _th, _n, _class, _half): what the links need of each document."""
     source = docs.select(key.alias("_id"), F.xxhash64(text).alias("_th"), F.col(text).alias("_text"))
     kind = source.schema["_id"].dataType.simpleString()
 
@@ -113,11 +115,11 @@ def described(docs: DataFrame, key: Column, text: str = "text") -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 codes, first = shingle_sets(part.column("_text"))
-                half, sketch, whole = signatures(codes, first)
-                binary = lambda x: pa.array([r.tobytes() for r in x], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_th"), pa.array(np.diff(first), pa.int64()), pa.array(whole.view(np.int64)), binary(half), binary(sketch)], names=["_id", "_th", "_n", "_class", "_half", "_sketch"])
+                half, whole = signatures(codes, first)
+                columns = [part.column("_id"), part.column("_th"), pa.array(np.diff(first), pa.int64()), pa.array(whole.view(np.int64)), pa.array([r.tobytes() for r in half], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["_id", "_th", "_n", "_class", "_half"])
 
-    return cut(source.mapInArrow(task, f"_id {kind}, _th bigint, _n bigint, _class bigint, _half binary, _sketch binary"))
+    return cut(source.mapInArrow(task, f"_id {kind}, _th bigint, _n bigint, _class bigint, _half binary"))
 
 
 def _class_pages(classes: DataFrame, size: int = 4096) -> DataFrame:
@@ -166,49 +168,61 @@ def bucket_members(classes: DataFrame) -> DataFrame:
     return cut(with_answers(pages, answers).mapInArrow(task, "_key bigint, _class bigint, _n bigint"))
 
 
-def agreeing(percent: int) -> int:
-    """Sketch bytes that must agree: six standard deviations below what is expected at the threshold (once in 10**9 less)."""
-    n, p = len(_XOR), percent / 100
-    return int(n * p - 6 * (n * p * (1 - p)) ** 0.5)
-
-
-def _near_in_size(a: Column, b: Column, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-
-def confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Written pairs (_a, _b) whose full sets are similar enough, of distinct candidate pairs."""
-    both, least = pairs, agreeing(percent)
-    for side in "ab":
-        both = both.join(sketches.select(F.col("_class").alias(f"_{side}"), F.col("_sketch").alias(f"_s{side}")), f"_{side}")
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("_sa", "_sb"))
-                keep = pa.array((a == b).sum(axis=1) >= least)
-                yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("_a", "_b")], names=["_a", "_b"])
-
-    close = cut(both.select("_a", "_b", "_sa", "_sb").mapInArrow(alike, "_a bigint, _b bigint"))
-    for side in "ab":
-        close = close.join(texts.select(F.col("_class").alias(f"_{side}"), F.col("_text").alias(f"_t{side}")), f"_{side}")
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                (a, fa), (b, fb) = (shingle_sets(part.column(c)) for c in ("_ta", "_tb"))
-                keep = []
-                for k in range(part.num_rows):
-                    x, y = a[fa[k] : fa[k + 1]], b[fb[k] : fb[k + 1]]
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * common >= percent * (len(x) + len(y) - common))
-                yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(keep)) for c in ("_a", "_b")], names=["_a", "_b"])
-
-    return cut(close.select("_a", "_b", "_ta", "_tb").mapInArrow(exact, "_a bigint, _b bigint"))
-
-
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def links_within(column: pa.Array, side: np.ndarray, percent: int) -> np.ndarray:
+    """For each text of a pair of blocks (``side`` 0 or 1; all 0: one block with itself) the least text it is linked to, perhaps through others."""
+    codes, first = shingle_sets(column)
+    size = np.diff(first)
+    owner = np.repeat(np.arange(len(size)), size)
+    _, which, times = np.unique(codes, return_inverse=True, return_counts=True)
+    shared = times > 1
+    place = (np.cumsum(shared) - 1)[which]
+    owner, place = owner[shared[which]], place[shared[which]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    rows, cols = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(side)),) * 2
+    common = np.zeros((len(rows), len(cols)), np.float32)
+    width = 4096  # shingles at a time
+    for low in range(0, int(shared.sum()), width):
+        a, b = np.searchsorted(place, [low, low + width])
+        has = np.zeros((len(size), width), np.float32)
+        has[owner[a:b], place[a:b] - low] = 1
+        common += has[rows] @ has[cols].T
+    linked = 100 * common >= percent * (size[rows][:, None] + size[cols][None, :] - common)
+    least = np.arange(len(size))
+    while True:  # labels spread along links until they stay
+        of_cols = np.where(linked, least[cols][None, :], len(size)).min(axis=1, initial=len(size))
+        of_rows = np.where(linked, least[rows][:, None], len(size)).min(axis=0, initial=len(size))
+        new = least.copy()
+        np.minimum.at(new, rows, of_cols)
+        np.minimum.at(new, cols, of_rows)
+        if (new == least).all():
+            return least
+        least = new
+
+
+def star_links(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Written (_a, _b): a spanning forest of the links within all stars."""
+    least = cut(members.groupBy("_key").agg(F.min("_class").alias("_star")))
+    stars = cut(members.join(least, "_key").select("_star", "_class", "_n").distinct())
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS), F.ceil(F.sum("_n") / BLOCK_WORDS)).cast("int")
+    sized = cut(stars.groupBy("_star").agg(blocks.alias("_blocks"), F.count(F.lit(1)).alias("_all")).where("_all > 1"))
+    dealt = stars.join(sized, "_star").withColumn("_block", F.pmod(F.xxhash64("_class", "_star"), F.col("_blocks")).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    groups = dealt.select("_star", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"), "_block", "_class").join(texts, "_class")
+
+    def compare(key, table):
+        i, j = key[1].as_py(), key[2].as_py()
+        table = table.sort_by("_class").combine_chunks()
+        side = (table.column("_block").to_numpy() != i).astype(np.int8) if i != j else np.zeros(table.num_rows, np.int8)
+        own = table.column("_class").to_numpy()
+        least = links_within(table.column("_text"), side, percent)
+        at = np.flatnonzero(least != np.arange(len(own)))
+        return pa.table({"_a": pa.array(own[least[at]], pa.int64()), "_b": pa.array(own[at], pa.int64())})
+
+    return cut(groups.groupBy("_star", "_i", "_j").applyInArrow(compare, "_a bigint, _b bigint"))
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Written (_class, _comp) of the classes that edges touch; each round every class takes its neighbours' least label, then its label's."""
     both = cut(edges.union(edges.select("_b", "_a")).toDF("_a", "_b").distinct())
     labels = cut(both.groupBy(F.col("_a").alias("_class")).agg(F.least(F.min("_b"), F.first("_a")).alias("_comp")))
@@ -226,47 +240,14 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def class_components(rows: DataFrame, docs: DataFrame, key: Column, text: str, percent: int) -> tuple[DataFrame, DataFrame]:
     """(classes, components): classes with _class, _n, _rep (least id and its text's hash), _copies of that row; components by class."""
     full = rows.where("_n > 0")
-    classes = cut(full.groupBy("_class").agg(F.first("_n").alias("_n"), F.min(F.struct(F.col("_id").isNull().alias("_no"), F.col("_id"), F.col("_th"))).alias("_rep"), F.first("_half").alias("_half"), F.first("_sketch").alias("_sketch")))
+    classes = cut(full.groupBy("_class").agg(F.first("_n").alias("_n"), F.min(F.struct(F.col("_id").isNull().alias("_no"), F.col("_id"), F.col("_th"))).alias("_rep"), F.first("_half").alias("_half")))
     members = bucket_members(classes)
-    wanted = members.select("_class").distinct()
-    sketches = cut(classes.join(wanted, "_class").select("_class", "_sketch", F.col("_rep._id").alias("_id"), F.col("_rep._th").alias("_th")))
+    wanted = cut(classes.join(members.select("_class").distinct(), "_class").select("_class", F.col("_rep._id").alias("_id"), F.col("_rep._th").alias("_th")))
     source = docs.select(key.alias("_k"), F.xxhash64(text).alias("_h"), F.col(text).alias("_text"))
-    found = source.join(sketches.select("_class", "_id", "_th"), source["_k"].eqNullSafe(F.col("_id")) & (source["_h"] == F.col("_th")))
+    # always dealt by hash: how many classes are wanted has no bound
+    found = source.join(wanted.hint("merge"), source["_k"].eqNullSafe(F.col("_id")) & (source["_h"] == F.col("_th")))
     texts = cut(found.select("_class", "_text").dropDuplicates(["_class"]))
-    tried: DataFrame | None = None
-    edges: DataFrame | None = None
-    comps: DataFrame | None = None
-    for turn in range(PIVOT_ROUNDS + 1):
-        if comps is None:
-            open_ = members.withColumn("_comp", F.col("_class"))
-        else:
-            placed = members.join(comps, "_class", "left").withColumn("_comp", F.coalesce("_comp", "_class"))
-            held = placed.groupBy("_key", "_comp").agg(F.count(F.lit(1)).alias("_m")).groupBy("_key")
-            held = held.agg(F.max(F.struct("_m", "_comp")).alias("_top"), F.sum("_m").alias("_all")).where(F.col("_top._m") < F.col("_all"))
-            open_ = cut(placed.join(cut(held.select("_key", F.col("_top._comp").alias("_main"), "_all")), "_key"))
-            left = open_.where("_comp != _main").agg(F.sum("_all"), F.count(F.lit(1))).first()
-            if not left[1]:
-                break
-            rows_left = open_.count()
-            if left[0] <= 4 * rows_left or turn == PIVOT_ROUNDS:
-                turn = None
-        if turn is None:
-            one, two = open_.where("_comp != _main").alias("l"), open_.alias("r")
-            pairs = one.join(two, "_key").where("l._comp != r._comp and (r._comp = r._main or l._class < r._class)")
-            pairs = pairs.select(F.col("l._class").alias("_x"), F.col("r._class").alias("_y"), F.col("l._n").alias("_nx"), F.col("r._n").alias("_ny"))
-        else:
-            rank = F.col("_class") if turn == 0 else F.xxhash64("_class", "_key", F.lit(turn))
-            pivots = open_.groupBy("_key").agg(F.min(F.struct(rank.alias("_o"), "_class", "_n", "_comp")).alias("_p"))
-            pairs = open_.join(pivots, "_key").where("_class != _p._class and _comp != _p._comp").select(F.col("_class").alias("_x"), F.col("_p._class").alias("_y"), F.col("_n").alias("_nx"), F.col("_p._n").alias("_ny"))
-        pairs = pairs.where(_near_in_size(F.col("_nx"), F.col("_ny"), percent)).select(F.least("_x", "_y").alias("_a"), F.greatest("_x", "_y").alias("_b")).distinct()
-        pairs = cut(pairs.join(tried, ["_a", "_b"], "left_anti") if tried is not None else pairs)
-        new = confirmed(pairs, sketches, texts, percent)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        edges = new if edges is None else edges.unionByName(new)
-        comps = components(classes, edges)
-        if turn is None:
-            break
-    return classes, comps
+    return classes, components(star_links(members, texts, percent))
 
 
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
