@@ -45,7 +45,7 @@ def invoice_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = matching.amount_band(debits(spark, sf_dir), invoices(spark, sf_dir).drop("customer"), "paid", "amount", 1.0)
     pairs = pairs.where(F.coalesce(F.col("day") <= F.date_add("paid_day", 2), F.lit(True)))
     score = token_set_ratio(T.fold(T.second_field(F.col("text"))), T.fold(F.col("name")))
-    return pairs.select("debit", "invoice", "paid_day", score.alias("score"))
+    return pairs.select("debit", "invoice", "paid_day", score.alias("score")).where("score >= 55")
 
 
 @query()
@@ -53,7 +53,7 @@ def invoice_match_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Debits in order of date and id, each with its best invoice by name (55 at least) that no earlier debit took."""
     pairs = invoice_pairs(spark, sf_dir)
     taken = matching.one_to_one(pairs, "debit", "invoice", [F.col("paid_day"), F.col("debit"), -F.col("score")])
-    return taken.where("score >= 55").select("debit", "invoice", F.round("score", 6).alias("score"))
+    return taken.select("debit", "invoice", F.round("score", 6).alias("score"))
 
 
 @query(
