@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,11 +21,9 @@ def parse_date(raw: Column) -> Column:
 
 
 def _shape(form: str) -> str:
-    out = form.replace(".", r"\.")
-    for letters, pattern in (("yyyy", r"\\d{4}"), ("yy", r"\\d{2}"), ("dd", r"\\d{2}"), ("MM", r"\\d{2}"), ("d", r"\\d{1,2}"), ("M", r"\\d{1,2}")):
-        if letters in out:
-            out = out.replace(letters, pattern.replace("\\\\", "\x00"), 1)
-    return "^" + out.replace("\x00", "\\") + "$"
+    """A regular expression for a format: so many digits for its letters (one letter: one or two)."""
+    digits = lambda m: r"\d{1,2}" if len(m[0]) == 1 else rf"\d{{{len(m[0])}}}"
+    return "^" + re.sub(r"[dMy]+", digits, re.escape(form)) + "$"
 
 
 def parse_scanned_date(raw: Column) -> Column:

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 
 def amount_band(left: DataFrame, right: DataFrame, left_amount: str, right_amount: str, tolerance: float, keys: list[str] | None = None) -> DataFrame:
-    """Pairs whose amounts differ by at most the tolerance (and whose keys are equal): an equi-join on bands as wide as the tolerance."""
-    width = max(tolerance, 0.01)
+    """Pairs whose amounts differ by at most the tolerance (and whose keys are equal): an equi-join on bands a little wider than the tolerance."""
+    width = 1.01 * max(tolerance, 0.01)
     band = lambda c: F.floor(F.col(c) / width).cast("long")
     wide = left.withColumn("_band", F.explode(F.array(band(left_amount) - 1, band(left_amount), band(left_amount) + 1)))
     return wide.join(right.withColumn("_band", band(right_amount)), [*(keys or []), "_band"]).where(F.abs(F.col(left_amount) - F.col(right_amount)) <= tolerance).drop("_band")
