@@ -86,3 +86,23 @@ def person_type(name: Column) -> Column:
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, line_no from 0, line): a row per line."""
     return docs.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line_no", "line"))
+
+
+def account_in(text: Column, path: Column) -> Column:
+    """An account number: the last 13 digits but one of a 22-digit bank code in the text, else the longest run of five digits or more in the path."""
+    code = F.regexp_extract(text, r"\b(\d{22})\b", 1)
+    runs = F.sort_array(F.transform(F.regexp_extract_all(path, F.lit(r"(\d{5,})"), F.lit(1)), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))), asc=False)
+    return F.when(code != "", F.substr(code, F.lit(9), F.lit(13))).otherwise(F.get(runs, F.lit(0))["x"])
+
+
+def from_file_name(name: Column) -> Column:
+    """(tax_id, kind, voucher) of a name such as 20111111112_006_00003_00000045.pdf; nulls where it is none."""
+    pattern = r"(\d{11})_(\d{1,3})_(\d{1,5})_(\d{1,8})"
+    at = lambda k: F.regexp_extract(name, pattern, k)
+    return F.struct(F.when(at(1) != "", at(1)).alias("tax_id"), F.when(at(2) != "", at(2)).alias("kind"), F.when(at(3) != "", voucher(at(3), at(4))).alias("voucher"))
+
+
+def date_in(text: Column, not_after: str = "inicio de actividades|vencimiento|vto", within: int = 40) -> Column:
+    """The first dd/mm/yyyy in a text that does not follow one of some words closely."""
+    found = F.regexp_extract(text, rf"(?is)(?<!(?:{not_after}).{{0,{within}}})\b(\d{{2}}/\d{{2}}/\d{{4}})\b", 1)
+    return F.try_to_timestamp(F.when(found != "", found), F.lit("dd/MM/yyyy")).cast("date")

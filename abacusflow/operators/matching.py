@@ -105,3 +105,22 @@ def shared_words(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     words = lambda df, own, name: df.select(own, F.explode(F.array_distinct(F.filter(F.split(name, " "), lambda x: F.length(x) > longer_than))).alias("_word"))
     met = words(left, left_id, left_name).join(words(right, right_id, right_name), "_word").groupBy(left_id, right_id).agg(F.count(F.lit(1)).alias("shared"))
     return met.where(F.col("shared") >= least)
+
+
+def closest_subset(items: DataFrame, targets: DataFrame, keys: list[str], item: str, amount: str, target: str, goal: str, order: list[str], pool: int = 10, most: int = 7) -> DataFrame:
+    """(keys, target, members, off): of the first ``pool`` items of a key by order, the subset of up to ``most`` whose amounts come closest to the goal.
+
+    The pool is part of the rule; its subsets are numbered and tried in one
+    expression, at most 2 ** pool of them.
+    """
+    from pyspark.sql.window import Window
+
+    ranked = items.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order, item))).where(F.col("_rank") <= pool)
+    packed = ranked.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_rank", F.col(item).alias("id"), F.col(amount).alias("x")))).alias("_pool"))
+    met = targets.select(*keys, F.col(target).alias("target"), F.col(goal).alias("_goal")).join(packed, keys)
+    picked = lambda mask: F.filter("_pool", lambda p: F.getbit(mask.cast("long"), p["_rank"] - 1) == 1)
+    total = lambda chosen: F.aggregate(chosen, F.lit(0).cast("decimal(28,2)"), lambda s, p: (s + p["x"]).cast("decimal(28,2)"))
+    tried = F.transform(F.sequence(F.lit(1), F.expr("shiftleft(1, size(_pool)) - 1")), lambda m: F.struct(F.abs(F.col("_goal") - total(picked(m))).alias("off"), F.bit_count(m).alias("n"), m.alias("mask")))
+    best = F.array_min(F.filter(tried, lambda t: t["n"] <= most))
+    out = met.withColumn("_best", best)
+    return out.select(*keys, "target", F.transform(picked(F.col("_best.mask")), lambda p: p["id"]).alias("members"), F.col("_best.off").alias("off"))
