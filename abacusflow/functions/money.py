@@ -14,6 +14,15 @@ def money(value: Column | str) -> Column:
     return F.round(column.cast("decimal(28,8)"), 2).cast(MONEY)
 
 
+def part_of(total: Column, weight: Column, whole: Column) -> Column:
+    """total * weight / whole to the cent, half up, from whole cents, so that nothing is rounded twice; null where the whole is 0."""
+    cents = lambda c: (c.cast(MONEY) * 100).cast("decimal(18,0)")
+    product, below = cents(total) * cents(weight), F.abs(cents(whole)).cast("decimal(18,0)")
+    size = F.when(below != 0, F.call_function("div", F.abs(product) * 2 + below, below * 2))
+    sign = F.signum(product.cast("double") * F.signum(cents(whole).cast("double"))).cast("int")
+    return (size.cast("decimal(18,0)") * sign * F.lit("0.01").cast("decimal(3,2)")).cast(MONEY)
+
+
 def _text(raw: Column) -> Column:
     text = F.regexp_replace(raw.cast("string"), r"[\s$]", "")
     return F.when(F.lower(text).isin("", "nan", "none"), None).otherwise(text)

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.money import MONEY, money
+from ..functions.money import MONEY, money, part_of
 
 
 def spread(rows: DataFrame, keys: list[str], order: list[str], weight: str, total: str, name: str = "share") -> DataFrame:
     """Add each row's share of its group's ``total`` by weight, rounded; the last row takes the cents that are left. A group without weight gets 0, its last row all."""
     sums = rows.groupBy(*keys).agg(F.sum(weight).alias("_weights"), F.max(F.struct(*order)).alias("_last"))
     out = rows.join(sums, keys).withColumn("_is_last", F.struct(*order) == F.col("_last"))
-    part = F.when(F.col("_weights") != 0, money(F.col(total).cast("decimal(18,2)") * F.col(weight).cast("decimal(18,2)") / F.col("_weights").cast("decimal(18,2)"))).otherwise(F.lit(0).cast(MONEY))
+    part = F.coalesce(part_of(F.col(total), F.col(weight), F.col("_weights")), F.lit(0).cast(MONEY))
     out = out.withColumn("_part", part)
     others = out.where("not _is_last").groupBy(*keys).agg(F.sum("_part").alias("_others"))
     out = out.join(others, keys, "left")
@@ -26,7 +26,7 @@ def discounted(rows: DataFrame, keys: list[str], order: list[str], amount: str,
     sums = rows.groupBy(*keys).agg(F.sum(amount).alias("_sum"), F.max(F.struct(*order)).alias("_last"))
     out = rows.join(sums, keys)
     applies = (F.col(discount) > 0) & (F.col("_sum") > 0)
-    cut = money(F.col(amount) - (F.col(amount).cast("decimal(18,2)") * F.col(discount).cast("decimal(18,2)") / F.col("_sum").cast("decimal(18,2)")))
+    cut = part_of(F.col(amount), F.col("_sum") - F.col(discount), F.col("_sum"))
     out = out.withColumn("_part", F.when(applies, cut).otherwise(F.col(amount)))
     done = out.groupBy(*keys).agg(F.sum("_part").alias("_done"))
     out = out.join(done, keys)
