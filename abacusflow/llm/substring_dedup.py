@@ -7,11 +7,11 @@ equal windows have their anchor at the same place, and one suffix in fourteen
 stands for all (a sparse suffix tree).
 
 1. An anchor's gram is the prefix that suffixes are parted by. Pages ask which
-   of their prefixes are in other pages too; a prefix in one page only has no
+   of their prefixes are in other pages too, and how many windows these have; a prefix in one page only has no
    branch above a leaf and is done.
 2. For each shared prefix, pages hand in the windows around its anchors. Prefixes
-   in many pages are parted by more words, the whole window, so that groups stay
-   of memory size (variable-length prefixes). In a group, the windows that more
+   with many windows are parted by more words, the whole window, so that groups
+   stay of memory size (variable-length prefixes). In a group, the windows that more
    than one page has are the internal nodes of window depth or deeper.
 3. A page merges its windows that are repeated in itself or elsewhere; runs of
    them are the maximal repeats.
@@ -41,8 +41,8 @@ from .pages import PAGE_BYTES, answered, asked, blocks, bucket_count, bucket_of,
 
 WINDOW = 35
 GRAM = 8
-#: Prefixes in more pages than this are parted by the whole window.
-HOT_PAGES = 64
+#: Prefixes with more windows than this (over all pages) are parted by the whole window.
+HOT_WINDOWS = 1024
 
 
 class PageWindows:
@@ -68,19 +68,28 @@ class PageWindows:
         self.prefixes, self.prefix = np.unique(self.anchor, return_inverse=True)
 
 
+def _windows_of(blocks: list[list[bytes]]) -> list[bytes]:
+    """For each block of prefixes (and how many windows each has) the windows of all blocks; 0 for a prefix of one block only."""
+    keys, counts = [np.frombuffer(b, np.uint64) for b in blocks[0]], [np.frombuffer(b, np.uint32) for b in blocks[1]]
+    distinct, which, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    total = np.bincount(which, np.concatenate(counts), len(distinct))
+    told = np.where(times > 1, np.minimum(total, 0xFFFFFFFF), 0).astype(np.uint32)[which]
+    return [x.tobytes() for x in np.split(told, np.cumsum([len(k) for k in keys])[:-1])]
+
+
 def _shared(prefixes: np.ndarray, row: dict) -> np.ndarray:
-    """How many pages have each prefix, from the answers to step 1."""
+    """How many windows each prefix has if other pages have it too, else 0: the answers to step 1."""
     found = row["prefix_answers"].as_py()
-    return np.frombuffer(b"".join(found), np.uint8) if found else np.zeros(len(prefixes), np.uint8)
+    return np.frombuffer(b"".join(found), np.uint32) if found else np.zeros(len(prefixes), np.uint32)
 
 
 def _asked_windows(page: PageWindows, row: dict, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bucket, key, which distinct window), by bucket and key, of the windows whose prefix other pages have."""
-    pages = _shared(page.prefixes, row)[page.prefix]
-    which = np.flatnonzero(pages > 1)
+    windows = _shared(page.prefixes, row)[page.prefix]
+    which = np.flatnonzero(windows)
     code, anchor = page.distinct[which], page.anchor[which]
     key = mixed(code ^ (anchor * np.uint64(0x9E3779B97F4A7C15)))
-    bucket = bucket_of(np.where(pages[which] > HOT_PAGES, key, anchor), buckets)
+    bucket = bucket_of(np.where(windows[which] > HOT_WINDOWS, key, anchor), buckets)
     order = np.lexsort((key, bucket))
     return bucket[order], key[order], which[order]
 
@@ -92,8 +101,9 @@ def repeats(docs: DataFrame, row: Column, text: str = "text", window: int = WIND
     kind = pages.schema["rows"].dataType.elementType.simpleString()
 
     def ask_prefixes(row: dict) -> Iterator[tuple[int, list[bytes]]]:
-        prefixes = PageWindows(texts_of(row["texts"].as_py()), window, gram).prefixes
-        for b, _a, _b, data in blocks(bucket_of(prefixes, buckets), prefixes):
+        page = PageWindows(texts_of(row["texts"].as_py()), window, gram)
+        counts = np.bincount(page.prefix, minlength=len(page.prefixes)).astype(np.uint32)
+        for b, _a, _b, data in blocks(bucket_of(page.prefixes, buckets), page.prefixes, counts):
             yield b, data
 
     def ask_windows(row: dict) -> Iterator[tuple[int, list[bytes]]]:
@@ -101,7 +111,7 @@ def repeats(docs: DataFrame, row: Column, text: str = "text", window: int = WIND
         for b, _a, _b, data in blocks(bucket, key):
             yield b, data
 
-    shared = answered(asked(pages, ask_prefixes), lambda _, parts: in_two(parts[0]))
+    shared = answered(asked(pages, ask_prefixes, 2), lambda _, parts: _windows_of(parts), 2)
     known = cut(with_answers(pages, shared, "prefix_answers"))
     nodes = answered(asked(known, ask_windows), lambda _, parts: in_two(parts[0]))
 

@@ -29,7 +29,7 @@ def test_equal_to_brute_force(spark, folder, rows):
 
 
 def test_small_pages_and_hot_prefixes(spark, monkeypatch):
-    monkeypatch.setattr(S, "HOT_PAGES", 2)
+    monkeypatch.setattr(S, "HOT_WINDOWS", 20)
     passages = [prose(k, 50, 3000) for k in range(3)]
     texts = []
     for k in range(60):
