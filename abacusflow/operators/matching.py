@@ -31,12 +31,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def one_to_one(pairs: DataFrame, left: str, right: str, order: list[Column], most_rounds: int = 200) -> DataFrame:
-    """The pairs a greedy pass in the given order would take, each left and right at most once. ``order`` with left and right must tell all pairs apart."""
+def one_to_one(pairs: DataFrame, left: str, right: str, order: list[Column]) -> DataFrame:
+    """The pairs a greedy pass in the given order would take, each left and right at most once. Ties of the order go to the smaller left, then right.
+
+    Every round takes the best pair of all at least, so the rounds end.
+    """
     place = F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)], F.col(left).alias("l"), F.col(right).alias("r"))
     rest = stored(pairs.withColumn("_place", place))
     taken = None
-    for _ in range(most_rounds):
+    while True:
         best_left = rest.groupBy(left).agg(F.min("_place").alias("_bl"))
         best_right = rest.groupBy(right).agg(F.min("_place").alias("_br"))
         new = stored(rest.join(best_left, left).join(best_right, right).where("_place = _bl and _place = _br").drop("_bl", "_br"))

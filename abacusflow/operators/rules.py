@@ -3,7 +3,7 @@
 Rules are rows, not code: (pattern, category, kind, rank, active). A rule table
 is a dimension kept by people; it is read to the driver up to ``MOST_RULES`` rows
 and becomes one expression, so the texts are classified in their scan without a
-join. A larger table goes through a join on the words of the patterns.
+join. A larger table goes through a join on pieces of the patterns.
 """
 
 from __future__ import annotations
@@ -33,17 +33,21 @@ def _pair(pair: tuple[str, str]) -> Column:
 
 
 def classify_by_join(rows: DataFrame, live: DataFrame, text: str, unknown: tuple[str, str] = UNKNOWN) -> DataFrame:
-    """As ``classify`` for any number of rules: texts and patterns meet on three-letter pieces; patterns of one or two letters by a condition on their own."""
-    keyed = rows.withColumn("_id", F.monotonically_increasing_id()).withColumn("_folded", fold(F.col(text)))
+    """As ``classify`` for any number of rules: distinct texts and patterns meet on pieces of three letters, shorter patterns on pieces of their length."""
+    keyed = rows.withColumn("_folded", fold(F.col(text)))
+    texts = keyed.select("_folded").distinct()
     pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_folded") - 2)), lambda k: F.substr("_folded", k, F.lit(3))))
-    left = keyed.select("_id", "_folded", F.explode(pieces).alias("_piece"))
+    left = texts.select("_folded", F.explode(pieces).alias("_piece"))
     right = live.withColumn("_piece", F.left("_pattern", F.lit(3)))
-    long = left.join(right.where(F.length("_pattern") >= 3), "_piece").where("contains(_folded, _pattern)")
-    short = keyed.select("_id", "_folded").join(F.broadcast(right.where(F.length("_pattern") < 3)), F.expr("contains(_folded, _pattern)"))
-    hits = long.select("_id", "_rank", "_pattern", "category", "kind").unionByName(short.select("_id", "_rank", "_pattern", "category", "kind"))
-    best = hits.groupBy("_id").agg(F.min_by(F.struct(F.col("category").alias("c"), F.col("kind").alias("k")), F.struct("_rank", "_pattern")).alias("_hit"))
-    out = keyed.join(best, "_id", "left").withColumn("_hit", F.coalesce("_hit", _pair(unknown)))
-    return out.withColumn("category", F.col("_hit.c")).withColumn("kind", F.col("_hit.k")).drop("_hit", "_id", "_folded")
+    long = left.join(right.where(F.length("_pattern") >= 3), "_piece").where("contains(_folded, _pattern)").drop("_piece")
+    # one or two letters: every piece of a text that starts with them, so this is an equi-join too
+    starts = lambda n: texts.select("_folded", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_folded") - (n - 1))), lambda k: F.substr("_folded", k, F.lit(n))))).alias("_pattern"))
+    hits = long.select("_folded", "_rank", "_pattern", "category", "kind")
+    for n in (1, 2):
+        hits = hits.unionByName(starts(n).join(live.where(F.length("_pattern") == n), "_pattern").select(*hits.columns))
+    best = hits.groupBy("_folded").agg(F.min_by(F.struct(F.col("category").alias("c"), F.col("kind").alias("k")), F.struct("_rank", "_pattern")).alias("_hit"))
+    out = keyed.join(best, "_folded", "left").withColumn("_hit", F.coalesce("_hit", _pair(unknown)))
+    return out.withColumn("category", F.col("_hit.c")).withColumn("kind", F.col("_hit.k")).drop("_hit", "_folded")
 
 
 def account_hint(rows: DataFrame, hints: DataFrame, default: str = "99999") -> DataFrame:
