@@ -73,3 +73,19 @@ def number_roles(numbers: Column) -> Column:
     two = F.when(value != 0, F.struct((total / value).cast("decimal(28,8)").alias("units"), value.alias("value"), total.alias("total")))
     three = F.struct(F.get(rest, F.lit(1))["x"].cast("decimal(28,8)").alias("units"), best["x"].alias("value"), F.get(rest, F.lit(0))["x"].alias("total"))
     return F.when(F.size(numbers) >= 3, three).when(F.size(numbers) == 2, two)
+
+
+def best_form(forms: dict[str, Column], least: int = 1, forced: str | None = None) -> Column:
+    """(form, found) of several readings of one text, each a struct of fields in the order of priority.
+
+    The reading with the most fields that are there wins, the earlier one of
+    equals; a forced one wins if it has any. There is no form below ``least`` fields.
+    """
+    read = []
+    for k, (name, fields) in enumerate(forms.items()):
+        found = F.size(F.filter(F.map_values(F.from_json(F.to_json(fields), "map<string,string>")), lambda x: x.isNotNull() & (x != "")))
+        found = F.when(found < 0, 0).otherwise(found)
+        weight = found + F.when(F.lit(name == forced) & (found > 0), 1000).otherwise(0)
+        read.append((weight, found, k, name))
+    best = F.array_max(F.array(*[F.struct(w.alias("w"), F.lit(-k).alias("k"), f.alias("found"), F.lit(n).alias("form")) for w, f, k, n in read]))
+    return F.struct(F.when(best["found"] >= least, best["form"]).alias("form"), best["found"].alias("found"))

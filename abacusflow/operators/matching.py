@@ -127,3 +127,10 @@ def closest_subset(items: DataFrame, targets: DataFrame, keys: list[str], item:
     best = F.array_min(F.filter(tried, lambda t: t["n"] <= most))
     out = met.withColumn("_best", best)
     return out.select(*keys, "target", F.transform(picked(F.col("_best.mask")), lambda p: p["id"]).alias("members"), F.col("_best.off").alias("off"))
+
+
+def by_amount_else(rows: DataFrame, ledger: DataFrame, row_id: str, ledger_id: str, amount: str, account: str, fallback: Column) -> DataFrame:
+    """Add ``account``: of the ledger row with the same amount, each used once in the order of ids; else the fallback."""
+    pairs = rows.select(row_id, amount).join(ledger.select(ledger_id, amount, account), amount)
+    taken = one_to_one(pairs, row_id, ledger_id, []).select(row_id, account)
+    return rows.withColumn("_fallback", fallback).join(taken, row_id, "left").withColumn(account, F.coalesce(account, "_fallback")).drop("_fallback")

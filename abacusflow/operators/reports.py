@@ -65,3 +65,25 @@ def missing_months(rows: DataFrame, keys: list[str], day: str, first: str, last:
 def share_of(part: Column, whole: Column) -> Column:
     """Percent, null where the whole is 0."""
     return F.round(F.try_divide(part.cast("double") * 100, whole.cast("double")), 4)
+
+
+def from_grid(grid: DataFrame, concept: str, parts: dict[str, list[str]]) -> DataFrame:
+    """(month, a column per part) from a grid of m1 to m12: each part sums some concepts of a month; months without any value are left out."""
+    months = F.explode(F.array(*[F.struct(F.lit(m).alias("month"), F.col(f"m{m}").alias("v")) for m in range(1, 13)]))
+    rows = grid.select(concept, months.alias("_m")).select(concept, "_m.month", "_m.v").where("v is not null")
+    return rows.groupBy("month").agg(*[F.coalesce(F.sum(F.when(F.col(concept).isin(*names), F.col("v"))), F.lit(0)).cast(MONEY).alias(n) for n, names in parts.items()])
+
+
+def suggested_balances(paid: DataFrame, opening: DataFrame, bank: str, capital: str, balance: str) -> DataFrame:
+    """Per bank the capital paid back and what should be left of its opening balance, never below 0."""
+    sums = paid.groupBy(bank).agg(F.sum(capital).cast(MONEY).alias("paid"))
+    out = sums.join(opening.select(bank, F.col(balance).alias("opening")), bank, "left")
+    return out.withColumn("left", F.when(F.col("opening").isNotNull(), F.greatest(F.lit(0).cast(MONEY), F.col("opening") - F.col("paid")).cast(MONEY)))
+
+
+def wanted_rows(label: Column, deny: str, allow: str) -> Column:
+    """Whether a row of balances counts: its label is no total, footer or control line, or is allowed all the same."""
+    from ..functions.text import fold
+
+    told = fold(label)
+    return (told != "") & (~told.rlike(deny) | told.rlike(allow))

@@ -79,3 +79,27 @@ def test_names_of_files(spark):
     assert tuple(row) == ("20111111112", "006", "00003-00000045")
     told = spark.createDataFrame([("Inicio de actividades: 01/01/2000 y algunas palabras que siguen, de Fecha 05/06/2024",), ("nada",)], "t string").select(text.date_in(F.col("t")).alias("d")).collect()
     assert [r["d"] for r in told] == [date(2024, 6, 5), None]
+
+
+def test_grids_balances_and_noise(spark):
+    from abacusflow.operators import extract, reports
+
+    grid = spark.createDataFrame([("sales", *[D(5) if m == 1 else None for m in range(12)]), ("rent", *[D(2) if m < 2 else None for m in range(12)])], "c string, " + ", ".join(f"m{m} decimal(18,2)" for m in range(1, 13)))
+    found = {r["month"]: (r["income"], r["cost"]) for r in reports.from_grid(grid, "c", {"income": ["sales"], "cost": ["rent"]}).collect()}
+    assert found == {1: (D(0), D(2)), 2: (D(5), D(2))}
+    paid = spark.createDataFrame([("x", D(5)), ("x", D(6)), ("y", D(1))], "b string, c decimal(18,2)")
+    opening = spark.createDataFrame([("x", D(10))], "b string, o decimal(18,2)")
+    assert {r["b"]: r["left"] for r in reports.suggested_balances(paid, opening, "b", "c", "o").collect()} == {"x": D(0), "y": None}
+    labels = spark.createDataFrame([("Total general",), ("Nota de crédito total",), ("Proveedor",), ("",)], "t string")
+    assert [r[0] for r in labels.select(reports.wanted_rows(F.col("t"), "TOTAL|CONTROL", "NOTA DE CREDITO")).collect()] == [False, True, True, False]
+    texts = spark.createDataFrame([("a=1 b=2",), ("c=3",), ("none",)], "t string")
+    field = lambda k: F.regexp_extract("t", rf"{k}=(\d)", 1)
+    forms = {"one": F.struct(field("c").alias("c")), "two": F.struct(field("a").alias("a"), field("b").alias("b"))}
+    assert [r[0]["form"] for r in texts.select(extract.best_form(forms)).collect()] == ["two", "one", None]
+
+
+def test_amounts_of_a_ledger(spark):
+    rows = spark.createDataFrame([(1, D(5)), (2, D(5)), (3, D(7))], "r int, x decimal(18,2)")
+    ledger = spark.createDataFrame([(10, D(5), "A"), (11, D(9), "B")], "l int, x decimal(18,2), account string")
+    found = matching.by_amount_else(rows, ledger, "r", "l", "x", "account", F.lit("99999")).collect()
+    assert {r["r"]: r["account"] for r in found} == {1: "A", 2: "99999", 3: "99999"}
