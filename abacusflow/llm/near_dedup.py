@@ -50,7 +50,7 @@ HALVES = 12
 ROWS = 3
 PERCENT = 85
 #: Members and words of a block, at most (a longer text is a block's only one).
-BLOCK_MEMBERS = 512
+BLOCK_MEMBERS = 256
 BLOCK_WORDS = 1 << 20
 
 _SEEDS = np.random.default_rng(20240229).integers(0, 1 << 63, (2, 2 * HALVES * ROWS), np.int64).astype(np.uint64)
