@@ -7,8 +7,8 @@ fast. A source whose target exceeds its size queues again for another epoch, up
 to ``MAX_EPOCHS`` times. All copies are then range-sorted by finish time and cut
 at the total budget, so every prefix of the mix has the sources in proportion.
 
-Nothing is done per source in one task: a queue is split into ``CELLS`` hash
-cells, and places in it are cell totals plus running sums within cells. The cut
+Nothing is done per source in one task: a queue, in the order of a seeded md5 of
+id and text, is split into 256 cells by the first byte of the hash, and places in it are cell totals plus running sums within cells. The cut
 is found from the totals of ``SLICES`` slices of virtual time and a running sum
 within the one slice where the budget ends; the mix itself is dealt by range.
 
@@ -31,7 +31,6 @@ from pyspark.sql.window import Window
 from .common import cut, table, word_count
 
 MAX_EPOCHS = 3
-CELLS = 256
 SEED = 17
 SLICES = 8192
 
@@ -61,7 +60,8 @@ def with_targets(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
 
 def queued(docs: DataFrame, seed: int) -> DataFrame:
     """Add ``_end``: the words of the same source up to and with this row, in the shuffled order."""
-    rows = docs.withColumn("_order", F.xxhash64(F.lit(seed), "_key", "_tie")).withColumn("_cell", F.pmod("_order", F.lit(CELLS)))
+    seeded = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("_key").cast("string"), F.lit("")), F.lit("|"), F.col("_tie"))
+    rows = docs.withColumn("_order", F.md5(seeded.cast("binary"))).withColumn("_cell", F.left("_order", F.lit(2)))
     cells = rows.groupBy("_name", "_cell").agg(F.sum("_size").alias("_sum"))
     before = F.coalesce(F.sum("_sum").over(Window.partitionBy("_name").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cells = cells.select("_name", "_cell", before.alias("_before"))
@@ -96,7 +96,7 @@ def taken(docs: DataFrame, key: str = "doc_id", source: str = "source", text: st
     ``weights``: (_source, _weight), no weight meaning 0; by default 1, 2, 3 by name.
     """
     row = [F.struct(*docs.columns).alias("_row")] if payload else []
-    slim = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_tie"), F.col(source).alias("_source"), F.concat(F.when(F.col(source).isNull(), "n").otherwise("s"), F.coalesce(source, F.lit(""))).alias("_name"), word_count(F.col(text)).alias("_size"), *row)
+    slim = docs.select(F.col(key).alias("_key"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_tie"), F.col(source).alias("_source"), F.concat(F.when(F.col(source).isNull(), "n").otherwise("s"), F.coalesce(source, F.lit(""))).alias("_name"), word_count(F.col(text)).alias("_size"), *row)
     queue = cut(queued(slim, seed))
     sources = queue.groupBy("_name").agg(F.first("_source").alias("_source"), F.sum("_size").alias("_source_size"))
     if weights is None:
@@ -125,3 +125,21 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "source", "text")
     rows = taken(docs, payload=False)
     return rows.select(F.col("_key").alias("doc_id"), F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
+
+
+ORACLE_SQL = {
+    "op6_mixing": r"""
+with recursive d as (select row_number() over () as r, doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size, md5(coalesce(text, '')) as tie from documents),
+o as (select *, md5('17|' || coalesce(cast(doc_id as varchar), '') || '|' || tie) as ord from d),
+s as (select source, cast(sum(size) as bigint) as source_size, sum(size) * 3.0::double as cap, cast(1 + (row_number() over (order by source nulls last) - 1) % 3 as double) as w from d group by source),
+lv as (select 0 as it, (select sum(source_size)::double / sum(w) from s) as level
+  union all select it + 1, coalesce((select (sum(source_size)::double - sum(case when w * level >= cap then cap else 0 end)) / nullif(sum(case when w * level >= cap then 0 else w end), 0) from s), level) from lv where it < 60),
+t as (select source, source_size, least(cap, w * (select level from lv where it = 60)) as target from s),
+q as (select o.*, t.source_size, t.target, cast(sum(size) over (partition by o.source order by ord, doc_id, tie rows unbounded preceding) as bigint) as fin from o join t on o.source is not distinct from t.source),
+c as (select r, size, (fin - size / 2 + e * source_size) / target as f from q, (values (0), (1), (2)) v(e) where size > 0 and target > 0),
+run as (select f, sum(size) over (order by f range unbounded preceding) as spent from c where f <= 1),
+until as (select coalesce(min(f), 1.0) as u from run where spent >= (select sum(size) from d)),
+n as (select r, count(*) as copies from c where f <= (select u from until) group by r)
+select doc_id, source, size, source_size, target, cast(size * coalesce(copies, 0) as bigint) as taken from q left join n using (r)
+"""
+}
