@@ -67,7 +67,19 @@ def _loan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", F.col("p_retailprice").cast(MONEY).alias("capital"), F.col("p_size").alias("n"), F.lit(0.36).alias("rate"), F.lit("2024-01-31").cast("date").alias("start"))
 
 
-@query()
+@query(
+    """
+with recursive l as (select p_partkey, cast(p_retailprice as decimal(18,2)) as cap, p_size as m,
+  cast(round(cast(cast(cast(p_retailprice as decimal(18,2)) as double) * (0.36::double / 12) / (1 - pow(1 + 0.36::double / 12, -p_size)) as decimal(28,10)), 8) as decimal(28,8)) as pay from part where p_size > 0),
+s as (
+  select p_partkey, m, pay, 0 as n, cast(0 as decimal(18,2)) as interest, cast(0 as decimal(18,2)) as capital, cap as balance from l
+  union all
+  select p_partkey, m, pay, n + 1, i, cast(case when n + 1 = m then balance else round(pay - i, 2) end as decimal(18,2)), cast(balance - case when n + 1 = m then balance else round(pay - i, 2) end as decimal(18,2))
+  from (select *, cast(round(balance * cast(0.03 as decimal(9,4)), 2) as decimal(18,2)) as i from s where n < m)),
+v as (select *, cast(round(interest * cast(0.21 as decimal(9,4)), 2) as decimal(18,2)) as vat from s where n > 0)
+select p_partkey, n, cast(interest as double) as interest, cast(capital as double) as capital, cast(vat as double) as vat, cast(capital + interest + vat as double) as due, cast(greatest(balance, 0) as double) as balance,
+  cast(last_day(date '2024-01-01' + to_months(cast(n - 1 as integer))) as date) as due_date from v"""
+)
 def french_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A loan for every part: its price over its size in months, in equal payments."""
     out = loans.french(_loan_rows(spark, sf_dir), ["p_partkey"], "capital", "n", "rate", "start")

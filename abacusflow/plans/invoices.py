@@ -16,16 +16,16 @@ from .registry import query
 
 
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """invoice, customer, amount, day, supplier name."""
-    o = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    """invoice, customer, amount, day, supplier name, status."""
+    o = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderstatus")
     c = read(spark, sf_dir, "customer", "c_custkey", "c_name")
     rows = o.join(c, o["o_custkey"] == c["c_custkey"])
-    return rows.select(F.col("o_orderkey").alias("invoice"), F.col("o_custkey").alias("customer"), F.col("o_totalprice").cast(MONEY).alias("amount"), F.col("o_orderdate").cast("date").alias("day"), F.col("c_name").alias("name"))
+    return rows.select(F.col("o_orderkey").alias("invoice"), F.col("o_custkey").alias("customer"), F.col("o_totalprice").cast(MONEY).alias("amount"), F.col("o_orderdate").cast("date").alias("day"), F.col("c_name").alias("name"), F.col("o_orderstatus").alias("status"))
 
 
 def debits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A debit for two of three invoices: some days later, some cents off, with the payee in its text."""
-    i = invoices(spark, sf_dir).where(F.col("invoice") % 3 != 0)
+    """A debit for every invoice that is not pending: some days later, some cents off, with the payee in its text."""
+    i = invoices(spark, sf_dir).where("status <> 'P'")
     text = F.concat(F.lit("TRF INMED PROVEED / "), F.col("name"), F.lit(" / 00"))
     return i.select(
         (F.col("invoice") * 10 + 1).alias("debit"),
@@ -36,8 +36,8 @@ def debits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_INVOICES = """inv as (select o_orderkey as invoice, o_custkey as customer, cast(o_totalprice as decimal(18,2)) as amount, cast(o_orderdate as date) as day from orders join customer on o_custkey = c_custkey),
-deb as (select invoice * 10 + 1 as debit, customer, cast(amount + cast((invoice % 7) / 10.0 as decimal(18,2)) as decimal(18,2)) as paid, day + cast(invoice % 5 - 1 as integer) as paid_day from inv where invoice % 3 <> 0)"""
+_INVOICES = """inv as (select o_orderkey as invoice, o_custkey as customer, cast(o_totalprice as decimal(18,2)) as amount, cast(o_orderdate as date) as day, o_orderstatus as status from orders join customer on o_custkey = c_custkey),
+deb as (select invoice * 10 + 1 as debit, customer, cast(amount + cast((invoice % 7) / 10.0 as decimal(18,2)) as decimal(18,2)) as paid, day + cast(invoice % 5 - 1 as integer) as paid_day from inv where status <> 'P')"""
 
 
 def invoice_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,14 +105,14 @@ def missing_on_either_side(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-with q as (select cast(o_orderdate as date) as day, cast(max(cast(o_totalprice as decimal(18,2))) as double) as rate from orders where o_orderkey % 50 = 0 group by 1),
+with q as (select cast(date_trunc('week', o_orderdate) as date) as day, cast(max(cast(o_totalprice as decimal(18,2))) as double) as rate from orders group by 1),
 p as (select l_orderkey, l_linenumber, l_partkey, l_quantity, cast(l_shipdate as date) as day from lineitem)
 select l_orderkey, l_linenumber, l_partkey, l_quantity, p.day, coalesce(q.rate, (select arg_min(rate, day) from q)) as rate from p asof left join q on p.day >= q.day"""
 )
 def fx_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every line the rate in force on its day; quotes are the tops of some days."""
-    o = read(spark, sf_dir, "orders", "o_orderkey", "o_totalprice", "o_orderdate").where(F.col("o_orderkey") % 50 == 0)
-    quotes = o.select(F.col("o_orderdate").cast("date").alias("quoted"), F.col("o_totalprice").cast(MONEY).cast("double").alias("rate"))
+    """For every line the rate in force on its day; a week's quote is its top order, dated Monday."""
+    o = read(spark, sf_dir, "orders", "o_totalprice", "o_orderdate")
+    quotes = o.select(F.date_trunc("week", "o_orderdate").cast("date").alias("quoted"), F.col("o_totalprice").cast(MONEY).cast("double").alias("rate"))
     probes = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_shipdate").withColumn("day", F.col("l_shipdate").cast("date")).drop("l_shipdate")
     return asof.asof(probes, quotes, "day", "quoted", "rate", name="rate").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "day", "rate")
 
@@ -159,8 +159,8 @@ def invoice_vat_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-with a as (select o_custkey as customer, date_trunc('month', o_orderdate) as m, sum(cast(o_totalprice as decimal(18,2))) as v from orders where o_orderkey % 4 <> 0 group by all),
-b as (select o_custkey as customer, date_trunc('month', o_orderdate) as m, sum(cast(o_totalprice as decimal(18,2))) as v from orders where o_orderkey % 4 <> 1 group by all),
+with a as (select o_custkey as customer, date_trunc('month', o_orderdate) as m, sum(cast(o_totalprice as decimal(18,2))) as v from orders where o_orderstatus <> 'F' group by all),
+b as (select o_custkey as customer, date_trunc('month', o_orderdate) as m, sum(cast(o_totalprice as decimal(18,2))) as v from orders where o_orderstatus <> 'O' group by all),
 e as (select customer, min(m) as x, max(m) as y from (select * from a union all select * from b) group by customer),
 s as (select customer, unnest(generate_series(x, y, interval 1 month)) as m from e)
 select customer, cast(s.m as date) as period, cast(a.v as double) as one, cast(b.v as double) as two,
@@ -169,31 +169,43 @@ from s left join a using (customer, m) left join b using (customer, m)"""
 )
 def period_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two extracts of the orders of each customer, month by month."""
-    o = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
-    rows = o.select(F.col("o_custkey").alias("customer"), F.col("o_orderdate").cast("date").alias("day"), F.col("o_totalprice").cast(MONEY).alias("v"), "o_orderkey")
-    out = reports.compare_periods(rows.where("o_orderkey % 4 <> 0"), rows.where("o_orderkey % 4 <> 1"), ["customer"], "day", "v")
+    o = read(spark, sf_dir, "orders", "o_orderstatus", "o_custkey", "o_totalprice", "o_orderdate")
+    rows = o.select(F.col("o_custkey").alias("customer"), F.col("o_orderdate").cast("date").alias("day"), F.col("o_totalprice").cast(MONEY).alias("v"), "o_orderstatus")
+    out = reports.compare_periods(rows.where("o_orderstatus <> 'F'"), rows.where("o_orderstatus <> 'O'"), ["customer"], "day", "v")
     return out.select("customer", "period", F.col("one").cast("double").alias("one"), F.col("two").cast("double").alias("two"), "state")
 
 
 @query(
     """
-with old as (select o_orderkey as k, o_custkey as v from orders where o_orderkey % 2 = 0), new as (select o_orderkey as k, -o_custkey as v from orders where o_orderkey % 3 = 0), seed as (select o_orderkey as k, 0 as v from orders)
+with old as (select o_orderkey as k, o_custkey as v from orders where o_orderstatus <> 'P'), new as (select o_orderkey as k, -o_custkey as v from orders where o_orderpriority < '3'), seed as (select o_orderkey as k, 0 as v from orders)
 , up as (select * from new union all select * from old where k not in (select k from new))
 select * from up union all select k, v from seed where k not in (select k from up)"""
 )
 def upsert_and_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("v"))
-    merged = upserted(o.where("k % 2 = 0"), o.where("k % 3 = 0").withColumn("v", -F.col("v")), ["k"])
-    return seeded(merged, o.withColumn("v", F.lit(0).cast("long")), ["k"])
+    o = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    pairs = lambda rows, v: rows.select(F.col("o_orderkey").alias("k"), v.cast("long").alias("v"))
+    merged = upserted(pairs(o.where("o_orderstatus <> 'P'"), F.col("o_custkey")), pairs(o.where("o_orderpriority < '3'"), -F.col("o_custkey")), ["k"])
+    return seeded(merged, pairs(o, F.lit(0)), ["k"])
 
 
-@query()
+@query(
+    f"""
+with {_INVOICES},
+i as (select customer, date_trunc('month', day) as m, invoice as a, amount as x from inv),
+g as (select customer, date_trunc('month', paid_day) as m, sum(paid) as goal, min(debit) as target from deb group by customer, date_trunc('month', paid_day), paid_day),
+c as (
+  select g.customer, g.m, target, abs(goal - p.x) as off, 1 as n, [p.a] as ids from g join i p using (customer, m) where abs(goal - p.x) <= 2
+  union all select g.customer, g.m, target, abs(goal - p.x - q.x), 2, [p.a, q.a] from g join i p using (customer, m) join i q using (customer, m) where p.a < q.a and abs(goal - p.x - q.x) <= 2
+  union all select g.customer, g.m, target, abs(goal - p.x - q.x - r.x), 3, [p.a, q.a, r.a] from g join i p using (customer, m) join i q using (customer, m) join i r using (customer, m) where p.a < q.a and q.a < r.a and abs(goal - p.x - q.x - r.x) <= 2),
+b as (select customer, m, target, min(struct_pack(off := off, n := n, ids := ids)) as best from c group by all)
+select customer, cast(m as date) as month, target, array_to_string(best.ids, ',') as members, cast(best.off as double) as off from b"""
+)
 def subset_sum_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each customer's day, the up to three invoices of the same customer and month that add up to what was paid that day."""
     inv = invoices(spark, sf_dir).withColumn("month", F.trunc("day", "MM"))
     goals = debits(spark, sf_dir).groupBy("customer", F.trunc("paid_day", "MM").alias("month"), "paid_day").agg(F.sum("paid").alias("goal"), F.min("debit").alias("debit"))
     out = matching.subset_sums(inv, goals, ["customer", "month"], "invoice", "amount", "debit", "goal", 2.0)
-    return out.select("customer", "month", "target", "members", F.col("off").cast("double").alias("off"))
+    return out.select("customer", "month", "target", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"), F.col("off").cast("double").alias("off"))
 
 
 @query(

@@ -101,8 +101,8 @@ def declared_period_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-with old as (select o_custkey as k, cast(o_orderdate as date) as d, cast(o_totalprice as decimal(18,2)) as x from orders where o_orderkey % 3 <> 0),
-new as (select distinct o_custkey as k, cast(o_orderdate as date) as d, cast(o_totalprice as decimal(18,2)) as x from orders where o_orderkey % 2 = 0),
+with old as (select o_custkey as k, cast(o_orderdate as date) as d, cast(o_totalprice as decimal(18,2)) as x from orders where o_orderstatus <> 'P'),
+new as (select distinct o_custkey as k, cast(o_orderdate as date) as d, cast(o_totalprice as decimal(18,2)) as x from orders where o_orderpriority < '3'),
 s as (select k, date_trunc('month', d) as m, sum(x) as s from old group by all)
 select k, d, cast(x as double) as x from old
 union all select k, d, cast(x as double) from new left join s using (k) where false
@@ -111,9 +111,9 @@ union all select n.k, n.d, cast(n.x as double) from new n left join s on s.k = n
 )
 def incremental_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second extract of the orders merged into the first without repeats."""
-    o = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
-    rows = o.select("o_orderkey", F.col("o_custkey").alias("k"), F.col("o_orderdate").cast("date").alias("d"), F.col("o_totalprice").cast(MONEY).alias("x"))
-    out = periods.merged(rows.where("o_orderkey % 3 <> 0").drop("o_orderkey"), rows.where("o_orderkey % 2 = 0").drop("o_orderkey"), ["k"], "d", "x")
+    o = read(spark, sf_dir, "orders", "o_orderstatus", "o_orderpriority", "o_custkey", "o_orderdate", "o_totalprice")
+    rows = o.select("o_orderstatus", "o_orderpriority", F.col("o_custkey").alias("k"), F.col("o_orderdate").cast("date").alias("d"), F.col("o_totalprice").cast(MONEY).alias("x"))
+    out = periods.merged(rows.where("o_orderstatus <> 'P'").select("k", "d", "x"), rows.where("o_orderpriority < '3'").select("k", "d", "x"), ["k"], "d", "x")
     return out.select("k", "d", F.col("x").cast("double").alias("x"))
 
 
