@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .bytetext import Texts, Words, hashed, mixed, rolling, spans
 from .common import cut, table
-from .pages import PAGE_BYTES, answered, asked, blocks, bucket_count, bucket_of, in_two, paged, texts_of, with_answers
+from .pages import PAGE_BYTES, answered, asked, blocks, bucket_count, bucket_of, in_two, paged, restored, squeezed, texts_of, with_answers
 
 WINDOW = 35
 GRAM = 8
@@ -70,17 +70,17 @@ class PageWindows:
 
 def _windows_of(blocks: list[list[bytes]]) -> list[bytes]:
     """For each block of prefixes (and how many windows each has) the windows of all blocks; 0 for a prefix of one block only."""
-    keys, counts = [np.frombuffer(b, np.uint64) for b in blocks[0]], [np.frombuffer(b, np.uint32) for b in blocks[1]]
+    keys, counts = [np.frombuffer(b, np.uint64) for b in blocks[0]], [restored(b, np.uint32) for b in blocks[1]]
     distinct, which, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
     total = np.bincount(which, np.concatenate(counts), len(distinct))
     told = np.where(times > 1, np.minimum(total, 0xFFFFFFFF), 0).astype(np.uint32)[which]
-    return [x.tobytes() for x in np.split(told, np.cumsum([len(k) for k in keys])[:-1])]
+    return [squeezed(x) for x in np.split(told, np.cumsum([len(k) for k in keys])[:-1])]
 
 
 def _shared(prefixes: np.ndarray, row: dict) -> np.ndarray:
     """How many windows each prefix has if other pages have it too, else 0: the answers to step 1."""
     found = row["prefix_answers"].as_py()
-    return np.frombuffer(b"".join(found), np.uint32) if found else np.zeros(len(prefixes), np.uint32)
+    return np.concatenate([restored(x, np.uint32) for x in found]) if found else np.zeros(len(prefixes), np.uint32)
 
 
 def _asked_windows(page: PageWindows, row: dict, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,8 +103,8 @@ def repeats(docs: DataFrame, row: Column, text: str = "text", window: int = WIND
     def ask_prefixes(row: dict) -> Iterator[tuple[int, list[bytes]]]:
         page = PageWindows(texts_of(row["texts"].as_py()), window, gram)
         counts = np.bincount(page.prefix, minlength=len(page.prefixes)).astype(np.uint32)
-        for b, _a, _b, data in blocks(bucket_of(page.prefixes, buckets), page.prefixes, counts):
-            yield b, data
+        for b, x, y, _ in blocks(bucket_of(page.prefixes, buckets)):
+            yield b, [page.prefixes[x:y].tobytes(), squeezed(counts[x:y])]
 
     def ask_windows(row: dict) -> Iterator[tuple[int, list[bytes]]]:
         bucket, key, _ = _asked_windows(PageWindows(texts_of(row["texts"].as_py()), window, gram), row, buckets)
