@@ -8,9 +8,10 @@ to ``MAX_EPOCHS`` times. All copies are then range-sorted by finish time and cut
 at the total budget, so every prefix of the mix has the sources in proportion.
 
 Nothing is done per source in one task: a queue, in the order of a seeded md5 of
-id and text, is split into 256 cells by the first byte of the hash, and places in it are cell totals plus running sums within cells. The cut
-is found from the totals of ``SLICES`` slices of virtual time and a running sum
-within the one slice where the budget ends; the mix itself is dealt by range.
+id and text, is split into 4,096 cells by the first digits of the hash, and places
+in it are cell totals plus running sums within cells. The cut is found from the
+totals of ``SLICES`` slices of virtual time and a running sum within the one
+slice where the budget ends; the mix itself is dealt by range.
 
 Targets share the budget by weight; no source gets more than ``MAX_EPOCHS``
 times its size, what is over goes to the others by weight until none is above.
@@ -32,6 +33,8 @@ from .common import cut, table, word_count
 
 MAX_EPOCHS = 3
 SEED = 17
+#: Hexadecimal digits of the hash that name a cell of a queue.
+CELL_DIGITS = 3
 SLICES = 8192
 
 
@@ -61,7 +64,7 @@ def with_targets(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
 def queued(docs: DataFrame, seed: int) -> DataFrame:
     """Add ``_end``: the words of the same source up to and with this row, in the shuffled order."""
     seeded = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("_key").cast("string"), F.lit("")), F.lit("|"), F.col("_tie"))
-    rows = docs.withColumn("_order", F.md5(seeded.cast("binary"))).withColumn("_cell", F.left("_order", F.lit(2)))
+    rows = docs.withColumn("_order", F.md5(seeded.cast("binary"))).withColumn("_cell", F.left("_order", F.lit(CELL_DIGITS)))
     cells = rows.groupBy("_name", "_cell").agg(F.sum("_size").alias("_sum"))
     before = F.coalesce(F.sum("_sum").over(Window.partitionBy("_name").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cells = cells.select("_name", "_cell", before.alias("_before"))
