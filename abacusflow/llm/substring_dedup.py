@@ -111,8 +111,9 @@ def repeats(docs: DataFrame, row: Column, text: str = "text", window: int = WIND
         for b, _a, _b, data in blocks(bucket, key):
             yield b, data
 
-    shared = answered(asked(pages, ask_prefixes, 2), lambda _, parts: _windows_of(parts), 2)
-    known = cut(with_answers(pages, shared, "prefix_answers"))
+    # the answers are written, not the pages with them: they are a small part of the pages
+    shared = cut(answered(asked(pages, ask_prefixes, 2), lambda _, parts: _windows_of(parts), 2))
+    known = with_answers(pages, shared, "prefix_answers")
     nodes = answered(asked(known, ask_windows), lambda _, parts: in_two(parts[0]))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
