@@ -15,7 +15,8 @@ the template's, and reading back is exact. The loss mask is a list of spans
 Defined cases: null texts and roles are empty; turns that tie are ordered by role
 and text; a conversation without turns formats to ""; repeated rows are repeated
 turns; an empty table gives no rows; other columns may have any name. A
-conversation is one record: its turns are gathered in one row.
+conversation is one record: its turns are gathered in one row. Records from 20 MB
+on, which the variant reader may refuse, are fingerprinted by their skeleton.
 """
 
 from __future__ import annotations
@@ -31,12 +32,22 @@ _TURN = "array<struct<role string, text string>>"
 #: Scalar types in the text of a variant's schema.
 _SCALAR = r": (STRING|VOID|BOOLEAN|BIGINT|DOUBLE|DECIMAL\(\d+,\d+\)|DECIMAL|DATE|TIMESTAMP|TIMESTAMP_NTZ|FLOAT|BINARY|VARIANT|UUID)\b"
 
+#: Bytes below which no string of a record passes the JSON reader's 20,000,000 characters, and no record a variant's 128 MiB.
+_SAFE = 20_000_000
+_LONG = {"maxStringLen": str(2**31 - 1)}
+
+#: The inside of a valid JSON string, without backtracking; a field's name with its colon, or the opening quote of a value.
+_INSIDE = r'(?:[^"\\\x00-\x1F]++|\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4}))*+"'
+_STRING = rf'("{_INSIDE}\s*+:)|("){_INSIDE}'
+#: Equal flat objects in a row.
+_REPEATED = r"(\{[^{}\[\]]*+\})(?:\s*+,\s*+\1)++"
+
 
 def _list(field: str, role: str, text: str):
     """Turns from a list of objects."""
 
     def mapping(record: Column) -> Column:
-        rows = F.from_json(record, f"`{field}` array<struct<`{role}` string, `{text}` string>>")[field]
+        rows = F.from_json(record, f"`{field}` array<struct<`{role}` string, `{text}` string>>", _LONG)[field]
         return F.transform(rows, lambda x: F.struct(x[role].alias("role"), x[text].alias("text")))
 
     return mapping
@@ -47,8 +58,10 @@ def _fields(*pairs: tuple[str, tuple[str, ...]]):
 
     def mapping(record: Column) -> Column:
         turns = []
+        read = F.from_json(record, ", ".join(f"`{f}` string" for _, fields in pairs for f in fields), _LONG)
         for role, fields in pairs:
-            parts = F.filter(F.array(*[F.get_json_object(record, f"$.{f}") for f in fields]), lambda x: x.isNotNull() & (x != ""))
+            told = [F.when(F.octet_length(record) < _SAFE, F.get_json_object(record, f"$.{f}")).otherwise(read[f]) for f in fields]
+            parts = F.filter(F.array(*told), lambda x: x.isNotNull() & (x != ""))
             turns.append(F.struct(F.lit(role).alias("role"), F.when(F.size(parts) > 0, F.array_join(parts, "\n")).alias("text")))
         return F.filter(F.array(*turns), lambda x: x["text"].isNotNull())
 
@@ -68,9 +81,16 @@ LAYOUTS = {
 }
 
 
+def skeleton(record: Column) -> Column:
+    """A JSON record with the same field paths: its texts emptied, equal neighbours told once. Invalid strings stay and keep it invalid."""
+    return F.regexp_replace(F.regexp_replace(record, _STRING, "$1$2$2"), _REPEATED, "$1")
+
+
 def fingerprint(record: Column) -> Column:
-    """A hash of the nested field paths of a JSON record; null if it is not JSON."""
-    return F.xxhash64(F.regexp_replace(F.schema_of_variant(F.try_parse_json(record)), _SCALAR, ""))
+    """A hash of the nested field paths of a JSON record, of any length; null if it is not JSON."""
+    short = F.when(F.octet_length(record) < _SAFE, record).otherwise(skeleton(record))
+    schema = F.schema_of_variant(F.try_parse_json(short))
+    return F.when(schema.isNotNull(), F.xxhash64(F.regexp_replace(schema, _SCALAR, "")))
 
 
 def canonical(records: DataFrame, record: str = "record") -> DataFrame:
@@ -78,7 +98,7 @@ def canonical(records: DataFrame, record: str = "record") -> DataFrame:
     spark = records.sparkSession
     names = list(LAYOUTS)
     known = spark.range(1).select(*[fingerprint(F.lit(LAYOUTS[n][0])).alias(n) for n in names]).first()
-    rows = records.withColumn("_print", F.when(F.try_parse_json(record).isNotNull(), fingerprint(F.col(record))))
+    rows = records.withColumn("_print", fingerprint(F.col(record)))
     layout = F.coalesce(*[F.when(F.col("_print") == known[n], n) for n in names])
     turns = F.coalesce(*[F.when(F.col("_print") == known[n], LAYOUTS[n][1](F.col(record))) for n in names])
     clean = F.transform(turns, lambda x: F.struct(F.coalesce(x["role"], F.lit("")).alias("role"), F.coalesce(x["text"], F.lit("")).alias("text")))

@@ -73,6 +73,33 @@ def test_odd_tables(spark):
     assert C.formatted(spark.createDataFrame([(1, [])], "k int, turns array<struct<role string, text string>>")).first()["formatted"] == ""
 
 
+def test_a_long_text_is_read_back(spark):
+    text = F.repeat(F.lit('a"\\\n{,'), 3_600_000)
+    rows = spark.range(1).select(F.lit(1).alias("conv_id"), F.lit(0).alias("turn"), F.lit("assistant").alias("role"), text.alias("text"))
+    done = C.formatted(C.canonical(C.from_rows(rows))).select("layout", F.size("turns"), F.md5(C.loss_text(F.col("formatted"), F.col("loss_mask")).cast("binary")))
+    assert tuple(done.first()) == ("turns", 1, hashlib.md5(('a"\\\n{,' * 3_600_000).encode()).hexdigest())
+
+
+def test_many_long_turns_keep_their_fingerprint(spark):
+    turn = F.concat(F.lit('{"role":"user","text":"'), F.repeat(F.lit("b"), 10_000_000), F.lit('"},'))
+    record = F.concat(F.lit('{"turns":['), F.repeat(turn, 14), F.lit('{"role":"","text":""}]}'))
+    row = spark.range(1).select(record.alias("r")).select(C.fingerprint(F.col("r")), C.fingerprint(F.lit(C.LAYOUTS["turns"][0]))).first()
+    assert row[0] == row[1] is not None
+
+
+def test_every_layout_may_be_long(spark):
+    b = F.repeat(F.lit("b"), 21_000_000)
+    for head, tail, layout in (('{"prompt": "p\\"}", "completion": "', '"}', "prompt"), ('{"messages": [{"role": "user", "content": "', '"}]}', "messages"), ('{"other": "', '"}', None), ('{"prompt": "\\q", "completion": "', '"}', None), ("", "", None)):
+        row = C.canonical(spark.range(1).select(F.concat(F.lit(head), b, F.lit(tail)).alias("record"))).select("layout", F.length(F.element_at("turns", -1)["text"])).first()
+        assert tuple(row) == (layout, layout and 21_000_000)
+
+
+def test_skeletons_keep_fingerprints(spark):
+    records = [*(x[0] for x in C.LAYOUTS.values()), json.dumps({"turns": [{"role": "a\"}", "text": "x: {\\"}] * 3}), '{"a\\"b" : ["x", {"c": "\\u00e9"}, 1.5, null]}', '{"a": "\\q"}', '{"a": "', '{"a": "b"} x', '"s"', "[]"]
+    for r in spark.createDataFrame([(x,) for x in records], "r string").select("r", C.fingerprint(F.col("r")).alias("p"), C.fingerprint(C.skeleton(F.col("r"))).alias("q")).collect():
+        assert r["p"] == r["q"], r["r"]
+
+
 def test_only_native_operations(spark, folder):
     plan = C.op5_chat_format(spark, folder)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
