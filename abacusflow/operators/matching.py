@@ -78,29 +78,65 @@ def staged(left: DataFrame, right: DataFrame, left_id: str, right_id: str, passe
     return out
 
 
-def subset_sums(items: DataFrame, targets: DataFrame, keys: list[str], item: str, amount: str, target: str, goal: str, tolerance: float, most: int = 3) -> DataFrame:
-    """(keys, target, members): the sets of up to ``most`` (1 to 3) items of a key whose amounts add up to a target; the closest, then the smallest set, then the least ids.
+def _blocked(items: DataFrame, keys: list[str], item: str, grain: int) -> tuple[DataFrame, DataFrame]:
+    """Items with a block of about ``grain`` items of their key, and (keys, _block): every block of every key."""
+    counts = items.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / grain).cast("int").alias("_blocks"))
+    blocks = counts.select(*keys, F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"))
+    return items.join(counts, keys).withColumn("_block", F.pmod(F.xxhash64(item), F.col("_blocks")).cast("int")).drop("_blocks"), blocks
 
-    Two items are joined by amount bands against what the target still lacks,
-    never all pairs of a key.
+
+def subset_sums(items: DataFrame, targets: DataFrame, keys: list[str], item: str, amount: str, target: str, goal: str, tolerance: float, most: int = 3, grain: int = 256) -> DataFrame:
+    """(keys, target, members): the sets of up to ``most`` (1 to 4) items of a key whose amounts, of any sign, add up to a target; the closest, then the smallest set, then the least ids.
+
+    All items of a key are tried. What a target still lacks after its first item
+    meets single items and sums of two by amount bands, for four after its first
+    two. The sums of two are all pairs of a key, made once and not per target; a
+    key is dealt in blocks of ``grain`` items. Larger sets are only looked for
+    where smaller ones are not exact, and must be closer.
     """
-    one = items.select(*keys, F.col(item).alias("a"), F.col(amount).alias("xa"))
-    two = items.select(*keys, F.col(item).alias("b"), F.col(amount).alias("xb"))
-    three = items.select(*keys, F.col(item).alias("c"), F.col(amount).alias("xc"))
+    if not 1 <= most <= 4:
+        raise ValueError("most must be 1 to 4")
+    base, blocks = _blocked(items.select(*keys, F.col(item).alias("a"), F.col(amount).alias("xa")), keys, "a", grain)
+    base = stored(base)
+    one = base.drop("_block")
+    two = one.select(*keys, F.col("a").alias("b"), F.col("xa").alias("xb"))
     goals = targets.select(*keys, F.col(target).alias("target"), F.col(goal).alias("goal"))
-    found = [amount_band(goals, one, "goal", "xa", tolerance, keys).select(*keys, "target", F.array("a").alias("members"), F.abs(F.col("goal") - F.col("xa")).alias("off"))]
-    part = goals.join(one, keys).where(F.col("xa") <= F.col("goal") + tolerance).withColumn("rest", F.col("goal") - F.col("xa"))
+    met = ["off", "n", "members"]
+
+    def best(found: DataFrame, off: Column, members: list[str]) -> DataFrame:
+        told = F.struct(F.abs(off).alias("off"), F.lit(len(members)).alias("n"), F.array(*members).alias("members"))
+        return found.groupBy(*keys, "target").agg(F.min(told).alias("_b")).select(*keys, "target", "_b.*")
+
+    def less(done: DataFrame) -> DataFrame:
+        return done.groupBy(*keys, "target").agg(F.min(F.struct(*met)).alias("_b")).select(*keys, "target", "_b.*")
+
+    def still(done: DataFrame) -> DataFrame:
+        reached = done.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], F.col("target").alias("_t"), F.col("off").alias("_reached"))
+        same = F.col("target") == F.col("_t")
+        for n, k in enumerate(keys):
+            same = same & (F.col(k) == F.col(f"_k{n}"))
+        return goals.join(reached, same, "left").where("_reached is null or _reached > 0").select(*goals.columns, "_reached")
+
+    def first(wanted: DataFrame) -> DataFrame:
+        return wanted.join(blocks, keys).join(base, [*keys, "_block"]).drop("_block").withColumn("rest", F.col("goal") - F.col("xa"))
+
+    closer = lambda off: F.col("_reached").isNull() | (F.abs(off) < F.col("_reached"))
+    off = F.col("goal") - F.col("xa")
+    done = best(amount_band(goals, one, "goal", "xa", tolerance, keys), off, ["a"])
     if most >= 2:
-        pair = amount_band(part, two, "rest", "xb", tolerance, keys).where("a < b")
-        found.append(pair.select(*keys, "target", F.array("a", "b").alias("members"), F.abs(F.col("rest") - F.col("xb")).alias("off")))
+        off = F.col("rest") - F.col("xb")
+        done = stored(less(done.unionByName(best(amount_band(first(goals), two, "rest", "xb", tolerance, keys).where("a < b"), off, ["a", "b"]))))
     if most >= 3:
-        more = part.join(two, keys).where((F.col("a") < F.col("b")) & (F.col("xb") <= F.col("rest") + tolerance)).withColumn("last", F.col("rest") - F.col("xb"))
-        trio = amount_band(more, three, "last", "xc", tolerance, keys).where("b < c")
-        found.append(trio.select(*keys, "target", F.array("a", "b", "c").alias("members"), F.abs(F.col("last") - F.col("xc")).alias("off")))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.groupBy(*keys, "target").agg(F.min(F.struct("off", F.size("members").alias("n"), "members")).alias("_b")).select(*keys, "target", "_b.members", "_b.off")
+        pairs = base.join(two.join(blocks, keys), [*keys, "_block"]).where("a < b").withColumn("sum", F.col("xa") + F.col("xb"))
+        last = pairs.select(*keys, F.col("a").alias("c"), F.col("b").alias("d"), F.col("sum").alias("xcd"))
+        off = F.col("rest") - F.col("xcd")
+        trio = amount_band(first(still(done)), last, "rest", "xcd", tolerance, keys).where(F.expr("a < c") & closer(off))
+        done = stored(less(done.unionByName(best(trio, off, ["a", "c", "d"]))))
+    if most >= 4:
+        half = still(done).join(blocks, keys).join(pairs, [*keys, "_block"]).withColumn("rest", F.col("goal") - F.col("sum")).select(*keys, "target", "_reached", "a", "b", "rest")
+        four = amount_band(half, last, "rest", "xcd", tolerance, keys).where(F.expr("b < c") & closer(off))
+        done = less(done.unionByName(best(four, off, ["a", "b", "c", "d"])))
+    return done.select(*keys, "target", "members", "off")
 
 
 def shared_words(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_name: Column, right_name: Column, least: int = 2, longer_than: int = 3) -> DataFrame:

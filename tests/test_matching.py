@@ -50,6 +50,22 @@ def test_subset_sums_equal_brute_force(spark):
     assert {q["target"]: (q["off"], q["members"]) for q in found} == wanted
 
 
+def test_subset_sums_with_credit_notes_and_four(spark):
+    r = random.Random(6)
+    items = [(g, k, D(r.randint(-2000, 4000)) / 100) for g in "gh" for k in range(13)] + [("i", 1, D(10)), ("i", 2, D(-3)), ("j", 1, D(-3)), ("j", 2, D(-2)), ("j", 3, D(4))]
+    goals = [(g, t, D(r.randint(-3000, 9000)) / 100) for g in "gh" for t in range(8)] + [("i", 8, D(7)), ("j", 9, D(-1)), ("k", 10, D(1))]
+    frames = spark.createDataFrame(items, "g string, i int, x decimal(18,2)"), spark.createDataFrame(goals, "g string, t int, y decimal(18,2)")
+    for most, grain in ((1, 256), (2, 4), (3, 4), (4, 5)):
+        wanted = {}
+        for g, t, goal in goals:
+            own = [x for x in items if x[0] == g]
+            sets = [(abs(goal - sum(x[2] for x in c)), n, [x[1] for x in c]) for n in range(1, most + 1) for c in itertools.combinations(own, n)]
+            if sets and min(sets)[0] <= D("0.5"):
+                wanted[g, t] = min(sets)[0], min(sets)[2]
+        found = matching.subset_sums(*frames, ["g"], "i", "x", "t", "y", 0.5, most, grain).collect()
+        assert {(q["g"], q["target"]): (q["off"], q["members"]) for q in found} == wanted
+
+
 def test_staged_passes_use_leftovers(spark):
     left = spark.createDataFrame([(1, 5), (2, 5), (3, 9)], "a int, x int")
     right = spark.createDataFrame([(10, 5), (11, 6), (12, 50)], "b int, y int")
