@@ -2,35 +2,104 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .matching import stored
+
+_STATE = ["_units", "_whole", "_part"]
 
-_STATE = "struct<units:decimal(18,2),rate:decimal(28,10)>"
-_ROW = "struct<at:{at},units:decimal(18,2),rate:decimal(28,10),result:decimal(18,2)>"
 
+def _folded(moves: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """(keys, order, state, _result, _n) after each movement; rows without ``_own`` are the states that keys begin with.
+
+    A key's movements come sorted and are passed one by one, so a task holds a batch and one state.
+    """
+    told = [*keys, *order]
+    kinds = T.StructType([*[moves.schema[c] for c in told], *[T.StructField(c, T.LongType()) for c in (*_STATE, "_result", "_n")]])
+
+    def half_up(n: int, d: int) -> int:
+        q = (2 * abs(n) + d) // (2 * d)
+        return q if n >= 0 else -q
 
-def average_cost(rows: DataFrame, keys: list[str], order: list[str], amount: str, rate: str, is_entry: str) -> DataFrame:
+    def fold(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        last, units, rate, n = None, 0, 0, 0
+        for batch in batches:
+            column = lambda c: batch.column(c).to_pylist()  # noqa: B023, E731
+            out: list[list] = [[], [], [], [], []]
+            for key, own, m, r, entry, u, whole, part in zip(zip(*map(column, keys)), *map(column, ("_own", "_m", "_r", "_in", *_STATE))):
+                if key != last:
+                    last, units, rate, n = key, 0, 0, 0
+                if not own:
+                    units, rate = u, None if whole is None else whole * 10**10 + part
+                    continue
+                result = 0
+                if entry:
+                    new = None if r is None else r * 10**4
+                    if new is not None and units > 0 and rate is not None and rate > 0:
+                        new = half_up(units * rate + m * new, units + m)
+                    units, rate = units + m, new
+                else:
+                    result = None if r is None or rate is None else half_up(m * (r * 10**4 - rate), 10**10)
+                    units -= m
+                n += 1
+                for values, x in zip(out, (units, *((None, None) if rate is None else divmod(rate, 10**10)), result, n)):
+                    values.append(x)
+            kept = pa.Table.from_batches([batch.select(told)]).filter(pc.equal(batch.column("_own"), 1))
+            for name, values in zip((*_STATE, "_result", "_n"), out):
+                kept = kept.append_column(name, pa.array(values, pa.int64()))
+            yield from kept.to_batches()
+
+    dealt = moves.repartition(*keys) if keys else moves.coalesce(1)
+    return dealt.sortWithinPartitions(*keys, "_own", *order, "_m", "_r", "_in").mapInArrow(fold, kinds)
+
+
+def average_cost(rows: DataFrame, keys: list[str], order: list[str], amount: str, rate: str, is_entry: str, cell: str | None = None, grain: int = 1_000_000) -> DataFrame:
     """(keys, order, units, rate, result) after each movement.
 
     An entry moves the position's rate to the average by amount (its own rate if
     nothing is there); an exit leaves the rate and books amount times the
-    difference of rates. Units are rounded at each step and may become negative;
-    movements of no positive amount are skipped. Every step needs the one before,
-    so a position is one fold; a key is one pocket of one holder.
+    difference of rates. Units are rounded at each step, rates to ten decimals,
+    and units may become negative; movements of no positive amount are skipped.
+
+    Every step needs the one before, so a key's movements pass one after another,
+    whatever the number of machines: never as one row, but sorted, a batch at a
+    time. ``cell`` (such as the month, never falling in the order): keys of more
+    than ``grain`` movements are folded cell by cell, and a written table carries
+    one row of state per key from cell to cell.
     """
-    move = F.struct(*order, F.col(amount).cast("decimal(18,2)").alias("_m"), F.col(rate).cast("decimal(18,6)").alias("_r"), F.col(is_entry).alias("_in"))
-    packed = rows.where(F.col(amount) > 0).groupBy(*keys).agg(F.sort_array(F.collect_list(move)).alias("_moves"))
-    at = "struct<" + ",".join(f"{c}:{rows.schema[c].dataType.simpleString()}" for c in order) + ">"
-    row = _ROW.format(at=at)
-    start = F.struct(F.lit(0).cast("decimal(18,2)").alias("units"), F.lit(0).cast("decimal(28,10)").alias("rate"), F.array().cast(f"array<{row}>").alias("rows"))
-
-    def step(s, x):
-        units = F.when(x["_in"], s["units"] + x["_m"]).otherwise(s["units"] - x["_m"]).cast("decimal(18,2)")
-        mixed = ((s["units"] * s["rate"] + x["_m"] * x["_r"]).cast("decimal(38,10)") / (s["units"] + x["_m"]).cast("decimal(18,2)")).cast("decimal(28,10)")
-        new = F.when(~x["_in"], s["rate"]).when((s["units"] > 0) & (s["rate"] > 0), mixed).otherwise(x["_r"].cast("decimal(28,10)")).cast("decimal(28,10)")
-        result = F.when(x["_in"], F.lit(0)).otherwise(F.round(x["_m"] * (x["_r"] - s["rate"]), 2)).cast("decimal(18,2)")
-        told = F.struct(F.struct(*[x[c].alias(c) for c in order]).alias("at"), units.alias("units"), new.alias("rate"), result.alias("result")).cast(row)
-        return F.struct(units.alias("units"), new.alias("rate"), F.array_append(s["rows"], told).alias("rows"))
-
-    folded = packed.select(*keys, F.inline(F.aggregate("_moves", start, step, lambda s: s["rows"])))
-    return folded.select(*keys, "at.*", "units", F.round("rate", 6).cast("decimal(18,6)").alias("rate"), "result")
+    moves = rows.where(F.col(amount) > 0).select(
+        *keys,
+        *order,
+        *([F.col(cell).alias("_cell")] if cell else []),
+        F.lit(1).alias("_own"),
+        (F.col(amount).cast("decimal(18,2)") * 100).cast("long").alias("_m"),
+        (F.col(rate).cast("decimal(18,6)") * 1_000_000).cast("long").alias("_r"),
+        F.coalesce(F.col(is_entry), F.lit(False)).alias("_in"),
+        *[F.lit(None).cast("long").alias(c) for c in _STATE],
+    )
+    long = stored(moves.groupBy(*keys).count().where(F.col("count") > grain).select(*keys)) if cell and keys else None
+    if long is None or long.isEmpty():
+        out = _folded(moves.drop("_cell"), keys, order)
+    else:
+        out = _folded(moves.join(long, keys, "left_anti").drop("_cell"), keys, order)
+        parts = stored(moves.join(long, keys, "left_semi"))
+        state = None
+        for (value,) in parts.select("_cell").distinct().orderBy("_cell").collect():
+            part = parts.where(F.col("_cell").eqNullSafe(F.lit(value))).drop("_cell")
+            if state is not None:
+                part = part.unionByName(state.withColumn("_own", F.lit(0)), allowMissingColumns=True)
+            done = stored(_folded(part, keys, order))
+            out = out.unionByName(done)
+            new = done.groupBy(*keys).agg(F.max_by(F.struct(*_STATE), "_n").alias("_s")).select(*keys, "_s.*")
+            state = stored(new if state is None else new.unionByName(state.join(new, keys, "left_anti")))
+    cents = lambda c: (F.col(c).cast("decimal(19,0)") * F.lit(Decimal("0.01"))).cast("decimal(18,2)")
+    exact = F.col("_whole").cast("decimal(18,0)") + F.col("_part").cast("decimal(10,0)") * F.lit(Decimal("0.0000000001"))
+    return out.select(*keys, *order, cents("_units").alias("units"), F.round(exact, 6).cast("decimal(18,6)").alias("rate"), cents("_result").alias("result"))

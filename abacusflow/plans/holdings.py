@@ -54,8 +54,8 @@ def fifo_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def average_cost_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The position of every account at moving average cost, after each movement."""
-    rows = lot_events(spark, sf_dir).select("account", *ORDER, (F.col("entry") + F.col("exit")).cast(MONEY).alias("amount"), (F.col("cost") * 100).cast("decimal(18,6)").alias("rate"), (F.col("entry") > 0).alias("is_entry"))
-    out = currency.average_cost(rows, ["account"], ORDER, "amount", "rate", "is_entry")
+    rows = lot_events(spark, sf_dir).select("account", "month", *ORDER, (F.col("entry") + F.col("exit")).cast(MONEY).alias("amount"), (F.col("cost") * 100).cast("decimal(18,6)").alias("rate"), (F.col("entry") > 0).alias("is_entry"))
+    out = currency.average_cost(rows, ["account"], ORDER, "amount", "rate", "is_entry", "month")
     return out.select("account", "event_id", *[F.col(c).cast("double").alias(c) for c in ("units", "rate", "result")])
 
 

@@ -70,6 +70,29 @@ def test_average_cost_equals_a_loop(spark):
         assert got[k, j][0] == units[k] and abs(got[k, j][1] - rate[k]) <= D("0.000001") and got[k, j][2] == result
 
 
+def test_average_cost_is_carried_over_cells(spark):
+    r = random.Random(3)
+    rows = [(k, j // 13, j, D(r.randint(1, 999)) / 100, D(r.randint(800, 1200)) + D(r.randint(0, 999999)) / 10**6, r.random() < 0.6) for k, n in (("a", 90), ("b", 8), ("c", 40)) for j in range(n) if not (k == "a" and j // 13 == 2)] + [("c", 6, 80, D(1), D(900), False)]
+    df = spark.createDataFrame(rows, "k string, c int, j int, m decimal(18,2), t decimal(18,6), i boolean").repartition(3)
+    round_ = lambda x, n: x.quantize(D(1).scaleb(-n), ROUND_HALF_UP)
+    units, rate, wanted = defaultdict(D), defaultdict(D), {}
+    for k, _, j, m, t, entry in rows:
+        if entry:
+            rate[k] = round_((units[k] * rate[k] + m * t) / (units[k] + m), 10) if units[k] > 0 and rate[k] > 0 else t
+        units[k] += m if entry else -m
+        wanted[k, j] = units[k], round_(rate[k], 6), D(0) if entry else round_(m * (t - rate[k]), 2)
+    for cell, grain in ((None, 1), ("c", 1), ("c", 20), ("c", 1000)):
+        found = currency.average_cost(df, ["k"], ["j"], "m", "t", "i", cell, grain).collect()
+        assert len(found) == len(wanted) and {(x["k"], x["j"]): (x["units"], x["rate"], x["result"]) for x in found} == wanted
+
+
+def test_average_cost_never_gathers_a_key(spark):
+    df = spark.range(100_000).selectExpr("1 as k", "id as j", "1.00 as m", "10.000000 as t", "id % 3 < 2 as i")
+    out = currency.average_cost(df, ["k"], ["j"], "m", "t", "i")
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    assert tuple(out.agg(F.count("*"), F.max_by("units", "j"), F.max("rate"), F.sum("result")).first()) == (100_000, D("33334.00"), D(10), D(0))
+
+
 def test_french_loan_by_hand(spark):
     row = spark.createDataFrame([(1, D("100000.00"), 12, 0.60, date(2024, 1, 31)), (2, D("1000.00"), 3, 0.0, date(2024, 1, 1)), (3, D("5.00"), 0, 0.1, date(2024, 1, 1))], "k int, c decimal(18,2), n int, r double, s date")
     found = loans.french(row, ["k"], "c", "n", "r", "s").orderBy("k", "n").collect()
