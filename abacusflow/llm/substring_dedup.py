@@ -1,10 +1,11 @@
-r"""Substring dedup: repeated word passages by prefix-partitioned suffix trees.
+r"""Substring dedup: repeated word passages by counting windows in prefix groups.
 
 Removed is each word inside a window of ``WINDOW`` words that also starts
 anywhere else in the corpus. The suffixes are those that start at anchors: in
 every window the least of its ``GRAM``-word grams (by hash) is its anchor, so two
 equal windows have their anchor at the same place, and one suffix in fourteen
-stands for all (a sparse suffix tree).
+stands for all. No suffix tree is built: a suffix is its windows' hashes, and
+repeats of other lengths or their other places are not known.
 
 1. An anchor's gram is the prefix that suffixes are parted by. Pages ask which
    of their prefixes are in other pages too, and how many windows these have; a prefix in one page only has no
@@ -12,9 +13,9 @@ stands for all (a sparse suffix tree).
 2. For each shared prefix, pages hand in the windows around its anchors. Prefixes
    with many windows are parted by more words, the whole window, so that groups
    stay of memory size (variable-length prefixes). In a group, the windows that more
-   than one page has are the internal nodes of window depth or deeper.
+   than one page has are found by counting hashes.
 3. A page merges its windows that are repeated in itself or elsewhere; runs of
-   them are the maximal repeats.
+   them are what is removed.
 
 Words and windows are compared by 64-bit hashes, a window always together with
 its anchor's gram. Words are ``[^\x20\x09-\x0D]+``, unchanged.
