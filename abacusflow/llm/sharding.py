@@ -2,8 +2,10 @@
 
 Records are hashed into thousands of virtual slots, once and for all; bytes are
 added up per slot, and a small map says which shard owns each slot. The map is
-versioned: balancing writes a new version that moves as few slots as it can,
-and records never need to be hashed again. The driver handles the map and the
+versioned and stored: balancing adds a version that moves as few slots as it can
+to the stored map, and records never need to be hashed again. The Spark setting
+``spark.abacusflow.shardMap`` names the map's folder, for runs that edit the map
+of an earlier one; else a run starts a map in the shared folder. The driver handles the map and the
 per-slot totals (as many rows as there are slots, a parameter), never records.
 
 The law that shards keep is `bytes`: their sizes are near equal. A slot is the
@@ -18,12 +20,13 @@ Input columns named like a result column are replaced.
 from __future__ import annotations
 
 import heapq
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import shared_folder, table
 
 SLOTS = 4096
 SHARDS = 16
@@ -83,22 +86,45 @@ def read_map(stored: DataFrame) -> list[dict]:
     return list(out.values())
 
 
+def map_folder(spark: SparkSession) -> str:
+    """Where the map is: the folder that ``spark.abacusflow.shardMap`` names, else a new one in the shared folder."""
+    return spark.conf.get("spark.abacusflow.shardMap", None) or f"{shared_folder(spark)}/shard-map-{uuid.uuid4().hex}"
+
+
+def stored_map(spark: SparkSession, maps: str) -> list[dict]:
+    """The versions in a map's folder; none if there is no such folder yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(maps)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return []
+    return read_map(spark.read.schema("version int, shards int, virtual_slot int, shard int").parquet(maps))
+
+
 def slot_load(slotted: DataFrame) -> dict[int, tuple[int, int]]:
     """slot -> (rows, bytes): one small row per slot reaches the driver."""
     return {r[0]: (r[1], r[2]) for r in slotted.groupBy("virtual_slot").agg(F.count(F.lit(1)), F.sum("size")).collect()}
 
 
-def sharded(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, slots: int = SLOTS, versions: list[dict] | None = None) -> DataFrame:
+def sharded(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, slots: int = SLOTS, versions: list[dict] | None = None, maps: str | None = None) -> DataFrame:
     """Add size, shard, place in the shard (``slot``, gapless from 0), virtual slot and map version to every row.
 
     A place is the rows of the shard's earlier virtual slots, from the map, plus
     the place within the virtual slot, so the sort works on thousands of even
     groups whatever the number of shards. ``versions``: an earlier map to edit.
+    ``maps``: the folder of a stored map, which is read, edited and gets the new
+    version; a version that would equal the last one is not written.
     """
+    if maps:
+        versions = stored_map(docs.sparkSession, maps)
+    if versions and len(versions[-1]["owner"]) != slots:
+        raise ValueError(f"the map has {len(versions[-1]['owner'])} slots, not {slots}")
     kept = [c for c in docs.columns if c not in RESULTS or c in (key, text)]
     slotted = docs.select(*kept, size_of(text).alias("size"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"), virtual_slot(docs, key, text, slots).alias("virtual_slot"))
     load = slot_load(slotted)
     newest = balanced(load, slots, shards, versions)[-1]
+    if maps and versions and all(newest[c] == versions[-1][c] for c in ("shards", "owner")):
+        newest = versions[-1]
+    elif maps:
+        map_table(docs.sparkSession, [newest]).coalesce(1).write.mode("append").parquet(maps)
     first: list[int] = []
     rows = dict.fromkeys(range(shards), 0)
     for s, k in enumerate(newest["owner"]):
@@ -120,4 +146,4 @@ def sharded(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: in
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard of 16, and its place there."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return sharded(docs).select("doc_id", *RESULTS)
+    return sharded(docs, maps=map_folder(spark)).select("doc_id", *RESULTS)

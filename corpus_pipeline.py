@@ -41,7 +41,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.sharded(docs)
+    return sharding.sharded(docs, maps=sharding.map_folder(spark))
 
 
 STAGES = [

@@ -43,3 +43,30 @@ def test_odd_tables(spark, docs, empty):
     clash = docs.withColumn("slot", F.lit("mine")).withColumn("shard", F.lit("mine"))
     found = S.sharded(clash)
     assert found.count() == docs.count() and dict(found.dtypes)["shard"] == "int"
+
+
+def test_the_query_stores_its_map(spark, folder, tmp_path):
+    maps = str(tmp_path / "map")
+    spark.conf.set("spark.abacusflow.shardMap", maps)
+    try:
+        found = S.op3_sharding(spark, folder).collect()
+    finally:
+        spark.conf.unset("spark.abacusflow.shardMap")
+    (one,) = S.stored_map(spark, maps)
+    assert one["version"] == 1 and all(one["owner"][r["virtual_slot"]] == r["shard"] for r in found)
+    assert S.map_folder(spark) != S.map_folder(spark)
+
+
+def test_a_later_run_edits_the_stored_map(spark, tmp_path):
+    maps = str(tmp_path / "map")
+    many = spark.range(6000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab"), (F.col("id") % 37).cast("int")).alias("text"))
+    for shards in (16, 17, 17):
+        found = S.sharded(many, shards=shards, maps=maps).collect()
+        newest = S.stored_map(spark, maps)[-1]
+        assert {r["map_version"] for r in found} == {newest["version"]}
+        assert all(newest["owner"][r["virtual_slot"]] == r["shard"] for r in found)
+    versions = S.stored_map(spark, maps)
+    assert [(v["version"], v["shards"]) for v in versions][:2] == [(1, 16), (2, 17)]
+    moved = sum(a != b for a, b in zip(versions[0]["owner"], versions[1]["owner"], strict=True))
+    # a map dealt anew would move nearly all of them
+    assert 0 < moved < S.SLOTS / 2
