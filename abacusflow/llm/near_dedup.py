@@ -22,8 +22,9 @@ hashes; with fewer words, the whole sequence as one. Words are
    that at least two members have. A task hands on a spanning forest of its
    links, at most one row per member; components are joined from these.
 
-So all candidates are confirmed or refuted, and the rows that move are linear in
-the stars' sizes, also for thousands of near copies.
+So all candidates are confirmed or refuted. The links that come out are linear in a
+star's size, but each member's text goes to all blocks of its star: n members move
+n x ceil(n / 256) texts or more, so a star of a million is out of reach.
 
 Defined cases: a null or wordless text has an empty set and is linked with
 nothing; a null id never is the smallest while others are there; repeated rows
