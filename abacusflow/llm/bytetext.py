@@ -3,10 +3,16 @@
 All separators used by the operators are ASCII, so words can be found on the
 bytes: no byte of a multi-byte character is ever a separator. Null texts count
 as empty.
+
+Hashes read a word eight bytes at a time and mix after each step, and runs of
+words are joined pairwise with mixing at each level, so that no pattern of equal
+sums (Thue-Morse words, for one) makes different words or runs alike.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,20 +22,11 @@ BLANKS = bytes([0x20, *range(0x09, 0x0E)])
 #: Separators of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`, after A-Z are lower-cased.
 NON_ALNUM = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 
-_MULT = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_MULT, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept between batches."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, np.uint64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        _powers[base] = have
-    return have[:n]
+_MULT, _FEED = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Which bytes of a step of eight belong to a word of which so many are left.
+_LEFT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes from which a word is hashed on its own.
+LONG_WORD = 256
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -58,10 +55,16 @@ class Texts:
         data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
         self.data = data[self.begin[0] : self.begin[-1]] if len(column) else data[:0]
         self.begin = self.begin - self.begin[0]
+        padded = np.zeros(len(self.data) + 8, np.uint8)
         if lower:
             table = np.arange(256, dtype=np.uint8)
             table[65:91] += 32
-            self.data = table[self.data]
+            np.take(table, self.data, out=padded[:-8])
+        else:
+            padded[:-8] = self.data
+        self.data = padded[:-8]
+        #: the eight bytes from each place on, as a number
+        self.eight = np.ndarray((len(self.data),), np.dtype("<u8"), padded, 0, (1,))
 
     def __len__(self) -> int:
         return len(self.begin) - 1
@@ -88,27 +91,37 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each pair; its order counts."""
+    return mixed(a * _MULT ^ b) + b * _FEED
+
+
 def hashed(texts: Texts, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span of bytes, the same wherever the span stands."""
-    n = len(texts.data)
-    sums = np.zeros(n + 1, np.uint64)
-    terms = sums[1:]  # one array of this length, not four
-    terms[:] = texts.data
-    terms += np.uint64(1)
-    terms *= _power(_MULT, n)
-    np.cumsum(terms, out=terms)
-    h = (sums[end] - sums[start]) * _power(_INV, n + 1)[start]
-    return mixed(h + (end - start).astype(np.uint64))
+    length = end - start
+    h = joined(length.astype(np.uint64), texts.eight[start] & _LEFT[np.minimum(length, 8)]) if len(start) else np.zeros(0, np.uint64)
+    left, at = np.flatnonzero(length > 8), 8
+    while len(left) and at < LONG_WORD:
+        h[left] = joined(h[left], texts.eight[start[left] + at] & _LEFT[np.minimum(length[left] - at, 8)])
+        at += 8
+        left = left[length[left] > at]
+    for k in left.tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(texts.data[start[k] : end[k]], digest_size=8).digest(), "little")
+    return h
 
 
 def rolling(word: np.ndarray, width: int) -> np.ndarray:
     """A 64-bit hash of each run of ``width`` consecutive word hashes (runs may cross texts)."""
-    n = len(word)
-    if n < width:
+    if len(word) < width:
         return np.zeros(0, np.uint64)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(word * _power(_MULT, n), out=sums[1:])
-    return mixed((sums[width:] - sums[:-width]) * _power(_INV, n + 1)[: n - width + 1])
+    run, size, whole, covered = word, 1, None, 0  # runs of 1, 2, 4, .. words; those that make up ``width`` are joined
+    while True:
+        if width & size:
+            whole = run if whole is None else joined(whole[: len(run) - covered], run[covered:])
+            covered += size
+        if 2 * size > width:
+            return whole[: len(word) - width + 1]
+        run, size = joined(run[:-size], run[size:]), 2 * size
 
 
 def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -2,19 +2,19 @@
 
 Every id takes the fewest bits that hold the vocabulary (16 for 49,408 ids). A
 file is a Parquet part written by Spark; its rows are blocks of whole documents
-in key order, each with the packed ids, the ids before it in its part and the
-lengths of its documents, so a reader can skip to any block, and unpack one with
-a few numpy operations. A small index (a row per part) gives the ids before each
-part. Parts come from a range partitioning by key, so ids run in key order
-across parts.
+in key order, each with the packed ids, the ids before it in its part, its least
+and greatest key and the lengths of its documents, so a reader can skip to any
+block, and unpack one with a few numpy operations. A small index (a row per
+part) gives the ids before each part. Parts come from a range partitioning by
+key, so ids run in key order across parts. ``read_ids`` and ``read_keys`` read
+single places and documents; the bounds of blocks prune the scan.
 
-Tokenizing happens once, before the sort; what moves is packed ids. A document
-is split at white space and each distinct word of a batch is encoded once with
-the tokenizers library: the tokenizer drops white space and no piece spans it.
+Every text is encoded whole, once, before the sort; what moves is packed ids.
 
 Defined cases: a null or empty text has just the end id; repeated rows are
 written one by one (ties by their ids); a null key sorts first; an empty table
-gives no blocks; a document of any length is one entry of one block.
+gives no blocks; a document of any length is one entry of one block; the key and
+text columns may have any name.
 """
 
 from __future__ import annotations
@@ -24,26 +24,22 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bytetext import Texts, Words, hashed, spans
 from .common import cut, shared_folder, table
 
 VOCABULARY = 49_408
 END_ID = 2
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 18
-#: Distinct words whose ids a task keeps between batches; more only means encoding some again.
-CACHED_WORDS = 800_000
-#: Documents that are split into words at once.
-SLICE = 1024
+#: Documents that the tokenizer is given at once.
+SLICE = 128
 
 
 def width_of(vocabulary: int) -> int:
@@ -69,97 +65,51 @@ def unpack(data: bytes, width: int, count: int, first: int = 0) -> np.ndarray:
     return (bits.astype(np.uint32) << np.arange(width, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
 
 
-class WordIds:
-    """Ids of texts through the ids of their distinct words."""
-
-    def __init__(self, tokenizer_path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already use every core
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.forget()
-
-    def forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)  # sorted word hashes
-        self.start = np.zeros(0, np.int64)
-        self.length = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-
-    def learn(self, texts: Texts, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> None:
-        data = texts.data.tobytes()
-        found = self.tokenizer.encode_batch_fast([data[a:b].decode() for a, b in zip(start.tolist(), end.tolist(), strict=True)], add_special_tokens=False)
-        lists = [e.ids for e in found]
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        new = np.fromiter(chain.from_iterable(lists), np.uint32, int(lengths.sum()))
-        known = np.concatenate([self.known, hashes])
-        order = np.argsort(known, kind="stable")
-        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(lengths) - lengths])[order]
-        self.length = np.concatenate([self.length, lengths])[order]
-        self.known, self.ids = known[order], np.concatenate([self.ids, new])
-
-    def encoded(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, one after the other, and how many each has."""
-        texts = Texts(column)
-        words = Words(texts, SPACES)
-        hashes, first, which = np.unique(hashed(texts, words.start, words.end), return_index=True, return_inverse=True)
-        if len(self.known) > CACHED_WORDS:
-            self.forget()
-        place = np.searchsorted(self.known, hashes)
-        new = np.ones(len(hashes), bool)
-        inside = place < len(self.known)
-        new[inside] = self.known[place[inside]] != hashes[inside]
-        if new.any():
-            self.learn(texts, words.start[first[new]], words.end[first[new]], hashes[new])
-            place = np.searchsorted(self.known, hashes)
-        place = place[which]
-        length = self.length[place]
-        total = np.zeros(len(length) + 1, np.int64)
-        np.cumsum(length, out=total[1:])
-        return self.ids[spans(self.start[place], length)], np.diff(total[words.first])
-
-
 @cache
-def word_ids(tokenizer_path: str) -> WordIds:
-    """One for each Python worker: tasks that follow each other share it."""
-    return WordIds(tokenizer_path)
+def tokenizer_at(path: str):
+    """The tokenizer of a file, one for each Python worker: tasks that follow each other share it and its cache."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already use every core
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
 
 
-#: Where a text may be split for the tokenizer: plain blanks and line ends, which it drops.
-SPACES = bytes([0x20, 0x0A, 0x0D, 0x09])
+def ids_of(texts: list[str | None], tokenizer_path: str) -> list[list[int]]:
+    """The ids of whole texts, without an end id."""
+    return [e.ids for e in tokenizer_at(tokenizer_path).encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
 
 
 def encoded(docs: DataFrame, key: str, text: str, tokenizer_path: str, vocabulary: int = VOCABULARY, end_id: int = END_ID) -> DataFrame:
-    """(key, n long, packed binary): each document's ids with the end id, packed."""
+    """(_key, _n long, _packed binary): each document's ids with the end id, packed."""
     width = width_of(vocabulary)
-    schema = docs.select(F.col(key)).withColumns({"_n": F.lit(0).cast("long"), "_packed": F.lit(b"")}).schema
+    source = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    schema = source.select("_key").withColumns({"_n": F.lit(0).cast("long"), "_packed": F.lit(b"")}).schema
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = word_ids(tokenizer_path)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                ids, counts = ids_of.encoded(part.column(1))
-                bound = np.concatenate([[0], np.cumsum(counts)])
-                end = np.array([end_id], np.uint32)
-                packed = [pack(np.concatenate([ids[a:b], end]), width) for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts + 1, pa.int64()), pa.array(packed, pa.binary())], names=[key, "_n", "_packed"])
+                found = ids_of(part.column("_text").to_pylist(), tokenizer_path)
+                packed = [pack(np.array([*x, end_id], np.uint32), width) for x in found]
+                yield pa.RecordBatch.from_arrays([part.column("_key"), pa.array([len(x) + 1 for x in found], pa.int64()), pa.array(packed, pa.binary())], names=["_key", "_n", "_packed"])
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(task, schema)
+    return source.mapInArrow(task, schema)
 
 
 def write_blocks(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", tokenizer_path: str | None = None, vocabulary: int = VOCABULARY, end_id: int = END_ID) -> None:
     """Write blocks to ``folder``/blocks and the index of parts to ``folder``/index.
 
     A block: part, block (its number there), first (ids before it in the part),
-    ids (how many), width, keys, lengths and packed.
+    ids (how many), width, low and high (least and greatest key), keys, lengths
+    and packed.
     """
     width = width_of(vocabulary)
     spark = docs.sparkSession
     rows = cut(encoded(docs, key, text, tokenizer_path or public_tokenizers.path("word_bpe_49k.json"), vocabulary, end_id))
-    order = [F.col(key).asc_nulls_first(), F.col("_n"), F.crc32("_packed")]
+    order = [F.col("_key").asc_nulls_first(), F.col("_n"), F.crc32("_packed")]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    kind = rows.schema[key].dataType.simpleString()
-    schema = f"part int, block int, first bigint, ids bigint, width int, keys array<{kind}>, lengths array<bigint>, packed binary"
+    kind = rows.schema["_key"].dataType.simpleString()
+    schema = f"part int, block int, first bigint, ids bigint, width int, low {kind}, high {kind}, keys array<{kind}>, lengths array<bigint>, packed binary"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -169,13 +119,14 @@ def write_blocks(docs: DataFrame, folder: str, key: str = "doc_id", text: str =
             rows = pa.Table.from_batches(held).combine_chunks()
             lengths = rows["_n"].to_numpy()
             ids = np.concatenate([unpack(p.as_py(), width, n) for p, n in zip(rows["_packed"], lengths.tolist(), strict=True)])
-            out = {"part": rows["_part"][0].as_py(), "block": state["block"], "first": state["first"], "ids": len(ids), "width": width, "keys": rows[key].to_pylist(), "lengths": lengths.tolist(), "packed": pack(ids, width)}
+            keys = rows["_key"].to_pylist()
+            out = {"part": rows["_part"][0].as_py(), "block": state["block"], "first": state["first"], "ids": len(ids), "width": width, "low": keys[0], "high": keys[-1], "keys": keys, "lengths": lengths.tolist(), "packed": pack(ids, width)}
             state["block"] += 1
             state["first"] += len(ids)
             held.clear()
             return pa.RecordBatch.from_pylist([out], schema=arrow)
 
-        arrow = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("ids", pa.int64()), ("width", pa.int32()), ("keys", pa.list_(key_type)), ("lengths", pa.list_(pa.int64())), ("packed", pa.binary())])
+        arrow = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("ids", pa.int64()), ("width", pa.int32()), ("low", key_type), ("high", key_type), ("keys", pa.list_(key_type)), ("lengths", pa.list_(pa.int64())), ("packed", pa.binary())])
         n = 0
         for batch in batches:
             start = 0
@@ -193,7 +144,7 @@ def write_blocks(docs: DataFrame, folder: str, key: str = "doc_id", text: str =
 
     from pyspark.sql.pandas.types import to_arrow_type
 
-    key_type = to_arrow_type(rows.schema[key].dataType)
+    key_type = to_arrow_type(rows.schema["_key"].dataType)
     dealt.mapInArrow(task, schema).write.parquet(f"{folder}/blocks")
     blocks = spark.read.schema(schema).parquet(f"{folder}/blocks")
     totals = blocks.groupBy("part").agg(F.sum("ids").alias("ids"))  # a row per part
@@ -201,9 +152,10 @@ def write_blocks(docs: DataFrame, folder: str, key: str = "doc_id", text: str =
     totals.select("part", before.alias("before"), "ids").write.parquet(f"{folder}/index")
 
 
-def read_documents(spark: SparkSession, folder: str, digest: bool = False) -> DataFrame:
-    """(key, start, n_tokens, ids or ids_crc32) from the files alone."""
-    blocks = spark.read.parquet(f"{folder}/blocks").join(F.broadcast(spark.read.parquet(f"{folder}/index").select("part", "before")), "part")
+def read_documents(spark: SparkSession, folder: str, digest: bool = False, where: Column | None = None) -> DataFrame:
+    """(key, start, n_tokens, ids or ids_crc32) from the files alone; ``where``: which blocks."""
+    blocks = spark.read.parquet(f"{folder}/blocks")
+    blocks = (blocks if where is None else blocks.where(where)).join(F.broadcast(spark.read.parquet(f"{folder}/index").select("part", "before")), "part")
     kind = blocks.schema["keys"].dataType.elementType.simpleString()
     last = "ids_crc32 bigint" if digest else "ids array<bigint>"
 
@@ -224,6 +176,28 @@ def read_documents(spark: SparkSession, folder: str, digest: bool = False) -> Da
     return blocks.mapInArrow(task, f"key {kind}, start bigint, n_tokens bigint, {last}")
 
 
+def read_ids(spark: SparkSession, folder: str, start: int, count: int) -> np.ndarray:
+    """``count`` ids from place ``start`` of the whole corpus on, fewer at its end. Only the blocks that hold them are read."""
+    stop = start + count
+    parts = [r for r in spark.read.parquet(f"{folder}/index").where((F.col("before") < stop) & (F.col("before") + F.col("ids") > start)).orderBy("before").collect()]
+    pieces = [np.zeros(0, np.uint32)]
+    for part in parts:
+        low, high = max(0, start - part["before"]), min(part["ids"], stop - part["before"])
+        own = spark.read.parquet(f"{folder}/blocks").where((F.col("part") == part["part"]) & (F.col("first") < high) & (F.col("first") + F.col("ids") > low))
+        for block in own.orderBy("first").select("first", "ids", "width", "packed").collect():
+            a, b = max(0, low - block["first"]), min(block["ids"], high - block["first"])
+            pieces.append(unpack(block["packed"], block["width"], b - a, a))
+    return np.concatenate(pieces)
+
+
+def read_keys(spark: SparkSession, folder: str, keys: list) -> DataFrame:
+    """(key, start, n_tokens, ids) of the documents with these keys (not null); blocks that cannot hold one are skipped by their bounds."""
+    inside = F.lit(False)
+    for k in keys:
+        inside = inside | ((F.col("low").isNull() | (F.col("low") <= k)) & (F.col("high") >= k))
+    return read_documents(spark, folder, where=inside).where(F.col("key").isin(keys))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack every document, and say from the files where its ids stand."""
     folder = f"{shared_folder(spark)}/abacusflow-{uuid.uuid4().hex}"

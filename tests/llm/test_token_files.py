@@ -52,12 +52,34 @@ def test_odd_tables(spark, empty, tmp_path):
 
 
 def test_special_strings_are_text():
-    words = T.WordIds(public_tokenizers.path("word_bpe_49k.json"))
-    import pyarrow as pa
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    half = "a"
+    for _ in range(10):  # a Thue-Morse word and its complement
+        half += half.translate(str.maketrans("ab", "ba"))
+    texts = ["Don't STOP\u00a0now\u2003it's 42nd", "e\u0301 n\u0303 \u0301x", "ΣΊΣΥΦΟΣ İstanbul", "a\x0bb\x0cc\x85d\u2028e", "...!!! ?? 100%", "\x00 \x1f", "😀👩‍👩‍👧 ﬁ", half, half.translate(str.maketrans("ab", "ba"))]
+    for x, t in zip(T.ids_of(texts, path), texts, strict=True):
+        assert x == tokenizer.encode(t, add_special_tokens=False).ids
+    assert T.ids_of([None], path) == [[]]
 
-    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    texts = ["Don't STOP\u00a0now\u2003it's 42nd", "e\u0301 n\u0303 \u0301x", "ΣΊΣΥΦΟΣ İstanbul", "a\x0bb\x0cc\x85d\u2028e", "...!!! ?? 100%", "\x00 \x1f", "😀👩‍👩‍👧 ﬁ"]
-    ids, counts = words.encoded(pa.array(texts))
-    assert np.split(ids, np.cumsum(counts)[:-1])[0].dtype == np.uint32
-    for x, t in zip(np.split(ids, np.cumsum(counts)[:-1]), texts, strict=True):
-        assert x.tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+@pytest.mark.parametrize("vocabulary", [49_408, 1 << 17])
+def test_places_and_documents_are_read_alone(spark, docs, rows, tmp_path, monkeypatch, vocabulary):
+    monkeypatch.setattr(T, "BLOCK_IDS", 700)
+    T.write_blocks(docs, f"{tmp_path}/files", vocabulary=vocabulary)
+    assert {r["width"] for r in spark.read.parquet(f"{tmp_path}/files/blocks").select("width").collect()} == {T.width_of(vocabulary)}
+    order = [r["ids"] for r in T.read_documents(spark, f"{tmp_path}/files").orderBy("start").collect()]
+    everything = np.concatenate([np.array(x, np.uint32) for x in order])
+    assert sorted(map(tuple, order)) == sorted(map(tuple, whole(rows)))
+    for start, count in ((0, 5), (690, 2000), (len(everything) - 3, 10), (3, 0), (0, len(everything))):
+        assert (T.read_ids(spark, f"{tmp_path}/files", start, count) == everything[start : start + count]).all()
+    found = T.read_keys(spark, f"{tmp_path}/files", [11, 5, 999]).collect()
+    wanted = [x for (i, *_), x in zip(rows, whole(rows), strict=True) if i in (5, 11)]
+    assert sorted(r["ids"] for r in found) == sorted(wanted)
+    assert all((everything[r["start"] : r["start"] + r["n_tokens"]] == r["ids"]).all() for r in found)
+
+
+def test_key_may_have_any_name(spark, tmp_path):
+    for k, name in enumerate(("_n", "_packed", "_part", "_key", "_text")):
+        T.write_blocks(spark.createDataFrame([(1, "a b"), (2, None)], f"`{name}` long, text string"), f"{tmp_path}/{k}", key=name)
+        assert [r["key"] for r in T.read_documents(spark, f"{tmp_path}/{k}").orderBy("start").collect()] == [1, 2]
