@@ -1,25 +1,23 @@
 r"""Benchmark decontamination with an FM-index per shard of the training text.
 
-Benchmark items are split into windows of ``WINDOW`` words (an item of fewer is
-one window). A task takes its documents in shards of bounded size, builds an
-FM-index of each shard's words and searches all windows backwards in it;
-occurrences come from sampled suffix places and are merged into spans per
-document. Nothing is shuffled.
+``shard_index`` takes documents in shards of bounded size and stores an FM-index
+of all words of each shard, with the shard's vocabulary: a table that serves any
+number of benchmarks. ``search`` splits benchmark items into windows of
+``WINDOW`` words (an item of fewer is one window), searches all of them backwards
+in each shard's index, finds their places from sampled suffixes, and merges them
+into spans per document. No text is shuffled.
 
-A word that no item has can be in no occurrence, so such words, and runs of
-other words shorter than the shortest window, are left out of the index: what is
-left decides every search. Words are compared by 64-bit hashes.
+Test phrases go to the tasks in blocks of bounded size. With more than one block,
+what each finds is stored, and joined by shard.
 
-The test phrases go to the tasks in blocks of bounded size; with more than one
-block the found spans are carried from one pass over the text to the next, and
-joined.
-
-Words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after A-Z are lower-cased.
+Words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after A-Z are lower-cased, compared
+by 64-bit hashes.
 
 Defined cases: a null or wordless text is clean, with no words; a null or
 wordless item has no windows; a null item id counts as ""; item ids that repeat
 count once; repeated documents are each searched; empty tables give no rows or
-no hits; other columns may have any name.
+no hits; other columns may have any name; a text longer than a shard is a shard
+of its own.
 """
 
 from __future__ import annotations
@@ -28,23 +26,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytetext import NON_ALNUM, Texts, Words, hashed, spans
+from .bytetext import NON_ALNUM, Texts, Words, hashed, rolling, spans
 from .common import cut, table
 from .fm_index import BREAK, FMIndex
+from .pages import filled
 
 WINDOW = 10
 #: UTF-8 bytes of text in a shard.
 SHARD_BYTES = 4 << 20
 #: UTF-8 bytes of test items that are sent to the tasks at once.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
+
+_INDEX = {"size": "bigint", "uses": "binary", "planes": "binary", "sampled": "binary", "samples": "binary"}
 
 
 class Phrases:
-    """The distinct windows of some items, by length, over the items' own vocabulary (symbols from 1)."""
+    """The distinct windows of some items, by length, over the items' own vocabulary."""
 
     def __init__(self, ids: list[str], texts: list[str | None], window: int):
         column = Texts(pa.array(texts, pa.large_string()), lower=True)
@@ -52,59 +53,50 @@ class Phrases:
         hashes = hashed(column, words.start, words.end)
         self.vocabulary, symbols = np.unique(hashes, return_inverse=True)
         self.ids = sorted(set(ids))
-        number = {x: k for k, x in enumerate(self.ids)}
-        found: dict[int, dict[bytes, set[int]]] = {}
-        symbols = symbols.astype(np.int64) + 1
-        for k, item in enumerate(ids):
-            own = symbols[words.first[k] : words.first[k + 1]]
-            length = min(window, len(own))
-            for at in range(len(own) - length + 1 if length else 0):
-                found.setdefault(length, {}).setdefault(own[at : at + length].tobytes(), set()).add(number[item])
+        place = {x: k for k, x in enumerate(self.ids)}
+        number = np.array([place[x] for x in ids], np.int64)
+        counts = np.diff(words.first)
+        lengths = np.minimum(window, counts)
         self.by_length = []  # (length, phrases, first owner of each, owners)
-        for length, phrases in sorted(found.items()):
-            owners = [sorted(x) for x in phrases.values()]
-            first = np.concatenate([[0], np.cumsum([len(x) for x in owners])])
-            self.by_length.append((length, np.frombuffer(b"".join(phrases), np.int64).reshape(-1, length), first, np.concatenate([np.array(x, np.int64) for x in owners])))
-        self.shortest = min(found, default=0)
+        for length in np.unique(lengths[lengths > 0]).tolist():
+            items = np.flatnonzero(lengths == length)
+            at = spans(words.first[items], counts[items] - length + 1)
+            _, first, which = np.unique(rolling(hashes, length)[at], return_index=True, return_inverse=True)
+            owners = np.unique(np.stack([which, np.repeat(number[items], counts[items] - length + 1)], axis=1), axis=0)
+            rows = symbols[at[first][:, None] + np.arange(length)].astype(np.int32)
+            self.by_length.append((length, rows, np.searchsorted(owners[:, 0], np.arange(len(first) + 1)), owners[:, 1]))
 
 
-def searched(column: pa.Array, phrases: Phrases) -> tuple[np.ndarray, list, Words, Texts]:
-    """n_words per text; (text, first word, end word) of each occurrence with its items; for one shard."""
+def indexed(column: pa.Array) -> tuple[np.ndarray, np.ndarray, FMIndex]:
+    """(words of each text, vocabulary, index of all words) of one shard; symbol k + 1 is the vocabulary's k-th."""
     texts = Texts(column, lower=True)
     words = Words(texts, NON_ALNUM)
     counts = np.diff(words.first)
-    none = np.zeros(0, np.int64)
-    if not phrases.by_length or not len(words):
-        return counts, [none, none, none, none], words, texts
-    hashes = hashed(texts, words.start, words.end)
-    place = np.minimum(np.searchsorted(phrases.vocabulary, hashes), len(phrases.vocabulary) - 1)
-    symbols = np.where(phrases.vocabulary[place] == hashes, place + 1, BREAK)
-    # runs of known words within a text
-    known = symbols != BREAK
-    opens = known.copy()
-    opens[1:] &= ~known[:-1]
-    firsts = words.first[:-1][counts > 0]
-    opens[firsts] |= known[firsts]
-    closes = known.copy()
-    closes[:-1] &= opens[1:] | ~known[1:]
-    start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    long = end - start >= phrases.shortest
-    start, length = start[long], (end - start)[long]
-    if not len(start):
-        return counts, [none, none, none, none], words, texts
-    kept = spans(start, length + 1)  # one more place for the BREAK
-    indexed = symbols[np.minimum(kept, len(symbols) - 1)]
-    indexed[np.cumsum(length + 1) - 1] = BREAK
-    index = FMIndex(indexed)
-    found = []
-    for width, rows, first, owners in phrases.by_length:
-        low, high = index.search(rows)
-        which, at = index.locate(low, high)
-        times = first[which + 1] - first[which]
-        found.append([np.repeat(kept[at], times), np.full(int(times.sum()), width), owners[spans(first[which], times)]])
-    begin, width, item = (np.concatenate(x) for x in zip(*found, strict=True))
-    text = np.searchsorted(words.first, begin, side="right") - 1
-    return counts, [text, begin - words.first[text], begin - words.first[text] + width, item], words, texts
+    vocabulary, which = np.unique(hashed(texts, words.start, words.end), return_inverse=True)
+    symbols = np.full(len(words) + len(counts), BREAK, np.int64)
+    inner = np.ones(len(symbols), bool)
+    inner[words.first[1:] + np.arange(len(counts))] = False  # each text ends with a BREAK
+    symbols[inner] = which + 1
+    return counts, vocabulary, FMIndex.of(symbols)
+
+
+def searched(counts: np.ndarray, vocabulary: np.ndarray, index: FMIndex, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, end word, item) of every occurrence in a shard."""
+    found = [(np.zeros(0, np.int64),) * 3]
+    if len(vocabulary) and phrases.by_length:
+        place = np.minimum(np.searchsorted(vocabulary, phrases.vocabulary), len(vocabulary) - 1)
+        known = np.where(vocabulary[place] == phrases.vocabulary, place + 1, BREAK)
+        for width, rows, first, owners in phrases.by_length:
+            there = np.flatnonzero((known[rows] != BREAK).all(axis=1))
+            which, at = index.locate(*index.search(known[rows[there]]))
+            which = there[which]
+            times = first[which + 1] - first[which]
+            found.append((np.repeat(at, times), np.full(int(times.sum()), width), owners[spans(first[which], times)]))
+    at, width, item = (np.concatenate(x) for x in zip(*found, strict=True))
+    first = np.cumsum(counts + 1) - counts - 1
+    text = np.searchsorted(first, at, side="right") - 1
+    begin = at - first[text]
+    return text, begin, begin + width, item
 
 
 def _merged(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,82 +116,95 @@ def _lists(text: np.ndarray, values, n: int, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(n + 1)), pa.int32()), pa.array(values, kind))
 
 
-def _found(column: pa.Array, before: list[pa.Array] | None, phrases: Phrases, clean: bool) -> list[pa.Array]:
-    n = len(column)
-    counts, (text, begin, end, item), words, texts = searched(column, phrases)
-    pairs = np.unique(np.stack([text, item], axis=1), axis=0) if len(text) else np.zeros((0, 2), np.int64)
-    items = [phrases.ids[k] for k in pairs[:, 1].tolist()]
-    owner = pairs[:, 0]
-    if before:
-        old = [np.repeat(np.arange(n), np.diff(x.offsets.to_numpy())) for x in before]
-        text, begin, end = np.concatenate([text, old[0]]), np.concatenate([begin, before[0].flatten().to_numpy()]), np.concatenate([end, before[1].flatten().to_numpy()])
-        both = sorted(set(zip(owner.tolist(), items, strict=True)) | set(zip(old[2].tolist(), before[2].flatten().to_pylist(), strict=True)))
-        owner, items = np.array([x[0] for x in both], np.int64), [x[1] for x in both]
-    text, begin, end = _merged(text, begin, end)
-    out = [pa.array(counts, pa.int64()), _lists(text, begin, n, pa.int64()), _lists(text, end, n, pa.int64()), _lists(owner, items, n, pa.string())]
-    if clean:
-        first, last = words.start[words.first[text] + begin], words.end[words.first[text] + end - 1]
-        where = np.searchsorted(text, np.arange(n + 1))
-        cleaned = []
-        for k, value in enumerate(column.to_pylist()):
-            if where[k] < where[k + 1]:
-                raw, at, pieces = value.encode(), 0, []
-                for a, b in zip((first[where[k] : where[k + 1]] - texts.begin[k]).tolist(), (last[where[k] : where[k + 1]] - texts.begin[k]).tolist(), strict=True):
-                    pieces.append(raw[at:a])
-                    at = b
-                value = b"".join([*pieces, raw[at:]]).decode()
-            cleaned.append(value)
-        out.append(pa.array(cleaned, pa.string()))
-    return out
+def shard_index(docs: DataFrame, row: Column, text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Write (shard, rows, n_words, vocabulary, index): an index of every shard; ``row``: what to carry along of each document."""
+    source = docs.select(row.alias("_row"), F.col(text).alias("_text"))
+    kind = source.schema["_row"].dataType.simpleString()
 
+    def shard(held: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        counts, vocabulary, index = indexed(whole.column("_text"))
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (whole.column("_row"), pa.array(counts, pa.int64()))]
+        parts = {"vocabulary": vocabulary.tobytes()} | index.stored()
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists, *(pa.array([x]) for x in parts.values())], names=["shard", "rows", "n_words", *parts])
 
-def _pass(rows: DataFrame, phrases: Phrases, first: bool, keep_text: bool, clean: bool, shard_bytes: int) -> DataFrame:
-    """One block of phrases against all rows (_row, _text and, after the first block, what was found)."""
-    shared = rows.sparkSession.sparkContext.broadcast(phrases)
-    row_type = rows.schema["_row"].dataType.simpleString()
-    schema = f"_row {row_type}, n_words bigint, _begin array<bigint>, _end array<bigint>, _items array<string>" + ", _clean string" * clean + ", _text string" * keep_text
-    names = [x.split()[0] for x in schema.replace(f"_row {row_type}", "_row").split(", ")]
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        for k, held in enumerate(filled(batches, "_text", shard_bytes)):
+            yield shard(held, first + k)
+
+    return cut(source.mapInArrow(task, f"shard bigint, rows array<{kind}>, n_words array<bigint>, vocabulary binary, " + ", ".join(f"{n} {t}" for n, t in _INDEX.items())))
 
-    def shard(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        text = whole.column("_text")
-        before = None if first else [whole.column(c) for c in ("_begin", "_end", "_items")]
-        found = _found(text, before, shared.value, clean)
-        yield pa.RecordBatch.from_arrays([whole.column("_row"), *found, *[text] * keep_text], names=names)
+
+_FOUND = "text array<bigint>, begin array<bigint>, end array<bigint>, owner array<bigint>, item array<string>"
+
+
+def _hits_of(index: DataFrame, phrases: Phrases) -> DataFrame:
+    """(shard and _FOUND) of a block of phrases: merged spans by text, and the distinct items by text."""
+    shared = index.sparkSession.sparkContext.broadcast(phrases)
+    names = ["shard", *(x.split()[0] for x in _FOUND.split(", "))]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                held.append(part)
-                size += pa.compute.sum(pa.compute.binary_length(part.column("_text"))).as_py() or 0
-                if size >= shard_bytes:
-                    yield from shard(held)
-                    held, size = [], 0
-        if held:
-            yield from shard(held)
+            for k in range(batch.num_rows):
+                one = {c: batch.column(c)[k].as_py() for c in ("shard", "vocabulary", *_INDEX)}
+                counts = batch.column("n_words")[k].values.to_numpy()
+                text, begin, end, item = searched(counts, np.frombuffer(one["vocabulary"], np.uint64), FMIndex.restored(one), shared.value)
+                if len(text):
+                    pairs = np.unique(np.stack([text, item], axis=1), axis=0)
+                    out = [*_merged(text, begin, end), pairs[:, 0], [shared.value.ids[x] for x in pairs[:, 1].tolist()]]
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, [one["shard"], *map(list, out)], strict=True))], schema=arrow)
 
-    return rows.mapInArrow(task, schema)
+    arrow = pa.schema([("shard", pa.int64()), *((n, pa.list_(pa.string() if n == "item" else pa.int64())) for n in names[1:])])
+    return index.select("shard", "n_words", "vocabulary", *_INDEX).mapInArrow(task, f"shard bigint, {_FOUND}")
 
 
-def hits(docs: DataFrame, row: Column, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, clean: bool = False, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(_row, n_words, _begin, _end, _items[, _clean]): merged spans of hit words, and the items that hit.
-
-    ``row``: what to carry along of each document. ``clean``: also the text without its hit spans.
-    """
+def search(index: DataFrame, benchmark: DataFrame, item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(_row, n_words, _begin, _end, _items) of every document of an index: merged spans of hit words, and the items that hit."""
     items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("_id"), F.col(item_text).alias("_text"))
     total = items.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     block = F.pmod(F.xxhash64("_id", "_text"), F.lit(blocks))
-    rows = docs.select(row.alias("_row"), F.col(text).alias("_text"))
+    found = None
     for k in range(blocks):
         own = items.where(block == k).orderBy("_id", "_text").collect()
-        more = k < blocks - 1
-        rows = _pass(rows, Phrases([r[0] for r in own], [r[1] for r in own], window), k == 0, more, clean and not more, shard_bytes)
-        rows = cut(rows) if more else rows
-    return rows
+        one = cut(_hits_of(index, Phrases([r[0] for r in own], [r[1] for r in own], window)))
+        found = one if found is None else found.unionByName(one)
+    by_shard = found.groupBy("shard").agg(F.collect_list(F.struct(*(x.split()[0] for x in _FOUND.split(", ")))).alias("found"))
+    kind = index.schema["rows"].dataType.elementType.simpleString()
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                counts = batch.column("n_words")[k].values
+                told = batch.column("found")[k].as_py() or []
+                text, begin, end = _merged(*(np.concatenate([np.zeros(0, np.int64), *(np.array(x[c], np.int64) for x in told)]) for c in ("text", "begin", "end")))
+                pairs = sorted({p for x in told for p in zip(x["owner"], x["item"], strict=True)})
+                lists = [_lists(text, begin, len(counts), pa.int64()), _lists(text, end, len(counts), pa.int64()), _lists(np.array([p[0] for p in pairs], np.int64), [p[1] for p in pairs], len(counts), pa.string())]
+                yield pa.RecordBatch.from_arrays([batch.column("rows")[k].values, counts, *lists], names=["_row", "n_words", "_begin", "_end", "_items"])
+
+    return index.select("shard", "rows", "n_words").join(by_shard, "shard", "left").mapInArrow(task, f"_row {kind}, n_words bigint, _begin array<bigint>, _end array<bigint>, _items array<string>")
+
+
+def hits(docs: DataFrame, row: Column, benchmark: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES, **how) -> DataFrame:
+    """Index ``docs`` and ``search`` them once."""
+    return search(shard_index(docs, row, text, shard_bytes), benchmark, **how)
+
+
+def _without_spans(column: pa.Array, begins: list, ends: list) -> list[str | None]:
+    """The texts without these words and what stands between them."""
+    texts = Texts(column, lower=True)
+    words = Words(texts, NON_ALNUM)
+    out = []
+    for k, (value, begin, end) in enumerate(zip(column.to_pylist(), begins, ends, strict=True)):
+        if begin:
+            raw, at, pieces = value.encode(), 0, []
+            for a, b in zip(begin, end, strict=True):
+                pieces.append(raw[at : words.start[words.first[k] + a] - texts.begin[k]])
+                at = words.end[words.first[k] + b - 1] - texts.begin[k]
+            value = b"".join([*pieces, raw[at:]]).decode()
+        out.append(value)
+    return out
 
 
 def n_hit() -> Column:
@@ -214,8 +219,16 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text",
 
 def spans_removed(docs: DataFrame, benchmark: DataFrame, text: str = "text", **how) -> DataFrame:
     """All documents, all columns, with hit spans cut out of the text."""
-    found = hits(docs, F.struct(*docs.columns), benchmark, text, clean=True, **how)
-    return found.select(*[F.col("_clean").alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns])
+    found = hits(docs, F.struct(*docs.columns), benchmark, text, **how).select("_row", F.col("_row")[text].alias("_text"), "_begin", "_end")
+    kind = found.schema["_row"].dataType.simpleString()
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cleaned = _without_spans(batch.column("_text"), batch.column("_begin").to_pylist(), batch.column("_end").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(cleaned, pa.string())], names=["_row", "_clean"])
+
+    cleaned = found.mapInArrow(task, f"_row {kind}, _clean string")
+    return cleaned.select(*[F.col("_clean").alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

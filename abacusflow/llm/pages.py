@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from .common import cut
 
 PAGE_BYTES = 4 << 20
-#: Hash buckets for each shuffle partition: enough that partitions come out even.
-BUCKETS_PER_PARTITION = 8
+#: Hash buckets for each page, so that a bucket gets as much whatever the size of the corpus; and for each shuffle partition at least, so that these come out even.
+BUCKETS_PER_PAGE = 2
+BUCKETS_PER_PARTITION = 4
 SUMMARY = -1
 
 
@@ -45,6 +46,26 @@ def texts_of(packed: bytes) -> pa.Array:
     return pa.ipc.open_stream(packed).read_all().column(0).combine_chunks()
 
 
+def filled(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[list[pa.RecordBatch]]:
+    """Rows in their order, as many at a time as bring this string column to ``limit`` bytes."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = min(int(np.searchsorted(ends, before + limit - size)) + 1, batch.num_rows)
+            held.append(batch.slice(at, to - at))
+            size += int(ends[to - 1]) - before
+            at = to
+            if size >= limit:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def paged(docs: DataFrame, row: Column, text: str = "text", page_bytes: int = PAGE_BYTES) -> DataFrame:
     """Write the documents as pages (page, rows, texts); ``row`` is what to carry along of each."""
     source = docs.select(row.alias("_row"), F.col(text).alias("_text"))
@@ -60,25 +81,16 @@ def paged(docs: DataFrame, row: Column, text: str = "text", page_bytes: int = PA
         return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), lists, pa.array([_packed(texts)], pa.binary())], names=["page", "rows", "texts"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                held.append(part)
-                size += pc.sum(pc.binary_length(part.column("_text"))).as_py() or 0
-                if size >= page_bytes:
-                    yield page(held, number)
-                    held, size, number = [], 0, number + 1
-        if held:
-            yield page(held, number)
+        first = TaskContext.get().partitionId() << 32
+        for k, held in enumerate(filled(batches, "_text", page_bytes)):
+            yield page(held, first + k)
 
     return cut(source.mapInArrow(task, f"page bigint, rows array<{kind}>, texts binary"))
 
 
-def bucket_count(df: DataFrame) -> int:
-    return BUCKETS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def bucket_count(pages: DataFrame) -> int:
+    """How many buckets these written pages ask."""
+    return max(BUCKETS_PER_PAGE * pages.count(), BUCKETS_PER_PARTITION * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:

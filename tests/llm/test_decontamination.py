@@ -18,7 +18,7 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 @given(st.lists(st.lists(st.integers(1, 4), min_size=1, max_size=30), min_size=1, max_size=8), st.lists(st.lists(st.integers(1, 5), min_size=3, max_size=3), min_size=1, max_size=10))
 def test_index_finds_every_occurrence(runs, phrases):
     text = [x for run in runs for x in [*run, BREAK]]
-    index = FMIndex(np.array(text, np.int64))
+    index = FMIndex.restored(FMIndex.of(np.array(text, np.int64)).stored())
     low, high = index.search(np.array(phrases, np.int64))
     which, place = index.locate(low, high)
     got = sorted(zip(which.tolist(), place.tolist(), strict=True))
@@ -27,7 +27,7 @@ def test_index_finds_every_occurrence(runs, phrases):
 
 def test_index_of_repeats_and_rest():
     text = np.array([1, 2] * 3000 + [BREAK] + [3] * 500 + [BREAK], np.int64)
-    index = FMIndex(text)
+    index = FMIndex.of(text)
     low, high = index.search(np.array([[1, 2, 1], [3, 3, 3], [2, 2, 1], [9, 1, 1]]))
     assert (high - low).tolist() == [2999, 498, 0, 0]
     assert sorted(index.locate(low[:1], high[:1])[1].tolist()) == list(range(0, 5998, 2))
@@ -79,3 +79,23 @@ def test_odd_tables(spark, docs, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.without_benchmark(docs, none).count() == docs.count()
     assert D.without_benchmark(empty, none).count() == 0
+
+
+def test_one_index_serves_several_benchmarks(spark, docs, folder):
+    index = D.shard_index(docs.repartition(3), F.col("doc_id"), shard_bytes=2000)
+    assert index.count() > 2
+    items = spark.read.parquet(f"{folder}/benchmark.parquet")
+    other = spark.createDataFrame([(9, "x y z x"), (8, "漢字 😀")], "item_id long, text string")
+    for k in (items, other):
+        columns = ["_row", "n_words", "_begin", "_end", "_items"]
+        assert sorted(map(str, D.search(index, k).select(*columns).collect())) == sorted(map(str, D.hits(docs, F.col("doc_id"), k).select(*columns).collect()))
+    assert {r["_row"] for r in D.search(index, other).where(F.size("_begin") > 0).collect()} == {12, 15}
+
+
+def test_equal_sums_are_not_equal_words(spark):
+    half = "a"
+    for _ in range(11):
+        half += half.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, half), (2, half.translate(str.maketrans("ab", "ba")))], "doc_id long, text string")
+    items = docs.where("doc_id = 1").select(F.col("doc_id").alias("item_id"), "text")
+    assert [r["doc_id"] for r in D.without_benchmark(docs, items).collect()] == [2]

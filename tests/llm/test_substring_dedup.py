@@ -1,7 +1,9 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from abacusflow.llm import substring_dedup as S
@@ -28,8 +30,9 @@ def test_equal_to_brute_force(spark, folder, rows):
     assert got == sorted(wanted)
 
 
-def test_small_pages_and_hot_prefixes(spark, monkeypatch):
-    monkeypatch.setattr(S, "HOT_WINDOWS", 20)
+@pytest.mark.parametrize("hot", [0, 3, 256])
+def test_small_pages_and_hot_prefixes(spark, monkeypatch, hot):
+    monkeypatch.setattr(S, "HOT_SUFFIXES", hot)
     passages = [prose(k, 50, 3000) for k in range(3)]
     texts = []
     for k in range(60):
@@ -45,6 +48,19 @@ def test_small_pages_and_hot_prefixes(spark, monkeypatch):
         assert r["kept"] == " ".join(x for k, x in enumerate(w) if k not in gone)
 
 
+@pytest.mark.parametrize("hot", [0, 10, 1000])
+def test_short_windows_over_few_words(spark, monkeypatch, hot):
+    """Subtrees that branch everywhere: every removed word, and each maximal repeat in texts of their own."""
+    monkeypatch.setattr(S, "HOT_SUFFIXES", hot)
+    r = random.Random(hot)
+    texts = [" ".join(r.choice("abcd") for _ in range(r.randint(0, 14))) for _ in range(150)] + ["x y z v w u", "q x y z v w u", "x y z v w"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for window, gram in ((6, 2), (5, 5), (7, 1)):
+        found = {r["_row"]: r for r in S.repeats(docs, F.col("doc_id"), window=window, gram=gram, page_bytes=300).collect()}
+        for i, (_, gone) in enumerate(brute(texts, window)):
+            assert {k for a, b in zip(found[i]["begin"], found[i]["end"], strict=True) for k in range(a, b)} == gone
+
+
 def test_odd_tables(spark, docs, empty):
     assert S.repeats(empty, F.col("doc_id")).count() == 0
     clash = docs.select(F.struct("*", F.lit(1).alias("kept")).alias("all"), F.col("text"))
