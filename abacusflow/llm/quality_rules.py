@@ -1,16 +1,22 @@
 """Quality rules as weak supervision.
 
-Each rule looks at one document and votes good (1), bad (-1) or abstains (0).
-How far each rule can be trusted is not given: expectation-maximisation
-estimates the share of good documents and every rule's vote rates among good
-and among bad documents from how the rules agree over the whole corpus. A
-document's verdict is the posterior probability that it is good, so one odd
-measure does not throw a document out and several weak signs together do.
+Each rule looks at one aspect of a document (its alphabet, function words, case,
+variety of words, their length, stops, emphasis, lines, repeats) and votes good
+(1), bad (-1) or abstains (0); no two rules read the same sign. How far each rule
+can be trusted is not given: expectation-maximisation estimates the share of good
+documents and every rule's vote rates among good and among bad documents from how
+the rules agree over the whole corpus. A document's verdict is the posterior
+probability that it is good, so one odd measure does not throw a document out
+and several weak signs together do; a good vote that bad documents get as often
+weighs nothing.
 
 Everything per document is a DataFrame expression. EM needs only the histogram
-of vote vectors, at most 3 ** 8 rows whatever the corpus size, which
-is the only thing that reaches the driver. Documents that the base checks reject
-have no part in it: the model is for those that these checks let through.
+of vote vectors, at most 3 ** 9 rows whatever the corpus size, which is the only
+thing that reaches the driver. Documents that the base checks reject have no part
+in it: the model is for those that these checks let through.
+
+``keep_good`` filters by the posterior. It has no least length: in texts of fewer
+than ``MIN_WORDS`` words an abstention says nothing and is left out of the odds.
 
 Defined cases: a null or blank text has no words, all counts 0, base_failed and
 not kept; repeated rows are each judged; an empty table gives no rows. Only the
@@ -31,7 +37,7 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 KEEP_AT = 0.5
 ROUNDS = 50
-#: Vote rates to start with, by class, and the documents that this belief weighs.
+#: Vote rates to start with, by class, alike for all rules, and the documents that this belief weighs.
 START = {1: {1: 0.58, 0: 0.4, -1: 0.02}, -1: {1: 0.25, 0: 0.4, -1: 0.35}}
 PSEUDO = 10.0
 
@@ -42,7 +48,7 @@ FUNCTION_WORDS = (
 ).split()
 
 #: The measures that the rules read.
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stops", "n_function")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stops", "n_emphasis", "n_function", "n_odd", "n_upper", "n_distinct")
 
 
 def _covered(starts: Column) -> Column:
@@ -73,6 +79,10 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_repeat_words": F.when(F.col("_twice"), _covered(F.col("_starts"))).otherwise(0).cast("long"),
             "n_lines": F.size("_lines").cast("long"),
             "n_stops": F.regexp_count(t, F.lit(r"[.!?]")).cast("long"),
+            "n_emphasis": F.regexp_count(t, F.lit(r"[!?]")).cast("long"),
+            "n_odd": F.regexp_count(t, F.lit(r"[^\p{L}\p{M}\p{N}\s.,;:!?'\"()-]")).cast("long"),
+            "n_upper": F.regexp_count(t, F.lit(r"\p{Lu}")).cast("long"),
+            "n_distinct": F.size(F.array_distinct("_word")).cast("long"),
             "n_function": F.size(F.array_intersect("_words", F.array(*map(F.lit, FUNCTION_WORDS)))).cast("long"),
         }
     ).drop("_words", "_lines", "_word", "_hash", "_twice", "_placed", "_starts")
@@ -90,21 +100,29 @@ def _share(part: str, whole: str) -> Column:
 
 def rules() -> dict[str, Column]:
     """name -> vote over the measures."""
-    length, symbols = _share("word_chars", "n_words"), _share("n_symbols", "n_words")
+    long = F.col("n_words") >= MIN_WORDS
+    odd, upper, distinct = _share("n_odd", "word_chars"), _share("n_upper", "word_chars"), _share("n_distinct", "n_words")
+    length, stops, repeats, lines = (F.col("word_chars") - F.col("n_odd")) / F.greatest("n_words", F.lit(1)), _share("n_stops", "n_words"), _share("n_repeat_words", "n_words"), _share("n_dup_lines", "n_lines")
+    emphasis = _share("n_emphasis", "n_stops")
     return {
-        "rule_length": _vote(F.col("n_words") < MIN_WORDS, F.col("n_words") >= 2 * MIN_WORDS),
-        "rule_repeats": _vote(_share("n_repeat_words", "n_words") > 0.3),
-        "rule_lines": _vote((_share("n_dup_lines", "n_lines") > 0.3) & (F.col("n_dup_lines") >= 3)),
-        "rule_symbols": _vote(symbols > 0.1),
-        "rule_symbol_density": _vote(_share("n_symbols", "word_chars") > 0.05),
-        "rule_word_length": _vote((length < 2) | (length > 15), (length >= 3) & (length <= 10) & (symbols <= 0.1)),
-        "rule_function_words": _vote((F.col("n_function") == 0) & (F.col("n_words") >= MIN_WORDS), F.col("n_function") >= 2),
-        "rule_sentences": _vote((F.col("n_stops") == 0) & (F.col("n_words") >= MIN_WORDS), _share("n_stops", "n_words").between(0.01, 0.3)),
+        "rule_alphabet": _vote(odd > 0.06, odd < 0.02),
+        "rule_function_words": _vote(long & (F.col("n_function") <= 1), F.col("n_function") >= 5),
+        "rule_case": _vote(upper > 0.3, upper < 0.1),
+        "rule_variety": _vote(distinct < 0.4, distinct > 0.6),
+        "rule_word_length": _vote((length < 2.5) | (length > 13), length.between(4, 8)),
+        "rule_stops": _vote((long & (F.col("n_stops") == 0)) | (stops > 0.5), stops.between(0.02, 0.25)),
+        "rule_emphasis": _vote(emphasis > 0.5, (F.col("n_stops") > 0) & (emphasis < 0.2)),
+        "rule_lines": _vote((lines > 0.3) & (F.col("n_dup_lines") >= 3), lines < 0.1),
+        "rule_repeats": _vote(repeats > 0.2, repeats < 0.05),
     }
 
 
+def too_repetitive() -> Column:
+    return 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
+
+
 def base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    return (F.col("n_words") < MIN_WORDS) | too_repetitive()
 
 
 def fit(votes: DataFrame, names: list[str], rounds: int = ROUNDS) -> dict:
@@ -138,11 +156,11 @@ def posterior(vote: dict[str, int], prior: float, rate: dict) -> float:
 
 
 def probability(model: dict) -> Column:
-    """The posterior probability of being good, over the vote columns."""
+    """The posterior probability of being good, over the vote columns; abstentions of short texts do not count."""
     odds = F.lit(math.log(model["prior"] / (1 - model["prior"])))
     for n in model["rate"][1]:
         weight = {v: math.log(model["rate"][1][n][v] / model["rate"][-1][n][v]) for v in (-1, 0, 1)}
-        odds = odds + F.when(F.col(n) == 1, weight[1]).when(F.col(n) == -1, weight[-1]).otherwise(weight[0])
+        odds = odds + F.when(F.col(n) == 1, weight[1]).when(F.col(n) == -1, weight[-1]).when(F.col("n_words") >= MIN_WORDS, weight[0]).otherwise(0.0)
     return 1 / (1 + F.exp(-odds))
 
 
@@ -161,9 +179,10 @@ def judged(docs: DataFrame, text: str = "text", keep_at: float = KEEP_AT) -> Dat
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns, whatever these are called."""
+    """The rows of ``docs`` that the posterior calls good, of any length but without much repetition, with their own columns, whatever these are called."""
     packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"))
-    return judged(packed, "_text").where("kept").select("_row.*")
+    good = (F.col("n_words") > 0) & ~too_repetitive() & (F.col("quality") >= KEEP_AT)
+    return judged(packed, "_text").where(good).select("_row.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
