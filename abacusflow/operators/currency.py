@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .matching import stored
+from .running import previous_known
 
 _STATE = ["_units", "_whole", "_part"]
 
@@ -103,3 +104,24 @@ def average_cost(rows: DataFrame, keys: list[str], order: list[str], amount: str
     cents = lambda c: (F.col(c).cast("decimal(19,0)") * F.lit(Decimal("0.01"))).cast("decimal(18,2)")
     exact = F.col("_whole").cast("decimal(18,0)") + F.col("_part").cast("decimal(10,0)") * F.lit(Decimal("0.0000000001"))
     return out.select(*keys, *order, cents("_units").alias("units"), F.round(exact, 6).cast("decimal(18,6)").alias("rate"), cents("_result").alias("result"))
+
+
+def pocket_of(text: Column) -> Column:
+    """"fisico" or "bancario": which pocket a movement's text tells of; bank unless it speaks of cash."""
+    told = F.lower(text)
+    return F.when(told.rlike(r"efectivo|fisico|físico|billete|caja"), "fisico").otherwise("bancario")
+
+
+def direction_of(text: Column, amount: Column) -> Column:
+    """"ingreso" or "egreso": by what the text says, else by the amount's sign."""
+    told = F.lower(text)
+    return F.when(told.rlike(r"compra|ingreso|deposito|depósito|acreditacion"), "ingreso").when(told.rlike(r"venta|egreso|retiro|pago|extraccion"), "egreso").when(amount >= 0, "ingreso").otherwise("egreso")
+
+
+def both_pockets(rows: DataFrame, keys: list[str], cell: str, order: list[str], physical: str, units: str, rate: str) -> DataFrame:
+    """Add ``cost``: units times rate of the two pockets together, each as its last movement so far left it, in cents."""
+    worth = (F.col(units) * F.col(rate)).cast("decimal(38,8)")
+    for name, mine in (("_p", F.col(physical)), ("_b", ~F.col(physical))):
+        rows = rows.withColumn(name, F.when(mine, worth))
+        rows = previous_known(rows, keys, cell, order, name, f"{name}_before").withColumn(name, F.coalesce(name, f"{name}_before", F.lit(0)))
+    return rows.withColumn("cost", F.round(F.col("_p") + F.col("_b"), 2).cast("decimal(18,2)")).drop("_p", "_b", "_p_before", "_b_before")

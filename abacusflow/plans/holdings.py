@@ -51,14 +51,134 @@ def fifo_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("account", F.col("units").cast("double").alias("units"), F.col("cost").cast("double").alias("cost"), "open_lots")
 
 
-@query()
+def priced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lot events with a price for exits, the exit's amount in cents, and the day."""
+    rows = read(spark, sf_dir, "events", "event_id", "ts", "user_id").select(F.col("user_id").alias("account"), *ORDER, (F.col("event_id") % 13 + 5).cast("decimal(9,0)").alias("price"), F.col("ts").cast("date").alias("day"))
+    rows = lot_events(spark, sf_dir).join(rows, ["account", *ORDER])
+    return rows.withColumn("amount", F.round(F.col("exit") * F.col("price"), 2).cast(MONEY))
+
+
+_SLICES = f"""{_LOTS},
+e as (select account, ts, event_id, leave, eff, lag(eff, 1, 0) over (partition by account order by ts, event_id) as from_, (event_id % 13 + 5) as price, cast(round(leave * (event_id % 13 + 5), 2) as decimal(18,2)) as amount from cov where leave > 0),
+sl as (select l.account, l.ts as lot_ts, l.event_id as lot, e.event_id as exit_event, e.amount, l.cost, e.price, least(l.cin, e.eff) - greatest(l.cin - l.entry, e.from_) as q
+  from cov l join e on l.account = e.account and l.entry > 0 and l.cin - l.entry < e.eff and e.from_ < l.cin and e.eff > e.from_)"""
+
+
+@query(
+    f"""
+with {_SLICES},
+p as (select *, cast(round(q * price, 2) as decimal(18,2)) as plain, row_number() over (partition by account, exit_event order by lot_ts desc, lot desc) as k, sum(cast(round(q * price, 2) as decimal(18,2))) over (partition by account, exit_event) as total from sl)
+select account, lot, exit_event, cast(q as double) as quantity, cast(cast(round(q * cost, 2) as decimal(18,2)) as double) as cost, cast(cast(round(q * (price - cost), 2) as decimal(18,2)) as double) as interest,
+  cast(case when k = 1 then amount - (total - plain) else plain end as double) as amount from p"""
+)
+def exit_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each slice of a lot that an exit takes: its cost, its interest over the lot's unit value, and its amount; the last slice takes the rest of the exit's amount."""
+    out = lots.slices(priced_events(spark, sf_dir), ["account"], "month", ORDER, "cost", "price", "amount")
+    return out.select("account", F.col("lot.event_id").alias("lot"), F.col("exit_row.event_id").alias("exit_event"), *[F.col(c).cast("double").alias(c) for c in ("quantity", "cost", "interest", "amount")])
+
+
+@query(
+    f"""
+with {_SLICES},
+g as (select account, exit_event, sum(q) as covered, sum(q * cost) as c, sum(q * (price - cost)) as i from sl group by all),
+j as (select e.account, e.event_id, e.leave, e.amount, coalesce(g.covered, 0) as covered, coalesce(g.c, 0) as c, coalesce(g.i, 0) as i from e left join g on e.account = g.account and e.event_id = g.exit_event)
+select account, event_id, cast(covered as double) as covered, cast(cast(round(c, 2) as decimal(18,2)) as double) as cost, cast(cast(round(i, 2) as decimal(18,2)) as double) as interest,
+  case when covered = 0 then 0 else cast(cast(round(amt - c, 2) as decimal(18,2)) as double) end as result,
+  cast(amount - cast(round(c, 2) as decimal(18,2)) as double) as full_result,
+  case when covered < leave then 'SIN_STOCK' else 'SALIDA' end as state
+from (select *, case when covered < leave then cast((2 * cast(amount * 100 as hugeint) * cast(covered * 1000000 as hugeint) + cast(leave * 1000000 as hugeint)) // (2 * cast(leave * 1000000 as hugeint)) as decimal(18,2)) * cast(0.01 as decimal(3,2)) else amount end as amt from j)"""
+)
+def exit_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every exit: units that lots cover, their cost, interest, the result on what is covered and on the full exit, and whether units were missing."""
+    out = lots.exit_results(priced_events(spark, sf_dir), ["account"], "month", ORDER, "cost", "price", "amount")
+    return out.select("account", "event_id", *[F.col(c).cast("double").alias(c) for c in ("covered", "cost", "interest", "result", "full_result")], "state")
+
+
+@query(
+    f"""
+with {_LOTS},
+u as (select account, coalesce(max(eff) filter (where leave > 0), 0) as used from cov group by account),
+l as (select account, cast(ts as date) as day, cost, greatest(0, least(entry, cin - used)) as rest from cov join u using (account) where entry > 0)
+select account, day, cast(cost as double) as unit_value, case when cost < 3 then 'Saldo inicial' else 'Suscripción' end as origin, cast(cast(round(sum(rest), 4) as decimal(28,4)) as double) as units, cast(cast(round(sum(rest * cost), 2) as decimal(18,2)) as double) as cost
+from l where rest > 0 group by account, day, l.cost"""
+)
+def open_lots_consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open lots of a day, unit value and origin as one row."""
+    return _consolidated(spark, sf_dir).select("account", "day", F.col("unit_value").cast("double").alias("unit_value"), "origin", F.col("units").cast("double").alias("units"), F.col("cost").cast("double").alias("cost"))
+
+
+def _consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lots.open_lots(priced_events(spark, sf_dir), ["account"], "month", ORDER).withColumn("origin", F.when(F.col("cost") < 3, "Saldo inicial").otherwise("Suscripción"))
+    return lots.consolidated(rows, ["account"], "day", "cost", "origin")
+
+
+@query(
+    f"""
+with {_LOTS},
+u as (select account, coalesce(max(eff) filter (where leave > 0), 0) as used from cov group by account),
+l as (select account, cast(ts as date) as day, cost, greatest(0, least(entry, cin - used)) as rest from cov join u using (account) where entry > 0),
+g as (select account, cast(round(sum(rest), 4) as decimal(28,4)) as units, cast(round(sum(rest * cost), 2) as decimal(18,2)) as cost from l where rest > 0 group by account, day, l.cost),
+h as (select account, sum(units) as units, sum(cost) as cost, cast(round(sum(units) * cast(9.25 as decimal(9,2)), 2) as decimal(18,2)) as value from g group by account)
+select account, cast(units as double) as units, cast(cost as double) as cost, cast(value as double) as value, cast(value - cost as double) as result from h"""
+)
+def holding_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the open lots of an account are worth at a closing value of 9.25 a unit, and the result of holding them."""
+    out = lots.holding_result(_consolidated(spark, sf_dir), ["account"], F.lit("9.25").cast("decimal(9,2)"))
+    return out.select("account", *[F.col(c).cast("double").alias(c) for c in ("units", "cost", "value", "result")])
+
+
+def _rounded(n: str, d: str) -> str:
+    """n / d to the nearest whole number, halves away from 0, as integers."""
+    return f"(sign({n}) * ((2 * abs({n}) + ({d})) // (2 * ({d}))))"
+
+
+def _average(keys: str) -> str:
+    """States of positions at moving average cost, step by step: units in cents, rates in units of 1e-10."""
+    e4, e10 = "10000::hugeint", "10000000000::hugeint"
+    return f"""mv as (
+  select user_id as account, event_type in ('purchase', 'login') as physical, ts, event_id, event_type in ('purchase', 'signup') as is_in, cast(cast(value as decimal(18,2)) * 100 as hugeint) as m, cast((event_id % 17 + 1) * 100000000 as hugeint) as r from events where cast(value as decimal(18,2)) > 0),
+nu as (select *, row_number() over (partition by {keys} order by ts, event_id) as k from mv),
+st as (
+  select {keys}, 0::bigint as k, 0::bigint as event_id, 0::hugeint as units, 0::hugeint as rate, 0::hugeint as result from (select distinct {keys} from nu)
+  union all
+  select {", ".join(f"nu.{x.strip()}" for x in keys.split(","))}, nu.k, nu.event_id, case when is_in then units + m else units - m end,
+    case when not is_in then rate when units > 0 and rate > 0 then {_rounded(f"(units * rate + m * r * {e4})", "units + m")} else r * {e4} end,
+    case when is_in then 0::hugeint else {_rounded(f"(m * (r * {e4} - rate))", e10)} end
+  from st join nu on {" and ".join(f"st.{x.strip()} = nu.{x.strip()}" for x in keys.split(","))} and nu.k = st.k + 1)"""
+
+
+@query(
+    f"""
+with recursive {_average("account")}
+select account, event_id, cast(units as double) / 100 as units, cast({_rounded("rate", "10000::hugeint")} as double) / 1000000 as rate, cast(result as double) / 100 as result from st where k > 0"""
+)
 def average_cost_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The position of every account at moving average cost, after each movement."""
-    rows = lot_events(spark, sf_dir).select("account", "month", *ORDER, (F.col("entry") + F.col("exit")).cast(MONEY).alias("amount"), (F.col("cost") * 100).cast("decimal(18,6)").alias("rate"), (F.col("entry") > 0).alias("is_entry"))
-    out = currency.average_cost(rows, ["account"], ORDER, "amount", "rate", "is_entry", "month")
+    out = currency.average_cost(_dollar_moves(spark, sf_dir), ["account"], ORDER, "amount", "rate", "is_entry", "month")
     return out.select("account", "event_id", *[F.col(c).cast("double").alias(c) for c in ("units", "rate", "result")])
 
 
+def _dollar_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lot_events(spark, sf_dir).select("account", "month", *ORDER, (F.col("entry") + F.col("exit")).cast(MONEY).alias("amount"), (F.col("cost") * 100).cast("decimal(18,6)").alias("rate"), (F.col("entry") > 0).alias("is_entry"))
+    kinds = read(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type").select(F.col("user_id").alias("account"), *ORDER, F.col("event_type").isin("purchase", "login").alias("physical"))
+    return rows.join(kinds, ["account", *ORDER])
+
+
+@query(
+    f"""
+with recursive {_average("account, physical")},
+c as (select st.account, st.physical, nu.ts, st.event_id, cast(st.units as hugeint) * cast({_rounded("st.rate", "10000::hugeint")} as hugeint) as worth from st join nu on st.account = nu.account and st.physical = nu.physical and st.k = nu.k where st.k > 0),
+w as (select *, coalesce(last_value(case when physical then worth end ignore nulls) over o, 0) as a, coalesce(last_value(case when not physical then worth end ignore nulls) over o, 0) as b from c window o as (partition by account order by ts, event_id rows unbounded preceding))
+select account, event_id, physical, cast({_rounded("(a + b)", "1000000::hugeint")} as double) / 100 as cost from w"""
+)
+def pockets_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cost in pesos of both dollar pockets of an account, physical and bank, after each movement of either."""
+    moves = _dollar_moves(spark, sf_dir)
+    done = currency.average_cost(moves, ["account", "physical"], ORDER, "amount", "rate", "is_entry", "month")
+    out = currency.both_pockets(done.withColumn("month", F.trunc("ts", "MM")), ["account"], "month", ORDER, "physical", "units", "rate")
+    return out.select("account", "event_id", "physical", F.col("cost").cast("double").alias("cost"))
+
+
 _OUT = ("interest", "capital", "vat", "due", "balance")
 
 
