@@ -2,21 +2,27 @@ r"""Language-model scores by prediction by partial matching over bytes.
 
 The text that is modelled is the token sequence: words ``[^\x20\x09-\x0D]+`` with
 A-Z lower-cased, a blank after each, and a final end symbol. The model is a trie
-of byte contexts up to ``ORDER`` bytes: in its longest context that was seen in
-training, a symbol has probability (2c - 1) / 2n and an escape q / 2n (n: uses
-of the context, q: distinct symbols in it; PPM's escape method D), and after an
-escape to the context one byte shorter, symbols of the longer one are excluded
-from its counts. Below the empty context, bytes are equally likely. The score of
-a text is the sum of log10 probabilities of its symbols, with counts of the
-training documents only.
+of byte contexts up to ``ORDER`` bytes. In its longest context that was seen in
+training, a symbol has probability (c - d) / n and an escape d * q / n (n: uses
+of the context, q: distinct symbols in it, d: ``DISCOUNT``; method D has 1/2), and
+after an escape to the context one byte shorter, symbols of the longer one are
+excluded from its counts. Shorter contexts count by update exclusion: a symbol's
+uses are the distinct longer contexts that it was seen in. Below the empty
+context, bytes are equally likely. The score of a text is the sum of log10
+probabilities of its symbols, with counts of the training documents only.
 
 A symbol's cost depends on the ``ORDER`` bytes before it, so a page of documents
 asks for each distinct run of ``ORDER`` + 1 bytes once, and hands in how often
 training documents use it. The trie is split at depth ``SPLIT``: subtrees are
 dealt to hash buckets by the last ``SPLIT`` bytes of the context, so all longer
 contexts of a symbol are in one bucket, which adds up counts and answers costs.
-What is above the split is a table of at most 256 ** 3 entries, added up from
-what pages hand in and sent to every task.
+What is above the split is a table of at most 256 ** 3 entries, counted from the
+distinct runs that pages hand in and sent to every task.
+
+A common context is asked for by nearly all pages. From ``GROUP_PAGES`` pages on,
+a bucket's pages are dealt to groups: each group adds up its pages' runs, the sums
+are added up by run, a bucket's subtree is built from distinct runs alone, and its
+costs go back to every group, which answers its pages.
 
 Token counts for the unigram base go the same way, by word hash.
 
@@ -28,7 +34,7 @@ have any name; a text of any length is scored whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +47,9 @@ from .pages import PAGE_BYTES, SUMMARY, answered, asked, blocks, bucket_count, b
 
 ORDER = 5
 SPLIT = 3
+DISCOUNT = 0.3
+#: Pages whose questions to one bucket are answered in one group.
+GROUP_PAGES = 4096
 #: The bucket number of what pages hand in for the levels above the split.
 TOP = -1
 BLANK, END = 0x20, 0x0A
@@ -145,11 +154,12 @@ class Level:
         self.kinds = np.bincount(which, minlength=len(self.contexts)).astype(np.int64)
 
 
-def levels(runs: np.ndarray, counts: np.ndarray, orders: range) -> dict[int, Level]:
-    """Levels by order from counts of longest runs."""
-    out = {}
-    for order in orders:
-        out[order] = Level(*_sums(runs & _mask(order), counts))
+def levels(keys: np.ndarray, counts: np.ndarray, order: int, least: int = 0) -> dict[int, Level]:
+    """Levels ``order`` down to ``least`` from the counts of the longest runs; a shorter run counts the longer ones that end in it."""
+    out = {order: Level(*_sums(keys & _mask(order), counts))}
+    for k in range(order - 1, least - 1, -1):
+        longer = out[k + 1].keys
+        out[k] = Level(*_sums(longer & _mask(k), np.ones(len(longer), np.int64)))
     return out
 
 
@@ -174,9 +184,9 @@ def costs(runs: np.ndarray, order: int, trie: dict[int, Level]) -> np.ndarray:
         own = _at(level.keys, level.counts, key)
         speaks = open_ & (uses > 0)
         seen = speaks & (own > 0)
-        out[seen] += np.log10((2 * own[seen] - 1) / (2 * uses[seen]))
+        out[seen] += np.log10((own[seen] - DISCOUNT) / uses[seen])
         escapes = speaks & (own == 0)
-        out[escapes] += np.log10(new[escapes] / (2 * uses[escapes]))
+        out[escapes] += np.log10(DISCOUNT * new[escapes] / uses[escapes])
         open_ &= ~seen
         excluded_kinds, longer = kinds, level
     out[open_] -= np.log10(256 - excluded_kinds[open_])
@@ -184,19 +194,47 @@ def costs(runs: np.ndarray, order: int, trie: dict[int, Level]) -> np.ndarray:
 
 
 def _top(questions: DataFrame) -> dict[int, Level]:
-    """Levels 0 to SPLIT - 1 from what pages handed in: at most 256 ** SPLIT rows, whatever the corpus."""
+    """Levels 0 to SPLIT - 1 from the distinct runs that pages handed in: at most 256 ** SPLIT rows reach the driver, whatever the corpus."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        keys = np.zeros(0, np.uint32)
         for batch in batches:
-            for own, n in zip(batch.column("part0").to_pylist(), batch.column("part1").to_pylist(), strict=True):
-                own, n = np.frombuffer(own, np.uint32).astype(np.uint64), np.frombuffer(n, np.uint32)
-                keys, counts = _sums(np.concatenate([keys, own]), np.concatenate([counts, n]))
-        yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts)], names=["key", "n"])
+            for own in batch.column("part0").to_pylist():
+                keys = np.union1d(keys, np.frombuffer(own, np.uint32))
+        yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64))], names=["key"])
+
+    runs = questions.where(F.col("bucket") == TOP).mapInArrow(task, "key bigint").distinct()
+    shorter = F.col("key").bitwiseAND((1 << 8 * SPLIT) - 1)
+    rows = runs.groupBy(shorter.alias("key")).agg(F.count(F.lit(1)).alias("n")).toArrow().combine_chunks()
+    return levels(rows["key"].to_numpy().astype(np.uint64), rows["n"].to_numpy(), SPLIT - 1)
+
+
+def _in_groups(questions: DataFrame, groups: int, cost_of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """Answers to questions about runs, a bucket's pages dealt to groups. ``cost_of``: the costs of all distinct runs of a bucket."""
+    dealt = questions.withColumn("g", F.pmod(F.xxhash64("page"), F.lit(groups).cast("long")))
+
+    def add_up(key, table):
+        keys, uses = [np.concatenate([restored(x, kind) for x in table.column(c).to_pylist()]) for c, kind in (("part0", np.uint64), ("part1", np.uint32))]
+        distinct, counts = _sums(keys, uses)
+        return pa.table({"bucket": pa.array([key[0].as_py()] * len(distinct), pa.int32()), "code": distinct.astype(np.int64), "n": counts})
 
-    rows = questions.where(F.col("bucket") == TOP).mapInArrow(task, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow().combine_chunks()
-    keys = rows["key"].to_numpy().astype(np.uint64)
-    return levels(keys, rows["n"].to_numpy(), range(SPLIT))
+    def priced(key, table):
+        codes = np.sort(table.column("code").to_numpy().astype(np.uint64))
+        counts = table.column("n").to_numpy()[np.argsort(table.column("code").to_numpy())]
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "codes": [squeezed(codes)], "costs": [squeezed(cost_of(codes, counts))]})
+
+    def answer(key, asked, told):
+        if not asked.num_rows:  # no page of this group asks the bucket
+            return pa.table({"page": pa.array([], pa.int64()), "bucket": pa.array([], pa.int32()), "answer": pa.array([], pa.binary())})
+        told = told.to_pylist()[0]
+        codes, cost = restored(told["codes"]), restored(told["costs"], np.float32)
+        found = [squeezed(cost[np.searchsorted(codes, restored(x))]) for x in asked.column("part0").to_pylist()]
+        return pa.table({"page": asked.column("page"), "bucket": asked.column("bucket"), "answer": pa.array(found, pa.binary())})
+
+    sums = dealt.groupBy("bucket", "g").applyInArrow(add_up, "bucket int, code bigint, n bigint").groupBy("bucket", "code").agg(F.sum("n").alias("n"))
+    prices = cut(sums.groupBy("bucket").applyInArrow(priced, "bucket int, codes binary, costs binary"))
+    prices = prices.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    return dealt.groupBy("bucket", "g").cogroup(prices.groupBy("bucket", "g")).applyInArrow(answer, "page bigint, bucket int, answer binary")
 
 
 def _learn(rows: pa.Scalar) -> np.ndarray:
@@ -229,8 +267,7 @@ def scored(docs: DataFrame, row: Column, learn: Column, text: str = "text", orde
         codes, used = codes[at], (np.add.reduceat(used, at) if len(at) else used)
         for b, x, y, _ in blocks(bucket_of_codes(codes, order, buckets)):
             yield b, [squeezed(codes[x:y]), squeezed(used[x:y].astype(np.uint32))]
-        tops, n = _sums(to_runs(codes, order) & _mask(SPLIT - 1), used)
-        yield TOP, [tops.astype(np.uint32).tobytes(), n.astype(np.uint32).tobytes()]
+        yield TOP, [np.unique(to_runs(codes[used > 0], order) & _mask(SPLIT)).astype(np.uint32).tobytes(), b""]
         words, n, _ = page.words(learn)
         for b, x, y, _ in blocks(bucket_of(words, buckets)):
             yield buckets + b, [squeezed(words[x:y]), squeezed(n[x:y].astype(np.uint32))]
@@ -238,6 +275,10 @@ def scored(docs: DataFrame, row: Column, learn: Column, text: str = "text", orde
     questions = cut(asked(pages, ask, 2))
     top = pages.sparkSession.sparkContext.broadcast(_top(questions))
 
+    def cost_of(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        runs = to_runs(codes, order)
+        return costs(runs, order, top.value | levels(runs, counts, order, SPLIT)).astype(np.float32)
+
     def answer(bucket: int, parts: list[list[bytes]]) -> list[bytes]:
         keys, uses = [restored(x) for x in parts[0]], [restored(x, np.uint32) for x in parts[1]]
         ends = np.cumsum([len(x) for x in keys])[:-1]
@@ -248,11 +289,14 @@ def scored(docs: DataFrame, row: Column, learn: Column, text: str = "text", orde
             # a word's uses may pass 2 ** 32: high and low halves
             halves = [[squeezed(x.astype(np.uint32)) for x in np.split(h[which], ends)] for h in (counts >> 32, counts)]
             return [*(a + b for a, b in zip(*[[len(x).to_bytes(8, "little") + x for x in h] for h in halves], strict=True)), summary]
-        runs = to_runs(distinct, order)
-        cost = costs(runs, order, top.value | levels(runs, counts, range(SPLIT, order + 1))).astype(np.float32)
-        return [squeezed(x) for x in np.split(cost[which], ends)]
-
-    answers = cut(answered(questions.where(F.col("bucket") != TOP), answer, 2))
+        return [squeezed(x) for x in np.split(cost_of(distinct, counts)[which], ends)]
+
+    groups = -(-pages.count() // GROUP_PAGES)
+    if groups > 1:
+        runs, tokens = questions.where(F.col("bucket").between(0, buckets - 1)), questions.where(F.col("bucket") >= buckets)
+        answers = cut(_in_groups(runs, groups, cost_of).unionByName(answered(tokens, answer, 2)))
+    else:
+        answers = cut(answered(questions.where(F.col("bucket") != TOP), answer, 2))
     totals = [np.frombuffer(r[0], np.int64) for r in answers.where(F.col("page") == SUMMARY).select("answer").collect()]  # a row per word bucket
     train_tokens, vocabulary = (int(sum(t[k] for t in totals)) for k in range(2))
     base = np.log10(train_tokens + 0.1 * (vocabulary + 1))

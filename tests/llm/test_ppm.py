@@ -27,8 +27,11 @@ def brute(rows, order):
             count.update([*tokens(t), None])
             s = sequence(tokens(t))
             for p in range(order, len(s)):
-                for k in range(order + 1):
-                    trie[s[p - k : p]][s[p]] += 1
+                trie[s[p - order : p]][s[p]] += 1
+    for k in range(order, 0, -1):  # a shorter context counts each longer one once
+        for context, seen in [x for x in trie.items() if len(x[0]) == k]:
+            for b in seen:
+                trie[context[1:]][b] += 1
     n, v = sum(count.values()), len(count)
     for i, t, *_ in rows:
         words = [*tokens(t), None]
@@ -40,10 +43,10 @@ def brute(rows, order):
                 seen = trie.get(s[p - k : p], {})
                 uses = sum(c for b, c in seen.items() if b not in excluded)
                 if uses and s[p] in seen:
-                    score += math.log10((2 * seen[s[p]] - 1) / (2 * uses))
+                    score += math.log10((seen[s[p]] - ppm.DISCOUNT) / uses)
                     break
                 if uses:
-                    score += math.log10(len(set(seen) - excluded) / (2 * uses))
+                    score += math.log10(ppm.DISCOUNT * len(set(seen) - excluded) / uses)
                 excluded = set(seen)
             else:
                 score -= math.log10(256 - len(excluded))
@@ -59,18 +62,30 @@ def test_scores_equal_brute_force(spark, folder, rows):
     np.testing.assert_allclose([x[6] for x in got], [x[6] for x in wanted], rtol=1e-6)
 
 
-def test_pages_do_not_matter(spark, docs):
+def test_pages_and_groups_do_not_matter(spark, docs, monkeypatch):
     learn = F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False))
-    runs = [{(r["_row"], r["n_tokens"]): r["score"] for r in ppm.scored(docs, F.col("doc_id"), learn, page_bytes=n).collect()} for n in (500, 1 << 20)]
-    assert runs[0].keys() == runs[1].keys()
-    assert all(math.isclose(runs[0][k], runs[1][k], rel_tol=1e-6) for k in runs[0])
+    runs = []
+    for n, group in ((1 << 20, 4096), (500, 4096), (2000, 3)):
+        monkeypatch.setattr(ppm, "GROUP_PAGES", group)
+        runs.append({(r["_row"], r["n_tokens"]): (r["score"], r["base_score"]) for r in ppm.scored(docs, F.col("doc_id"), learn, page_bytes=n).collect()})
+    assert runs[0].keys() == runs[1].keys() == runs[2].keys()
+    for other in runs[1:]:
+        assert all(math.isclose(x, y, rel_tol=1e-6) for k in runs[0] for x, y in zip(runs[0][k], other[k], strict=True))
+
+
+def test_model_beats_the_unigram_base_on_held_out_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10
+    found = ppm.scored(docs, F.col("doc_id"), fold != 0).where(F.crc32(F.col("_row").cast("string").cast("binary")) % 10 == 0)
+    r = found.agg(F.sum("score").alias("a"), F.sum("base_score").alias("b")).first()
+    assert r["a"] > r["b"]
 
 
 def test_probabilities_add_up():
     r = np.random.default_rng(0)
     order = 3
     runs = np.unique(r.integers(0, 4, (200, order + 1)) @ (256 ** np.arange(order, -1, -1))).astype(np.uint64)
-    trie = ppm.levels(runs, r.integers(1, 5, len(runs)), range(order + 1))
+    trie = ppm.levels(runs, r.integers(1, 5, len(runs)), order)
     for context in (runs[:20] >> np.uint64(8)).tolist() + [0x636465]:
         every = np.array([(context << 8) | b for b in range(256)], np.uint64)
         assert math.isclose((10 ** ppm.costs(every, order, trie)).sum(), 1, rel_tol=1e-9)
