@@ -17,14 +17,23 @@ hashes; with fewer words, the whole sequence as one. Words are
 3. A bucket's members join the star of its least member, once for each star. Two
    classes that share any bucket thus share that bucket's star, and a class whose
    buckets agree on their least member is in one star only.
-4. Stars are cut into blocks of bounded size, and pairs of blocks are compared in
-   tasks on full sets, all pairs at once by a matrix product over the shingles
-   that at least two members have. A task hands on a spanning forest of its
-   links, at most one row per member; components are joined from these.
-
-So all candidates are confirmed or refuted. The links that come out are linear in a
-star's size, but each member's text goes to all blocks of its star: n members move
-n x ceil(n / 256) texts or more, so a star of a million is out of reach.
+4. A star of one block is compared in a task on full sets, all pairs at once by a
+   matrix product over the shingles that at least two members have. In a larger
+   star, members are first compared with its centre alone, in as many tasks as it
+   has blocks. Members are then banded by their distance from the centre: 1 less
+   the similarity is a metric, so members two bands apart cannot be linked, and
+   those linked to the centre need not meet each other. What is left, pairs of
+   blocks of the same or neighbouring bands, is compared as before. A task hands on
+   a spanning forest of its links, at most one row per member; components are
+   joined from these.
+
+So all candidates are confirmed or refuted. In a star of n members that its centre
+is linked to, n texts and a centre per block move. Where many members are near the
+centre without being linked to it, each of their blocks meets all blocks of the
+band before; that part is quadratic in blocks.
+
+Classes are equal sets by 128 bits: where one 64-bit set hash is found with two
+checks, all is hashed again with other salt.
 
 Defined cases: a null or wordless text has an empty set and is linked with
 nothing; a null id never is the smallest while others are there; repeated rows
@@ -38,6 +47,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,22 +91,28 @@ def shingle_sets(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.n
     return codes, np.searchsorted(owner, np.arange(len(column) + 1))
 
 
-def signatures(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per set: half keys (n, 2 * HALVES) and a hash of the whole set; empty sets get zeros."""
+def set_hash(codes: np.ndarray, starts: np.ndarray, salt: int) -> np.ndarray:
+    """A 64-bit hash of each set of codes."""
+    salted = mixed(codes + np.uint64(0x9E3779B97F4A7C15 * (2 * salt + 1) & 0xFFFFFFFFFFFFFFFF))
+    return mixed(np.add.reduceat(mixed(salted), starts) + np.uint64(0x5851F42D4C957F2D) * np.bitwise_xor.reduceat(salted, starts))
+
+
+def signatures(codes: np.ndarray, first: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per set: half keys (n, 2 * HALVES), a hash of the whole set and another to check it by; empty sets get zeros."""
     n = len(first) - 1
     full = np.flatnonzero(np.diff(first) > 0)
     least = np.zeros((len(_XOR), n), np.uint64)
-    whole = np.zeros(n, np.uint64)
+    whole, check = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     if len(full):
         starts = first[:-1][full]
         for k in range(len(_XOR)):
             least[k, full] = np.minimum.reduceat((codes ^ _XOR[k]) * _TIMES[k], starts)
-        whole[full] = mixed(np.add.reduceat(mixed(codes), starts) + np.uint64(0x5851F42D4C957F2D) * np.bitwise_xor.reduceat(codes, starts))
+        whole[full], check[full] = set_hash(codes, starts, 2 * salt), set_hash(codes, starts, 2 * salt + 1)
     least = mixed(least)
     half = least[0::ROWS].copy()
     for r in range(1, ROWS):
         half = mixed(half * np.uint64(0x9E3779B97F4A7C15) + least[r::ROWS])
-    return half.T.copy(), whole
+    return half.T.copy(), whole, check
 
 
 def table_keys(half: np.ndarray) -> np.ndarray:
@@ -106,8 +122,8 @@ def table_keys(half: np.ndarray) -> np.ndarray:
     return mixed(u * np.uint64(0x9E3779B97F4A7C15) + mixed(v + place)).reshape(len(half), -1)
 
 
-def described(docs: DataFrame, key: Column, text: str = "text") -> DataFrame:
-    """Written rows (_id, _th, _n, _class, _half): what the links need of each document."""
+def described(docs: DataFrame, key: Column, text: str = "text", salt: int = 0) -> DataFrame:
+    """Written rows (_id, _th, _n, _class, _check, _half): what the links need of each document."""
     source = docs.select(key.alias("_id"), F.xxhash64(text).alias("_th"), F.col(text).alias("_text"))
     kind = source.schema["_id"].dataType.simpleString()
 
@@ -116,11 +132,11 @@ def described(docs: DataFrame, key: Column, text: str = "text") -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 codes, first = shingle_sets(part.column("_text"))
-                half, whole = signatures(codes, first)
-                columns = [part.column("_id"), part.column("_th"), pa.array(np.diff(first), pa.int64()), pa.array(whole.view(np.int64)), pa.array([r.tobytes() for r in half], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["_id", "_th", "_n", "_class", "_half"])
+                half, whole, check = signatures(codes, first, salt)
+                columns = [part.column("_id"), part.column("_th"), pa.array(np.diff(first), pa.int64()), pa.array(whole.view(np.int64)), pa.array(check.view(np.int64)), pa.array([r.tobytes() for r in half], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["_id", "_th", "_n", "_class", "_check", "_half"])
 
-    return cut(source.mapInArrow(task, f"_id {kind}, _th bigint, _n bigint, _class bigint, _half binary"))
+    return cut(source.mapInArrow(task, f"_id {kind}, _th bigint, _n bigint, _class bigint, _check bigint, _half binary"))
 
 
 def _class_pages(classes: DataFrame, size: int = 4096) -> DataFrame:
@@ -201,26 +217,69 @@ def links_within(column: pa.Array, side: np.ndarray, percent: int) -> np.ndarray
         least = new
 
 
-def star_links(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Written (_a, _b): a spanning forest of the links within all stars."""
-    least = cut(members.groupBy("_key").agg(F.min("_class").alias("_star")))
-    stars = cut(members.join(least, "_key").select("_star", "_class", "_n").distinct())
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS), F.ceil(F.sum("_n") / BLOCK_WORDS)).cast("int")
-    sized = cut(stars.groupBy("_star").agg(blocks.alias("_blocks"), F.count(F.lit(1)).alias("_all")).where("_all > 1"))
-    dealt = stars.join(sized, "_star").withColumn("_block", F.pmod(F.xxhash64("_class", "_star"), F.col("_blocks")).cast("int"))
-    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    groups = dealt.select("_star", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"), "_block", "_class").join(texts, "_class")
-
-    def compare(key, table):
-        i, j = key[1].as_py(), key[2].as_py()
+def _to_centre(column: pa.Array, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distance, linked) of each text to the first."""
+    codes, first = shingle_sets(column)
+    size = np.diff(first)
+    common = np.concatenate([[0], np.cumsum(np.isin(codes, codes[: first[1]]))])
+    common = np.diff(common[first])
+    union = size + size[0] - common
+    return 1 - common / union, 100 * common >= percent * union
+
+
+def _compared(groups: DataFrame, texts: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """(_a, _b): a spanning forest of the links in each group of classes on sides 0 and 1 (only 0: all with all)."""
+
+    def compare(table):
         table = table.sort_by("_class").combine_chunks()
-        side = (table.column("_block").to_numpy() != i).astype(np.int8) if i != j else np.zeros(table.num_rows, np.int8)
         own = table.column("_class").to_numpy()
-        least = links_within(table.column("_text"), side, percent)
+        least = links_within(table.column("_text"), table.column("_side").to_numpy(), percent)
         at = np.flatnonzero(least != np.arange(len(own)))
         return pa.table({"_a": pa.array(own[least[at]], pa.int64()), "_b": pa.array(own[at], pa.int64())})
 
-    return cut(groups.groupBy("_star", "_i", "_j").applyInArrow(compare, "_a bigint, _b bigint"))
+    return groups.join(texts, "_class").groupBy(*keys).applyInArrow(compare, "_a bigint, _b bigint")
+
+
+def _blocks() -> Column:
+    return F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS), F.ceil(F.sum("_n") / BLOCK_WORDS)).cast("int")
+
+
+def star_links(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Written (_a, _b): a spanning forest of the links within all stars."""
+    least = cut(members.groupBy("_key").agg(F.min("_class").alias("_star")))
+    stars = cut(members.join(least, "_key").select("_star", "_class", "_n").distinct())
+    sized = cut(stars.groupBy("_star").agg(_blocks().alias("_blocks"), F.count(F.lit(1)).alias("_all")).where("_all > 1"))
+    small = stars.join(sized.where("_blocks = 1"), "_star").select("_star", "_class", F.lit(0).cast("byte").alias("_side"))
+    found = cut(_compared(small, texts, ["_star"], percent))
+    large = sized.where("_blocks > 1")
+    return found if large.isEmpty() else found.unionByName(_large_star_links(stars, large, texts, percent))
+
+
+def _large_star_links(stars: DataFrame, large: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Written (_a, _b) of stars of several blocks: each member with the centre, then neighbouring bands of distance."""
+    own = stars.join(large, "_star").where("_class <> _star").withColumn("_block", F.pmod(F.xxhash64("_class", "_star"), F.col("_blocks")).cast("int"))
+    centres = large.select("_star", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), F.col("_star").alias("_class"), F.lit(0).cast("long").alias("_n"))
+    dealt = own.select("_star", "_block", "_class", "_n").unionByName(centres).join(texts, "_class")
+
+    def with_centre(key, table):
+        table = table.append_column("_other", pa.compute.not_equal(table.column("_class"), key[0])).sort_by([("_other", "ascending"), ("_class", "ascending")]).combine_chunks()
+        away, linked = _to_centre(table.column("_text"), percent)
+        return pa.table({"_star": pa.array([key[0].as_py()] * (len(away) - 1), pa.int64()), "_class": table.column("_class")[1:], "_n": table.column("_n")[1:], "_away": pa.array(away[1:]), "_linked": pa.array(linked[1:])})
+
+    near = cut(dealt.groupBy("_star", "_block").applyInArrow(with_centre, "_star bigint, _class bigint, _n bigint, _away double, _linked boolean"))
+    width = (1 - percent / 100) * (1 + 1e-9)
+    near = near.withColumn("_band", F.when(F.col("_linked"), 0).otherwise(F.greatest(F.lit(1), F.floor(F.col("_away") / width))).cast("int"))
+    bands = cut(near.groupBy("_star", "_band").agg(_blocks().alias("_blocks")))
+    placed = near.join(bands, ["_star", "_band"]).withColumn("_block", F.pmod(F.xxhash64("_class", "_star"), F.col("_blocks")).cast("int"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("_other")
+    members = ["_star", "_band", "_class", "_block"]
+    within = placed.where("_band > 0").select(*members, each("_blocks"))
+    within = within.select("_star", F.col("_band").alias("_low"), F.least("_block", "_other").alias("_i"), F.col("_band").alias("_high"), F.greatest("_block", "_other").alias("_j"), "_class", (F.col("_block") > F.col("_other")).cast("byte").alias("_side"))
+    next_to = lambda by: placed.join(bands.select("_star", (F.col("_band") + by).alias("_band"), F.col("_blocks").alias("_others")), ["_star", "_band"]).select(*members, each("_others"))
+    upper = next_to(1).select("_star", (F.col("_band") - 1).alias("_low"), F.col("_other").alias("_i"), F.col("_band").alias("_high"), F.col("_block").alias("_j"), "_class", F.lit(1).cast("byte").alias("_side"))
+    lower = next_to(-1).select("_star", F.col("_band").alias("_low"), F.col("_block").alias("_i"), (F.col("_band") + 1).alias("_high"), F.col("_other").alias("_j"), "_class", F.lit(0).cast("byte").alias("_side"))
+    rest = _compared(within.unionByName(upper).unionByName(lower), texts, ["_star", "_low", "_i", "_high", "_j"], percent)
+    return near.where("_linked").select(F.col("_star").alias("_a"), F.col("_class").alias("_b")).unionByName(cut(rest))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -238,23 +297,33 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def class_components(rows: DataFrame, docs: DataFrame, key: Column, text: str, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(classes, components): classes with _class, _n, _rep (least id and its text's hash), _copies of that row; components by class."""
+def classes_of(rows: DataFrame) -> DataFrame:
+    """Written classes of equal sets: _class, _n, _rep (least id and its text's hash), _half, and the least and greatest check of its rows."""
     full = rows.where("_n > 0")
-    classes = cut(full.groupBy("_class").agg(F.first("_n").alias("_n"), F.min(F.struct(F.col("_id").isNull().alias("_no"), F.col("_id"), F.col("_th"))).alias("_rep"), F.first("_half").alias("_half")))
+    return cut(full.groupBy("_class").agg(F.first("_n").alias("_n"), F.min(F.struct(F.col("_id").isNull().alias("_no"), F.col("_id"), F.col("_th"))).alias("_rep"), F.first("_half").alias("_half"), F.min("_check").alias("_low"), F.max("_check").alias("_high")))
+
+
+def class_components(classes: DataFrame, docs: DataFrame, key: Column, text: str, percent: int) -> DataFrame:
+    """Written (_class, _comp) of the classes that links touch."""
     members = bucket_members(classes)
     wanted = cut(classes.join(members.select("_class").distinct(), "_class").select("_class", F.col("_rep._id").alias("_id"), F.col("_rep._th").alias("_th")))
     source = docs.select(key.alias("_k"), F.xxhash64(text).alias("_h"), F.col(text).alias("_text"))
     # always dealt by hash: how many classes are wanted has no bound
     found = source.join(wanted.hint("merge"), source["_k"].eqNullSafe(F.col("_id")) & (source["_h"] == F.col("_th")))
     texts = cut(found.select("_class", "_text").dropDuplicates(["_class"]))
-    return classes, components(star_links(members, texts, percent))
+    return components(star_links(members, texts, percent))
 
 
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(_id, _th, _n, _rep): per document its set's size and the representative (id and text hash) of its component; null for an empty set."""
-    rows = described(docs, F.col(key), text)
-    classes, comps = class_components(rows, docs, F.col(key), text, percent)
+    salt = 0
+    while True:
+        rows = described(docs, F.col(key), text, salt)
+        classes = classes_of(rows)
+        if classes.where("_low <> _high").isEmpty():
+            break
+        salt += 1  # two sets share a hash: hash all anew
+    comps = class_components(classes, docs, F.col(key), text, percent)
     named = classes.select("_class", "_rep").join(comps, "_class", "left").withColumn("_comp", F.coalesce("_comp", "_class"))
     best = cut(named.groupBy("_comp").agg(F.min("_rep").alias("_best")))
     by_class = cut(named.join(best, "_comp").select("_class", F.col("_best").alias("_rep")))

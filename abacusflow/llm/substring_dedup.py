@@ -104,16 +104,16 @@ def _suffixes_of(blocks: list[list[bytes]]) -> list[bytes]:
 class Asked:
     """What a page asks in step 2: ``cold`` suffixes (places in ``first``) and ``hot`` window codes, each with its bucket, in bucket order."""
 
-    def __init__(self, page: PageSuffixes, row: dict, buckets: int):
+    def __init__(self, page: PageSuffixes, row: dict, buckets: int, most: int):
         found = row["prefix_answers"].as_py()
         shared = np.concatenate([restored(x, np.uint32) for x in found]) if found else np.zeros(len(page.prefixes), np.uint32)
         shared = shared[page.prefix]
-        cold = np.flatnonzero((shared > 0) & (shared <= HOT_SUFFIXES))
+        cold = np.flatnonzero((shared > 0) & (shared <= most))
         bucket = bucket_of(page.prefixes[page.prefix[cold]], buckets)
         order = np.argsort(bucket, kind="stable")
         self.cold, self.cold_bucket = cold[order], bucket[order]
         # the windows of hot suffixes, each once
-        hot = (shared > HOT_SUFFIXES)[page.which]
+        hot = (shared > most)[page.which]
         self.windows = np.flatnonzero(np.repeat(hot, np.diff(page.own)))
         self.codes, self.code, self.times = np.unique(page.code[self.windows], return_inverse=True, return_counts=True)
         self.hot_bucket = bucket_of(self.codes, buckets)
@@ -179,8 +179,11 @@ def _answers(parts: list[list[bytes]], window: int, gram: int) -> list[bytes]:
     return [m.tobytes() + h for m, h in zip(np.split(masks, ends), in_two(parts[2]), strict=True)]
 
 
-def repeats(docs: DataFrame, row: Column, text: str = "text", window: int = WINDOW, gram: int = GRAM, page_bytes: int = PAGE_BYTES) -> DataFrame:
-    """(_row, n_words, n_removed, begin, end, kept): spans of removed words (array<bigint>), and the kept words joined by blanks."""
+def repeats(docs: DataFrame, row: Column, text: str = "text", window: int = WINDOW, gram: int = GRAM, page_bytes: int = PAGE_BYTES, most: int = HOT_SUFFIXES) -> DataFrame:
+    """(_row, n_words, n_removed, begin, end, kept): spans of removed words (array<bigint>), and the kept words joined by blanks.
+
+    ``most``: how many suffixes a prefix may have before it is lengthened.
+    """
     if not 0 <= window - gram < 32:
         raise ValueError(f"a window may have 0 to 31 words more than a gram, not {window - gram}")
     pages = paged(docs, row, text, page_bytes)
@@ -196,7 +199,7 @@ def repeats(docs: DataFrame, row: Column, text: str = "text", window: int = WIND
 
     def ask_suffixes(row: dict) -> Iterator[tuple[int, list[bytes]]]:
         page = PageSuffixes(texts_of(row["texts"].as_py()), window, gram)
-        asks = Asked(page, row, buckets)
+        asks = Asked(page, row, buckets, most)
         cold = {b: (x, y) for b, x, y, _ in blocks(asks.cold_bucket)}
         hot = {b: (x, y) for b, x, y, _ in blocks(asks.hot_bucket)}
         for b in sorted(cold.keys() | hot.keys()):
@@ -213,16 +216,16 @@ def repeats(docs: DataFrame, row: Column, text: str = "text", window: int = WIND
             for k in range(batch.num_rows):
                 one = {c: batch.column(c)[k] for c in batch.schema.names}
                 rows = batch.column("rows").slice(k, 1).flatten()
-                for found in _judged(one, texts_of(one["texts"].as_py()), window, gram, buckets):
+                for found in _judged(one, texts_of(one["texts"].as_py()), window, gram, buckets, most):
                     at, to, columns = found
                     yield pa.RecordBatch.from_arrays([rows.slice(at, to - at), *columns], names=["_row", "n_words", "n_removed", "begin", "end", "kept"])
 
     return with_answers(known, nodes).mapInArrow(task, f"_row {kind}, n_words bigint, n_removed bigint, begin array<bigint>, end array<bigint>, kept string")
 
 
-def _repeated(page: PageSuffixes, row: dict, buckets: int) -> np.ndarray:
+def _repeated(page: PageSuffixes, row: dict, buckets: int, most: int) -> np.ndarray:
     """Which windows are repeated, from the answers to step 2."""
-    asks = Asked(page, row, buckets)
+    asks = Asked(page, row, buckets, most)
     masks, flags = np.zeros(len(page.first), np.uint32), asks.times > 1
     answers, at = iter(row["answers"].as_py() or []), [0, 0]
     for b in sorted({*asks.cold_bucket.tolist(), *asks.hot_bucket.tolist()}):
@@ -238,9 +241,9 @@ def _repeated(page: PageSuffixes, row: dict, buckets: int) -> np.ndarray:
     return out
 
 
-def _judged(row: dict, column: pa.Array, window: int, gram: int, buckets: int, step: int = 512) -> Iterator[tuple[int, int, list[pa.Array]]]:
+def _judged(row: dict, column: pa.Array, window: int, gram: int, buckets: int, most: int, step: int = 512) -> Iterator[tuple[int, int, list[pa.Array]]]:
     page = PageSuffixes(column, window, gram)
-    hit = page.start[_repeated(page, row, buckets)]
+    hit = page.start[_repeated(page, row, buckets, most)]
     words, first = page.words, page.words.first
     change = np.zeros(len(words) + 1, np.int64)
     np.add.at(change, hit, 1)

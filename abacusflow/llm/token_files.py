@@ -96,7 +96,7 @@ def encoded(docs: DataFrame, key: str, text: str, tokenizer_path: str, vocabular
     return source.mapInArrow(task, schema)
 
 
-def write_blocks(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", tokenizer_path: str | None = None, vocabulary: int = VOCABULARY, end_id: int = END_ID) -> None:
+def write_blocks(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", tokenizer_path: str | None = None, vocabulary: int = VOCABULARY, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> None:
     """Write blocks to ``folder``/blocks and the index of parts to ``folder``/index.
 
     A block: part, block (its number there), first (ids before it in the part),
@@ -133,7 +133,7 @@ def write_blocks(docs: DataFrame, folder: str, key: str = "doc_id", text: str =
             lengths = batch.column("_n").to_numpy()
             for k in range(batch.num_rows):
                 n += int(lengths[k])
-                if n >= BLOCK_IDS:
+                if n >= block_ids:
                     held.append(batch.slice(start, k + 1 - start))
                     yield closed()
                     start, n = k + 1, 0

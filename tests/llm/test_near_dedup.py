@@ -33,7 +33,6 @@ def brute(rows, percent):
     return [(i, len(s), c, i == c) for (i, *_), s, c in zip(rows, sets, best, strict=True)]
 
 
-
 def key(x):
     return tuple(map(str, x))
 
@@ -62,6 +61,46 @@ def test_families_of_near_copies(spark, monkeypatch):
     assert sorted(kept) == sorted(a for a, _, c, _ in wanted if a == c)
 
 
+def test_drifting_copies_in_large_stars(spark, monkeypatch):
+    """Chains in which neighbours are linked and ends are not, in stars of several blocks and bands."""
+    monkeypatch.setattr(N, "BLOCK_MEMBERS", 3)
+    rows = []
+    for family in range(2):
+        words = prose(family + 70, 120, 5000)
+        for k in range(45):
+            rows.append((len(rows) * 13 % 97, " ".join(words)))
+            for j in range(2):
+                words[(2 * k + j) % 120] = f"v{family}x{k}x{j}"
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    members = []
+    large = N._large_star_links
+    monkeypatch.setattr(N, "_large_star_links", lambda *x: members.append(x[1].count()) or large(*x))
+    found = N.linked(docs).select("_id", "_n", "_rep._id").collect()
+    assert sorted(((a, b, c, a == c) for a, b, c in found), key=key) == sorted(brute(rows, 85), key=key)
+    assert members and members[0] > 0
+
+
+def test_sets_that_share_a_hash_are_hashed_anew(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, " ".join(prose(k, 40))) for k in range(8)] + [(8, " ".join(prose(3, 40)))], "doc_id long, text string")
+    salts, described = [], N.described
+
+    def weak(*x):
+        salts.append(x[3])
+        return described(*x).withColumn("_class", F.col("_class") % 2) if x[3] == 0 else described(*x)
+
+    monkeypatch.setattr(N, "described", weak)
+    assert {r["_id"]: r["_rep"]["_id"] for r in N.linked(docs).collect()} == {k: k for k in range(8)} | {8: 3}
+    assert salts == [0, 1]
+
+
+def test_equal_sums_are_not_equal_words(spark):
+    half = "a"
+    for _ in range(11):
+        half += half.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, half), (2, half.translate(str.maketrans("ab", "ba")))], "doc_id long, text string")
+    assert {r["_id"]: r["_rep"]["_id"] for r in N.linked(docs).collect()} == {1: 1, 2: 2}
+
+
 def test_one_of_each_group_stays(spark, docs, rows):
     clash = docs.withColumn("_row", F.lit(1)).withColumn("_id", F.lit("x"))
     kept = N.deduplicated(clash)
@@ -85,8 +124,8 @@ def test_keys_agree_as_often_as_promised():
             other[k] = f"x{r.integers(1 << 40)}"
         texts += [" ".join(words), " ".join(other)]
     codes, first = N.shingle_sets(pa.array(texts, pa.large_string()))
-    half, whole = N.signatures(codes, first)
+    half, whole, check = N.signatures(codes, first)
     tables = N.table_keys(half)
     assert tables.shape[1] == N.HALVES**2
     assert (tables[0::2] == tables[1::2]).any(axis=1).all()
-    assert len(set(whole.tolist())) == len(texts)
+    assert len(set(whole.tolist())) == len(set(check.tolist())) == len(texts) and not set(whole.tolist()) & set(check.tolist())

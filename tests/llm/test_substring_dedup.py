@@ -31,8 +31,7 @@ def test_equal_to_brute_force(spark, folder, rows):
 
 
 @pytest.mark.parametrize("hot", [0, 3, 256])
-def test_small_pages_and_hot_prefixes(spark, monkeypatch, hot):
-    monkeypatch.setattr(S, "HOT_SUFFIXES", hot)
+def test_small_pages_and_hot_prefixes(spark, hot):
     passages = [prose(k, 50, 3000) for k in range(3)]
     texts = []
     for k in range(60):
@@ -40,7 +39,7 @@ def test_small_pages_and_hot_prefixes(spark, monkeypatch, hot):
         texts.append(" ".join(own[: k % 40] + passages[k % 3][k % 7 : 50 - k % 5] + own[k % 40 :]))
     texts += ["a b " * 60, "a " * 34, "a " * 35, "a " * 36, " ".join(passages[0][:34]), " ".join(prose(7, 900, 5000)), None]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    found = {r["_row"]: r for r in S.repeats(docs, F.col("doc_id"), page_bytes=2000).collect()}
+    found = {r["_row"]: r for r in S.repeats(docs, F.col("doc_id"), page_bytes=2000, most=hot).collect()}
     for i, (w, gone) in enumerate(brute(texts)):
         r = found[i]
         spans = {k for a, b in zip(r["begin"], r["end"], strict=True) for k in range(a, b)}
@@ -49,14 +48,13 @@ def test_small_pages_and_hot_prefixes(spark, monkeypatch, hot):
 
 
 @pytest.mark.parametrize("hot", [0, 10, 1000])
-def test_short_windows_over_few_words(spark, monkeypatch, hot):
+def test_short_windows_over_few_words(spark, hot):
     """Subtrees that branch everywhere: every removed word, and each maximal repeat in texts of their own."""
-    monkeypatch.setattr(S, "HOT_SUFFIXES", hot)
     r = random.Random(hot)
     texts = [" ".join(r.choice("abcd") for _ in range(r.randint(0, 14))) for _ in range(150)] + ["x y z v w u", "q x y z v w u", "x y z v w"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     for window, gram in ((6, 2), (5, 5), (7, 1)):
-        found = {r["_row"]: r for r in S.repeats(docs, F.col("doc_id"), window=window, gram=gram, page_bytes=300).collect()}
+        found = {r["_row"]: r for r in S.repeats(docs, F.col("doc_id"), window=window, gram=gram, page_bytes=300, most=hot).collect()}
         for i, (_, gone) in enumerate(brute(texts, window)):
             assert {k for a, b in zip(found[i]["begin"], found[i]["end"], strict=True) for k in range(a, b)} == gone
 

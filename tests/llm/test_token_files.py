@@ -64,9 +64,9 @@ def test_special_strings_are_text():
 
 
 @pytest.mark.parametrize("vocabulary", [49_408, 1 << 17])
-def test_places_and_documents_are_read_alone(spark, docs, rows, tmp_path, monkeypatch, vocabulary):
-    monkeypatch.setattr(T, "BLOCK_IDS", 700)
-    T.write_blocks(docs, f"{tmp_path}/files", vocabulary=vocabulary)
+def test_places_and_documents_are_read_alone(spark, docs, rows, tmp_path, vocabulary):
+    T.write_blocks(docs, f"{tmp_path}/files", vocabulary=vocabulary, block_ids=700)
+    assert spark.read.parquet(f"{tmp_path}/files/blocks").count() > 3
     assert {r["width"] for r in spark.read.parquet(f"{tmp_path}/files/blocks").select("width").collect()} == {T.width_of(vocabulary)}
     order = [r["ids"] for r in T.read_documents(spark, f"{tmp_path}/files").orderBy("start").collect()]
     everything = np.concatenate([np.array(x, np.uint32) for x in order])
