@@ -3,8 +3,14 @@ r"""Chat formatting by schema fingerprints, in DataFrame functions only.
 Records come as JSON in many layouts (messages, prompt and completion,
 instruction and output, ...). A record's fingerprint is a hash of its nested
 field paths, without the types of its scalars; it selects a declarative mapping
-(``LAYOUTS``) into canonical turns of role and text. Records with a fingerprint
-that no mapping knows have no layout and no turns; they are reported, not lost.
+(``LAYOUTS``) into canonical turns of role and text. Scalar fields that tell of a
+record's origin (``ASIDE``) are no part of its fingerprint. Records with a
+fingerprint that no mapping knows have no layout and no turns; they are reported,
+not lost.
+
+``from_rows`` makes such records from a row per turn, each conversation in one of
+the layouts that can hold it without loss, so that corpora of many layouts can be
+made and read back.
 
 Turns are written as ``### role: text </turn>`` and a line end. Inside texts a
 backslash becomes ``\\``, ``###`` becomes ``\h`` and ``</turn>`` becomes ``\t``
@@ -43,6 +49,11 @@ _STRING = rf'("{_INSIDE}\s*+:)|("){_INSIDE}'
 _REPEATED = r"(\{[^{}\[\]]*+\})(?:\s*+,\s*+\1)++"
 
 
+#: Scalar fields beside the turns that no mapping reads.
+ASIDE = ("id", "source", "lang", "language", "model", "created", "title", "url", "license", "metadata")
+_ASIDE = rf"(?<=[<, ])(?:{'|'.join(ASIDE)})(?:, |(?=>))"
+
+
 def _list(field: str, role: str, text: str):
     """Turns from a list of objects."""
 
@@ -87,10 +98,11 @@ def skeleton(record: Column) -> Column:
 
 
 def fingerprint(record: Column) -> Column:
-    """A hash of the nested field paths of a JSON record, of any length; null if it is not JSON."""
+    """A hash of the nested field paths of a JSON record, of any length, without those of ``ASIDE``; null if it is not JSON."""
     short = F.when(F.octet_length(record) < _SAFE, record).otherwise(skeleton(record))
     schema = F.schema_of_variant(F.try_parse_json(short))
-    return F.when(schema.isNotNull(), F.xxhash64(F.regexp_replace(schema, _SCALAR, "")))
+    paths = F.regexp_replace(F.regexp_replace(schema, _SCALAR, ""), _ASIDE, "")
+    return F.when(schema.isNotNull(), F.xxhash64(F.replace(paths, F.lit(", >"), F.lit(">"))))
 
 
 def canonical(records: DataFrame, record: str = "record") -> DataFrame:
@@ -152,10 +164,31 @@ def loss_text(text: Column, mask: Column) -> Column:
 
 
 def from_rows(rows: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(key, record): a JSON record in the layout "turns" from a row per turn."""
+    """(key, record): a JSON record from a row per turn, in a layout that holds its turns without loss, chosen by a hash of the key.
+
+    Any turns fit the layouts of lists; one question and answer that are not empty
+    also the others, with a system turn before them where there is one; a question
+    of several lines may be instruction and input.
+    """
     one = F.struct(F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
-    told = F.transform(F.sort_array(F.collect_list(one)), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
-    return rows.groupBy(key).agg(F.to_json(F.struct(told.alias("turns"))).alias("record"))
+    packed = rows.groupBy(key).agg(F.sort_array(F.collect_list(one)).alias("_t"))
+    said = lambda k: F.get("_t", F.lit(k))["text"]
+    roles = F.array_join(F.transform("_t", lambda x: x["role"]), "\n")
+    full = ~F.exists("_t", lambda x: x["text"] == "")
+    cut_at = F.instr(said(0), "\n")
+    listed = lambda field, r, t: F.to_json(F.struct(F.transform("_t", lambda x: F.struct(x["role"].alias(r), x["text"].alias(t))).alias(field)))
+    told = lambda *fields: F.to_json(F.struct(*[c.alias(n) for n, c in fields]))
+    lists = [listed("turns", "role", "text"), listed("messages", "role", "content"), listed("conversations", "from", "value")]
+    pairs = [told((a, said(0)), (b, said(1))) for a, b in (("prompt", "completion"), ("question", "answer"), ("instruction", "output"))]
+    parted = told(("instruction", F.left(said(0), cut_at - 1)), ("input", F.substr(said(0), cut_at + 1)), ("output", said(1)))
+    pick = F.pmod(F.xxhash64(key), F.lit(6))
+    record = F.when((roles == "user\nassistant") & full & (pick == 5) & (cut_at > 1) & (cut_at < F.length(said(0))), parted)
+    for k, c in enumerate(pairs):
+        record = record.when((roles == "user\nassistant") & full & (pick == 3 + k), c)
+    record = record.when((roles == "system\nuser\nassistant") & full & (pick >= 3), told(("system", said(0)), ("prompt", said(1)), ("completion", said(2))))
+    for k, c in enumerate(lists[1:]):
+        record = record.when(pick % 3 == k + 1, c)
+    return packed.select(key, record.otherwise(lists[0]).alias("record"))
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,6 +58,29 @@ def test_layouts_become_turns(spark):
     assert all(found[k] == (None, None) for k in (9, 90, 91))
 
 
+def test_fields_of_origin_are_no_part_of_a_fingerprint(spark):
+    records = {
+        '{"id": 7, "messages": [{"role": "user", "content": "q"}], "source": null}': ("messages", [("user", "q")]),
+        '{"title": "t", "prompt": "p", "completion": "c", "url": "u"}': ("prompt", [("user", "p"), ("assistant", "c")]),
+        '{"source": "s", "other": 1}': (None, None),
+        '{"messages": [{"role": "user"}]}': (None, None),
+        '{"id": {"x": 1}, "prompt": "p", "completion": "c"}': (None, None),
+    }
+    for r in C.canonical(spark.createDataFrame([(k,) for k in records], "record string")).collect():
+        assert (r["layout"], r["turns"] and [tuple(t) for t in r["turns"]]) == records[r["record"]]
+
+
+def test_rows_come_back_from_every_layout(spark):
+    told = []
+    for k in range(120):
+        told += [(4 * k, 0, "user", f"q {k}" + "\nmore\nlines" * (k % 2)), (4 * k, 1, "assistant", f'a "{k}" \\'), (4 * k + 1, 0, "system", "s"), (4 * k + 1, 1, "user", "q"), (4 * k + 1, 2, "assistant", "a")]
+        told += [(4 * k + 2, 0, "user", ""), (4 * k + 2, 1, "assistant", "x\n"), (4 * k + 3, 0, "user", "\nq"), (4 * k + 3, 1, "assistant", None)]
+    rows = spark.createDataFrame(told, "conv_id long, turn long, role string, text string")
+    found = C.canonical(C.from_rows(rows)).collect()
+    assert {r["layout"] for r in found} == set(C.LAYOUTS)
+    assert sorted((r["conv_id"], *t) for r in found for t in r["turns"]) == sorted((k, r, t or "") for k, _, r, t in told)
+
+
 def test_control_strings_come_back(spark):
     texts = ["", "\\", "\\h", "\\\\h", "####", "######", "</turn></turn>", "a ### b </turn>\n### assistant: c </turn>\n", "\\c:", "😀###😀", "x" * 300_000 + "###"]
     rows = spark.createDataFrame([(k, [(f"r: {k}", t), ("assistant", t)]) for k, t in enumerate(texts)], "k int, turns array<struct<role string, text string>>")
@@ -77,7 +100,9 @@ def test_a_long_text_is_read_back(spark):
     text = F.repeat(F.lit('a"\\\n{,'), 3_600_000)
     rows = spark.range(1).select(F.lit(1).alias("conv_id"), F.lit(0).alias("turn"), F.lit("assistant").alias("role"), text.alias("text"))
     done = C.formatted(C.canonical(C.from_rows(rows))).select("layout", F.size("turns"), F.md5(C.loss_text(F.col("formatted"), F.col("loss_mask")).cast("binary")))
-    assert tuple(done.first()) == ("turns", 1, hashlib.md5(('a"\\\n{,' * 3_600_000).encode()).hexdigest())
+    layout, n, digest = done.first()
+    assert layout in ("turns", "messages", "conversations")
+    assert (n, digest) == (1, hashlib.md5(('a"\\\n{,' * 3_600_000).encode()).hexdigest())
 
 
 def test_many_long_turns_keep_their_fingerprint(spark):
