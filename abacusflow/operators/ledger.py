@@ -60,11 +60,11 @@ def monthly_control(rows: DataFrame, keys: list[str], month: str, order: list[st
 
 
 def continuity(control: DataFrame, keys: list[str], month: str, tolerance: float = TOLERANCE) -> DataFrame:
-    """Add ``gap`` (opening minus the closing of the month before, where that is there) and ``continuous``."""
+    """Add ``gap``: opening minus the closing of the month before, where that is there and of the same year; a gap beyond the tolerance makes the month an ERROR."""
     w = Window.partitionBy(*keys).orderBy(month)
-    next_to = F.lag(month).over(w) == F.add_months(month, -1)
-    gap = F.when(next_to, F.col("opening") - F.lag("closing").over(w))
-    return control.withColumn("gap", gap.cast("decimal(18,2)")).withColumn("continuous", F.coalesce(F.abs("gap") <= tolerance, F.lit(True)))
+    next_to = (F.lag(month).over(w) == F.add_months(month, -1)) & (F.month(month) > 1)
+    out = control.withColumn("gap", F.when(next_to, F.col("opening") - F.lag("closing").over(w)).cast("decimal(18,2)"))
+    return out.withColumn("state", F.when(F.abs("gap") > tolerance, "ERROR").otherwise(F.col("state")))
 
 
 def reinforce(control: DataFrame, keys: list[str], month: str, tolerance: float = TOLERANCE) -> DataFrame:

@@ -8,10 +8,11 @@ all pairs in that order would, without gathering a group in one task.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..sources.scratch import stored
 
 
 def amount_band(left: DataFrame, right: DataFrame, left_amount: str, right_amount: str, tolerance: float, keys: list[str] | None = None) -> DataFrame:
@@ -22,40 +23,89 @@ def amount_band(left: DataFrame, right: DataFrame, left_amount: str, right_amoun
     return wide.join(right.withColumn("_band", band(right_amount)), [*(keys or []), "_band"]).where(F.abs(F.col(left_amount) - F.col(right_amount)) <= tolerance).drop("_band")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write to the shared checkpoint folder and read back: what follows starts from files that outlive executors."""
-    context = df.sparkSession.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir", None) or f"/tmp/abacusflow-{context.applicationId}"
-    path = f"{folder}/match-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def one_to_one(pairs: DataFrame, left: str, right: str, order: list[Column]) -> DataFrame:
     """The pairs a greedy pass in the given order would take, each left and right at most once. Ties of the order go to the smaller left, then right.
 
-    Every round takes the best pair of all at least, so the rounds end.
+    A round takes every pair that is best for both its sides. Rows that tie with
+    each other and have nothing better, all with all, are taken in one round too,
+    in the order of their ids. Every round takes the best pair of all at least,
+    so the rounds end; a chain of rows that each wait for another takes a round each.
     """
-    place = F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)], F.col(left).alias("l"), F.col(right).alias("r"))
-    rest = stored(pairs.withColumn("_place", place))
+    told = F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)], F.lit(0).alias("o"))
+    rest = stored(pairs.withColumn("_told", told).withColumn("_l", F.col(left)).withColumn("_r", F.col(right)))
+    place = F.struct("_told", "_l", "_r")
     taken = None
     while True:
-        best_left = rest.groupBy(left).agg(F.min("_place").alias("_bl"))
-        best_right = rest.groupBy(right).agg(F.min("_place").alias("_br"))
-        new = stored(rest.join(best_left, left).join(best_right, right).where("_place = _bl and _place = _br").drop("_bl", "_br"))
-        if not new.limit(1).count():
+        best_left = rest.groupBy("_l").agg(F.min("_told").alias("_tl"), F.min(place).alias("_bl"))
+        best_right = rest.groupBy("_r").agg(F.min("_told").alias("_tr"), F.min(place).alias("_br"))
+        told_both = stored(rest.join(best_left, "_l").join(best_right, "_r"))
+        new = stored(told_both.where((place == F.col("_bl")) & (place == F.col("_br"))).select(*rest.columns))
+        n = new.count()
+        if not n:
             break
+        # where few are settled, rows may be waiting for their equals
+        if 4 * n < told_both.select("_l").distinct().count():
+            new = stored(new.unionByName(_tied(told_both, rest.columns)).dropDuplicates(["_l", "_r"]))
         taken = new if taken is None else taken.unionByName(new)
-        rest = stored(rest.join(new.select(left), left, "left_anti").join(new.select(right), right, "left_anti"))
-    return (taken if taken is not None else rest.limit(0)).drop("_place")
+        rest = stored(rest.join(new.select("_l"), "_l", "left_anti").join(new.select("_r"), "_r", "left_anti"))
+    return (taken if taken is not None else rest.limit(0)).drop("_told", "_l", "_r")
+
+
+def _tied(told: DataFrame, columns: list[str]) -> DataFrame:
+    """Of groups of lefts and rights that have nothing better than each other, all with all and all alike: the first left with the first right, the second with the second."""
+    best = told.where((F.col("_told") == F.col("_tl")) & (F.col("_told") == F.col("_tr")))
+    lefts = best.groupBy("_l").agg(F.min("_r").alias("_r0"), F.count(F.lit(1)).alias("_nr"))
+    rights = best.groupBy("_r").agg(F.min("_l").alias("_l0"), F.count(F.lit(1)).alias("_nl"))
+    # a left must have no equally good pair with a right that has better ones, and the other way round
+    all_left = told.where(F.col("_told") == F.col("_tl")).groupBy("_l").agg(F.count(F.lit(1)).alias("_all_r"))
+    all_right = told.where(F.col("_told") == F.col("_tr")).groupBy("_r").agg(F.count(F.lit(1)).alias("_all_l"))
+    rows = best.join(lefts.join(all_left, "_l"), "_l").join(rights.join(all_right, "_r"), "_r")
+    group = ["_told", "_l0", "_r0"]
+    whole = rows.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_nr").alias("_kr"), F.max("_nr").alias("_kr2"), F.min("_nl").alias("_kl"), F.max("_nl").alias("_kl2"), F.max("_all_r").alias("_ar"), F.max("_all_l").alias("_al")
+    )
+    whole = whole.where("_kr = _kr2 and _kl = _kl2 and _ar = _kr and _al = _kl and _n = _kr * _kl and _n > 1").select(*group)
+    rows = rows.join(whole, group, "left_semi")
+    # ranks within a group: a left's is that of its pair with the group's first right, and so for rights
+    ranks = lambda own, first: rows.where(F.col(first[0]) == F.col(first[1])).select(own, F.row_number().over(Window.partitionBy(*group).orderBy(own)).alias(f"{own}_rank"))
+    return rows.join(ranks("_l", ("_r", "_r0")), "_l").join(ranks("_r", ("_l", "_l0")), "_r").where("_l_rank = _r_rank").select(*columns)
+
+
+def ranked(rows: DataFrame, keys: list[str], number: str, name: str, grain: int = 100_000, cells: int = 1024) -> DataFrame:
+    """Add the rank (from 1) of each row within its key by a distinct number. Where a key has more than ``grain`` rows, keys are cut into cells of the number, so that none is one task's sort."""
+    most = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(number).alias("a"), F.max(number).alias("b")).agg(F.max("n").alias("n"), F.min("a").alias("a"), F.max("b").alias("b")).first()  # one row
+    if (most["n"] or 0) <= grain:
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(number)).cast("long"))
+    width = max(1, (int(most["b"]) - int(most["a"])) // cells + 1)
+    placed = rows.withColumn("_cell", F.floor((F.col(number) - int(most["a"])) / width))
+    counts = placed.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = placed.join(counts.select(*keys, "_cell", before.alias("_before")), [*keys, "_cell"])
+    here = F.row_number().over(Window.partitionBy(*keys, "_cell").orderBy(number))
+    return placed.withColumn(name, (F.col("_before") + here).cast("long")).drop("_cell", "_before")
+
+
+def cascade(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_keys: list[list[Column]], right_keys: list[list[Column]]) -> DataFrame:
+    """(left_id, right_id, level): rows matched on the first of several keys, by priority, each row once; a key with a null part never matches.
+
+    All rows with equal keys fit each other, so a pass in the order of ids pairs
+    the first left with the first right and so on: both sides are ranked within
+    their key and joined on key and rank, with no pair more than is taken. A level
+    works on what the ones before left. Ids are distinct numbers.
+    """
+    out = None
+    for level, (ours, theirs) in enumerate(zip(left_keys, right_keys, strict=True)):
 
+        def keyed(df: DataFrame, own: str, parts: list[Column]) -> DataFrame:
+            told = df.select(own, *[p.alias(f"_k{n}") for n, p in enumerate(parts)])
+            return ranked(told.dropna(subset=[c for c in told.columns if c != own]), [c for c in told.columns if c != own], own, "_rank")
 
-def cascade(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_keys: list[Column], right_keys: list[Column], order: list[Column]) -> DataFrame:
-    """(left_id, right_id, level): rows matched on the first of several keys, by priority, that both share; null keys never match."""
-    keyed = lambda df, own, keys: df.select(own, F.posexplode(F.array(*[k.cast("string") for k in keys])).alias("level", "_key")).where("_key is not null")
-    pairs = keyed(left, left_id, left_keys).join(keyed(right, right_id, right_keys), ["level", "_key"])
-    best = pairs.groupBy(left_id, right_id).agg(F.min("level").alias("level"))
-    return one_to_one(best, left_id, right_id, order)
+        on = [f"_k{n}" for n in range(len(ours))]
+        found = stored(keyed(left, left_id, ours).join(keyed(right, right_id, theirs), [*on, "_rank"]).select(left_id, right_id, F.lit(level).alias("level")))
+        out = found if out is None else out.unionByName(found)
+        if level < len(left_keys) - 1:
+            left, right = (stored(x) for x in leftovers(left, right, found, left_id, right_id))
+    return out
 
 
 def best_of(pairs: DataFrame, left: str, order: list[Column], columns: list[str]) -> DataFrame:
@@ -152,8 +202,6 @@ def closest_subset(items: DataFrame, targets: DataFrame, keys: list[str], item:
     The pool is part of the rule; its subsets are numbered and tried in one
     expression, at most 2 ** pool of them.
     """
-    from pyspark.sql.window import Window
-
     ranked = items.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order, item))).where(F.col("_rank") <= pool)
     packed = ranked.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_rank", F.col(item).alias("id"), F.col(amount).alias("x")))).alias("_pool"))
     met = targets.select(*keys, F.col(target).alias("target"), F.col(goal).alias("_goal")).join(packed, keys)

@@ -109,12 +109,12 @@ def monthly_control(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""
 with {_CONTROL},
-near as (select *, case when lag(month) over w = month - interval 1 month then opening - lag(closing) over w end as gap from full_ctl window w as (partition by account order by month))
-select account, month, cast(gap as double) as gap, coalesce(abs(gap) <= 0.05, true) as continuous from near"""
+near as (select *, case when lag(month) over w = month - interval 1 month and month(month) > 1 then opening - lag(closing) over w end as gap from full_ctl window w as (partition by account order by month))
+select account, month, cast(gap as double) as gap, case when abs(gap) > 0.05 or difference is null or abs(difference) > 0.05 then 'ERROR' else 'OK' end as state from near"""
 )
 def month_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ledger.continuity(_control(spark, sf_dir), ["account"], "month")
-    return out.select("account", "month", F.col("gap").cast("double").alias("gap"), "continuous")
+    return out.select("account", "month", F.col("gap").cast("double").alias("gap"), "state")
 
 
 @query(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import MONEY
 from ..operators import fiscal, matching, names, periods, proration
+from ..sources.scratch import run_folder
 from ..streaming import incoming
 from .inputs import MOVEMENTS, movements, read
 from .invoices import _LINE_ORDER, _LINES, debits, invoice_lines, invoices
@@ -149,9 +150,9 @@ def staged_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = F.abs(F.datediff("paid_day", "day"))
     only = lambda pairs: pairs.join(pairs.groupBy("debit").agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").select("debit"), "debit", "left_semi")
     passes = [
-        ("exact", lambda p, q: near(0.0)(p, q).where(days <= 3), [days, F.col("debit"), F.col("invoice")]),
-        ("near", lambda p, q: near(1.0)(p, q).where((days <= 7) | (F.trunc("paid_day", "MM") == F.trunc("day", "MM"))), [days, F.col("debit"), F.col("invoice")]),
-        ("only", lambda p, q: only(near(0.0)(p, q)), [F.col("debit"), F.col("invoice")]),
+        ("exact", lambda p, q: near(0.0)(p, q).where(days <= 3), [days]),
+        ("near", lambda p, q: near(1.0)(p, q).where((days <= 7) | (F.trunc("paid_day", "MM") == F.trunc("day", "MM"))), [days]),
+        ("only", lambda p, q: only(near(0.0)(p, q)), []),
     ]
     return matching.staged(debits(spark, sf_dir), invoices(spark, sf_dir), "debit", "invoice", passes)
 
@@ -162,8 +163,7 @@ def arriving_unique_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch = read(spark, sf_dir, "events")
     stream = spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     once = incoming.without_repeats(stream.withColumn("at", F.col("ts").cast("timestamp")), ["event_id"], "at", "30 days")
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"/tmp/abacusflow-{spark.sparkContext.applicationId}"
-    out = f"{folder}/stream-{uuid.uuid4().hex}"
+    out = f"{run_folder(spark)}/stream-{uuid.uuid4().hex}"
     writer = once.select("event_id", "user_id", "event_type").writeStream.format("parquet").option("checkpointLocation", f"{out}/state").trigger(availableNow=True)
     writer.start(f"{out}/rows").awaitTermination()
     return spark.read.schema("event_id bigint, user_id bigint, event_type string").parquet(f"{out}/rows")

@@ -69,13 +69,25 @@ def tax_payment_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.best_of(pairs, "debit", [F.col("off"), F.col("invoice")], ["invoice", "off"]).select("debit", "invoice", F.col("off").cast("double").alias("off"))
 
 
-@query()
+def _level(k: int, keys: list[tuple[str, str]]) -> str:
+    """The pairs of a level of the cascade: both sides ranked within their key, among what earlier levels left."""
+    mine, theirs = ", ".join(x for x, _ in keys), ", ".join(y for _, y in keys)
+    left = lambda own: "".join(f" and {own} not in (select {own} from l{j})" for j in range(k))
+    on = " and ".join(f"a.{x} = b.{y}" for x, y in keys)
+    return (
+        f"l{k} as (select debit, invoice, {k} as level from (select *, row_number() over (partition by {mine} order by debit) as n from deb where true{left('debit')}) a "
+        f"join (select *, row_number() over (partition by {theirs} order by invoice) as n from inv where true{left('invoice')}) b on {on} and a.n = b.n)"
+    )
+
+
+_LEVELS = [[("customer", "customer"), ("paid_day", "day"), ("paid", "amount")], [("customer", "customer"), ("paid", "amount")], [("customer", "customer"), ("paid_day", "day")]]
+
+
+@query(f"with {_INVOICES}, " + ", ".join(_level(k, keys) for k, keys in enumerate(_LEVELS)) + " select * from l0 union all select * from l1 union all select * from l2")
 def cascade_key_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Debits and invoices on the first key they share: customer, day and amount; customer and amount; customer and day. One to one."""
-    left = debits(spark, sf_dir).withColumn("day", F.col("paid_day"))
-    right = invoices(spark, sf_dir)
-    keys = lambda amount: [F.concat_ws("|", "customer", "day", amount), F.concat_ws("|", "customer", amount), F.concat_ws("|", "customer", "day")]
-    return matching.cascade(left, right, "debit", "invoice", keys("paid"), keys("amount"), [F.col("level"), F.col("debit"), F.col("invoice")])
+    columns = lambda side: [[F.col(pair[side]) for pair in keys] for keys in _LEVELS]
+    return matching.cascade(debits(spark, sf_dir), invoices(spark, sf_dir), "debit", "invoice", columns(0), columns(1))
 
 
 @query()
@@ -84,7 +96,7 @@ def obligation_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = invoices(spark, sf_dir), debits(spark, sf_dir)
     pairs = matching.amount_band(left, right, "amount", "paid", 1.0, ["customer"]).where(within_days_or_month(F.col("day"), F.col("paid_day")))
     pairs = pairs.select("invoice", "debit", F.abs(F.datediff("day", "paid_day")).alias("days"), F.abs(F.col("amount") - F.col("paid")).alias("off"))
-    taken = matching.one_to_one(pairs, "invoice", "debit", [F.col("days"), F.col("off"), F.col("invoice")])
+    taken = matching.one_to_one(pairs, "invoice", "debit", [F.col("days"), F.col("off")])
     state = F.when(F.col("debit").isNull(), "FALTA").when(F.col("off") == 0, "PAGADO").otherwise("PARCIAL")
     return left.select("invoice").join(taken.select("invoice", "debit", "off"), "invoice", "left").select("invoice", "debit", state.alias("state"))
 
@@ -133,13 +145,13 @@ with {_LINES},
 s as (select *, sum(amount) over (partition by l_orderkey) as total, max(k) over (partition by l_orderkey) as last from ln),
 c as (select *, cast(round(amount - cast(amount as decimal(28,10)) * 100 / total, 2) as decimal(18,2)) as part from (select *, cast(amount as decimal(28,10)) as wide from s)),
 d as (select *, sum(part) over (partition by l_orderkey) as done from c)
-select l_orderkey, count(*) as n, cast(sum(part + case when k = last then total - 100 - done else 0 end) as double) as net, cast(max(total) as double) as total from d group by l_orderkey"""
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate, cast(amount as double) as amount, cast(part + case when k = last then total - 100 - done else 0 end as double) as net from d"""
 )
 def discount_prorate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A discount of 100 on each invoice, spread over its lines to the cent."""
+    """A discount of 100 on each invoice, spread over its lines to the cent; the last line takes what rounding leaves."""
     rows = invoice_lines(spark, sf_dir).withColumn("discount", F.lit(100).cast(MONEY))
     done = proration.discounted(rows, ["l_orderkey"], _LINE_ORDER, "amount", "discount")
-    return done.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum("net").cast("double").alias("net"), F.sum("amount").cast("double").alias("total"))
+    return done.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate", *[F.col(c).cast("double").alias(c) for c in ("amount", "net")])
 
 
 @query(

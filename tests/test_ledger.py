@@ -56,8 +56,8 @@ def test_control_and_continuity(spark):
     found = {r["month"].month: r for r in control.collect()}
     assert (found[1]["opening"], found[1]["closing"], found[1]["state"]) == (D(100), D(80), "OK")
     assert found[4]["state"] == "ERROR" and found[4]["closing"] is None
-    near = {r["month"].month: (r["gap"], r["continuous"]) for r in ledger.continuity(control, ["acc"], "month").collect()}
-    assert near == {1: (None, True), 2: (D(5), False), 4: (None, True)}
+    near = {r["month"].month: (r["gap"], r["state"]) for r in ledger.continuity(control, ["acc"], "month").collect()}
+    assert near == {1: (None, "OK"), 2: (D(5), "ERROR"), 4: (None, "ERROR")}
     again = {r["month"].month: (r["opening"], r["state"]) for r in ledger.reinforce(control, ["acc"], "month").collect()}
     assert again[2] == (D(80), "ERROR")
     assert [(r["after_month"].month, r["before_month"].month) for r in ledger.bridges(control, ["acc"], "month").collect()] == [(2, 4)]

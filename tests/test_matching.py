@@ -21,6 +21,36 @@ def test_rounds_equal_a_greedy_pass(spark):
         assert {(x["a"], x["b"]) for x in found} == wanted
 
 
+def test_ties_are_taken_in_few_rounds(spark, monkeypatch):
+    """Equal rows on both sides, some of them with something better elsewhere: few rounds, and what a greedy pass takes."""
+    rounds = []
+    monkeypatch.setattr(matching, "stored", lambda df, real=matching.stored: rounds.append(1) or real(df))
+    left, right = spark.range(300).select(F.col("id").alias("a")), spark.range(1000, 1280).select(F.col("id").alias("b"))
+    found = matching.one_to_one(left.crossJoin(right).withColumn("s", F.lit(1)), "a", "b", [F.col("s")])
+    assert sorted((r["a"], r["b"]) for r in found.collect()) == [(k, 1000 + k) for k in range(280)]
+    assert len(rounds) <= 12
+    for seed in range(3):
+        r = random.Random(seed)
+        kinds = [(a, b, 0 if r.random() < 0.02 else 1) for a in range(24) for b in range(24) if a % 3 == b % 3 or r.random() < 0.03]
+        found = matching.one_to_one(spark.createDataFrame(kinds, "a int, b int, s int"), "a", "b", [F.col("s")]).collect()
+        used_a, used_b, wanted = set(), set(), set()
+        for _, a, b in sorted((s, a, b) for a, b, s in kinds):
+            if a not in used_a and b not in used_b:
+                used_a.add(a)
+                used_b.add(b)
+                wanted.add((a, b))
+        assert {(x["a"], x["b"]) for x in found} == wanted
+
+
+def test_cascade_of_thousands_of_equal_keys(spark):
+    rows = spark.range(5000).select((F.col("id") * 7 % 5000).alias("id"), F.lit("k").alias("k"))
+    cut = matching.ranked(rows, ["k"], "id", "n", grain=10, cells=7).collect()
+    assert all(r["n"] == r["id"] + 1 for r in cut)
+    left, right = spark.range(5000).select(F.col("id").alias("a"), F.lit("k").alias("k")), spark.range(5000).select((F.col("id") * 3).alias("b"), F.lit("k").alias("k"))
+    found = matching.cascade(left, right, "a", "b", [[F.col("k")]], [[F.col("k")]])
+    assert found.count() == 5000 and found.where("b <> 3 * a").count() == 0
+
+
 def test_amount_band_finds_all(spark):
     r = random.Random(1)
     left = [(k, D(r.randint(0, 3000)) / 100) for k in range(120)]
@@ -33,7 +63,7 @@ def test_amount_band_finds_all(spark):
 def test_cascade_prefers_the_first_key(spark):
     left = spark.createDataFrame([(1, "k1", "m1"), (2, None, "m1"), (3, "k9", "m3")], "a int, k string, m string")
     right = spark.createDataFrame([(10, "k1", "m1"), (11, "k2", "m1"), (12, "k3", None)], "b int, k string, m string")
-    found = matching.cascade(left, right, "a", "b", [F.col("k"), F.col("m")], [F.col("k"), F.col("m")], [F.col("level"), F.col("a"), F.col("b")]).collect()
+    found = matching.cascade(left, right, "a", "b", [[F.col("k")], [F.col("m")]], [[F.col("k")], [F.col("m")]]).collect()
     assert sorted((r["a"], r["b"], r["level"]) for r in found) == [(1, 10, 0), (2, 11, 1)]
 
 
