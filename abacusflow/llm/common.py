@@ -1,32 +1,17 @@
-"""What the operators of this subpackage share: the scratch folder and small column helpers."""
+"""What the operators of this subpackage share: small column helpers, and ``cut``, which writes a table to the run's folder and reads it back."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words `[^\x20\x09-\x0D]+`, as a Java pattern.
-WORD = r"[^\x20\x09-\x0D]+"
-
+from ..sources.scratch import run_folder, shared_folder
+from ..sources.scratch import stored as cut
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only where none is set (tests)."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = getattr(spark.sparkContext, "_abacusflow_scratch", None)
-        if folder is None:
-            folder = spark.sparkContext._abacusflow_scratch = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return folder
+__all__ = ["WORD", "ascii_lower", "cut", "run_folder", "shared_folder", "table", "word_count"]
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later plans start from files that outlive executors."""
-    path = f"{shared_folder(df.sparkSession)}/abacusflow-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Words `[^\x20\x09-\x0D]+`, as a Java pattern.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

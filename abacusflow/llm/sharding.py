@@ -1,20 +1,25 @@
 """Sharding by fixed virtual slots.
 
-Records are hashed into thousands of virtual slots, once and for all; bytes are
-added up per slot, and a small map says which shard owns each slot. The map is
-versioned and stored: balancing adds a version that moves as few slots as it can
-to the stored map, and records never need to be hashed again. The Spark setting
-``spark.abacusflow.shardMap`` names the map's folder, for runs that edit the map
-of an earlier one; else a run starts a map in the shared folder. The driver handles the map and the
-per-slot totals (as many rows as there are slots, a parameter), never records.
+Records are hashed by their id into thousands of virtual slots, once and for all,
+so that an edited text stays where it is; bytes are added up per slot, and a small
+map says which shard owns each slot. The map is versioned and stored: balancing
+adds a version that moves as few slots as it can to the stored map, and records
+never need to be hashed again. The Spark setting ``spark.abacusflow.shardMap``
+names the map's folder, for runs that edit the map of an earlier one; else a run
+starts a map in the shared folder. The driver handles the map and the per-slot
+totals (as many rows as there are slots, a parameter), never records.
+
+A slot with over ``HOT`` times the mean slot's bytes is one id's, or a long
+text's. The map marks it as split (shard -1), from then on, and its records are
+dealt to the other slots by id and text.
 
 The law that shards keep is `bytes`: their sizes are near equal. A slot is the
 smallest thing that moves, so shards differ by about one slot's bytes at most.
 
 Defined cases: a null text has no bytes, a row weighs its bytes plus 1; rows
-with equal texts or equal ids are each placed (the slot hash reads id and text);
-null ids are hashed like values; an empty table yields an even map and no rows.
-Input columns named like a result column are replaced.
+with equal texts or equal ids are each placed; rows without an id are hashed by
+their text; an empty table yields an even map and no rows. Input columns named
+like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -30,6 +35,9 @@ from .common import shared_folder, table
 
 SLOTS = 4096
 SHARDS = 16
+#: Times the mean slot's bytes from which a slot is split.
+HOT = 16
+SPLIT = -1
 RESULTS = ("size", "text_crc32", "law", "shard", "slot", "grown_shard", "virtual_slot", "map_version")
 
 
@@ -38,11 +46,23 @@ def size_of(text: str) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
-def virtual_slot(docs: DataFrame, key: str, text: str, slots: int) -> Column:
-    return F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(slots)).cast("int")
+def virtual_slot(key: str, text: str, slots: int, split: list[int] | None = None) -> Column:
+    """A record's slot, by its id (by its text where it has none); records of split slots are dealt to the others by both."""
+    home = F.pmod(F.when(F.col(key).isNotNull(), F.xxhash64(key)).otherwise(F.xxhash64(text)), F.lit(slots)).cast("int")
+    if not split:
+        return home
+    whole = F.array(*[F.lit(s) for s in range(slots) if s not in set(split)])
+    return F.when(home.isin(*split), F.get(whole, F.pmod(F.xxhash64(key, text), F.lit(slots - len(set(split)))).cast("int"))).otherwise(home)
 
 
-def balanced(load: dict[int, tuple[int, int]], slots: int, shards: int, before: list[dict] | None = None) -> list[dict]:
+def hot_slots(load: dict[int, tuple[int, int]], slots: int) -> list[int]:
+    """Slots that weigh over ``HOT`` times the mean, while others are left to take what they hold."""
+    mean = sum(b for _, b in load.values()) / slots
+    found = sorted((s for s, (n, b) in load.items() if b > HOT * mean and n > HOT), key=lambda s: -load[s][1])
+    return sorted(found[: slots // 2])
+
+
+def balanced(load: dict[int, tuple[int, int]], slots: int, shards: int, before: list[dict] | None = None, split: list[int] | None = None) -> list[dict]:
     """Versions of the slot map, the last of them new: slot -> shard, near equal in bytes.
 
     ``load``: slot -> (rows, bytes). Without an earlier version, heavy slots are
@@ -52,14 +72,14 @@ def balanced(load: dict[int, tuple[int, int]], slots: int, shards: int, before:
     """
     versions = list(before or [])
     weight = {s: load.get(s, (0, 0))[1] for s in range(slots)}
-    owner: dict[int, int] = {}
+    owner: dict[int, int] = dict.fromkeys(split or [], SPLIT)
     held = dict.fromkeys(range(shards), 0)
     fair = sum(weight.values()) / shards
     heavy_first = sorted(weight, key=lambda s: (-weight[s], s))
     if versions:
         old = versions[-1]["owner"]
         for s in heavy_first:
-            if old[s] < shards and held[old[s]] + weight[s] / 2 <= fair:
+            if s not in owner and 0 <= old[s] < shards and held[old[s]] + weight[s] / 2 <= fair:
                 owner[s] = old[s]
                 held[old[s]] += weight[s]
     free = [(b, k) for k, b in held.items()]
@@ -118,18 +138,25 @@ def sharded(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: in
     if versions and len(versions[-1]["owner"]) != slots:
         raise ValueError(f"the map has {len(versions[-1]['owner'])} slots, not {slots}")
     kept = [c for c in docs.columns if c not in RESULTS or c in (key, text)]
-    slotted = docs.select(*kept, size_of(text).alias("size"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"), virtual_slot(docs, key, text, slots).alias("virtual_slot"))
+    rows = docs.select(*kept, size_of(text).alias("size"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"))
+    split = [s for s, k in enumerate(versions[-1]["owner"]) if k == SPLIT] if versions else []
+    slotted = rows.withColumn("virtual_slot", virtual_slot(key, text, slots, split))
     load = slot_load(slotted)
-    newest = balanced(load, slots, shards, versions)[-1]
+    hot = hot_slots(load, slots)
+    if hot:
+        split = sorted({*split, *hot})
+        slotted = rows.withColumn("virtual_slot", virtual_slot(key, text, slots, split))
+        load = slot_load(slotted)
+    newest = balanced(load, slots, shards, versions, split)[-1]
     if maps and versions and all(newest[c] == versions[-1][c] for c in ("shards", "owner")):
         newest = versions[-1]
     elif maps:
         map_table(docs.sparkSession, [newest]).coalesce(1).write.mode("append").parquet(maps)
     first: list[int] = []
-    rows = dict.fromkeys(range(shards), 0)
+    held: dict[int, int] = {}
     for s, k in enumerate(newest["owner"]):
-        first.append(rows[k])
-        rows[k] += load.get(s, (0, 0))[0]
+        first.append(held.get(k, 0))
+        held[k] = held.get(k, 0) + load.get(s, (0, 0))[0]
     lookup = lambda values, kind: F.get(F.lit(values).cast(f"array<{kind}>"), F.col("virtual_slot"))
     within = F.row_number().over(Window.partitionBy("virtual_slot").orderBy(F.col(key), F.col("text_crc32"), F.col("size"))) - 1
     return slotted.withColumns(

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, shared_folder, table
+from .common import cut, run_folder, table
 
 VOCABULARY = 49_408
 END_ID = 2
@@ -200,6 +200,6 @@ def read_keys(spark: SparkSession, folder: str, keys: list) -> DataFrame:
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack every document, and say from the files where its ids stand."""
-    folder = f"{shared_folder(spark)}/abacusflow-{uuid.uuid4().hex}"
+    folder = f"{run_folder(spark)}/{uuid.uuid4().hex}"
     write_blocks(table(spark, sf_dir, "documents", "doc_id", "text"), folder)
     return read_documents(spark, folder, digest=True).withColumnRenamed("key", "doc_id")

@@ -33,6 +33,29 @@ def test_map_versions_move_little():
     assert set(fewer["owner"]) == set(range(15))
 
 
+def test_edited_texts_stay_and_hot_ids_are_split(spark, tmp_path):
+    rows = spark.range(6000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab"), (F.col("id") % 37).cast("int")).alias("text"))
+    place = lambda df: {r["doc_id"]: r["virtual_slot"] for r in S.sharded(df).collect()}
+    assert place(rows) == place(rows.withColumn("text", F.concat("text", F.lit(" edited"))))
+    # one id has a third of all rows
+    hot = rows.withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, -5).otherwise(F.col("doc_id"))).withColumn("text", F.concat("text", F.lit(" "), F.expr("uuid()").substr(1, 6)))
+    hot.write.parquet(str(tmp_path / "rows"))
+    hot = spark.read.parquet(str(tmp_path / "rows"))
+    maps = str(tmp_path / "map")
+    for _ in range(2):
+        found = S.sharded(hot, maps=maps).collect()
+        held = defaultdict(int)
+        for r in found:
+            held[r["shard"]] += r["size"]
+        assert len(found) == 6000 and set(held) == set(range(16)) and max(held.values()) - min(held.values()) < 0.02 * max(held.values())
+        assert {r["map_version"] for r in found} == {1}
+        places = defaultdict(list)
+        for r in found:
+            places[r["shard"]].append(r["slot"])
+        assert all(sorted(x) == list(range(len(x))) for x in places.values())
+    assert S.stored_map(spark, maps)[-1]["owner"].count(S.SPLIT) == 1
+
+
 def test_map_is_stored(spark):
     versions = S.balanced({3: (2, 50)}, 8, 2)
     assert S.read_map(S.map_table(spark, versions)) == versions
