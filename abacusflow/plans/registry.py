@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 
 def _load() -> None:
     """Import the modules that register queries."""
-    from . import bank, closing, holdings, invoices, texts  # noqa: F401
+    from . import bank, closing, figures, holdings, invoices, obligations, readings, texts  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
