@@ -24,14 +24,31 @@ def run_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/abacusflow-{spark.sparkContext.applicationId}"
 
 
+def made(spark: SparkSession) -> list[str]:
+    """The tables that this application has written for itself so far, in order."""
+    context = spark.sparkContext
+    if not hasattr(context, "_abacusflow_tables"):
+        context._abacusflow_tables = []
+    return context._abacusflow_tables
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to the run's folder and read it back: what follows starts from files that outlive executors."""
     path = f"{run_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    made(df.sparkSession).append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, tables: list[str]) -> None:
+    """Delete tables of ``made``; what is read from them must have been written elsewhere by then."""
+    for table in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(table)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gone = set(tables)
+    made(spark)[:] = [t for t in made(spark) if t not in gone]
+
+
 def clear(spark: SparkSession) -> None:
-    """Delete all tables of this application; results that are read from them must have been written elsewhere by then."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete all tables of this application, as ``dropped``."""
+    dropped(spark, [*made(spark), run_folder(spark)])
