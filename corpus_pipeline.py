@@ -11,35 +11,62 @@ of ``documents``.
 4. mixing: sources are brought to their target weights, by leaving documents
    out or repeating them;
 5. sharding: every row gets its shard of 16 and its place there.
+
+A stage writes tables for itself in the shared folder. They are deleted when the
+next stage begins, as its documents have been written and read again by then.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from abacusflow.llm import decontamination, mixing, near_dedup, quality_rules, sharding
 from abacusflow.llm.common import cut, table
+from abacusflow.sources import scratch
 
 #: Percent of word-shingle similarity from which documents are near duplicates.
 NEAR_PERCENT = 80
 
 
+def _stage(f: Callable) -> Callable:
+    """A stage that first deletes what the one before it wrote for itself."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        context = spark.sparkContext
+        scratch.dropped(spark, getattr(context, "_corpus_pipeline_tables", []))
+        before = len(scratch.made(spark))
+        out = f(spark, docs, sf_dir)
+        context._corpus_pipeline_tables = scratch.made(spark)[before:]
+        return out
+
+    return run
+
+
+@_stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
+@_stage
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dedup.deduplicated(docs, percent=NEAR_PERCENT)
 
 
+@_stage
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontamination.without_benchmark(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+@_stage
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
 
+@_stage
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.sharded(docs, maps=sharding.map_folder(spark))
 
@@ -52,7 +79,7 @@ STAGES = [
     ("sharding", sharding_stage),
 ]
 
-#: The stages fit a model, use seeded hashes and balance by greedy choice: not in SQL; tests hold them against brute force.
+#: The stages fit a model, use seeded hashes and balance by greedy choice: not in SQL. Tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
