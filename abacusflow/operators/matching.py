@@ -218,3 +218,13 @@ def by_amount_else(rows: DataFrame, ledger: DataFrame, row_id: str, ledger_id: s
     pairs = rows.select(row_id, amount).join(ledger.select(ledger_id, amount, account), amount)
     taken = one_to_one(pairs, row_id, ledger_id, []).select(row_id, account)
     return rows.withColumn("_fallback", fallback).join(taken, row_id, "left").withColumn(account, F.coalesce(account, "_fallback")).drop("_fallback")
+
+
+def payment_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_number: str, right_number: str, left_amount: str, right_amount: str, left_day: str, right_day: str, tolerance: float = 1.0, days: int = 3) -> DataFrame:
+    """(left_id, right_id, by, off): each left row's payment, by its number whatever amount and day, else the closest amount within the tolerance and some days. A payment may serve several."""
+    both = [left_id, right_id, left_amount, right_amount]
+    numbered = left.where((F.col(left_number) != "") & F.col(left_number).isNotNull())
+    by_number = numbered.join(right, numbered[left_number] == right[right_number]).select(*both, F.lit("number").alias("by"))
+    near = amount_band(left, right, left_amount, right_amount, tolerance).where(F.abs(F.datediff(left_day, right_day)) <= days).select(*both, F.lit("amount").alias("by"))
+    found = by_number.unionByName(near).withColumn("off", F.abs(F.col(left_amount) - F.col(right_amount)))
+    return best_of(found, left_id, [F.col("by") != "number", F.when(F.col("by") == "amount", F.col("off")), F.col(right_id)], [right_id, "by", "off"])

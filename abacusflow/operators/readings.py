@@ -149,3 +149,19 @@ def resolved_company(asked: DataFrame, companies: DataFrame, name: str = "name",
     named = asked.join(dim.select(F.col("_db").alias("_named")).distinct(), F.col(database) == F.col("_named"), "left")
     out = named.join(by_name, "ask", "left").join(by_tax, "ask", "left")
     return out.withColumn("found", F.coalesce("_named", "_by_name", "_by_tax")).withColumn("by", F.when(F.col("_named").isNotNull(), "database").when(F.col("_by_name").isNotNull(), "name").when(F.col("_by_tax").isNotNull(), "tax_id")).drop("_named", "_by_name", "_by_tax")
+
+
+def last_amount(line: Column) -> Column:
+    """The last amount of a line, such as 1.234,56 or -12,00; null without one."""
+    found = F.regexp_extract_all(line, F.lit(r"(-?\d[\d.]*,\d{2}-?)"), F.lit(1))
+    return _let(F.get(found, F.size(found) - 1), lambda x: F.when(x.isNotNull(), money.parse_decimal(F.replace(x, F.lit("-"), F.lit(""))) * F.when(x.contains("-"), -1).otherwise(1)))
+
+
+def template_sums(docs: DataFrame, key: str, text: str, start: str, end: str, labels: dict[str, str]) -> DataFrame:
+    """Per document the sum of the last amounts of lines with each label, between the lines of a template's section."""
+    from .extract import column_by_kind, sections
+    from ..functions.text import lines
+
+    told = sections(lines(docs, key, text), [key], "line_no", fold(F.col("line")).rlike(start), fold(F.col("line")).rlike(end))
+    rows = told.where("in_section").select(key, fold(F.col("line")).alias("_label"), last_amount(F.col("line")).alias("_amount")).where("_amount is not null")
+    return column_by_kind(rows, [key], "_label", "_amount", labels)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
+from .running import previous_known
 
 MOST_RULES = 2_000
 UNKNOWN = ("Otros gastos (sin clasificar)", "DEBITO_REVISAR")
@@ -92,10 +93,9 @@ def debit_credit(amount: Column, kind: Column, debit: Column, credit: Column) ->
     )
 
 
-def sides_from_balance(rows: DataFrame, keys: list[str], order: list[str], amount: str, balance: str, guess: Column) -> DataFrame:
-    """Add ``is_credit``: from the change of the balance, else from ``guess``."""
-    from pyspark.sql.window import Window
-
-    change = F.col(balance) - F.lag(balance).over(Window.partitionBy(*keys).orderBy(*order))
+def sides_from_balance(rows: DataFrame, keys: list[str], cell: str, order: list[str], amount: str, balance: str, guess: Column) -> DataFrame:
+    """Add ``is_credit``: from the change of the balance since the last known one, else from ``guess``. ``cell`` cuts long histories, see ``running``."""
+    known = previous_known(rows, keys, cell, order, balance, "_before")
+    change = F.col(balance) - F.col("_before")
     by_balance = F.when(F.abs(change - F.col(amount)) <= 0.05, True).when(F.abs(change + F.col(amount)) <= 0.05, False)
-    return rows.withColumn("is_credit", F.coalesce(by_balance, guess))
+    return known.withColumn("is_credit", F.coalesce(by_balance, guess)).drop("_before")

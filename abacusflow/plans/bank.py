@@ -92,6 +92,26 @@ full_ctl as (select *, opening + credits - debits as computed, closing - (openin
 )
 
 
+@query(
+    f"""
+with {STATEMENT},
+u as (select *, abs(amount) as plain from known)
+select account, event_id, coalesce(case when abs(balance - prev - plain) <= 0.05 then true when abs(balance - prev + plain) <= 0.05 then false end, kind in ('purchase', 'signup')) as is_credit from u"""
+)
+def sides_from_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each unsigned amount of a statement came in, from the balances around it, else from its kind."""
+    rows = statement(spark, sf_dir).withColumn("plain", F.abs("amount"))
+    out = rules.sides_from_balance(rows, ["account"], "month", ORDER, "plain", "balance", F.col("kind").isin("purchase", "signup"))
+    return out.select("account", "event_id", "is_credit")
+
+
+@query("select o_orderkey, o_orderpriority || case when k = 1 then '' else ' (' || k || ')' end as unique_name from (select *, row_number() over (partition by o_orderpriority order by o_orderdate, o_orderkey) as k from orders)")
+def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders named after their priority, told apart by numbers."""
+    o = read(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority", "o_orderdate").withColumn("month", F.trunc("o_orderdate", "MM"))
+    return dedup.unique_names(o, "o_orderpriority", ["o_orderdate", "o_orderkey"], "month").select("o_orderkey", "unique_name")
+
+
 def _control(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ledger.repair_chain(statement(spark, sf_dir), ["account"], "month", ORDER, "amount", "balance")
     return ledger.monthly_control(rows, ["account"], "month", ORDER, "repaired", "balance")

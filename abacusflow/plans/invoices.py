@@ -83,6 +83,23 @@ def _level(k: int, keys: list[tuple[str, str]]) -> str:
 _LEVELS = [[("customer", "customer"), ("paid_day", "day"), ("paid", "amount")], [("customer", "customer"), ("paid", "amount")], [("customer", "customer"), ("paid_day", "day")]]
 
 
+@query(
+    f"""
+with {_INVOICES},
+d as (select *, case when debit % 3 = 0 then (debit - 1) // 10 + 1 end as number from deb),
+c as (select d.debit, i.invoice, 0 as rank, abs(amount - paid) as off, 0::decimal(18,2) as o from d join inv i on i.invoice = d.number
+  union all select debit, invoice, 1, abs(amount - paid), abs(amount - paid) from d join inv on abs(amount - paid) <= 1 and abs(date_diff('day', day, paid_day)) <= 3)
+select debit, invoice, case rank when 0 then 'number' else 'amount' end as by_what, cast(off as double) as off from (select *, row_number() over (partition by debit order by rank, o, invoice) as k from c) where k = 1"""
+)
+def tax_payment_by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every debit's payment: the one with the number in its text, whatever its amount and day, else the closest within 1.00 and 3 days."""
+    d = debits(spark, sf_dir).drop("customer").withColumn("text", F.when(F.col("debit") % 3 == 0, F.concat(F.lit("Pago VEP "), F.expr("(debit - 1) div 10 + 1").cast("string"))).otherwise("Pago"))
+    d = d.withColumn("number", T.payment_number(F.col("text")))
+    right = invoices(spark, sf_dir).select("invoice", "amount", "day", F.col("invoice").cast("string").alias("payment"))
+    out = matching.payment_match(d, right, "debit", "invoice", "number", "payment", "paid", "amount", "paid_day", "day")
+    return out.select("debit", "invoice", F.col("by").alias("by_what"), F.col("off").cast("double").alias("off"))
+
+
 @query(f"with {_INVOICES}, " + ", ".join(_level(k, keys) for k, keys in enumerate(_LEVELS)) + " select * from l0 union all select * from l1 union all select * from l2")
 def cascade_key_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Debits and invoices on the first key they share: customer, day and amount; customer and amount; customer and day. One to one."""

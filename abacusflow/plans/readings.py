@@ -217,3 +217,16 @@ def company_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(way == 0, F.concat(F.lit("db"), k.cast("string"))).when(way == 3, F.concat(F.lit("db"), ((k + 1) % 100).cast("string"))).alias("database"),
     )
     return readings.resolved_company(asked, dim).select("ask", "found", "by")
+
+
+@query(
+    """
+select s_suppkey, cast(cast(abs(s_acctbal) as decimal(18,2)) + 2.5 as double) as fees, cast(case when s_suppkey % 2 = 0 then -10.25 end as double) as vat, 7.0::double as other, 1 as unknown from supplier"""
+)
+def card_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fees and VAT of card summaries: the last amounts of labelled lines of one section."""
+    s = read(spark, sf_dir, "supplier", "s_suppkey", "s_acctbal")
+    vat = F.when(F.col("s_suppkey") % 2 == 0, "IVA 21% 10,25-\n").otherwise("")
+    text = F.concat(F.lit("RESUMEN\nComisión 99,00\nDetalle de cargos\nComisión 1,00 "), _written(F.abs(F.col("s_acctbal")).cast(MONEY)), F.lit("\nComisión plus 2,50\n"), vat, F.lit("sin importe\nCargo extra 7,00\nTotal de cargos 12,00\nIVA 5,00"))
+    out = readings.template_sums(s.select("s_suppkey", text.alias("text")), "s_suppkey", "text", "^DETALLE DE CARGOS", "^TOTAL", {"fees": "^COMISION", "vat": "^IVA"})
+    return out.select("s_suppkey", *[F.col(c).cast("double").alias(c) for c in ("fees", "vat", "other")], F.col("unknown").cast("int").alias("unknown"))
