@@ -52,7 +52,7 @@ def periods_and_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
 with l as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate, cast(l_extendedprice as decimal(18,2)) as x, cast(l_quantity as decimal(18,2)) as q, l_orderkey % 3 as w from lineitem)
-select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate, cast(q as double) as units, cast(case when w = 0 then 3.5 when w = 1 then round(cast(x as double) / cast(q as double), 6) else 1.25 end as double) as price,
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate, cast(q as double) as units, cast(case when w = 0 then 3.5 when w = 1 then cast((2 * cast(x * 100 as hugeint) * 1000000 + cast(q * 100 as hugeint)) // (2 * cast(q * 100 as hugeint)) as double) / 1000000 else 1.25 end as double) as price,
   cast(case when w = 2 then cast(round(q * 1.25, 2) as decimal(18,2)) else x end as double) as amount from l where w <> 1 or x > q * 2"""
 )
 def movement_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:

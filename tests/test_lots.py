@@ -42,7 +42,7 @@ def test_intervals_equal_a_queue(spark):
         rows = events(seed)
         df = spark.createDataFrame(rows, SCHEMA)
         taken, left = queue(rows)
-        found = lots.applications(df, ["k"], "month", ["ord"], grain=7).collect()
+        found = lots.applications(df, ["k"], "month", ["ord"], per_range=3).collect()
         assert sorted((r["k"], r["lot"]["ord"], r["exit_row"]["ord"], r["quantity"]) for r in found) == sorted(taken)
         for r in lots.positions(df, ["k"], "month", ["ord"], "cost").collect():
             units, cost, n = left[r["k"]]
