@@ -13,7 +13,7 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir", None) or getattr(context, "_abacusflow_scratch", None)
     if not folder:
-        if not context.master.startswith("local["):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = context._abacusflow_scratch = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return folder
