@@ -66,3 +66,10 @@ def test_fields_add_up(spark):
 
 def test_odd_tables(empty):
     assert T.by_line(empty, F.col("doc_id")).count() == 0
+
+
+def test_a_word_of_a_million_letters(spark):
+    letters = "".join(chr(97 + k * k % 23) for k in range(1_000_000))
+    found = T.by_line(spark.createDataFrame([(1, f"{letters}\nend")], "k int, text string"), F.col("k")).collect()
+    counts, total = brute(f"{letters}\nend", encoder())
+    assert {r["section"]: r["n_tokens"] for r in found} == counts and found[0]["text_tokens"] == total

@@ -83,3 +83,10 @@ def test_key_may_have_any_name(spark, tmp_path):
     for k, name in enumerate(("_n", "_packed", "_part", "_key", "_text")):
         T.write_blocks(spark.createDataFrame([(1, "a b"), (2, None)], f"`{name}` long, text string"), f"{tmp_path}/{k}", key=name)
         assert [r["key"] for r in T.read_documents(spark, f"{tmp_path}/{k}").orderBy("start").collect()] == [1, 2]
+
+
+def test_a_word_of_a_million_letters(spark, tmp_path):
+    word = "".join(chr(97 + k * k % 23) for k in range(1_000_000))
+    T.write_blocks(spark.createDataFrame([(1, word), (2, "end")], "doc_id long, text string"), f"{tmp_path}/files")
+    order = [r["ids"] for r in T.read_documents(spark, f"{tmp_path}/files").orderBy("start").collect()]
+    assert order == whole([(1, word), (2, "end")])
