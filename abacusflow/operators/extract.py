@@ -43,7 +43,7 @@ def records(docs: DataFrame, keys: list[str], text: str, pattern: str, names: li
 
 def first_of(text: Column, patterns: list[str]) -> Column:
     """Group 1 of the first pattern that is found, else null."""
-    return F.coalesce(*[F.when(F.regexp_extract(text, p, 1) != "", F.regexp_extract(text, p, 1)) for p in patterns])
+    return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns])
 
 
 def column_by_kind(rows: DataFrame, keys: list[str], label: str, amount: str, kinds: dict[str, str], other: str = "other") -> DataFrame:

@@ -93,18 +93,21 @@ def cascade(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left
     their key and joined on key and rank, with no pair more than is taken. A level
     works on what the ones before left. Ids are distinct numbers.
     """
+    names = [[f"_k{level}_{n}" for n in range(len(parts))] for level, parts in enumerate(left_keys)]
+
+    def slim(df: DataFrame, own: str, keys: list[list[Column]]) -> DataFrame:
+        return stored(df.select(own, *[c.alias(n) for parts, told in zip(keys, names, strict=True) for c, n in zip(parts, told, strict=True)]))
+
+    left, right = slim(left, left_id, left_keys), slim(right, right_id, right_keys)
     out = None
-    for level, (ours, theirs) in enumerate(zip(left_keys, right_keys, strict=True)):
+    for level, on in enumerate(names):
 
-        def keyed(df: DataFrame, own: str, parts: list[Column]) -> DataFrame:
-            told = df.select(own, *[p.alias(f"_k{n}") for n, p in enumerate(parts)])
-            return ranked(told.dropna(subset=[c for c in told.columns if c != own]), [c for c in told.columns if c != own], own, "_rank")
+        def keyed(df: DataFrame, own: str) -> DataFrame:
+            rest = df if out is None else df.join(out.select(own), own, "left_anti")  # noqa: B023
+            return ranked(rest.select(own, *on).dropna(subset=on), on, own, "_rank")  # noqa: B023
 
-        on = [f"_k{n}" for n in range(len(ours))]
-        found = stored(keyed(left, left_id, ours).join(keyed(right, right_id, theirs), [*on, "_rank"]).select(left_id, right_id, F.lit(level).alias("level")))
+        found = stored(keyed(left, left_id).join(keyed(right, right_id), [*on, "_rank"]).select(left_id, right_id, F.lit(level).alias("level")))
         out = found if out is None else out.unionByName(found)
-        if level < len(left_keys) - 1:
-            left, right = (stored(x) for x in leftovers(left, right, found, left_id, right_id))
     return out
 
 

@@ -64,16 +64,16 @@ def month_of(day: Column, below: Column) -> Column:
 def invoice_form(text: Column) -> Column:
     """The fields of the tax authority's simple invoice form; the total of a credit note is negative."""
     at = lambda *patterns: first_of(text, list(patterns))
-    kind = F.when(fold(text).contains("NOTA DE CREDITO"), "Nota de Crédito").when(fold(text).contains("NOTA DE DEBITO"), "Nota de Débito").otherwise("Factura")
+    kind = _let(fold(text), lambda x: F.when(x.contains("NOTA DE CREDITO"), "Nota de Crédito").when(x.contains("NOTA DE DEBITO"), "Nota de Débito").otherwise("Factura"))
     letter = at(r"(?i)(?:factura|cr[eé]dito|d[eé]bito)\s+([ABC])\b")
-    total = money.parse_decimal(at(r"(?i)importe total:\s*\$?\s*([\d.,]+)"))
+    total = _let(at(r"(?i)importe total:\s*\$?\s*([\d.,]+)"), money.parse_decimal)
     return F.struct(
         F.concat_ws(" ", kind, letter).alias("kind"),
         at(r"(?i)c[oó]digo:\s*(\d{3})").alias("code"),
-        F.when(at(r"(?i)punto de venta:\s*(\d+)").isNotNull(), voucher(at(r"(?i)punto de venta:\s*(\d+)"), at(r"(?i)comp\.?\s*nro:\s*(\d+)"))).alias("voucher"),
-        dates.parse_date(at(r"(?i)fecha de emisi[oó]n:\s*(\d{2}/\d{2}/\d{4})")).alias("issued"),
-        dates.parse_date(at(r"(?i)desde:\s*(\d{2}/\d{2}/\d{4})")).alias("period_from"),
-        dates.parse_date(at(r"(?i)hasta:\s*(\d{2}/\d{2}/\d{4})")).alias("period_to"),
+        _let(at(r"(?i)punto de venta:\s*(\d+)"), lambda x: F.when(x.isNotNull(), voucher(x, at(r"(?i)comp\.?\s*nro:\s*(\d+)")))).alias("voucher"),
+        _let(at(r"(?i)fecha de emisi[oó]n:\s*(\d{2}/\d{2}/\d{4})"), dates.parse_date).alias("issued"),
+        _let(at(r"(?i)desde:\s*(\d{2}/\d{2}/\d{4})"), dates.parse_date).alias("period_from"),
+        _let(at(r"(?i)hasta:\s*(\d{2}/\d{2}/\d{4})"), dates.parse_date).alias("period_to"),
         F.trim(at(r"(?i)concepto:\s*([^\n]+)")).alias("concept"),
         signed_total(total, F.when(kind == "Nota de Crédito", "NC").otherwise("F")).alias("total"),
         at(r"(?i)\bCAE:\s*(\d{14})").alias("cae"),

@@ -22,7 +22,7 @@ def lot_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Movements as entries and exits of units, with a cost per unit."""
     rows = movements(spark, sf_dir)
     units = lambda c: F.greatest(c, F.lit(0).cast(MONEY)).cast(lots.UNITS)
-    return rows.select("account", "month", *ORDER, units(F.col("amount")).alias("entry"), units(-F.col("amount")).alias("exit"), (F.col("event_id") % 17 + 1).cast("decimal(9,0)").alias("cost"))
+    return rows.select("account", "month", *ORDER, "kind", units(F.col("amount")).alias("entry"), units(-F.col("amount")).alias("exit"), (F.col("event_id") % 17 + 1).cast("decimal(9,0)").alias("cost"))
 
 
 @query(
@@ -53,9 +53,8 @@ def fifo_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def priced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lot events with a price for exits, the exit's amount in cents, and the day."""
-    rows = read(spark, sf_dir, "events", "event_id", "ts", "user_id").select(F.col("user_id").alias("account"), *ORDER, (F.col("event_id") % 13 + 5).cast("decimal(9,0)").alias("price"), F.col("ts").cast("date").alias("day"))
-    rows = lot_events(spark, sf_dir).join(rows, ["account", *ORDER])
-    return rows.withColumn("amount", F.round(F.col("exit") * F.col("price"), 2).cast(MONEY))
+    price = (F.col("event_id") % 13 + 5).cast("decimal(9,0)")
+    return lot_events(spark, sf_dir).withColumns({"price": price, "day": F.col("ts").cast("date"), "amount": F.round(F.col("exit") * price, 2).cast(MONEY)})
 
 
 _SLICES = f"""{_LOTS},
@@ -159,9 +158,8 @@ def average_cost_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dollar_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lot_events(spark, sf_dir).select("account", "month", *ORDER, (F.col("entry") + F.col("exit")).cast(MONEY).alias("amount"), (F.col("cost") * 100).cast("decimal(18,6)").alias("rate"), (F.col("entry") > 0).alias("is_entry"))
-    kinds = read(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type").select(F.col("user_id").alias("account"), *ORDER, F.col("event_type").isin("purchase", "login").alias("physical"))
-    return rows.join(kinds, ["account", *ORDER])
+    physical = F.col("kind").isin("purchase", "login").alias("physical")
+    return lot_events(spark, sf_dir).select("account", "month", *ORDER, (F.col("entry") + F.col("exit")).cast(MONEY).alias("amount"), (F.col("cost") * 100).cast("decimal(18,6)").alias("rate"), (F.col("entry") > 0).alias("is_entry"), physical)
 
 
 @query(
