@@ -171,24 +171,25 @@ def from_rows(rows: DataFrame, key: str = "conv_id", turn: str = "turn", role: s
     of several lines may be instruction and input.
     """
     one = F.struct(F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
-    packed = rows.groupBy(key).agg(F.sort_array(F.collect_list(one)).alias("_t"))
+    packed = rows.groupBy(F.col(key).alias("_key")).agg(F.sort_array(F.collect_list(one)).alias("_t"))
     said = lambda k: F.get("_t", F.lit(k))["text"]
-    roles = F.array_join(F.transform("_t", lambda x: x["role"]), "\n")
-    full = ~F.exists("_t", lambda x: x["text"] == "")
-    cut_at = F.instr(said(0), "\n")
+    roles = F.when(F.size("_t") <= 3, F.array_join(F.transform("_t", lambda x: x["role"]), "\n"))
+    full = (F.size("_t") <= 3) & ~F.exists("_t", lambda x: x["text"] == "")
+    # worked out once, for all the layouts that ask
+    packed = packed.withColumns({"_roles": roles, "_full": full, "_at": F.when(full, F.instr(said(0), "\n")), "_pick": F.pmod(F.xxhash64("_key"), F.lit(6))})
+    roles, full, cut_at, pick = F.col("_roles"), F.col("_full"), F.col("_at"), F.col("_pick")
     listed = lambda field, r, t: F.to_json(F.struct(F.transform("_t", lambda x: F.struct(x["role"].alias(r), x["text"].alias(t))).alias(field)))
     told = lambda *fields: F.to_json(F.struct(*[c.alias(n) for n, c in fields]))
     lists = [listed("turns", "role", "text"), listed("messages", "role", "content"), listed("conversations", "from", "value")]
     pairs = [told((a, said(0)), (b, said(1))) for a, b in (("prompt", "completion"), ("question", "answer"), ("instruction", "output"))]
     parted = told(("instruction", F.left(said(0), cut_at - 1)), ("input", F.substr(said(0), cut_at + 1)), ("output", said(1)))
-    pick = F.pmod(F.xxhash64(key), F.lit(6))
     record = F.when((roles == "user\nassistant") & full & (pick == 5) & (cut_at > 1) & (cut_at < F.length(said(0))), parted)
     for k, c in enumerate(pairs):
         record = record.when((roles == "user\nassistant") & full & (pick == 3 + k), c)
     record = record.when((roles == "system\nuser\nassistant") & full & (pick >= 3), told(("system", said(0)), ("prompt", said(1)), ("completion", said(2))))
     for k, c in enumerate(lists[1:]):
         record = record.when(pick % 3 == k + 1, c)
-    return packed.select(key, record.otherwise(lists[0]).alias("record"))
+    return packed.select(F.col("_key").alias(key), record.otherwise(lists[0]).alias("record"))
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
