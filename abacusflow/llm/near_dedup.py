@@ -197,13 +197,13 @@ def links_within(column: pa.Array, side: np.ndarray, percent: int) -> np.ndarray
     order = np.argsort(place, kind="stable")
     owner, place = owner[order], place[order]
     rows, cols = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(side)),) * 2
-    common = np.zeros((len(rows), len(cols)), np.float32)
+    common = np.zeros((len(rows), len(cols)), np.int64)
     width = 4096  # shingles at a time
     for low in range(0, int(shared.sum()), width):
         a, b = np.searchsorted(place, [low, low + width])
         has = np.zeros((len(size), width), np.float32)
         has[owner[a:b], place[a:b] - low] = 1
-        common += has[rows] @ has[cols].T
+        common += (has[rows] @ has[cols].T).astype(np.int64)
     linked = 100 * common >= percent * (size[rows][:, None] + size[cols][None, :] - common)
     least = np.arange(len(size))
     while True:  # labels spread along links until they stay

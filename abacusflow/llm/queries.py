@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, importance, mixing, near_dedup, ppm, quality_rules, sharding, substring_dedup, token_counts, token_files
+from . import chat_format, decontamination, importance, mixing, near_dedup, ppm, prefix_trie, quality_rules, sharding, simhash_dedup, substring_dedup, token_counts, token_files
 
-_MODULES = (quality_rules, ppm, sharding, near_dedup, chat_format, mixing, token_files, token_counts, substring_dedup, decontamination, importance)
+_MODULES = (quality_rules, ppm, sharding, near_dedup, chat_format, mixing, token_files, token_counts, substring_dedup, decontamination, prefix_trie, simhash_dedup, importance)
 
 
 def queries() -> dict:

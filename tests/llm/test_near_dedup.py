@@ -129,3 +129,12 @@ def test_keys_agree_as_often_as_promised():
     assert tables.shape[1] == N.HALVES**2
     assert (tables[0::2] == tables[1::2]).any(axis=1).all()
     assert len(set(whole.tolist())) == len(set(check.tolist())) == len(texts) and not set(whole.tolist()) & set(check.tolist())
+
+
+def test_a_link_at_the_very_threshold_of_long_texts():
+    """100 times what these share is beyond the whole numbers that 32-bit floats hold."""
+    for common, union, wanted in [(671_585, 790_100, True), (671_653, 790_180, True), (671_584, 790_100, False), (671_551, 790_060, True)]:
+        shared, more = " ".join(f"w{k:x}" for k in range(common + 4)), union - common
+        texts = [f"{shared} " + " ".join(f"{s}{k:x}" for k in range(n)) for s, n in (("a", more // 2), ("b", more - more // 2))]
+        assert (N.links_within(pa.array(texts), np.zeros(2, np.int8), 85)[1] == 0) == wanted
+        assert bool(N._to_centre(pa.array(texts), 85)[1][1]) == wanted

@@ -9,6 +9,7 @@ import xxhash
 
 from abacusflow.llm import decontamination, mixing, near_dedup, quality_rules
 from abacusflow.llm.common import cut
+from abacusflow.sources import scratch
 
 from .conftest import prose
 from .test_decontamination import brute as leak_brute
@@ -39,9 +40,20 @@ def test_stages_take_empty_tables(spark, folder, empty):
         assert stage(spark, empty, folder).count() == 0
 
 
+def test_results_of_two_stages_side_by_side(spark, folder, docs):
+    a = corpus_pipeline.quality_stage(spark, docs, folder)
+    b = corpus_pipeline.decontamination_stage(spark, docs, folder)
+    c = corpus_pipeline.near_dedup_stage(spark, corpus_pipeline.near_dedup_stage(spark, docs, folder).where("doc_id > 1"), folder)
+    assert min(a.count(), b.count(), c.count()) > 0
+    before = set(scratch.made(spark))
+    del a, b, c
+    corpus_pipeline.quality_stage(spark, docs, folder)
+    assert before - set(scratch.made(spark))
+
+
 def test_queries_are_registered():
     names = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{k}" for k in range(1, 14)}
     assert "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
     assert all(f.__module__ for f in (quality_rules.keep_good, near_dedup.deduplicated, decontamination.hits, mixing.mixed))
