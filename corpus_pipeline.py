@@ -12,13 +12,16 @@ of ``documents``.
    out or repeating them;
 5. sharding: every row gets its shard of 16 and its place there.
 
-A stage writes tables for itself in the shared folder. They are deleted when the
-next stage begins, as its documents have been written and read again by then.
+A stage writes tables for itself in the shared folder. They are deleted when a later
+stage begins and the DataFrame that the stage returned is no longer held by anyone, nor
+read by that later stage: so results of several stages, or of several pipelines in one
+session, can be read side by side.
 """
 
 from __future__ import annotations
 
 import functools
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,16 +34,29 @@ from abacusflow.sources import scratch
 NEAR_PERCENT = 80
 
 
+def _unread(spark: SparkSession, docs: DataFrame) -> list[str]:
+    """Tables of stages whose results nobody holds and ``docs`` does not read."""
+    context = spark.sparkContext
+    kept, gone = [], []
+    for result, tables in getattr(context, "_corpus_pipeline_stages", []):
+        (gone if result() is None else kept).append((result, tables))
+    if gone:
+        read = docs.inputFiles()
+        used = [s for s in gone if any(f"/{t.rsplit('/', 1)[-1]}/" in path for t in s[1] for path in read)]
+        kept, gone = kept + used, [s for s in gone if s not in used]
+    context._corpus_pipeline_stages = kept
+    return [t for _, tables in gone for t in tables]
+
+
 def _stage(f: Callable) -> Callable:
-    """A stage that first deletes what the one before it wrote for itself."""
+    """A stage that first deletes what stages before it wrote for themselves and nobody reads any more."""
 
     @functools.wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        context = spark.sparkContext
-        scratch.dropped(spark, getattr(context, "_corpus_pipeline_tables", []))
+        scratch.dropped(spark, _unread(spark, docs))
         before = len(scratch.made(spark))
         out = f(spark, docs, sf_dir)
-        context._corpus_pipeline_tables = scratch.made(spark)[before:]
+        spark.sparkContext._corpus_pipeline_stages.append((weakref.ref(out), scratch.made(spark)[before:]))
         return out
 
     return run
