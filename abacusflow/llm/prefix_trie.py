@@ -207,9 +207,9 @@ node as (select d, p, min(c) as conv_id, count(*) as n, any_value(b) as b, coale
 tree as (select node.*, up.conv_id as parent from node left join node up on up.d = node.d - 1 and up.p = node.p[1:node.d - 1] and node.d > 0),
 kids as (select parent, d - 1 as d, count(*) as k from tree where d > 0 group by parent, d),
 named as (select t.*, coalesce(k, 0) as k from tree t left join kids on kids.parent = t.conv_id and kids.d = t.d),
-below as (select m.conv_id as top, m.d as at, sum(case when n.k = 0 then 1 else 0 end) as leaves, sum((n.n - 1) * n.b) as saved
+below as (select m.conv_id as top, m.d as deep, sum(case when n.k = 0 then 1 else 0 end) as leaves, sum((n.n - 1) * n.b) as saved
   from (select node.conv_id, node.d, member.c from node join member on member.d = node.d and member.p = node.p) m join named n on n.conv_id = m.c and n.d >= m.d group by m.conv_id, m.d)
 select conv_id, cast(d as bigint) as depth, parent as parent_conv_id, n as n_convs, k as n_children, cast(leaves as bigint) as n_leaves, cast(saved as bigint) as saved_tokens, sha256(ends) as ends_sha256
-from named join below on top = conv_id and at = d
+from named join below on top = conv_id and deep = d
 """
 }

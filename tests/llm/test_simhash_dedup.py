@@ -107,16 +107,16 @@ def test_counts_at_distances():
             assert found[d, v] == sum(int(n) for x, n in enumerate(counts) if (x ^ v).bit_count() == d)
 
 
-def test_a_common_value_is_not_asked(spark):
-    """Where most fingerprints agree in the bits of one partition, that partition is left out."""
-    r = random.Random(5)
-    numbers = sorted({r.getrandbits(51) << 13 | 0x155 for _ in range(3000)} | {r.getrandbits(64) for _ in range(20)})
-    signed = np.array(numbers, np.uint64).view(np.int64).tolist()
-    rows = S.bucket_rows(spark.createDataFrame([(x,) for x in signed], "_fp bigint"), m=4)
-    largest = rows.groupBy("part", "value").agg(F.count("*").alias("n"), F.max("asks").alias("asks")).orderBy(F.desc("n")).first()
-    assert largest["n"] >= 3000 / 2**3  # 13 bits alike, 3 that vary
-    asked = rows.where("asks").groupBy("part", "value").count().agg(F.max("count")).first()[0]
-    assert asked < largest["n"]
+def test_a_common_value_is_not_asked():
+    """A fingerprint with a value that most have leaves that partition out, and others ask it as before."""
+    parts, n = [list(range(16 * k, 16 * k + 16)) for k in range(4)], 1 << 20
+    spread = np.full(1 << 16, n >> 16)
+    hot = np.zeros(1 << 16, np.int64)
+    hot[7], hot[9000] = n - 40, 40
+    counts = {tuple(p): S.at_distance(h, 4) for p, h in zip(parts, [hot, spread, spread, spread], strict=True)}
+    cost = S.expected(parts, counts, n, np.array([7 | 3 << 16, 9000 | 3 << 16], np.uint64), 4)
+    within = S.allocated(cost, 4)
+    assert within[0].tolist() == [-1, 1] and (within.sum(axis=0) == 1).all()
 
 
 def test_groups_in_partitions_go_by_correlation():
