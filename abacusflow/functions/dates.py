@@ -15,15 +15,15 @@ MONTHS = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agost
 def parse_date(raw: Column) -> Column:
     """The first format that fits; a bare number is a day count from 1899-12-30; else null."""
     text = F.trim(raw.cast("string"))
-    known = [F.when(text.rlike(_shape(f)), F.try_to_timestamp(text, F.lit(f)).cast("date")) for f in FORMATS]
+    known = [F.when(text.rlike(f"^{shape(f)}$"), F.try_to_timestamp(text, F.lit(f)).cast("date")) for f in FORMATS]
     serial = F.when(text.rlike(r"^\d{5}$"), F.date_add(F.lit("1899-12-30").cast("date"), text.try_cast("int")))
     return F.coalesce(*known, serial)
 
 
-def _shape(form: str) -> str:
+def shape(form: str) -> str:
     """A regular expression for a format: so many digits for its letters (one letter: one or two)."""
     digits = lambda m: r"\d{1,2}" if len(m[0]) == 1 else rf"\d{{{len(m[0])}}}"
-    return "^" + re.sub(r"[dMy]+", digits, re.escape(form)) + "$"
+    return re.sub(r"([dMy])\1*", digits, re.escape(form))
 
 
 def parse_scanned_date(raw: Column) -> Column:

@@ -37,6 +37,46 @@ def token_set(a: str, b: str) -> float:
     return max(_ratio(one, two), *([_ratio(shared, one), _ratio(shared, two)] if shared else [0.0]))
 
 
+def partial(a: str, b: str, floor: float = 0.0) -> float:
+    """0 to 100: the best ratio of the shorter text with a part of the longer: any part of its length, or a shorter one at either end. 0 if that is not above ``floor``.
+
+    One bit-parallel pass over the parts that begin with a character of the shorter
+    text, or are at the start; a part is given up where even a full match of what
+    is left could not beat the best so far.
+    """
+    if not a or not b:
+        return 0.0
+    if len(a) > len(b):
+        return partial(b, a, floor)
+    best = _aligned(a, b, floor)
+    return max(best, _aligned(b, a, max(floor, best))) if len(a) == len(b) else best
+
+
+def _aligned(a: str, b: str, best: float) -> float:
+    m, n = len(a), len(b)
+    places: dict[str, int] = {}
+    for k, c in enumerate(a):
+        places[c] = places.get(c, 0) | (1 << k)
+    full, found = (1 << m) - 1, 0.0
+    for start in range(n):
+        if start and b[start] not in places:
+            continue  # the part from the next character on does as well
+        end = min(start + m, n)
+        if 200.0 * min(m, end - start) / (m + end - start) <= best:
+            continue
+        state = full
+        for at in range(start, end):
+            match = state & places.get(b[at], 0)
+            state = ((state + match) | (state - match)) & full
+            size = at + 1 - start
+            # a whole part counts, and at the start of the text every shorter one
+            if at + 1 == end or not start:
+                ratio = 200.0 * (m - state.bit_count()) / (m + size)
+                if ratio > best:
+                    best = found = ratio
+    return found
+
+
 def _scores(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(np.fromiter((token_set(x or "", y or "") for x, y in zip(a, b, strict=True)), float, len(a)))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import fold
 from .matching import stored
 from .running import previous_known
 
@@ -106,16 +107,23 @@ def average_cost(rows: DataFrame, keys: list[str], order: list[str], amount: str
     return out.select(*keys, *order, cents("_units").alias("units"), F.round(exact, 6).cast("decimal(18,6)").alias("rate"), cents("_result").alias("result"))
 
 
-def pocket_of(text: Column) -> Column:
-    """"fisico" or "bancario": which pocket a movement's text tells of; bank unless it speaks of cash."""
-    told = F.lower(text)
-    return F.when(told.rlike(r"efectivo|fisico|físico|billete|caja"), "fisico").otherwise("bancario")
+# Kinds of movements that bring dollars in and that take them out.
+_INCOMING = ("INGRESO", "COMPRA", "CREDITO", "HABER", "RESCATE")
+_OUTGOING = ("EGRESO", "VENTA", "DEBITO", "DEBE", "SUSCRIPCION")
 
 
-def direction_of(text: Column, amount: Column) -> Column:
-    """"ingreso" or "egreso": by what the text says, else by the amount's sign."""
-    told = F.lower(text)
-    return F.when(told.rlike(r"compra|ingreso|deposito|depósito|acreditacion"), "ingreso").when(told.rlike(r"venta|egreso|retiro|pago|extraccion"), "egreso").when(amount >= 0, "ingreso").otherwise("egreso")
+def pocket_of(stated: Column | None = None) -> Column:
+    """"fisico" where the file states cash (physical, in cash, notes), else "bancario". What a statement's text tells of is the bank's, a deposit of cash too."""
+    if stated is None:
+        return F.lit("bancario")
+    return F.when(fold(stated).rlike("FISIC|EFECT|BILLETE"), "fisico").otherwise("bancario")
+
+
+def direction_of(kind: Column, text: Column) -> Column:
+    """"ingreso" or "egreso": by the stated kind, else by the text (a redemption comes in, a subscription goes out), else out."""
+    told, said = fold(kind), fold(text)
+    by_text = F.when(said.contains("SUSCRIP"), "egreso").when(said.contains("RESCATE"), "ingreso").otherwise("egreso")
+    return F.when(told.isin(*_INCOMING), "ingreso").when(told.isin(*_OUTGOING), "egreso").otherwise(by_text)
 
 
 def both_pockets(rows: DataFrame, keys: list[str], cell: str, order: list[str], physical: str, units: str, rate: str) -> DataFrame:

@@ -32,9 +32,9 @@ def coverage(rows: DataFrame, keys: list[str], day: str) -> DataFrame:
     return out.withColumn("days", F.datediff("last_day", "first_day") + 1)
 
 
-def covered(day: Column, first: Column, last: Column) -> Column:
-    """Whether a day lies in what a statement covers; without bounds everything does."""
-    return F.coalesce((day >= first) & (day <= last), F.lit(True))
+def covered(day: Column, first: Column, last: Column, margin: int = 7) -> Column:
+    """Whether a day lies in what a statement covers, with so many days more on both sides; without a day or a bound it does not."""
+    return F.coalesce((day >= F.date_sub(first, margin)) & (day <= F.date_add(last, margin)), F.lit(False))
 
 
 def clusters(rows: DataFrame, day: str, party: str, voucher: str, kind: str, amount: str, member: str, kinds: tuple[str, ...] = ("IVA", "GAN"), orphan: str = "SS") -> DataFrame:

@@ -1,9 +1,9 @@
 """Matching rows of two tables by amounts, dates, keys and names, each row used once where asked.
 
 Candidates come from equi-joins (amounts by whole units, keys by priority); who
-gets whom is settled in rounds: a pair that is best for both its sides is taken,
-its rows leave, and so on. With a strict total order this gives what a pass over
-all pairs in that order would, without gathering a group in one task.
+gets whom is settled in rounds of asking and keeping. With a strict total order
+this gives what a pass over all pairs in that order would, without gathering a
+group in one task.
 """
 
 from __future__ import annotations
@@ -26,10 +26,12 @@ def amount_band(left: DataFrame, right: DataFrame, left_amount: str, right_amoun
 def one_to_one(pairs: DataFrame, left: str, right: str, order: list[Column]) -> DataFrame:
     """The pairs a greedy pass in the given order would take, each left and right at most once. Ties of the order go to the smaller left, then right.
 
-    A round takes every pair that is best for both its sides. Rows that tie with
-    each other and have nothing better, all with all, are taken in one round too,
-    in the order of their ids. Every round takes the best pair of all at least,
-    so the rounds end; a chain of rows that each wait for another takes a round each.
+    A round lets every left ask for its best pair; a right keeps the best that asks
+    and drops all pairs that are worse, and so the other way round: what is dropped
+    can be in no result. Where all lefts that have pairs ask different rights, they get
+    them. Pairs that are best for both sides are settled at once. Rows that tie
+    with each other and have nothing better, all with all, are taken in one round too,
+    in the order of their ids.
     """
     told = F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)], F.lit(0).alias("o"))
     rest = stored(pairs.withColumn("_told", told).withColumn("_l", F.col(left)).withColumn("_r", F.col(right)))
@@ -39,16 +41,20 @@ def one_to_one(pairs: DataFrame, left: str, right: str, order: list[Column]) ->
         best_left = rest.groupBy("_l").agg(F.min("_told").alias("_tl"), F.min(place).alias("_bl"))
         best_right = rest.groupBy("_r").agg(F.min("_told").alias("_tr"), F.min(place).alias("_br"))
         told_both = stored(rest.join(best_left, "_l").join(best_right, "_r"))
+        asking = told_both.where(place == F.col("_bl"))
+        n_left, n_asked = asking.agg(F.count(F.lit(1)), F.countDistinct("_r")).first()
+        if n_left == n_asked:  # none at all, too
+            last = asking.select(*rest.columns)
+            return (last if taken is None else taken.unionByName(last)).drop("_told", "_l", "_r")
         new = stored(told_both.where((place == F.col("_bl")) & (place == F.col("_br"))).select(*rest.columns))
-        n = new.count()
-        if not n:
-            break
         # where few are settled, rows may be waiting for their equals
-        if 4 * n < told_both.select("_l").distinct().count():
+        if 4 * new.count() < n_left:
             new = stored(new.unionByName(_tied(told_both, rest.columns)).dropDuplicates(["_l", "_r"]))
         taken = new if taken is None else taken.unionByName(new)
-        rest = stored(rest.join(new.select("_l"), "_l", "left_anti").join(new.select("_r"), "_r", "left_anti"))
-    return (taken if taken is not None else rest.limit(0)).drop("_told", "_l", "_r")
+        kept_right = asking.groupBy("_r").agg(F.min(place).alias("_kr"))
+        kept_left = told_both.where(place == F.col("_br")).groupBy("_l").agg(F.min(place).alias("_kl"))
+        alive = told_both.join(kept_right, "_r", "left").join(kept_left, "_l", "left").where((F.col("_kr").isNull() | (place <= F.col("_kr"))) & (F.col("_kl").isNull() | (place <= F.col("_kl"))))
+        rest = stored(alive.select(*rest.columns).join(new.select("_l"), "_l", "left_anti").join(new.select("_r"), "_r", "left_anti"))
 
 
 def _tied(told: DataFrame, columns: list[str]) -> DataFrame:

@@ -103,10 +103,12 @@ def matched_by_passes(debits: DataFrame, invoices: DataFrame, score: Column, tol
         ("late", lambda p: p.where(f"_score >= {least}"), [-F.col("_score"), F.col("_days")]),
     ]
     out = None
+    scored = stored(pairs(debits, invoices).select("debit", "invoice", "_days", "_score"))  # once for all passes
     for name, keep, order in passes:
-        found = stored(one_to_one(keep(pairs(debits, invoices)), "debit", "invoice", order).select("debit", "invoice", F.lit(name).alias("stage")))
+        found = stored(one_to_one(keep(scored), "debit", "invoice", order).select("debit", "invoice", F.lit(name).alias("stage")))
         out = found if out is None else out.unionByName(found)
-        debits, invoices = (stored(x) for x in leftovers(debits, invoices, found, "debit", "invoice"))
+        scored = stored(scored.join(found.select("debit"), "debit", "left_anti").join(found.select("invoice"), "invoice", "left_anti"))
+    debits, invoices = (stored(x) for x in leftovers(debits, invoices, out, "debit", "invoice"))
     for name, goals, items, goal, item, paid, amount, when, then in (("two_invoices", debits, invoices, "debit", "invoice", "paid", "amount", "paid_day", "day"), ("two_debits", invoices, debits, "invoice", "debit", "amount", "paid", "day", "paid_day")):
         week = lambda df, c: df.withColumn("_week", F.date_trunc("week", c))
         sums = subset_sums(week(items, then), week(goals, when), ["_week"], item, amount, goal, paid, tolerance, most=2).where(F.size("members") == 2)

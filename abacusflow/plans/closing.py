@@ -12,8 +12,8 @@ from ..operators import fiscal, matching, names, periods, proration
 from ..sources.scratch import run_folder
 from ..streaming import incoming
 from .inputs import MOVEMENTS, movements, read
-from .invoices import _LINE_ORDER, _LINES, debits, invoice_lines, invoices
-from .registry import query
+from .invoices import _INVOICES, _LINE_ORDER, _LINES, debits, invoice_lines, invoices
+from .registry import greedy_sql, query
 
 
 @query(
@@ -134,16 +134,36 @@ def goods_or_services(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.by_lists(read(spark, sf_dir, "part", "p_partkey", "p_name"), "p_name", lists).select("p_partkey", "label")
 
 
-@query()
+@query(
+    f"""
+with {_INVOICES},
+g as (select customer, cast(date_trunc('month', paid_day) as date) as month, sum(paid) as goal, min(debit) as target from deb group by all),
+pl as (select * from (select customer, cast(date_trunc('month', day) as date) as month, invoice, amount, row_number() over (partition by customer, date_trunc('month', day) order by day, invoice) as r from inv) where r <= 10),
+m as (select customer, month, target, goal, unnest(range(1, 1 << n)) as mask from g join (select customer, month, max(r) as n from pl group by all) using (customer, month)),
+s as (select customer, month, target, mask, abs(goal - sum(amount)) as off, list(invoice order by r) as members from m join pl using (customer, month) where bit_count(mask) <= 7 and (mask >> (r - 1)) & 1 = 1 group by customer, month, target, goal, mask)
+select customer, month, target, array_to_string(members, ',') as members, cast(off as double) as off from (select *, row_number() over (partition by customer, month, target order by off, len(members), mask) as k from s) where k = 1"""
+)
 def credit_closest_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each customer's month the invoices, of its first ten, that come closest to what was paid in it."""
     inv = invoices(spark, sf_dir).withColumn("month", F.trunc("day", "MM"))
     goals = debits(spark, sf_dir).groupBy("customer", F.trunc("paid_day", "MM").alias("month")).agg(F.sum("paid").alias("goal"), F.min("debit").alias("debit"))
     out = matching.closest_subset(inv, goals, ["customer", "month"], "invoice", "amount", "debit", "goal", ["day"])
-    return out.select("customer", "month", "target", "members", F.col("off").cast("double").alias("off"))
+    return out.select("customer", "month", "target", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"), F.col("off").cast("double").alias("off"))
 
 
-@query()
+@query(
+    f"""
+with recursive {_INVOICES},
+amt as (select inv.customer, debit, invoice, amount, paid, day, paid_day, abs(date_diff('day', day, paid_day)) as days from inv join deb on inv.customer = deb.customer and abs(amount - paid) <= 1),
+one as (select * from amt where amount = paid and days <= 3),
+{greedy_sql('first_', 'one', 'customer', 'debit', 'invoice', 'days, ')},
+two as (select * from amt where debit not in (select debit from first_) and invoice not in (select invoice from first_) and (days <= 7 or date_trunc('month', day) = date_trunc('month', paid_day))),
+{greedy_sql('second_', 'two', 'customer', 'debit', 'invoice', 'days, ')},
+rest as (select * from amt where amount = paid and debit not in (select debit from first_ union all select debit from second_) and invoice not in (select invoice from first_ union all select invoice from second_)),
+three as (select * from rest where debit in (select debit from rest group by debit having count(*) = 1)),
+{greedy_sql('third_', 'three', 'customer', 'debit', 'invoice', '')}
+select debit, invoice, 'exact' as stage from first_ union all select debit, invoice, 'near' from second_ union all select debit, invoice, 'only' from third_"""
+)
 def staged_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Debits and invoices of a customer in passes, each on what is left: exact amount within 3 days; within 1.00 and 7 days or the month; exact amount at any date if it is the only candidate."""
     near = lambda tolerance: lambda p, q: matching.amount_band(p, q, "paid", "amount", tolerance, ["customer"])

@@ -42,10 +42,10 @@ def modal_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
 with c as (select o_custkey, min(cast(o_orderdate as date)) as a, max(cast(o_orderdate as date)) as b from orders group by 1)
-select o_custkey, a as first_day, b as last_day, b - a + 1 as days, (select count(*) from events where cast(ts as date) between date '2024-01-10' and date '2024-01-20') as n_covered from c"""
+select o_custkey, a as first_day, b as last_day, b - a + 1 as days, (select count(*) from events where cast(ts as date) between date '2024-01-10' - 7 and date '2024-01-20' + 7) as n_covered from c"""
 )
 def coverage_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The days that each customer's orders cover, and how many events a statement of ten days covers."""
+    """The days that each customer's orders cover, and how many events a statement of ten days covers, a week more on both sides."""
     rows = read(spark, sf_dir, "orders", "o_custkey", "o_orderdate").withColumn("day", F.col("o_orderdate").cast("date"))
     e = read(spark, sf_dir, "events", "ts")
     inside = figures.covered(F.col("ts").cast("date"), F.lit("2024-01-10").cast("date"), F.lit("2024-01-20").cast("date"))

@@ -12,7 +12,7 @@ from ..functions.similarity import token_set_ratio
 from ..operators import asof, matching, proration, reports
 from ..sources.tables import seeded, upserted
 from .inputs import read
-from .registry import query
+from .registry import greedy_sql, query
 
 
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +107,14 @@ def cascade_key_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.cascade(debits(spark, sf_dir), invoices(spark, sf_dir), "debit", "invoice", columns(0), columns(1))
 
 
-@query()
+@query(
+    f"""
+with recursive {_INVOICES},
+near as (select inv.customer, invoice, debit, abs(date_diff('day', day, paid_day)) as days, abs(amount - paid) as off from inv join deb on inv.customer = deb.customer and abs(amount - paid) <= 1
+  where abs(date_diff('day', day, paid_day)) <= 7 or date_trunc('month', day) = date_trunc('month', paid_day)),
+{greedy_sql('took', 'near', 'customer', 'invoice', 'debit', 'days, off, ')}
+select inv.invoice, took.debit, case when took.debit is null then 'FALTA' when off = 0 then 'PAGADO' else 'PARCIAL' end as state from inv left join took on took.invoice = inv.invoice"""
+)
 def obligation_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Obligations and debits of a customer within 1.00 and 7 days or the same month, closest days first, one to one; states of all obligations."""
     left, right = invoices(spark, sf_dir), debits(spark, sf_dir)

@@ -11,7 +11,7 @@ from ..functions.similarity import token_set_ratio
 from ..operators import obligations
 from .inputs import read
 from .invoices import debits, invoices
-from .registry import query
+from .registry import greedy_sql, query
 
 
 @query()
@@ -28,7 +28,15 @@ def obligations_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return obligations.settled(owed, single.unionByName(whole), ("SINDICATO", "PAGO"))
 
 
-@query()
+@query(
+    f"""
+with recursive it as (select o_orderkey as invoice, o_custkey as party, cast(o_orderdate as date) as day, cast(o_totalprice as decimal(18,2)) as net, cast(round(cast(o_totalprice as decimal(18,2)) * 0.21, 2) as decimal(18,2)) as vat from orders join customer on o_custkey = c_custkey),
+wh as (select invoice + 1000000 as withholding, party, day + cast(invoice % 40 as integer) as held_day, cast(round(net * 0.01, 2) as decimal(18,2)) as ss, cast(round(vat * 0.80, 2) as decimal(18,2)) as iva, cast(round(net * 0.02, 2) as decimal(18,2)) as gan from it where invoice % 3 = 0),
+pr as (select wh.party, withholding, invoice, cast(abs(ss - round(net * 0.01, 2)) + abs(iva - round(vat * 0.80, 2)) + abs(gan - round(net * 0.02, 2)) + date_diff('day', day, held_day) * 10 as decimal(18,2)) as score
+  from wh join it on wh.party = it.party and day <= held_day and date_diff('day', day, held_day) <= 45),
+{greedy_sql('took', 'pr', 'party', 'withholding', 'invoice', 'score, ')}
+select withholding, invoice, cast(score as double) as score from took"""
+)
 def withholding_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Withholdings of customers, each with the invoice of the 45 days before that it fits best."""
     inv = invoices(spark, sf_dir).select("invoice", F.col("customer").alias("party"), "day", F.col("amount").alias("net"), F.round(F.col("amount") * F.lit("0.21").cast("decimal(4,2)"), 2).cast(MONEY).alias("vat"))

@@ -184,7 +184,7 @@ def file_names_and_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
 select event_id, ['Rescate', 'Suscripcion', 'Venta', 'Compra', 'Movimiento'][1 + event_id % 5] as operation, cast(case when event_id % 2 = 0 then value else 0 end as double) as debit, cast(case when event_id % 2 = 0 then 0 else value end as double) as credit,
-  case when event_id % 3 = 0 then 'tarjeta' when event_id % 3 = 1 then 'banco' else 'otro' end as issuer, case when event_id % 3 = 2 then 'bancario' else 'fisico' end as pocket, case when event_id % 4 = 1 then 'egreso' else 'ingreso' end as direction,
+  case when event_id % 3 = 0 then 'tarjeta' when event_id % 3 = 1 then 'banco' else 'otro' end as issuer, case when event_id % 3 = 2 then 'bancario' else 'fisico' end as pocket, case when event_id % 4 = 2 or (event_id % 4 = 0 and event_id % 3 > 0) then 'egreso' else 'ingreso' end as direction,
   event_id % 5 > 0 as plausible, cast(greatest(0, event_id % 20 - 10) as double) as levy from (select event_id, cast(cast(value as decimal(18,2)) as double) as value from events)"""
 )
 def statement_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,8 +194,8 @@ def statement_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     operation = vouchers.operation_kind(_one_of(["RESCATE parcial", "suscripción fci", "", None, " "], key % 5), F.when(key % 5 == 3, 1), F.when(key % 5 == 2, -1))
     debit, credit = rules.debit_credit(value, F.when(key % 2 == 0, "N/DEB").otherwise("crédito CRED"), F.lit(None).cast(MONEY), F.lit(None).cast(MONEY))
     issuer = rules.most_hits(_one_of(["Liquidación VISA cupones", "Extracto de cuenta, saldo", "nada"], key % 3), {"tarjeta": ("VISA", "CUPONES"), "banco": ("EXTRACTO", "SALDO", "VISA")}, "otro")
-    pocket = currency.pocket_of(_one_of(["en efectivo", "Billetes", "transferencia"], key % 3))
-    direction = currency.direction_of(_one_of(["Compra usd", "RETIRO", "ajuste", "depósito"], key % 4), value)
+    pocket = currency.pocket_of(_one_of(["en efectivo", "Billetes", "cuenta caja de ahorro"], key % 3))
+    direction = currency.direction_of(_one_of([None, "Compra", "VENTA", "crédito"], key % 4), _one_of(["Rescate FCI", "Suscripción FCI", "Depósito en efectivo"], key % 3))
     plausible = F.coalesce(extract.first_of(_one_of(["", "cuota 1", "n 2 x", "cuota 3", "n 4"], key % 5), [r"cuota (\d)", r"n (\d)"]).isNotNull(), F.lit(False))
     levy, _ = fiscal.closing_difference((key % 20).cast(MONEY), F.lit(7).cast(MONEY), [F.lit(3).cast(MONEY), F.lit(None).cast(MONEY)], F.lit(None).cast(MONEY))
     return e.select("event_id", operation.alias("operation"), debit.cast("double").alias("debit"), credit.cast("double").alias("credit"), issuer.alias("issuer"), pocket.alias("pocket"), direction.alias("direction"), plausible.alias("plausible"), levy.cast("double").alias("levy"))

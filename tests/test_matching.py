@@ -2,6 +2,7 @@ import itertools
 import random
 from decimal import Decimal as D
 
+import pytest
 from pyspark.sql import functions as F
 
 from abacusflow.operators import dedup, matching, proration, reports, rules
@@ -152,3 +153,33 @@ def test_dedup_and_reports(spark):
     money = rows.select("k", F.lit(5).cast("decimal(18,2)").alias("c"), F.lit(2).cast("decimal(18,2)").alias("d"))
     total = {r["k"]: (r["n"], r["net"]) for r in reports.by_category(money, "k", "c", "d").collect()}
     assert total == {"a": (2, D(6)), "(sin categoría)": (2, D(6)), "TOTAL": (4, D(12))}
+
+
+def greedy(pairs):
+    used_l, used_r, out = set(), set(), []
+    for cost, a, b in sorted(pairs):
+        if a not in used_l and b not in used_r:
+            used_l.add(a)
+            used_r.add(b)
+            out.append((a, b))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("kind", ["ladder", "descending ladder", "random", "ties"])
+def test_assignment_in_few_rounds(spark, monkeypatch, kind):
+    r = random.Random(5)
+    pairs = {
+        "ladder": [(0, i, j) for i in range(400) for j in (i, i + 1)],
+        "descending ladder": [(-i, i, j) for i in range(60) for j in (i, i + 1)],
+        "random": [(r.randrange(40), r.randrange(150), r.randrange(150)) for _ in range(1500)],
+        "ties": [(0, i, j) for i in range(40) for j in range(30)] + [(1, i, 100 + i // 2) for i in range(40)],
+    }[kind]
+    pairs = sorted({(a, b): c for c, a, b in pairs}.items())
+    pairs = [(c, a, b) for (a, b), c in pairs]
+    rounds = []
+    old = matching._tied
+    monkeypatch.setattr(matching, "_tied", lambda *x: (rounds.append(1), old(*x))[1])
+    df = spark.createDataFrame(pairs, "c int, a int, b int")
+    found = sorted((x["a"], x["b"]) for x in matching.one_to_one(df, "a", "b", [F.col("c")]).collect())
+    assert found == greedy(pairs)
+    assert len(rounds) < 12
