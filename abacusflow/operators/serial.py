@@ -149,7 +149,7 @@ class _State:
         groups = max(1, n // TOGETHER)
         by = F.col("key") if self.hot else F.pmod(F.xxhash64("key"), F.lit(groups))
         out = stored(rows.withColumn("_group", by).groupBy("_group").applyInArrow(lambda t: _settled(t.drop_columns(["_group"])), "key string, l long, level int, r long, waits boolean"))
-        best = stored(out.where("r is not null").groupBy("r").agg(F.min(F.struct("l", "level", "key")).alias("_b")).select("r", "_b.*"))
+        best = out.where("r is not null").groupBy("r").agg(F.min(F.struct("l", "level", "key")).alias("_b")).select("r", "_b.*")
         told = ["l", "level", "key"]
         lost = out.where("r is not null").join(best.select("r", F.col("l").alias("_won")), "r").where("l > _won").select(*told)
         pushed = self.held.join(best.select("r"), "r", "left_semi").join(out.select("l"), "l", "left_anti").select(*told)
@@ -160,8 +160,12 @@ class _State:
             again = again.join(self.lefts.select("l", "key", "cell"), ["l", "key"])
         on = self._first(self.lefts.join(passed, "l").where("level > _past"))
         nxt = again.unionByName(on.select(*again.columns))
-        self.asking = stored(nxt if wait is None else nxt.unionByName(wait.select(*nxt.columns)))
-        self.held = stored(self.held.join(best.select("r"), "r", "left_anti").unionByName(best.select(*self.held.columns)))
+        if wait is not None:
+            nxt = nxt.unionByName(wait.select(*nxt.columns))
+        held = self.held.join(best.select("r"), "r", "left_anti").unionByName(best.select(*self.held.columns))
+        # both in one table: who holds something has an r
+        both = stored(held.unionByName(nxt, allowMissingColumns=True))
+        self.held, self.asking = both.where("r is not null").select(*self.held.columns), both.where("r is null").select(*self.asking.columns)
 
 
 def _tops(keys: DataFrame, held: DataFrame) -> DataFrame:
