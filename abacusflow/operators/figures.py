@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.money import MONEY
+from .running import numbered
 
 
 def state_summary(rows: DataFrame, state: str, amount: str, order: list[str]) -> DataFrame:
@@ -71,8 +72,7 @@ def same_throughout(rows: DataFrame, keys: list[str], columns: list[str]) -> Dat
 def numbered_on(there: DataFrame, new: DataFrame, keys: list[str], number: str, order: list[str]) -> DataFrame:
     """New rows with numbers that go on from the largest of their key, from 0 where there is none. One writer at a time."""
     last = there.groupBy(*keys).agg(F.max(number).alias("_last"))
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return new.withColumn("_k", F.row_number().over(w)).join(last, keys, "left").withColumn(number, F.coalesce("_last", F.lit(-1)) + F.col("_k")).drop("_k", "_last")
+    return numbered(new, keys, order, "_k").join(last, keys, "left").withColumn(number, F.coalesce("_last", F.lit(-1)) + F.col("_k")).drop("_k", "_last")
 
 
 def repeats_apart(rows: DataFrame, keys: list[Column], order: list[str], reason: str = "duplicado") -> DataFrame:
@@ -97,8 +97,7 @@ def quotas(sizes: DataFrame, stratum: str, n: str, total: int, floor: int, prior
 
 def by_quota(rows: DataFrame, stratum: str, given: DataFrame, order: list[str]) -> DataFrame:
     """The first rows of every stratum, as many as its quota."""
-    w = Window.partitionBy(stratum).orderBy(*order)
-    return rows.withColumn("_rank", F.row_number().over(w)).join(F.broadcast(given.select(stratum, "quota")), stratum).where("_rank <= quota").drop("_rank", "quota")
+    return numbered(rows, [stratum], order, "_rank").join(F.broadcast(given.select(stratum, "quota")), stratum).where("_rank <= quota").drop("_rank", "quota")
 
 
 def signed_total(total: Column, kind: Column) -> Column:

@@ -8,6 +8,8 @@ group in one task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -137,6 +139,31 @@ def staged(left: DataFrame, right: DataFrame, left_id: str, right_id: str, passe
     return out
 
 
+def released(left: DataFrame, right: DataFrame, left_id: str, right_id: str, passes: list, release: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(left_id, right_id, stage, round): ``staged``, again and again: after each round ``release`` names matches that do not hold (of left_id, right_id, stage), their rows are free again and all free rows are offered anew.
+
+    A pair that was released is never offered again, so every round that releases
+    anything leaves fewer pairs to try, and the rounds end. What a round has kept
+    stays.
+    """
+    kept, barred, number = None, None, 0
+    free_left, free_right = left, right
+    while True:
+        number += 1
+
+        def open_pairs(find, barred=barred):
+            return find if barred is None else lambda p, q: find(p, q).join(barred, [left_id, right_id], "left_anti")
+
+        found = stored(staged(free_left, free_right, left_id, right_id, [(name, open_pairs(find), order) for name, find, order in passes]))
+        back = stored(release(found).select(left_id, right_id).distinct())
+        held = found.join(back, [left_id, right_id], "left_anti").withColumn("round", F.lit(number))
+        kept = stored(held if kept is None else kept.unionByName(held))
+        if back.isEmpty():
+            return kept
+        barred = stored(back if barred is None else barred.unionByName(back))
+        free_left, free_right = (stored(x) for x in leftovers(left, right, kept, left_id, right_id))
+
+
 def _blocked(items: DataFrame, keys: list[str], item: str, grain: int) -> tuple[DataFrame, DataFrame]:
     """Items with a block of about ``grain`` items of their key, and (keys, _block): every block of every key."""
     counts = items.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / grain).cast("int").alias("_blocks"))
@@ -199,10 +226,28 @@ def subset_sums(items: DataFrame, targets: DataFrame, keys: list[str], item: str
 
 
 def shared_words(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_name: Column, right_name: Column, least: int = 2, longer_than: int = 3) -> DataFrame:
-    """(left_id, right_id, shared): names that share at least so many words of some length; found by an equi-join on words."""
-    words = lambda df, own, name: df.select(own, F.explode(F.array_distinct(F.filter(F.split(name, " "), lambda x: F.length(x) > longer_than))).alias("_word"))
-    met = words(left, left_id, left_name).join(words(right, right_id, right_name), "_word").groupBy(left_id, right_id).agg(F.count(F.lit(1)).alias("shared"))
-    return met.where(F.col("shared") >= least)
+    """(left_id, right_id, shared): names that share at least so many words of some length.
+
+    Names that share ``least`` words share one of each name's rarest words, all but
+    its ``least`` - 1 most common. So names meet on these alone, and a word that most
+    names have ("sociedad") brings none together but those that have nothing rarer.
+    """
+
+    def worded(df: DataFrame, own: str, name: Column, side: str) -> DataFrame:
+        words = F.array_distinct(F.filter(F.split(name, " "), lambda x: F.length(x) > longer_than))
+        return df.select(F.col(own).alias("_id"), words.alias("_words"), F.lit(side).alias("_side")).where(F.size("_words") >= least)
+
+    both = stored(worded(left, left_id, left_name, "l").unionByName(worded(right, right_id, right_name, "r")))
+    each = both.select("_side", "_id", F.explode("_words").alias("_word"))
+    counts = each.groupBy("_word").agg(F.count(F.lit(1)).alias("_n"))
+    order = F.array_sort(F.collect_list(F.struct("_n", "_word")))
+    rare = each.join(counts, "_word").groupBy("_side", "_id").agg(order.alias("_o")).select("_side", "_id", F.explode(F.slice("_o", F.lit(1), F.size("_o") - (least - 1))).alias("_w"))
+    rare = stored(rare.select("_side", "_id", "_w._word"))
+    side = lambda name, own: rare.where(F.col("_side") == name).select(F.col("_id").alias(own), "_word")
+    met = side("l", "_l").join(side("r", "_r"), "_word").select("_l", "_r").distinct()
+    words = lambda name, own, as_: both.where(F.col("_side") == name).select(F.col("_id").alias(own), F.col("_words").alias(as_)).dropDuplicates([own])
+    told = met.join(words("l", "_l", "_a"), "_l").join(words("r", "_r", "_b"), "_r").withColumn("shared", F.size(F.array_intersect("_a", "_b")).cast("long"))
+    return told.where(F.col("shared") >= least).select(F.col("_l").alias(left_id), F.col("_r").alias(right_id), "shared")
 
 
 def closest_subset(items: DataFrame, targets: DataFrame, keys: list[str], item: str, amount: str, target: str, goal: str, order: list[str], pool: int = 10, most: int = 7) -> DataFrame:

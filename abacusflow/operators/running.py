@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.scratch import stored
+
 _AGGREGATES = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -51,3 +53,15 @@ def previous_known(rows: DataFrame, keys: list[str], cell: str, order: list, val
     here = Window.partitionBy(*keys, cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn(name, F.last(value, ignorenulls=True).over(here))
     return _joined(rows, cells, [*keys, cell]).withColumn(name, F.coalesce(name, "_carried")).drop("_carried")
+
+
+def numbered(rows: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
+    """Add each row's number (from 1) within its key, in a total order. Rows are dealt by ranges of key and order, so a key of any size is as many tasks as it has ranges; a number is that within the range and the rows of the ranges before."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(rows.repartitionByRange(parts, *keys, *order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_size"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*keys, "_range", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    here = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    out = _joined(dealt.withColumn("_here", here), sizes, [*keys, "_range"])
+    return out.withColumn(name, (F.col("_before") + F.col("_here")).cast("long")).drop("_range", "_here", "_before")

@@ -6,10 +6,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.money import MONEY
-from ..operators import fiscal, matching, names, periods, proration
-from ..sources.scratch import run_folder
+from ..operators import attempts, fiscal, matching, names, periods, proration
+from ..sources.scratch import run_folder, stored
 from ..streaming import incoming
 from .inputs import MOVEMENTS, movements, read
 from .invoices import _INVOICES, _LINE_ORDER, _LINES, debits, invoice_lines, invoices
@@ -87,8 +88,33 @@ def schedule_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each order's lines would do as a schedule."""
     rows = read(spark, sf_dir, "lineitem", "l_orderkey", "l_discount", "l_tax", "l_returnflag", "l_shipdate")
     rows = rows.select("l_orderkey", F.when(F.col("l_discount") > 0.09, -1).otherwise(F.when(F.col("l_tax") == 0, 0).otherwise(1)).cast(MONEY).alias("x"), F.when(F.col("l_returnflag") != "N", F.col("l_shipdate")).alias("d"))
-    zero_first = rows.withColumn("x", F.col("x"))
-    return fiscal.plausible_schedule(zero_first, ["l_orderkey"], "x", "d")
+    return fiscal.plausible_schedule(rows, ["l_orderkey"], "x", "d")
+
+
+@query(
+    """
+with r as (select o_custkey as doc, row_number() over (partition by o_custkey order by o_orderkey) as n, cast(o_orderdate as date) as day, cast(o_totalprice as decimal(18,2)) as capital, cast(round(cast(o_totalprice as decimal(18,2)) * 0.05, 2) as decimal(18,2)) as interest from orders)
+select doc, n, case when doc % 5 = 4 then null else day end as due_date, cast(case when doc % 5 = 4 then null else capital end as double) as capital, cast(case when doc % 5 = 4 then null else capital + interest end as double) as due,
+  ['lines', 'fields', 'scan', 'lines', null][doc % 5 + 1] as strategy, [1, 2, 3, 1, 3][doc % 5 + 1] as attempts, case when doc % 5 = 4 then 'ZERO_AMOUNTS' else 'OK' end as reason from r where doc % 5 < 4
+union all select distinct doc, null::bigint, null::date, null::double, null::double, null, 3, 'ZERO_AMOUNTS' from r where doc % 5 = 4"""
+)
+def schedules_in_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer's orders as a printed schedule in one of three layouts, or with zeros for amounts, read in up to three attempts."""
+    o = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    capital, layout = F.col("o_totalprice").cast(MONEY), F.col("o_custkey") % 5
+    interest = F.round(capital * F.lit("0.05").cast("decimal(3,2)"), 2).cast(MONEY)
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    written = lambda x: F.translate(F.format_number(F.when(layout == 4, F.lit(0).cast(MONEY)).otherwise(x), 2), ".,", ",.")
+    told = [place.cast("string"), F.date_format("o_orderdate", "dd/MM/yyyy"), *[written(x) for x in (capital, interest, capital + interest)]]
+    fields = F.when(layout == 1, F.concat_ws("\n", *told)).otherwise(F.concat_ws(" ", *told))
+    # a scan reads noughts as letters and slashes as quotes from the date on
+    scan = F.concat(F.regexp_extract(fields, r"^(\d+ )", 1), F.translate(F.regexp_replace(fields, r"^\d+ ", ""), "0/", "O'"))
+    lines = o.select(F.col("o_custkey").alias("doc"), place.alias("n"), F.when(layout == 2, scan).otherwise(fields).alias("line"))
+    page = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
+    docs = stored(lines.groupBy("doc").agg(page.alias("text")))
+    rows, log = attempts.loan_schedules(docs, "doc", "text")
+    out = attempts.outcome(log, "doc").join(rows.select("doc", "n", "due_date", "capital", "due"), "doc", "left")
+    return out.select("doc", F.col("n").cast("long").alias("n"), "due_date", F.col("capital").cast("double").alias("capital"), F.col("due").cast("double").alias("due"), "strategy", F.col("attempts").cast("int").alias("attempts"), "reason")
 
 
 @query(

@@ -34,7 +34,7 @@ def greedy_sql(name: str, pairs: str, group: str, left: str, right: str, order:
 
 def _load() -> None:
     """Import the modules that register queries."""
-    from . import accounts, bank, closing, crossing, figures, holdings, invoices, obligations, readings, texts  # noqa: F401
+    from . import accounts, bank, closing, crossing, figures, grids, holdings, invoices, obligations, readings, texts  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

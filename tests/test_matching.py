@@ -183,3 +183,41 @@ def test_assignment_in_few_rounds(spark, monkeypatch, kind):
     found = sorted((x["a"], x["b"]) for x in matching.one_to_one(df, "a", "b", [F.col("c")]).collect())
     assert found == greedy(pairs)
     assert len(rounds) < 12
+
+
+def test_names_that_share_words(spark):
+    r = random.Random(9)
+    pick = lambda: " ".join(["SOCIEDAD"] * (r.random() < 0.8) + r.sample(["NORTE", "AGUAS", "PUERTO", "CAMPO", "ACERO", "LTDA"], r.randrange(4)))
+    a, b = [(k, pick()) for k in range(40)], [(100 + k, pick()) for k in range(40)]
+    found = matching.shared_words(spark.createDataFrame(a, "x int, n string"), spark.createDataFrame(b, "y int, n string"), "x", "y", F.col("n"), F.col("n"))
+    long = lambda n: {w for w in n.split() if len(w) > 3}
+    wanted = sorted((i, j, len(long(m) & long(n))) for i, m in a for j, n in b if len(long(m) & long(n)) >= 2)
+    assert sorted(tuple(q) for q in found.collect()) == wanted
+
+
+def test_rows_that_are_released_are_offered_again(spark):
+    r = random.Random(11)
+    near = {(a, b): r.randrange(9) for a in range(20) for b in range(20) if r.random() < 0.4}
+    far = {(a, b): r.randrange(9) for a in range(20) for b in range(20) if r.random() < 0.3}
+    wrong = {p for p in sorted({*near, *far}) if r.random() < 0.75}
+    kept, barred, number = {}, set(), 0
+    while True:  # the same by loops
+        number += 1
+        found, used = {}, ({a for a, _ in kept}, {b for _, b in kept})
+        for stage, pairs in (("near", near), ("far", far)):
+            for _, a, b in sorted((c, a, b) for (a, b), c in pairs.items() if (a, b) not in barred):
+                if a not in used[0] and b not in used[1]:
+                    found[a, b] = (stage, number)
+                    used[0].add(a)
+                    used[1].add(b)
+        back = {p for p in found if p in wrong}
+        kept |= {p: v for p, v in found.items() if p not in back}
+        barred |= back
+        if not back:
+            break
+    table = lambda pairs: spark.createDataFrame([(a, b, c) for (a, b), c in pairs.items()], "a int, b int, c int")
+    both = lambda pairs: lambda p, q: table(pairs).join(p.select("a"), "a").join(q.select("b"), "b")
+    bad = spark.createDataFrame(sorted(wrong), "a int, b int")
+    ids = lambda name: spark.range(20).select(F.col("id").cast("int").alias(name))
+    out = matching.released(ids("a"), ids("b"), "a", "b", [("near", both(near), [F.col("c")]), ("far", both(far), [F.col("c")])], lambda found: found.join(bad, ["a", "b"], "left_semi"))
+    assert number > 2 and {(q["a"], q["b"]): (q["stage"], q["round"]) for q in out.collect()} == kept

@@ -41,22 +41,26 @@ def test_a_later_row_holds_a_better_key(spark):
     assert worked_out(spark, lefts, rights) == loop(lefts, rights) == [(1, 10), (3, 11)]
 
 
-@pytest.mark.parametrize(("seed", "n", "values", "grain"), [(1, 60, 12, 10**6), (2, 80, 4, 10**6), (3, 50, 30, 10**6), (4, 60, 5, 7), (5, 90, 2, 16)])
-def test_random_keys(spark, seed, n, values, grain):
-    r = random.Random(seed)
-    some = lambda: [r.choice([None, *(f"{k}{r.randrange(values)}" for k in "xyz")]) for _ in range(r.randrange(4))]
-    lefts, rights = {k * 2: some() for k in range(n)}, {k * 3: some() for k in range(n)}
+@pytest.mark.parametrize(("cases", "grain"), [(((1, 60, 12), (2, 80, 4), (3, 50, 30)), 10**6), (((4, 60, 5), (5, 90, 2)), 9)])
+def test_random_keys(spark, cases, grain):
+    """Several instances side by side: their keys have nothing in common."""
+    lefts, rights = {}, {}
+    for seed, n, values in cases:
+        r = random.Random(seed)
+        some = lambda: [r.choice([None, *(f"{seed}{k}{r.randrange(values)}" for k in "xyz")]) for _ in range(r.randrange(4))]  # noqa: E731, B023
+        lefts |= {k * 10 + seed: some() for k in range(n)}
+        rights |= {k * 10 + seed: some() for k in range(n)}
     assert worked_out(spark, lefts, rights, grain=grain) == loop(lefts, rights)
 
 
-@pytest.mark.parametrize("seed", [6, 7, 8])
-def test_random_soft_rules_and_lone_rights(spark, seed):
+@pytest.mark.parametrize(("seed", "grain"), [(6, serial.GRAIN), (8, 10)])
+def test_random_soft_rules_and_lone_rights(spark, seed, grain):
     r = random.Random(seed)
     lefts = {k: [f"x{r.randrange(20)}"] * r.randrange(2) for k in range(40)}
     rights = {k: [f"x{r.randrange(20)}"] * r.randrange(2) for k in range(40)}
     soft = [{(r.randrange(40), r.randrange(40)) for _ in range(25)} for _ in range(2)]
     lone = ({k: r.choice([None, *"abcdefgh"]) for k in lefts}, {k: r.choice([None, *"abcdefgh"]) for k in rights})
-    assert worked_out(spark, lefts, rights, soft, lone, grain=10 if seed == 8 else serial.GRAIN) == loop(lefts, rights, soft, lone)
+    assert worked_out(spark, lefts, rights, soft, lone, grain=grain) == loop(lefts, rights, soft, lone)
 
 
 def test_all_alike_takes_few_rounds(spark, monkeypatch):
