@@ -13,9 +13,9 @@ from .registry import query
 
 
 def printed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc, line, x0, x1, text: orders printed as tables of a hundred papers, numbers to the right, some cells empty, some so wide that they run into the next column."""
+    """doc, line, x0, x1, text: orders printed as tables of ten papers, numbers to the right, some cells empty, some so wide that they run into the next column."""
     o = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
-    key, doc = F.col("o_orderkey"), F.col("o_custkey") % 100
+    key, doc = F.col("o_orderkey"), F.col("o_custkey") % 10
     rows = o.select(doc.alias("doc"), F.row_number().over(Window.partitionBy(doc).orderBy("o_orderkey")).cast("long").alias("line"), key.alias("key"), "o_custkey", "o_orderdate")
     units, value = F.col("key") % 1000 + 1, F.col("o_custkey") % 9 + F.lit("2.5").cast("decimal(3,1)")
     at = lambda x0, x1, text: F.struct(F.lit(float(x0)).alias("x0"), F.lit(float(x1)).alias("x1"), text.alias("text"))
@@ -37,7 +37,7 @@ def printed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-with r as (select o_custkey % 100 as doc, row_number() over (partition by o_custkey % 100 order by o_orderkey) as line, o_orderkey as key, o_orderkey % 1000 + 1 as u, cast(o_custkey % 9 + 2.5 as decimal(9,2)) as v, o_orderdate from orders)
+with r as (select o_custkey % 10 as doc, row_number() over (partition by o_custkey % 10 order by o_orderkey) as line, o_orderkey as key, o_orderkey % 1000 + 1 as u, cast(o_custkey % 9 + 2.5 as decimal(9,2)) as v, o_orderdate from orders)
 select doc, line, strftime(o_orderdate, '%d/%m/%Y') as day, case when key % 2 = 0 then 'Suscripción' else 'Rescate' end || ' FCI' || case when key % 9 = 0 then ' extraordinario' else '' end as concept, cast(u as double) as units, cast(v as double) as unit_value, cast(u * v as double) as total from r"""
 )
 def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
