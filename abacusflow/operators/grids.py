@@ -20,17 +20,22 @@ def columns_of(words: DataFrame, table: list[str], line: str, left: str, right:
     Each line inks the places that its words cover. Places that few lines ink are
     gaps, and what is between gaps is a column; so one cell that runs into the next
     column does not join the two. A column that hardly any line fills is none: its words
-    go to the nearest. A page is as many places as it is points wide,
-    whatever the table's length, and lines are counted before they meet.
+    go to the nearest. Ink is counted from where words begin and end, which is as many
+    rows as a page is points wide, whatever the table's length; words of one line
+    do not lie upon each other.
     """
-    spans = words.select(*table, line, F.explode(F.sequence(F.floor(left).cast("int"), F.greatest(F.floor(left), F.ceil(right) - 1).cast("int"))).alias("_x")).distinct()
-    inked = spans.groupBy(*table, "_x").agg(F.count(F.lit(1)).alias("_n"))
+    begin = F.floor(left).cast("int")
+    end = F.greatest(begin + 1, F.ceil(right).cast("int"))
+    edges = words.select(*table, F.explode(F.array(F.struct(begin.alias("from"), F.lit(1).alias("d")), F.struct(end.alias("from"), F.lit(-1).alias("d")))).alias("_e")).select(*table, "_e.*")
+    edges = edges.groupBy(*table, "from").agg(F.sum("d").alias("_d"))
     lines = words.groupBy(*table).agg(F.count_distinct(line).alias("_lines"))
+    along = Window.partitionBy(*table).orderBy("from")
+    so_far = along.rowsBetween(Window.unboundedPreceding, 0)
+    inked = edges.withColumn("_n", F.sum("_d").over(so_far)).withColumn("to", F.lead("from").over(along))
     held = inked.join(lines, table).where(F.col("_n") > ink * F.col("_lines"))
-    along = Window.partitionBy(*table).orderBy("_x")
-    new = F.coalesce(F.col("_x") > F.lag("_x").over(along) + 1 + blank, F.lit(True)).cast("int")
-    numbered = held.withColumn("_new", new).withColumn("column", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    return numbered.groupBy(*table, "column").agg(F.min("_x").alias("from"), (F.max("_x") + 1).alias("to"))
+    new = F.coalesce(F.col("from") - F.lag("to").over(along) > blank, F.lit(True)).cast("int")
+    numbered = held.withColumn("_new", new).withColumn("column", F.sum("_new").over(so_far).cast("int"))
+    return numbered.groupBy(*table, "column").agg(F.min("from").alias("from"), F.max("to").alias("to"))
 
 
 def cells_of(words: DataFrame, columns: DataFrame, table: list[str], line: str, left: str, right: str, text: str) -> DataFrame:
