@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, money
 from ..functions.text import fold, voucher
+from ..sources.scratch import stored
+from ..sources.tables import spread
 from .extract import first_of
 from .figures import signed_total
 
@@ -144,22 +146,30 @@ def table_lines(docs: DataFrame, key: str, text: str, header: str, columns: list
 def resolved_company(asked: DataFrame, companies: DataFrame, name: str = "name", tax_id: str = "tax_id", database: str = "database", least: float = 70.0, sure: float = 92.0) -> DataFrame:
     """Which company's database is asked for: the one named, else the best name of score ``least`` or more (with another tax id: ``sure`` or more), else the one with the tax id.
 
-    Asked rows have an ``ask`` id; names meet on words they share, never all with all.
+    Asked rows have an ``ask`` id; names meet on words they share, and each distinct
+    name is scored once, however many rows ask for it.
     """
     from ..functions.similarity import token_set_ratio
     from ..functions.text import fold_words
 
     dim = companies.select(F.col(name).alias("_name"), F.col(tax_id).alias("_tax"), F.col(database).alias("_db"))
-    words = lambda c: F.explode(F.array_distinct(F.filter(F.split(fold_words(F.col(c)), " "), lambda x: F.length(x) > 1))).alias("_word")
-    pairs = asked.select("ask", name, tax_id, words(name)).join(dim.select("*", words("_name")), "_word").drop("_word").distinct()
-    score = token_set_ratio(fold_words(F.col(name)), fold_words(F.col("_name")))
-    other = (F.col(tax_id) != F.col("_tax")) & (F.coalesce(F.col(tax_id), F.lit("")) != "")
-    scored = pairs.withColumn("_score", score).where((F.col("_score") >= least) & (~F.coalesce(other, F.lit(False)) | (F.col("_score") >= sure)))
-    by_name = scored.groupBy("ask").agg(F.min(F.struct((-F.col("_score")).alias("s"), F.col("_db"))).alias("_n")).select("ask", F.col("_n._db").alias("_by_name"))
-    by_tax = asked.select("ask", F.col(tax_id).alias("_tax")).join(dim, "_tax").groupBy("ask").agg(F.min("_db").alias("_by_tax"))
-    named = asked.join(dim.select(F.col("_db").alias("_named")).distinct(), F.col(database) == F.col("_named"), "left")
-    out = named.join(by_name, "ask", "left").join(by_tax, "ask", "left")
-    return out.withColumn("found", F.coalesce("_named", "_by_name", "_by_tax")).withColumn("by", F.when(F.col("_named").isNotNull(), "database").when(F.col("_by_name").isNotNull(), "name").when(F.col("_by_tax").isNotNull(), "tax_id")).drop("_named", "_by_name", "_by_tax")
+    told, theirs = asked.withColumn("_asked", fold_words(F.col(name))), dim.withColumn("_folded", fold_words(F.col("_name")))
+    words = lambda c: F.explode(F.array_distinct(F.filter(F.split(c, " "), lambda x: F.length(x) > 1))).alias("_word")
+    each = lambda df, c: stored(df.select(c).where(F.length(c) > 1).distinct())
+    mine, known = each(told, "_asked"), each(theirs, "_folded")
+    pairs = mine.select("_asked", words(F.col("_asked"))).join(known.select("_folded", words(F.col("_folded"))), "_word").drop("_word").distinct()
+    scored = stored(spread(pairs).withColumn("_score", token_set_ratio(F.col("_asked"), F.col("_folded"))).where(F.col("_score") >= least))
+    place = F.struct((-F.col("_score")).alias("s"), F.col("_db"))
+    good = scored.join(theirs, "_folded")
+    # a company without a tax id differs from none
+    best = stored(good.groupBy("_asked").agg(F.min(place).alias("_any"), F.min(F.when((F.col("_score") >= sure) | F.col("_tax").isNull(), place)).alias("_sure")))
+    same = good.where("_tax is not null").groupBy("_asked", "_tax").agg(F.min(place).alias("_same"))
+    by_tax = dim.where("_tax is not null").groupBy("_tax").agg(F.min("_db").alias("_by_tax"))
+    out = told.withColumn("_tax", F.col(tax_id)).join(best, "_asked", "left").join(same, ["_asked", "_tax"], "left").join(by_tax, "_tax", "left")
+    out = out.withColumn("_by_name", F.when(F.coalesce(F.col(tax_id), F.lit("")) == "", F.col("_any")).otherwise(F.least("_sure", "_same"))["_db"])
+    out = out.join(dim.select(F.col("_db").alias("_named")).distinct(), F.col(database) == F.col("_named"), "left")
+    by = F.when(F.col("_named").isNotNull(), "database").when(F.col("_by_name").isNotNull(), "name").when(F.col("_by_tax").isNotNull(), "tax_id")
+    return out.select(*asked.columns, F.coalesce("_named", "_by_name", "_by_tax").alias("found"), by.alias("by"))
 
 
 def last_amount(line: Column) -> Column:

@@ -14,6 +14,11 @@ from ..functions.text import fold_words
 SEPARATORS = (";", ",", "\t")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt to all tasks, for work that is much for the bytes it is read from: a small file is otherwise one task's, whatever its rows grow into."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def nullified(text: Column) -> Column:
     """None for the ways in which sheets write that nothing is there."""
     trimmed = F.trim(text.cast("string"))
