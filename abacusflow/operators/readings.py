@@ -117,14 +117,18 @@ def loan_header(text: Column) -> Column:
     )
 
 
-def schedule_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Installments from lines of number, due date and amounts: the first amount is capital, the second interest, the last what is due; repeated numbers keep the first."""
-    line = docs.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("_at", "_line"))
+def schedule_lines(docs: DataFrame, key: str, text: str, kept: tuple[str, ...] = ()) -> DataFrame:
+    """Installments from lines of number, due date and amounts: the first amount is capital, the second interest, the last what is due; repeated numbers keep the first. ``kept``: columns of the document that its installments keep."""
+    line = docs.select(key, *kept, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("_at", "_line"))
     head = r"^\s*(\d{1,3})\s+(\d{2}/\d{2}/\d{4})\s+(.+)$"
-    amounts = F.transform(F.regexp_extract_all(F.regexp_extract("_line", head, 3), F.lit(r"([\d.]+,\d{2})")), lambda x: money.parse_decimal(x))
-    rows = line.where(F.col("_line").rlike(head)).select(key, "_at", F.regexp_extract("_line", head, 1).cast("int").alias("n"), dates.parse_date(F.regexp_extract("_line", head, 2)).alias("due_date"), amounts.alias("_x"))
-    rows = rows.where(F.size("_x") >= 3).select(key, "n", F.struct("_at", "due_date", F.get("_x", F.lit(0)).alias("capital"), F.get("_x", F.lit(1)).alias("interest"), F.element_at("_x", -1).alias("due")).alias("_r"))
-    return rows.groupBy(key, "n").agg(F.min("_r").alias("_r")).select(key, "n", "_r.due_date", "_r.capital", "_r.interest", "_r.due")
+    part = lambda k: F.regexp_extract("_line", head, k)
+    # each step is a projection of its own, so that nothing is worked out twice
+    rows = line.where(F.col("_line").rlike(head)).select(key, *kept, "_at", part(1).cast("int").alias("n"), part(2).alias("_due"), part(3).alias("_told"))
+    rows = rows.select(key, *kept, "_at", "n", "_due", F.regexp_extract_all("_told", F.lit(r"([\d.]+,\d{2})")).alias("_x"))
+    amount = lambda x: F.coalesce(money.money(F.translate(x, ",.", ".").try_cast("decimal(28,8)")), F.lit(0).cast(money.MONEY))
+    told = F.struct("_at", dates.parse_date(F.col("_due")).alias("due_date"), amount(F.get("_x", F.lit(0))).alias("capital"), amount(F.get("_x", F.lit(1))).alias("interest"), amount(F.get("_x", F.size("_x") - 1)).alias("due"))
+    first = rows.groupBy(key, *kept, "n").agg(F.min(F.when(F.size("_x") >= 3, told)).alias("_r")).where("_r is not null")
+    return first.select(key, *kept, "n", "_r.due_date", "_r.capital", "_r.interest", "_r.due")
 
 
 def by_employee(sheet: DataFrame, concept: str, employees: list[str]) -> DataFrame:

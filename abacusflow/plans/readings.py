@@ -9,6 +9,7 @@ from ..functions import dates, money
 from ..functions import text as T
 from ..functions.money import MONEY
 from ..operators import currency, extract, fiscal, readings, rules, vouchers
+from ..sources.tables import spread
 from .inputs import read
 from .registry import query
 
@@ -109,14 +110,14 @@ select p_partkey, cast(n as integer) as n, cast(date '2024-01-01' + to_months(ca
 )
 def loan_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Installments and header of loan sheets; each sheet repeats its first line and has a page footer."""
-    p = read(spark, sf_dir, "part", "p_partkey", "p_size", "p_retailprice").withColumn("c", F.col("p_retailprice").cast(MONEY))
+    p = spread(read(spark, sf_dir, "part", "p_partkey", "p_size", "p_retailprice")).withColumn("c", F.col("p_retailprice").cast(MONEY))
     row = lambda n: F.concat(n.cast("string"), F.lit("  "), F.date_format(F.add_months(F.lit("2024-01-01").cast("date"), n - 1), "dd/MM/yyyy"), F.lit(" "), _written(F.col("c") + n.cast(MONEY)), F.lit(" "), _written(n.cast(MONEY) + F.lit("0.25").cast(MONEY)), F.lit(" 0,00 "), _written(F.col("c") + (2 * n).cast(MONEY) + F.lit("0.25").cast(MONEY)))
     head = F.concat(F.lit("Préstamo N°: "), (F.col("p_partkey") + 1000).cast("string"), F.lit("\nCapital: $ "), _written(F.col("c")), F.lit("\nDeuda al 31/12/2024: $ "), _written(F.col("c")), F.lit("\nCuota Vencimiento Capital Interes Seguro Total\n"))
     text = F.concat(head, F.array_join(F.transform(F.sequence(F.lit(1), "p_size"), row), "\n"), F.lit("\nPágina 1 de 2\n"), row(F.lit(1)))
     docs = p.where("p_size > 0").select("p_partkey", text.alias("text"))
-    header = docs.select("p_partkey", readings.loan_header(F.col("text")).alias("h"))
-    out = readings.schedule_lines(docs, "p_partkey", "text").join(header, "p_partkey")
-    return out.select("p_partkey", "n", "due_date", *[F.col(c).cast("double").alias(c) for c in ("capital", "interest", "due")], F.col("h.number").alias("loan"), F.col("h.debt").cast("double").alias("debt"))
+    headed = docs.select("p_partkey", "text", readings.loan_header(F.col("text")).alias("h")).select("p_partkey", "text", F.col("h.number").alias("loan"), F.col("h.debt").cast("double").alias("debt"))
+    out = readings.schedule_lines(headed, "p_partkey", "text", ("loan", "debt"))
+    return out.select("p_partkey", "n", "due_date", *[F.col(c).cast("double").alias(c) for c in ("capital", "interest", "due")], "loan", "debt")
 
 
 @query(

@@ -31,3 +31,13 @@ def test_a_name_is_scored_once_however_many_ask(spark, monkeypatch):
     assert len(found) == 405 and all(found[k] == ("db2", "name") for k in range(400))
     assert found[400] == ("db1", "name") and found[401] == ("db2", "tax_id") and found[402] == ("db1", "database") and found[403] == ("db3", "name") and found[404] == ("db2", "name")
     assert 0 < scored.value <= 30, scored.value  # twelve pairs of names, each at most twice; 400 rows ask
+
+
+def test_sheets_of_a_small_file_are_dealt_to_all_tasks(spark):
+    assert "REPARTITION_BY_NUM" in plan(registry.queries()["loan_sheets"](spark, FOLDER))
+
+
+def test_a_document_keeps_its_columns(spark):
+    docs = spark.createDataFrame([(1, "a", "1 01/02/2024 1.000,00 2,50 0,00 1.002,50\n2 31/02/2024 1,00 2,00 3,00\n3 01/03/2024 1,00 2,00\n1 01/02/2024 9,00 9,00 9,00")], "d int, x string, t string")
+    rows = [tuple(map(str, r)) for r in readings.schedule_lines(docs, "d", "t", ("x",)).orderBy("n").collect()]
+    assert rows == [("1", "a", "1", "2024-02-01", "1000.00", "2.50", "1002.50"), ("1", "a", "2", "None", "1.00", "2.00", "3.00")]
