@@ -44,8 +44,8 @@ def voucher(point: Column, number: Column) -> Column:
 
 
 def voucher_in(text: Column) -> Column:
-    """The first voucher in free text in the form of ``voucher``, else null."""
-    at = lambda k: F.regexp_extract(text, r"(\d{1,5})\s*-\s*(\d{1,8})", k)
+    """The first voucher in free text in the form of ``voucher``, else null. Runs of digits count whole, up to 18 digits."""
+    at = lambda k: F.regexp_extract(text, r"(?<!\d)(\d{1,18})\s*-\s*(\d{1,18})(?!\d)", k)
     return F.when(at(1) != "", voucher(at(1), at(2)))
 
 

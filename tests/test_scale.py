@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from abacusflow.functions import similarity
+from abacusflow.functions import similarity, text
 from abacusflow.operators import readings
 from abacusflow.plans import registry
 
@@ -41,3 +41,9 @@ def test_a_document_keeps_its_columns(spark):
     docs = spark.createDataFrame([(1, "a", "1 01/02/2024 1.000,00 2,50 0,00 1.002,50\n2 31/02/2024 1,00 2,00 3,00\n3 01/03/2024 1,00 2,00\n1 01/02/2024 9,00 9,00 9,00")], "d int, x string, t string")
     rows = [tuple(map(str, r)) for r in readings.schedule_lines(docs, "d", "t", ("x",)).orderBy("n").collect()]
     assert rows == [("1", "a", "1", "2024-02-01", "1000.00", "2.50", "1002.50"), ("1", "a", "2", "None", "1.00", "2.00", "3.00")]
+
+
+def test_long_vouchers_keep_all_digits(spark):
+    told = ["FC A 123456 - 7.", "3-123456789", "3 - 45 x", "1234567890123456789-1 y 2-3", "none"]
+    rows = spark.createDataFrame(list(enumerate(told)), "k int, t string").select("k", text.voucher_in(F.col("t")).alias("v")).orderBy("k").collect()
+    assert [r["v"] for r in rows] == ["123456-00000007", "00003-123456789", "00003-00000045", "00002-00000003", None]
