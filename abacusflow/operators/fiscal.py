@@ -100,8 +100,8 @@ def journal_lines(entries: DataFrame, kinds: dict[str, str], day: str, kind: str
 
 def installments_paid(due: DataFrame, paid: DataFrame, keys: list[str], tolerance: float = 0.5, days: int = 4) -> DataFrame:
     """Installments (installment, due, due_date) with the bank debit (debit, paid, paid_day) that pays each, nearest day first, one to one, and ``matched``."""
-    from .matching import amount_band, one_to_one
+    from .matching import amount_band, apart, one_to_one
 
     pairs = amount_band(due, paid, "due", "paid", tolerance, keys).withColumn("_days", F.abs(F.datediff("paid_day", "due_date"))).where(F.col("_days") <= days)
     taken = one_to_one(pairs.select("installment", "debit", "_days", F.abs(F.col("due") - F.col("paid")).alias("_off")), "installment", "debit", [F.col("_days"), F.col("_off")])
-    return due.join(taken.select("installment", "debit"), "installment", "left").withColumn("matched", F.col("debit").isNotNull())
+    return due.join(apart(taken.select("installment", "debit")), "installment", "left").withColumn("matched", F.col("debit").isNotNull())
