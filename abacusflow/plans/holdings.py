@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import MONEY
 from ..operators import currency, loans, lots, payroll
+from ..sources.tables import spread
 from .inputs import ORDER, movements, read
 from .registry import query
 
@@ -181,7 +182,7 @@ _OUT = ("interest", "capital", "vat", "due", "balance")
 
 
 def _loan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read(spark, sf_dir, "part", "p_partkey", "p_size", "p_retailprice")
+    p = spread(read(spark, sf_dir, "part", "p_partkey", "p_size", "p_retailprice"))
     return p.select("p_partkey", F.col("p_retailprice").cast(MONEY).alias("capital"), F.col("p_size").alias("n"), F.lit(0.36).alias("rate"), F.lit("2024-01-31").cast("date").alias("start"))
 
 
