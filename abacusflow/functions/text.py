@@ -104,5 +104,7 @@ def from_file_name(name: Column) -> Column:
 
 def date_in(text: Column, not_after: str = "inicio de actividades|vencimiento|vto", within: int = 40) -> Column:
     """The first dd/mm/yyyy in a text that does not follow one of some words closely."""
-    found = F.regexp_extract(text, rf"(?is)(?<!(?:{not_after}).{{0,{within}}})\b(\d{{2}}/\d{{2}}/\d{{4}})\b", 1)
+    day = r"\d{2}/\d{2}/\d{4}\b"
+    # what stands before is only looked at where a date begins
+    found = F.regexp_extract(text, rf"(?is)\b(?={day})(?<!(?:{not_after}).{{0,{within}}})({day})", 1)
     return F.try_to_timestamp(F.when(found != "", found), F.lit("dd/MM/yyyy")).cast("date")

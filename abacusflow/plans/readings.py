@@ -174,7 +174,7 @@ select o_orderkey, format('{:011d}', o_custkey) as tax_id, format('{:03d}', o_or
 )
 def file_names_and_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What file names tell, the issue date in a text with other dates, rate labels, month names and whole years."""
-    o = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+    o = spread(read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate"))
     key, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
     told = T.from_file_name(F.concat(F.format_string("%011d", "o_custkey"), F.lit("_"), F.format_string("%03d", key % 200), F.lit("_"), (F.col("o_custkey") % 100000).cast("string"), F.lit("_"), key.cast("string"), F.lit(".pdf")))
     text = F.concat(F.lit("Inicio de actividades: 01/02/1990\nDomicilio comercial: calle larga y sin número 1234\nFecha: "), F.date_format(day, "dd/MM/yyyy"), F.lit(" Vto 03/03/2003"))
