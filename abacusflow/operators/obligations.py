@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import within_days_or_month
 from ..sources.scratch import stored
-from .matching import amount_band, leftovers, one_to_one, subset_sums
+from .matching import amount_band, apart, leftovers, one_to_one, subset_sums
 
 PAID, PARTLY, OPEN, UNCOVERED = "PAGADO", "PARCIAL", "FALTA", "SIN EXTRACTO"
 
@@ -40,8 +40,8 @@ def settled(obligations: DataFrame, debits: DataFrame, keywords: tuple[str, ...]
     sums = obligations.where("bundle is not null").groupBy("party", "bundle").agg(F.sum("total").alias("total"), F.max("day").alias("day"), F.count(F.lit(1)).alias("_n"), F.min("obligation").alias("_first")).where("_n > 1")
     pairs = _near(sums, debits, "total", keywords, tolerance).select("_first", "debit", "party", "bundle", "_word", "_days", "_off")
     bundles = stored(one_to_one(pairs, "_first", "debit", order).select("party", "bundle", "debit"))
-    in_bundle = stored(obligations.join(bundles, ["party", "bundle"]).select("obligation", "debit", F.lit(PAID).alias("state"), F.lit("bundle").alias("stage")))
-    left, free = stored(obligations.join(in_bundle.select("obligation"), "obligation", "left_anti")), stored(debits.join(bundles.select("debit"), "debit", "left_anti"))
+    in_bundle = stored(obligations.join(apart(bundles), ["party", "bundle"]).select("obligation", "debit", F.lit(PAID).alias("state"), F.lit("bundle").alias("stage")))
+    left, free = stored(obligations.join(apart(in_bundle.select("obligation")), "obligation", "left_anti")), stored(debits.join(apart(bundles.select("debit")), "debit", "left_anti"))
     both = None
     for target, state in (("total", PAID), ("base", PARTLY)):
         one = _near(left.where(F.col(target).isNotNull()), free, target, keywords, tolerance).select("obligation", "debit", *order, F.lit(state).alias("state"))
@@ -53,10 +53,10 @@ def settled(obligations: DataFrame, debits: DataFrame, keywords: tuple[str, ...]
     left, free = leftovers(left, free, single, "obligation", "debit")
     late = stored(amount_band(left, free, "total", "paid", tolerance, ["party"]).where(preference(F.col("text"), keywords) < len(keywords)).select("obligation", "debit"))
     alone = late.groupBy("obligation").agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").select("obligation")
-    last = one_to_one(late.join(alone, "obligation", "left_semi"), "obligation", "debit", []).select("obligation", "debit", F.lit(PAID).alias("state"), F.lit("only").alias("stage"))
+    last = one_to_one(late.join(apart(alone), "obligation", "left_semi"), "obligation", "debit", []).select("obligation", "debit", F.lit(PAID).alias("state"), F.lit("only").alias("stage"))
     months = debits.select("party", F.trunc("paid_day", "MM").alias("_m")).distinct().withColumn("_there", F.lit(True))
-    out = obligations.join(in_bundle.unionByName(single).unionByName(last), "obligation", "left").join(candidates, "obligation", "left")
-    out = out.withColumn("_m", F.trunc("day", "MM")).join(months, ["party", "_m"], "left")
+    out = obligations.join(apart(in_bundle.unionByName(single).unionByName(last)), "obligation", "left").join(apart(candidates), "obligation", "left")
+    out = out.withColumn("_m", F.trunc("day", "MM")).join(apart(months), ["party", "_m"], "left")
     state = F.coalesce("state", F.when(F.col("_there").isNull(), UNCOVERED).otherwise(OPEN))
     return out.select("obligation", F.coalesce("debit", F.lit(0)).alias("debit"), state.alias("state"), F.coalesce("stage", F.lit("")).alias("stage"), F.coalesce("candidates", F.lit(0)).alias("candidates"))
 
@@ -71,7 +71,7 @@ def scored_assignment(withheld: DataFrame, invoices: DataFrame, days: int = 45,
     """
     stretch = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / days).cast("long")
     wide = withheld.withColumn("_s", F.explode(F.array(stretch("held_day") - 1, stretch("held_day"))))
-    pairs = wide.join(invoices.withColumn("_s", stretch("day")), ["party", "_s"]).withColumn("_days", F.datediff("held_day", "day")).where(F.col("_days").between(0, days))
+    pairs = wide.join(apart(invoices.withColumn("_s", stretch("day"))), ["party", "_s"]).withColumn("_days", F.datediff("held_day", "day")).where(F.col("_days").between(0, days))
     share = lambda c, part: F.round(F.col(c) * F.lit(part).cast("decimal(4,2)"), 2)
     off = [F.abs(F.col(a) - share(c, p)) for a, c, p in (("ss", "net", "0.01"), ("iva", "vat", "0.80"), ("gan", "net", "0.02"))]
     pairs = pairs.withColumn("score", (off[0] + off[1] + off[2] + F.col("_days") * per_day).cast("decimal(18,2)"))
@@ -93,7 +93,7 @@ def matched_by_passes(debits: DataFrame, invoices: DataFrame, score: Column, tol
 
     def only(found: DataFrame) -> DataFrame:
         for side in ("debit", "invoice"):
-            found = found.join(found.groupBy(side).agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").select(side), side, "left_semi")
+            found = found.join(apart(found.groupBy(side).agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").select(side)), side, "left_semi")
         return found
 
     passes = [
@@ -107,7 +107,7 @@ def matched_by_passes(debits: DataFrame, invoices: DataFrame, score: Column, tol
     for name, keep, order in passes:
         found = stored(one_to_one(keep(scored), "debit", "invoice", order).select("debit", "invoice", F.lit(name).alias("stage")))
         out = found if out is None else out.unionByName(found)
-        scored = stored(scored.join(found.select("debit"), "debit", "left_anti").join(found.select("invoice"), "invoice", "left_anti"))
+        scored = stored(scored.join(apart(found.select("debit")), "debit", "left_anti").join(apart(found.select("invoice")), "invoice", "left_anti"))
     debits, invoices = (stored(x) for x in leftovers(debits, invoices, out, "debit", "invoice"))
     for name, goals, items, goal, item, paid, amount, when, then in (("two_invoices", debits, invoices, "debit", "invoice", "paid", "amount", "paid_day", "day"), ("two_debits", invoices, debits, "invoice", "debit", "amount", "paid", "day", "paid_day")):
         week = lambda df, c: df.withColumn("_week", F.date_trunc("week", c))
@@ -116,7 +116,7 @@ def matched_by_passes(debits: DataFrame, invoices: DataFrame, score: Column, tol
         # an item serves one sum: the one with the least difference
         first = found.groupBy(item).agg(F.min(F.struct("off", goal)).alias("_f")).select(item, F.col("_f")[goal].alias(goal))
         whole = first.groupBy(goal).agg(F.count(F.lit(1)).alias("_n")).where("_n = 2").select(goal)
-        taken = stored(first.join(whole, goal, "left_semi").select("debit", "invoice", F.lit(name).alias("stage")))
+        taken = stored(first.join(apart(whole), goal, "left_semi").select("debit", "invoice", F.lit(name).alias("stage")))
         out = out.unionByName(taken)
         debits, invoices = (stored(x) for x in leftovers(debits, invoices, taken, "debit", "invoice"))
     return out

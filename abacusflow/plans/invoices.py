@@ -19,7 +19,7 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """invoice, customer, amount, day, supplier name, status."""
     o = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderstatus")
     c = read(spark, sf_dir, "customer", "c_custkey", "c_name")
-    rows = o.join(c, o["o_custkey"] == c["c_custkey"])
+    rows = o.join(matching.apart(c), o["o_custkey"] == c["c_custkey"])
     return rows.select(F.col("o_orderkey").alias("invoice"), F.col("o_custkey").alias("customer"), F.col("o_totalprice").cast(MONEY).alias("amount"), F.col("o_orderdate").cast("date").alias("day"), F.col("c_name").alias("name"), F.col("o_orderstatus").alias("status"))
 
 
