@@ -107,19 +107,51 @@ def blocks(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, int,
         yield int(bucket[a]), a, b, [c[a:b].tobytes() for c in columns]
 
 
+def _questions(page: int, found: list[tuple[int, list[bytes]]], parts: int) -> dict[str, pa.Array]:
+    """The rows of what one page asks."""
+    numbers = {"bucket": pa.array([f[0] for f in found], pa.int32()), "page": pa.array([page] * len(found), pa.int64())}
+    return numbers | {f"part{p}": pa.array([f[1][p] for f in found], pa.binary()) for p in range(parts)}
+
+
+def _asked_as(parts: int) -> str:
+    return "bucket int, page bigint" + "".join(f", part{k} binary" for k in range(parts))
+
+
 def asked(pages: DataFrame, ask: Callable[[dict], Iterator[tuple[int, list[bytes]]]], parts: int = 1) -> DataFrame:
     """(bucket, page, part0..) of every page's questions; ``ask`` gets a page's row."""
-    names = [f"part{k}" for k in range(parts)]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {c: batch.column(c)[k] for c in batch.schema.names}
-                found = list(ask(row))
-                numbers = [pa.array([f[0] for f in found], pa.int32()), pa.array([row["page"].as_py()] * len(found), pa.int64())]
-                yield pa.RecordBatch.from_arrays([*numbers, *(pa.array([f[1][p] for f in found], pa.binary()) for p in range(parts))], names=["bucket", "page", *names])
+                yield pa.RecordBatch.from_pydict(_questions(row["page"].as_py(), list(ask(row)), parts))
+
+    return pages.mapInArrow(task, _asked_as(parts))
+
+
+def told(pages: DataFrame, answers: list[DataFrame], work: Callable[[dict, list[list[bytes]]], pa.Table], schema: str) -> DataFrame:
+    """What ``work`` makes of every page's row and its answers: a list for each table of ``answers``, in bucket order.
+
+    Every page is handed over by itself, so a task needs the memory of one page,
+    however many it has; ``with_answers`` hands over all pages of a task at once.
+    """
+    own, steps = None, len(answers)
+    for k, df in enumerate(answers):
+        one = df.where(F.col("page") != SUMMARY).select("page", F.lit(k).alias("step"), "bucket", "answer")
+        own = one if own is None else own.unionByName(one)
+
+    def page(_, row: pa.Table, found: pa.Table) -> pa.Table:
+        found = found.sort_by([("step", "ascending"), ("bucket", "ascending")])
+        ends = np.searchsorted(found.column("step").to_numpy(), np.arange(steps), side="right").tolist()
+        blocks = found.column("answer").to_pylist()
+        return work({c: row.column(c)[0] for c in row.column_names}, [blocks[a:b] for a, b in zip([0, *ends], ends, strict=False)])
+
+    return pages.groupBy("page").cogroup(own.groupBy("page")).applyInArrow(page, schema)
+
 
-    return pages.mapInArrow(task, "bucket int, page bigint" + "".join(f", {n} binary" for n in names))
+def asked_again(pages: DataFrame, answers: list[DataFrame], ask: Callable[[dict, list[list[bytes]]], Iterator[tuple[int, list[bytes]]]], parts: int = 1) -> DataFrame:
+    """``asked``, of pages that have answers to earlier questions."""
+    return told(pages, answers, lambda row, found: pa.table(_questions(row["page"].as_py(), list(ask(row, found)), parts)), _asked_as(parts))
 
 
 def answered(questions: DataFrame, answer: Callable[[int, list[list[bytes]]], list[bytes]], parts: int = 1) -> DataFrame:

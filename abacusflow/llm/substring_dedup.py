@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .bytetext import Texts, Words, hashed, joined, rolling, spans
 from .common import cut, table
-from .pages import PAGE_BYTES, answered, asked, blocks, bucket_count, bucket_of, in_two, paged, restored, squeezed, texts_of, with_answers
+from .pages import PAGE_BYTES, answered, asked, asked_again, blocks, bucket_count, bucket_of, in_two, paged, restored, squeezed, texts_of, told
 
 WINDOW = 35
 GRAM = 8
@@ -104,8 +104,7 @@ def _suffixes_of(blocks: list[list[bytes]]) -> list[bytes]:
 class Asked:
     """What a page asks in step 2: ``cold`` suffixes (places in ``first``) and ``hot`` window codes, each with its bucket, in bucket order."""
 
-    def __init__(self, page: PageSuffixes, row: dict, buckets: int, most: int):
-        found = row["prefix_answers"].as_py()
+    def __init__(self, page: PageSuffixes, found: list[bytes], buckets: int, most: int):
         shared = np.concatenate([restored(x, np.uint32) for x in found]) if found else np.zeros(len(page.prefixes), np.uint32)
         shared = shared[page.prefix]
         cold = np.flatnonzero((shared > 0) & (shared <= most))
@@ -197,9 +196,9 @@ def repeats(docs: DataFrame, row: Column, text: str = "text", window: int = WIND
         for b, x, y, _ in blocks(bucket_of(page.prefixes, buckets)):
             yield b, [page.prefixes[x:y].tobytes(), squeezed(counts[x:y])]
 
-    def ask_suffixes(row: dict) -> Iterator[tuple[int, list[bytes]]]:
+    def ask_suffixes(row: dict, found: list[list[bytes]]) -> Iterator[tuple[int, list[bytes]]]:
         page = PageSuffixes(texts_of(row["texts"].as_py()), window, gram)
-        asks = Asked(page, row, buckets, most)
+        asks = Asked(page, found[0], buckets, most)
         cold = {b: (x, y) for b, x, y, _ in blocks(asks.cold_bucket)}
         hot = {b: (x, y) for b, x, y, _ in blocks(asks.hot_bucket)}
         for b in sorted(cold.keys() | hot.keys()):
@@ -208,26 +207,21 @@ def repeats(docs: DataFrame, row: Column, text: str = "text", window: int = WIND
 
     # the answers are written, not the pages with them: they are a small part of the pages
     shared = cut(answered(asked(pages, ask_prefixes, 2), lambda _, parts: _suffixes_of(parts), 2))
-    known = with_answers(pages, shared, "prefix_answers")
-    nodes = answered(asked(known, ask_suffixes, 3), lambda _, parts: _answers(parts, window, gram), 3)
+    nodes = answered(asked_again(pages, [shared], ask_suffixes, 3), lambda _, parts: _answers(parts, window, gram), 3)
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                one = {c: batch.column(c)[k] for c in batch.schema.names}
-                rows = batch.column("rows").slice(k, 1).flatten()
-                for found in _judged(one, texts_of(one["texts"].as_py()), window, gram, buckets, most):
-                    at, to, columns = found
-                    yield pa.RecordBatch.from_arrays([rows.slice(at, to - at), *columns], names=["_row", "n_words", "n_removed", "begin", "end", "kept"])
+    def judge(row: dict, found: list[list[bytes]]) -> pa.Table:
+        rows, names = row["rows"].values, ["_row", "n_words", "n_removed", "begin", "end", "kept"]
+        pieces = _judged(found, texts_of(row["texts"].as_py()), window, gram, buckets, most)
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays([rows.slice(at, to - at), *columns], names=names) for at, to, columns in pieces])
 
-    return with_answers(known, nodes).mapInArrow(task, f"_row {kind}, n_words bigint, n_removed bigint, begin array<bigint>, end array<bigint>, kept string")
+    return told(pages, [shared, nodes], judge, f"_row {kind}, n_words bigint, n_removed bigint, begin array<bigint>, end array<bigint>, kept string")
 
 
-def _repeated(page: PageSuffixes, row: dict, buckets: int, most: int) -> np.ndarray:
+def _repeated(page: PageSuffixes, found: list[list[bytes]], buckets: int, most: int) -> np.ndarray:
     """Which windows are repeated, from the answers to step 2."""
-    asks = Asked(page, row, buckets, most)
+    asks = Asked(page, found[0], buckets, most)
     masks, flags = np.zeros(len(page.first), np.uint32), asks.times > 1
-    answers, at = iter(row["answers"].as_py() or []), [0, 0]
+    answers, at = iter(found[1]), [0, 0]
     for b in sorted({*asks.cold_bucket.tolist(), *asks.hot_bucket.tolist()}):
         n, m = int(np.searchsorted(asks.cold_bucket, b, side="right")) - at[0], int(np.searchsorted(asks.hot_bucket, b, side="right")) - at[1]
         told = next(answers)
@@ -241,9 +235,9 @@ def _repeated(page: PageSuffixes, row: dict, buckets: int, most: int) -> np.ndar
     return out
 
 
-def _judged(row: dict, column: pa.Array, window: int, gram: int, buckets: int, most: int, step: int = 512) -> Iterator[tuple[int, int, list[pa.Array]]]:
+def _judged(found: list[list[bytes]], column: pa.Array, window: int, gram: int, buckets: int, most: int, step: int = 512) -> Iterator[tuple[int, int, list[pa.Array]]]:
     page = PageSuffixes(column, window, gram)
-    hit = page.start[_repeated(page, row, buckets, most)]
+    hit = page.start[_repeated(page, found, buckets, most)]
     words, first = page.words, page.words.first
     change = np.zeros(len(words) + 1, np.int64)
     np.add.at(change, hit, 1)

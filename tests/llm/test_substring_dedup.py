@@ -64,3 +64,9 @@ def test_odd_tables(spark, docs, empty):
     clash = docs.select(F.struct("*", F.lit(1).alias("kept")).alias("all"), F.col("text"))
     found = S.repeats(clash, F.col("all")).select("_row.*", "n_removed")
     assert found.count() == docs.count() and "kept" in found.columns
+
+
+def test_pages_meet_their_answers_one_by_one(spark, docs):
+    """Answers are not gathered in the JVM, nor all pages of a task handed over at once."""
+    told = S.repeats(docs, F.col("doc_id"), page_bytes=500)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in told and "collect_list" not in told
