@@ -27,6 +27,7 @@ Ids are distinct numbers and order both sides.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 from collections.abc import Callable
 
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import stored
-from .matching import amount_band, ranked
+from .matching import amount_band, apart, ranked
 
 GRAIN = 200_000
 #: Rows of small keys that are settled together, about.
@@ -249,7 +250,88 @@ def invoice_keys(code: Column, issuer: Column, kind: Column, number: Column, day
     return F.array(F.when(F.length(code) >= 10, by_code), part("issuer+kind+number", issuer, kind, number), by_code, part("issuer+number", issuer, number), part("number", number), part("issuer+day+total", issuer, day, amount), part("issuer+total", issuer, amount))
 
 
-def crossed(left: DataFrame, right: DataFrame, left_id: str, right_id: str, own_id: Column | None = None, tolerance: float = 0.05) -> DataFrame:
+#: Rows of one issuer, both sides together, that are settled in one task.
+MOST = 1 << 14
+#: Keys that tell their issuer: no part of them has the mark between parts.
+_WITHIN = r"^(issuer\+(kind\+number|day\+total):[^|]*\|[^|]*|issuer\+(number|total):[^|]*)\|[^|]*$"
+
+
+def _shared(mine: DataFrame, theirs: DataFrame, most: int) -> tuple[int, DataFrame | None]:
+    """How many rows both sides have, and (issuer) of those that are not settled by themselves, if there are any: with over ``most`` rows, or a key that another issuer, or none, has too."""
+    counts = stored(mine.select("issuer").unionByName(theirs.select("issuer")).groupBy("issuer").agg(F.count(F.lit(1)).alias("n")))
+    total, top = counts.agg(F.sum("n"), F.max(F.when(F.col("issuer").isNotNull(), F.col("n")))).first()
+    keyed = lambda df: df.select("issuer", F.explode(F.filter("keys", lambda k: ~k.rlike(_WITHIN))).alias("key")).select("issuer", F.xxhash64("key").alias("key"))
+    keys = keyed(mine).unionByName(keyed(theirs))
+    # a hash that two keys share only makes issuers go the longer way
+    met = keys.groupBy("key").agg(F.min("issuer").alias("_a"), F.max("issuer").alias("_b"), F.count_if(F.col("issuer").isNull()).alias("_none"))
+    met = stored(met.where("_a < _b or (_a is not null and _none > 0)").select("key"))
+    found = None
+    if (top or 0) > most:
+        found = counts.where(F.col("n") > most).select("issuer")
+    if not met.isEmpty():
+        linked = keys.join(apart(met), "key", "left_semi").select("issuer")
+        found = linked if found is None else found.unionByName(linked)
+    return total or 0, None if found is None else stored(found.where("issuer is not null").distinct())
+
+
+def _looped(mine: pa.Table, theirs: pa.Table, tolerance: float, share: float) -> pa.Table:
+    """The loop itself, over the invoices of some issuers that have no key in common: (l, r, key, off), with a null l or r for what is left; amounts are in cents."""
+    rights, lefts = theirs.sort_by("id").to_pylist(), mine.sort_by("id").to_pylist()
+    by_key, by_day, by_issuer = {}, {}, {}
+    for k in reversed(range(len(rights))):  # the least id comes last
+        x = rights[k]
+        for key in set(x["keys"]):
+            by_key.setdefault(key, []).append(k)
+        by_issuer.setdefault(x["issuer"], []).append((x["signed"], k))
+        if x["day"] is not None:
+            by_day.setdefault((x["issuer"], x["day"]), []).append(k)
+    for found in by_issuer.values():
+        found.sort()
+    used = bytearray(len(rights))
+    free = {day: len(found) for day, found in by_day.items()}
+    width = int(100 * tolerance) + 1
+
+    def first(x: dict) -> tuple[int | None, str | None]:
+        for key in x["keys"]:
+            found = by_key.get(key)
+            while found and used[found[-1]]:
+                found.pop()
+            if found:
+                return found[-1], key
+        day, amount = (x["issuer"], x["day"]), x["amount"]
+        found = by_day.get(day, ())
+        for k in reversed(found):
+            if not used[k] and abs(rights[k]["signed"] - amount) / 100 <= max(tolerance, amount / 100 * share):
+                return k, "soft0"
+        if amount:
+            near = by_issuer.get(x["issuer"], [])
+            near = near[bisect.bisect_left(near, (amount - width,)) : bisect.bisect_left(near, (amount + width + 1,))]
+            k = min((k for signed, k in near if not used[k] and abs(signed - amount) / 100 <= tolerance), default=None)
+            if k is not None:
+                return k, "soft1"
+        if free.get(day) == 1:
+            return next(k for k in found if not used[k]), "lone"
+        return None, None
+
+    out = []
+    for x in lefts:
+        k, key = first(x)
+        if k is None:
+            out.append((x["id"], None, None, None))
+            continue
+        used[k] = 1
+        right = rights[k]
+        if right["day"] is not None:
+            free[right["issuer"], right["day"]] -= 1
+        off = 0 if x["amount"] <= 0 < right["amount"] else x["amount"] - right["amount"]
+        out.append((x["id"], right["id"], key, off))
+    out.extend((None, x["id"], None, None) for k, x in enumerate(rights) if not used[k])
+    columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64())
+    return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["l", "r", "key", "off"])
+
+
+def crossed(left: DataFrame, right: DataFrame, left_id: str, right_id: str, own_id: Column | None = None, tolerance: float = 0.05, most: int = MOST) -> DataFrame:
     """Invoices against the tax office's listing, both with (code, issuer, kind, number, day, total).
 
     Rows (left_id, right_id, state, key, difference): OK or DIFERENCIA for what was
@@ -258,11 +340,49 @@ def crossed(left: DataFrame, right: DataFrame, left_id: str, right_id: str, own_
     FALTA for listed ones without an invoice. After the keys: same issuer and day and
     a total within the tolerance or 2 %; same issuer and a total within the tolerance;
     the only listed invoice of that issuer and day.
+
+    Only codes and numbers can be found with another issuer. An issuer of up to
+    ``most`` rows whose codes and numbers nobody else has is settled by itself: the
+    loop runs over some issuers at a time, and each row is dealt once. All others,
+    and invoices without an issuer, are settled in rounds.
     """
+    share = 0.02
     mine = left if own_id is None else left.where(F.coalesce(own_id, F.lit(True)))
     columns = [F.col(c) for c in ("code", "issuer", "kind", "number", "day", "total")]
     keyed = lambda df, own: df.select(own, "issuer", "day", F.abs(F.coalesce("total", F.lit(0))).cast("decimal(18,2)").alias("amount"), F.coalesce("total", F.lit(0)).cast("decimal(18,2)").alias("signed"), invoice_keys(*columns).alias("keys"))
     mine, theirs = stored(keyed(mine, left_id)), stored(keyed(right, right_id))
+    kind = mine.schema["issuer"].dataType
+    if kind != theirs.schema["issuer"].dataType or kind.simpleString() not in ("string", "bigint", "int"):
+        return _in_rounds(left, right, mine, theirs, left_id, right_id, tolerance, share)
+    total, shared = _shared(mine, theirs, most)
+
+    def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows of issuers that are settled by themselves, and all others."""
+        known, unknown = df.where("issuer is not null"), df.where("issuer is null")
+        if shared is None:
+            return known, unknown
+        return known.join(apart(shared), "issuer", "left_anti"), known.join(apart(shared), "issuer", "left_semi").select(*df.columns).unionByName(unknown)
+
+    (mine, my_rest), (theirs, their_rest) = split(mine), split(theirs)
+    cents = lambda c: (F.col(c) * 100).cast("long").alias(c)
+    groups = max(1, total // TOGETHER)
+    dealt = lambda df, own: df.select(F.pmod(F.xxhash64("issuer"), F.lit(groups)).alias("_group"), F.col(own).cast("long").alias("id"), "issuer", "day", cents("amount"), cents("signed"), F.filter("keys", lambda k: k.isNotNull()).alias("keys")).groupBy("_group")
+    found = dealt(mine, left_id).cogroup(dealt(theirs, right_id)).applyInArrow(lambda a, b: _looped(a, b, tolerance, share), "l long, r long, key string, off long")
+    difference = (F.col("off").cast("decimal(20,0)") / 100).cast("decimal(18,2)")
+    state = F.when(F.col("l").isNull(), "FALTA").when(F.col("r").isNull(), "REVISAR").when(F.abs(difference) > tolerance, "DIFERENCIA").otherwise("OK")
+    out = found.select(F.col("l").alias(left_id), F.col("r").alias(right_id), state.alias("state"), "key", difference.alias("difference"))
+    if own_id is not None:
+        none = lambda kind: F.lit(None).cast(kind)
+        others = left.where(~F.coalesce(own_id, F.lit(True))).select(F.col(left_id).cast("long").alias(left_id), none("long").alias(right_id), F.lit("REVISAR").alias("state"), none("string").alias("key"), none("decimal(18,2)").alias("difference"))
+        out = out.unionByName(others)
+    if my_rest.isEmpty() and their_rest.isEmpty():
+        return out
+    my_rest, their_rest = stored(my_rest), stored(their_rest)
+    return out.unionByName(_in_rounds(my_rest, their_rest, my_rest, their_rest, left_id, right_id, tolerance, share))
+
+
+def _in_rounds(left: DataFrame, right: DataFrame, mine: DataFrame, theirs: DataFrame, left_id: str, right_id: str, tolerance: float, share: float) -> DataFrame:
+    """``crossed`` by ``serial_match``; what of ``left`` is not in ``mine`` is REVISAR."""
 
     def near(rows: DataFrame, on: list[str], share: float) -> DataFrame:
         """Pairs of equal columns whose totals are within the tolerance or a share of the invoice's; a listed credit note is near to none."""
@@ -277,7 +397,7 @@ def crossed(left: DataFrame, right: DataFrame, left_id: str, right_id: str, own_
         met = wide.join(listed.withColumn("_band", band("_listed")), [*on, "_band"])
         return met.where(F.abs(F.col("_listed") - F.col("amount")) <= F.greatest(F.lit(tolerance), F.col("amount").cast("double") * share)).select(left_id, right_id)
 
-    rules = [lambda rows: near(rows, ["issuer", "day"], 0.02), lambda rows: near(rows.where("amount <> 0"), ["issuer"], 0.0)]
+    rules = [lambda rows: near(rows, ["issuer", "day"], share), lambda rows: near(rows.where("amount <> 0"), ["issuer"], 0.0)]
     lone = F.concat(F.col("issuer").cast("string"), F.lit("|"), F.col("day").cast("string"))
     taken = stored(serial_match(mine, theirs, left_id, right_id, F.col("keys"), F.col("keys"), rules, (lone, lone)))
     both = taken.join(mine.select(left_id, "amount"), left_id).join(theirs.select(right_id, F.col("amount").alias("_listed")), right_id)

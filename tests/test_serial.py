@@ -124,3 +124,29 @@ def test_empty_sides(spark):
     left = spark.createDataFrame([], INVOICE).withColumnRenamed("id", "invoice")
     right = spark.createDataFrame([], INVOICE).withColumnRenamed("id", "row")
     assert serial.crossed(left, right, "invoice", "row").count() == 0
+
+
+def test_issuers_by_themselves_as_in_rounds(spark, monkeypatch):
+    """Equal whichever way issuers go; those whose codes and numbers nobody else has take no round."""
+    r = random.Random(5)
+
+    def invoice(k, issuer, shared):
+        own = "" if shared else issuer
+        number = r.choice([None, "", f"{own}-{r.randrange(3)}", f"{own}|{r.randrange(2)}"])
+        total = r.choice([None, Decimal(0), Decimal(r.randrange(1, 8)), Decimal("100.00") + Decimal(r.randrange(12)) / 100, Decimal("-100.03")])
+        return (k, r.choice([None, f"{own}0123456789{r.randrange(2)}", f"{own}7"]), issuer, r.choice([None, "A", "1|A"]), number, r.choice([None, day(1), day(2)]), total, r.random() > 0.1)
+
+    rows = lambda: [invoice(k, r.choice([None, "i1", "i1|1"]), True) if k % 3 == 0 else invoice(k, f"j{r.randrange(9)}", False) for k in range(120)]
+    kind = INVOICE.replace("issuer long", "issuer string")
+    left, right = spark.createDataFrame(rows(), kind).withColumnRenamed("id", "a"), spark.createDataFrame(rows(), kind).withColumnRenamed("id", "b")
+    crossed = lambda a, b, **more: sorted(map(str, serial.crossed(a, b, "a", "b", F.col("ours"), **more).collect()))
+    rounds = []
+    old = serial._State._round
+    monkeypatch.setattr(serial._State, "_round", lambda self, n: (rounds.append(n), old(self, n)))
+    both = crossed(left, right)
+    assert both == crossed(left, right, most=0) and rounds
+    assert {x.split("key='")[1].split("'")[0].split(":")[0] for x in both if "key='" in x} >= {"soft0", "soft1", "code", "number", "issuer+day+total"}
+    rounds.clear()
+    apart = F.col("issuer").startswith("j")
+    found = crossed(left.where(apart), right.where(apart))
+    assert not rounds and found == crossed(left.where(apart), right.where(apart), most=0) and rounds
