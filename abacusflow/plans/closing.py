@@ -200,7 +200,8 @@ def staged_match(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("near", lambda p, q: near(1.0)(p, q).where((days <= 7) | (F.trunc("paid_day", "MM") == F.trunc("day", "MM"))), [days]),
         ("only", lambda p, q: only(near(0.0)(p, q)), []),
     ]
-    return matching.staged(debits(spark, sf_dir), invoices(spark, sf_dir), "debit", "invoice", passes)
+    paid, listed = debits(spark, sf_dir).select("debit", "customer", "paid", "paid_day"), invoices(spark, sf_dir).select("invoice", "customer", "amount", "day")
+    return matching.staged(paid, listed, "debit", "invoice", passes)
 
 
 @query("select event_id, user_id, event_type from (select distinct event_id, user_id, event_type from events)")

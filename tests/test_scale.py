@@ -79,3 +79,18 @@ def test_equal_pairs_of_names_are_scored_once_a_batch(monkeypatch):
 def test_sets_of_a_pool_are_tried_where_it_lies(spark):
     told = plan(registry.queries()["withholding_combinations"](spark, FOLDER))
     assert "MapInArrow" in told and "_bn" not in told
+
+
+def test_only_what_ranks_a_pair_goes_through_the_rounds(spark, monkeypatch):
+    seen, real = [], matching.one_to_one
+    monkeypatch.setattr(matching, "one_to_one", lambda pairs, *more: seen.append(pairs.columns) or real(pairs, *more))
+    left, right = spark.createDataFrame([(1, 5.0, "x"), (2, 5.0, "y")], "a int, x double, t string"), spark.createDataFrame([(7, 5.0, "z")], "b int, y double, u string")
+    passes = [("same", lambda p, q: matching.amount_band(p, q, "x", "y", 0.0), [-F.col("a")])]
+    assert [tuple(r) for r in matching.staged(left, right, "a", "b", passes).collect()] == [(2, 7, "same")]
+    assert seen == [["a", "b", "_order0"]]
+
+
+def test_equal_amounts_meet_without_copies(spark):
+    left, right = spark.createDataFrame([(1, 1.0), (2, None), (3, float("nan"))], "a int, x double"), spark.createDataFrame([(4, 1.0), (5, 1.005), (6, None), (7, float("nan"))], "b int, y double")
+    pairs = matching.amount_band(left, right, "x", "y", 0.0)
+    assert [(r["a"], r["b"]) for r in pairs.collect()] == [(1, 4)] and "Generate explode" not in plan(pairs)
