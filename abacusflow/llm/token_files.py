@@ -10,6 +10,8 @@ key, so ids run in key order across parts. ``read_ids`` and ``read_keys`` read
 single places and documents; the bounds of blocks prune the scan.
 
 Every text is encoded whole, once, before the sort; what moves is packed ids.
+The tokenizer leaves out steps that cannot change a text: composing (NFC) one
+that is composed, mapping the bytes of printable ASCII to themselves.
 
 Defined cases: a null or empty text has just the end id; repeated rows are
 written one by one (ties by their ids); a null key sorts first; an empty table
@@ -19,7 +21,10 @@ text columns may have any name.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -41,6 +46,20 @@ BLOCK_IDS = 1 << 18
 #: Documents that the tokenizer is given at once.
 SLICE = 128
 
+#: The steps before the merges for which fewer do. No piece holds white space, so runs of it need not become one blank.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: The same pieces as by that pattern: only an apostrophe can begin two of its alternatives, and these keep their order.
+LETTERS_FIRST = r"\p{L}+|'(?:s|t|re|ve|m|ll|d)|\p{N}|[^\s\p{L}\p{N}]+"
+#: ASCII bytes that the byte level maps to others, white space aside.
+UNPRINTABLE = re.compile(r"[^\t\n\r\x20-\x7e]")
+
 
 def width_of(vocabulary: int) -> int:
     return max(1, (vocabulary - 1).bit_length())
@@ -66,17 +85,45 @@ def unpack(data: bytes, width: int, count: int, first: int = 0) -> np.ndarray:
 
 
 @cache
-def tokenizer_at(path: str):
-    """The tokenizer of a file, one for each Python worker: tasks that follow each other share it and its cache."""
+def tokenizer_at(path: str, steps: str = "all"):
+    """The tokenizer of a file with all or fewer steps before its merges, one for each Python worker: tasks that follow each other share it, and all share one cache."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already use every core
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
+    from tokenizers import Regex, Tokenizer
+    from tokenizers.normalizers import Lowercase
+    from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
+
+    if steps == "all":
+        return Tokenizer.from_file(path)
+    whole = tokenizer_at(path)
+    with open(path, "rb") as file:
+        said = json.load(file)
+    if (said["normalizer"], said["pre_tokenizer"]) != (NORMALIZER, PRE_TOKENIZER) or any(t["normalized"] for t in said["added_tokens"]):
+        return whole
+    light = Tokenizer.from_file(path)
+    light.model = whole.model
+    light.normalizer = Lowercase()
+    split = Split(Regex(LETTERS_FIRST), "removed", invert=True)
+    light.pre_tokenizer = split if steps == "printable" else Sequence([split, ByteLevel(add_prefix_space=False, use_regex=False)])
+    return light
+
+
+def steps_for(text: str) -> str:
+    """Which steps a text needs: ``printable`` ones have nothing to compose nor bytes to map, ``composed`` ones nothing to compose."""
+    if text.isascii():
+        return "composed" if UNPRINTABLE.search(text) else "printable"
+    return "composed" if unicodedata.is_normalized("NFC", text) else "all"
 
 
 def ids_of(texts: list[str | None], tokenizer_path: str) -> list[list[int]]:
     """The ids of whole texts, without an end id."""
-    return [e.ids for e in tokenizer_at(tokenizer_path).encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+    places: dict[str, list[int]] = {}
+    for k, t in enumerate(texts):
+        places.setdefault(steps_for(t or ""), []).append(k)
+    found: list[list[int]] = [[] for _ in texts]
+    for steps, own in places.items():
+        for k, e in zip(own, tokenizer_at(tokenizer_path, steps).encode_batch_fast([texts[k] or "" for k in own], add_special_tokens=False), strict=True):
+            found[k] = e.ids
+    return found
 
 
 def encoded(docs: DataFrame, key: str, text: str, tokenizer_path: str, vocabulary: int = VOCABULARY, end_id: int = END_ID) -> DataFrame:

@@ -1,3 +1,4 @@
+import json
 import uuid
 import zlib
 
@@ -90,3 +91,30 @@ def test_a_word_of_a_million_letters(spark, tmp_path):
     T.write_blocks(spark.createDataFrame([(1, word), (2, "end")], "doc_id long, text string"), f"{tmp_path}/files")
     order = [r["ids"] for r in T.read_documents(spark, f"{tmp_path}/files").orderBy("start").collect()]
     assert order == whole([(1, word), (2, "end")])
+
+
+def test_steps_that_change_nothing_are_left_out():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = {
+        "printable": ["", "It's I'LL 'sting !'s ''re a'b'd don't'", "a\tB\r\n\n c_1 22 ~`^", "<|startoftext|> x<|ENDOFTEXT|><|endoftext|>"],
+        "composed": ["\x00a\x0bb\x0cc \x1c\x1f\x7f", "\u00c9t\u00e9 \u00e0'S\u00a0\x85 \u0130\u03a3 \u2028\u3000", "\u6f22\u5b57 \uac00 \u0661\u00b2\u216b \U0001f600\u0301 \ufb01", "e<|startoftext|>\u00e9"],
+        "all": ["e\u0301 E\u0301", "\u212a \u2000a \u1fef", "\u1100\u1161"],
+    }
+    for steps, own in texts.items():
+        for text, ids in zip(own, T.ids_of(own, path), strict=True):
+            assert T.steps_for(text) == steps
+            assert ids == tokenizer.encode(text, add_special_tokens=False).ids
+    assert T.tokenizer_at(path, "printable").normalizer.normalize_str("A  e\u0301") == "a  e\u0301"  # neither blanks nor marks are looked for
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    mixed = ["".join(points[at : at + 64]) for at in range(0, 0x30000, 64)] + [f"a{x}B'{x}s{x}{x} 1" for x in points[:0x3400]]
+    assert T.ids_of(mixed, path) == [e.ids for e in tokenizer.encode_batch(mixed, add_special_tokens=False)]
+
+
+def test_other_files_take_all_their_steps(tmp_path):
+    said = json.loads(open(public_tokenizers.path("word_bpe_49k.json"), "rb").read())
+    said["normalizer"] = None
+    (tmp_path / "cased.json").write_text(json.dumps(said))
+    texts = ["Some Capitals", "\u00c9t\u00e9"]
+    tokenizer = Tokenizer.from_file(f"{tmp_path}/cased.json")
+    assert T.ids_of(texts, f"{tmp_path}/cased.json") == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
