@@ -10,8 +10,12 @@ key, so ids run in key order across parts. ``read_ids`` and ``read_keys`` read
 single places and documents; the bounds of blocks prune the scan.
 
 Every text is encoded whole, once, before the sort; what moves is packed ids.
-The tokenizer leaves out steps that cannot change a text: composing (NFC) one
-that is composed, mapping the bytes of printable ASCII to themselves.
+Composing (NFC) is left out for a text that is composed. The library merges a
+text as one sequence instead of a piece for each word: the suffix that marks a
+word's last byte in the vocabulary is a character of its own in ``unsplit_at``, no
+merge goes on from a last byte, so none reaches into the next word, and the ids
+are those of the file. Texts with a special token, and files of other steps, take
+the tokenizer as it is.
 
 Defined cases: a null or empty text has just the end id; repeated rows are
 written one by one (ties by their ids); a null key sorts first; an empty table
@@ -27,6 +31,7 @@ import re
 import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -43,8 +48,9 @@ VOCABULARY = 49_408
 END_ID = 2
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 18
-#: Documents that the tokenizer is given at once.
+#: Documents that the tokenizer is given at once, and characters after which it is given fewer.
 SLICE = 128
+SLICE_CHARS = 1 << 20
 
 #: The steps before the merges for which fewer do. No piece holds white space, so runs of it need not become one blank.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -59,6 +65,16 @@ PRE_TOKENIZER = {
 LETTERS_FIRST = r"\p{L}+|'(?:s|t|re|ve|m|ll|d)|\p{N}|[^\s\p{L}\p{N}]+"
 #: ASCII bytes that the byte level maps to others, white space aside.
 UNPRINTABLE = re.compile(r"[^\t\n\r\x20-\x7e]")
+#: Up to here all is composed, and Python's lower case is the library's.
+BEYOND_LATIN = re.compile(r"[^\x00-\u024f]")
+SUFFIX = "</w>"
+#: What a model says besides its vocabulary and merges.
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": SUFFIX, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+#: The byte level's bytes that stand for themselves; the others are the characters from 256 on.
+PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTES = {chr(b): b for b in PLAIN} | {chr(256 + k): b for k, b in enumerate(sorted({*range(256)} - {*PLAIN}))}
+#: The kinds of characters that the split knows.
+SPACE, LETTER, NUMBER, OTHER, UNKNOWN = 0, 1, 2, 3, 255
 
 
 def width_of(vocabulary: int) -> int:
@@ -84,29 +100,54 @@ def unpack(data: bytes, width: int, count: int, first: int = 0) -> np.ndarray:
     return (bits.astype(np.uint32) << np.arange(width, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
 
 
+@cache
+def said_by(path: str) -> dict:
+    with open(path, "rb") as file:
+        return json.load(file)
+
+
 @cache
 def tokenizer_at(path: str, steps: str = "all"):
-    """The tokenizer of a file with all or fewer steps before its merges, one for each Python worker: tasks that follow each other share it, and all share one cache."""
+    """The tokenizer of a file, or the fewer steps before its merges alone; one for each Python worker, tasks that follow each other share it."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already use every core
     from tokenizers import Regex, Tokenizer
+    from tokenizers.models import BPE
     from tokenizers.normalizers import Lowercase
-    from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
+    from tokenizers.pre_tokenizers import Split
 
     if steps == "all":
         return Tokenizer.from_file(path)
-    whole = tokenizer_at(path)
-    with open(path, "rb") as file:
-        said = json.load(file)
-    if (said["normalizer"], said["pre_tokenizer"]) != (NORMALIZER, PRE_TOKENIZER) or any(t["normalized"] for t in said["added_tokens"]):
-        return whole
-    light = Tokenizer.from_file(path)
-    light.model = whole.model
+    light = Tokenizer(BPE())
     light.normalizer = Lowercase()
-    split = Split(Regex(LETTERS_FIRST), "removed", invert=True)
-    light.pre_tokenizer = split if steps == "printable" else Sequence([split, ByteLevel(add_prefix_space=False, use_regex=False)])
+    light.pre_tokenizer = Split(Regex(LETTERS_FIRST), "removed", invert=True)
     return light
 
 
+@cache
+def unsplit_at(path: str):
+    """The merges of a file for ``respelled`` texts, which need no split; None if its steps or merges are of another kind."""
+    from tokenizers import Tokenizer
+    from tokenizers.models import BPE
+
+    said, model = said_by(path), said_by(path)["model"]
+    if (said["normalizer"], said["pre_tokenizer"]) != (NORMALIZER, PRE_TOKENIZER) or any(t["normalized"] for t in said["added_tokens"]):
+        return None
+    if {k: v for k, v in model.items() if k not in ("vocab", "merges")} != MODEL:
+        return None
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    spelled = {}
+    for token in model["vocab"]:
+        own = token.removesuffix(SUFFIX)
+        if not own or not BYTES.keys() >= set(own):
+            return None
+        units = [BYTES[c] for c in own]
+        units[-1] += 256 * (len(own) < len(token))
+        spelled[token] = "".join(map(chr, units))
+    if any(a.endswith(SUFFIX) for a, _ in merges):
+        return None
+    return Tokenizer(BPE({spelled[t]: i for t, i in model["vocab"].items()}, [(spelled[a], spelled[b]) for a, b in merges]))
+
+
 def steps_for(text: str) -> str:
     """Which steps a text needs: ``printable`` ones have nothing to compose nor bytes to map, ``composed`` ones nothing to compose."""
     if text.isascii():
@@ -114,15 +155,84 @@ def steps_for(text: str) -> str:
     return "composed" if unicodedata.is_normalized("NFC", text) else "all"
 
 
+def normalized(text: str, path: str) -> str:
+    """A text after the file's normalizer, its white space aside."""
+    if not BEYOND_LATIN.search(text):
+        return text.lower()
+    return tokenizer_at(path, "all" if steps_for(text) == "all" else "printable").normalizer.normalize_str(text)
+
+
+@cache
+def kind_table(path: str) -> np.ndarray:
+    """A kind for each code point, unknown until one is met."""
+    return np.full(0x110000, UNKNOWN, np.uint8)
+
+
+def kinds_of(points: np.ndarray, path: str) -> np.ndarray:
+    """The kinds of code points, each asked of the library's own split once."""
+    table = kind_table(path)
+    kinds = table[points]
+    if (kinds == UNKNOWN).any():
+        for c in np.unique(points[kinds == UNKNOWN]).tolist():
+            pieces = [p for p, _ in tokenizer_at(path, "printable").pre_tokenizer.pre_tokenize_str("a" + 2 * chr(c))]
+            table[c] = {1: SPACE if pieces == ["a"] else LETTER, 2: OTHER, 3: NUMBER}[len(pieces)]
+        kinds = table[points]
+    return kinds
+
+
+def respelled(texts: list[str], path: str) -> list[str]:
+    """Each text's UTF-8 bytes as characters, without white space, 256 more for the last byte of a piece."""
+    joined = "\n" + "\n".join(texts) + "\n\n\n"  # every apostrophe has one character before it and two behind
+    units = np.frombuffer(joined.encode("utf-8"), np.uint8)
+    points = units if joined.isascii() else np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    kinds = kinds_of(points, path)
+    ends = kinds == NUMBER
+    ends[:-1] |= kinds[1:] != kinds[:-1]
+    quotes = np.flatnonzero(points == ord("'"))
+    quotes = quotes[kinds[quotes - 1] != OTHER]  # one inside a run of marks begins nothing
+    a, b = points[quotes + 1], points[quotes + 2]
+    short = quotes[np.isin(a, [ord(c) for c in "stmd"])]
+    long = quotes[(np.isin(a, [ord(c) for c in "rv"]) & (b == ord("e"))) | ((a == ord("l")) & (b == ord("l")))]
+    ends[short], ends[long] = False, False
+    ends[short + 1], ends[long + 2] = True, True
+    kept = kinds != SPACE
+    units = units.astype("<u2")
+    if points.dtype == np.uint8:
+        units[ends] += 256
+        places, units = np.cumsum(kept), units[kept]
+    else:
+        widths = 1 + (points > 0x7F).astype(np.int8) + (points > 0x7FF) + (points > 0xFFFF)
+        units[np.cumsum(widths)[ends] - 1] += 256
+        places, units = np.cumsum(widths * kept), units[np.repeat(kept, widths)]
+    spelled = units.tobytes().decode("utf-16-le")
+    stops = places[np.cumsum([len(t) + 1 for t in texts])].tolist()  # up to the blank behind each text
+    return [spelled[start:stop] for start, stop in zip([0, *stops], stops, strict=False)]
+
+
 def ids_of(texts: list[str | None], tokenizer_path: str) -> list[list[int]]:
     """The ids of whole texts, without an end id."""
-    places: dict[str, list[int]] = {}
-    for k, t in enumerate(texts):
-        places.setdefault(steps_for(t or ""), []).append(k)
+    unsplit = unsplit_at(tokenizer_path)
+    special = [t["content"] for t in said_by(tokenizer_path)["added_tokens"]]
     found: list[list[int]] = [[] for _ in texts]
-    for steps, own in places.items():
-        for k, e in zip(own, tokenizer_at(tokenizer_path, steps).encode_batch_fast([texts[k] or "" for k in own], add_special_tokens=False), strict=True):
+
+    def encode(tokenizer, places: list[int], own: list[str]) -> None:
+        for k, e in zip(places, tokenizer.encode_batch_fast(own, add_special_tokens=False), strict=True):
             found[k] = e.ids
+
+    light: list[int] = []
+    as_is: list[int] = []
+    chars = 0
+    for k, t in enumerate(texts):
+        (as_is if unsplit is None or any(x in (t or "") for x in special) else light).append(k)
+        chars += len(t or "")
+        if k == len(texts) - 1 or chars >= SLICE_CHARS:
+            plain = {j: normalized(texts[j] or "", tokenizer_path) for j in light}
+            for own in ([j for j, x in plain.items() if x.isascii()], [j for j, x in plain.items() if not x.isascii()]):
+                if own:
+                    encode(unsplit, own, respelled([plain[j] for j in own], tokenizer_path))
+            if as_is:
+                encode(tokenizer_at(tokenizer_path), as_is, [texts[j] or "" for j in as_is])
+            light, as_is, chars = [], [], 0
     return found
 
 
@@ -137,7 +247,7 @@ def encoded(docs: DataFrame, key: str, text: str, tokenizer_path: str, vocabular
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 found = ids_of(part.column("_text").to_pylist(), tokenizer_path)
-                packed = [pack(np.array([*x, end_id], np.uint32), width) for x in found]
+                packed = [pack(np.frombuffer(array("I", [*x, end_id]), np.uintc), width) for x in found]
                 yield pa.RecordBatch.from_arrays([part.column("_key"), pa.array([len(x) + 1 for x in found], pa.int64()), pa.array(packed, pa.binary())], names=["_key", "_n", "_packed"])
 
     return source.mapInArrow(task, schema)
@@ -165,11 +275,13 @@ def write_blocks(docs: DataFrame, folder: str, key: str = "doc_id", text: str =
         def closed() -> pa.RecordBatch:
             rows = pa.Table.from_batches(held).combine_chunks()
             lengths = rows["_n"].to_numpy()
-            ids = np.concatenate([unpack(p.as_py(), width, n) for p, n in zip(rows["_packed"], lengths.tolist(), strict=True)])
+            pieces = rows["_packed"].to_pylist()
+            packed = b"".join(pieces) if width % 8 == 0 else pack(np.concatenate([unpack(p, width, n) for p, n in zip(pieces, lengths.tolist(), strict=True)]), width)
+            ids = int(lengths.sum())
             keys = rows["_key"].to_pylist()
-            out = {"part": rows["_part"][0].as_py(), "block": state["block"], "first": state["first"], "ids": len(ids), "width": width, "low": keys[0], "high": keys[-1], "keys": keys, "lengths": lengths.tolist(), "packed": pack(ids, width)}
+            out = {"part": rows["_part"][0].as_py(), "block": state["block"], "first": state["first"], "ids": ids, "width": width, "low": keys[0], "high": keys[-1], "keys": keys, "lengths": lengths.tolist(), "packed": packed}
             state["block"] += 1
-            state["first"] += len(ids)
+            state["first"] += ids
             held.clear()
             return pa.RecordBatch.from_pylist([out], schema=arrow)
 
@@ -216,8 +328,9 @@ def read_documents(spark: SparkSession, folder: str, digest: bool = False, where
                 data = row.column("packed")[0].as_py()
                 ids = unpack(data, row.column("width")[0].as_py(), int(row.column("ids")[0].as_py()))
                 start = row.column("before")[0].as_py() + row.column("first")[0].as_py() + ends - lengths
-                pieces = np.split(ids.astype("<u4"), ends[:-1]) if len(ends) else []
-                values = pa.array([zlib.crc32(p.tobytes()) for p in pieces], pa.int64()) if digest else pa.array([p.tolist() for p in pieces], pa.list_(pa.int64()))
+                bounds = list(zip((ends - lengths).tolist(), ends.tolist(), strict=True))
+                view = memoryview(ids.astype("<u4").tobytes())
+                values = pa.array([zlib.crc32(view[4 * a : 4 * b]) for a, b in bounds], pa.int64()) if digest else pa.array([ids[a:b].tolist() for a, b in bounds], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([row.column("keys").flatten(), pa.array(start, pa.int64()), pa.array(lengths, pa.int64()), values], names=["key", "start", "n_tokens", last.split()[0]])
 
     return blocks.mapInArrow(task, f"key {kind}, start bigint, n_tokens bigint, {last}")

@@ -1,4 +1,6 @@
 import json
+import random
+import time
 import uuid
 import zlib
 
@@ -118,3 +120,62 @@ def test_other_files_take_all_their_steps(tmp_path):
     texts = ["Some Capitals", "\u00c9t\u00e9"]
     tokenizer = Tokenizer.from_file(f"{tmp_path}/cased.json")
     assert T.ids_of(texts, f"{tmp_path}/cased.json") == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_text_is_merged_as_one_sequence():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    assert T.unsplit_at(path).pre_tokenizer is None
+    assert T.respelled(["Th\u00e9 t", "", "'re''s 12!?"], path) == ["Th\u00c3\u01a9\u0174", "", "'r\u0165'\u0127\u0173\u0131\u0132!\u013f"]
+    letters = ["'", "s", "t", "re", "ve", "l", "d", "M", "E", "e", " ", "\n", "7", "!", "\u00e9", "\u0301", "\u00a0", "\u85e4", "\U0001f600", "\u0130", "\x1c", "</w>", "<|"]
+    r = random.Random(1)
+    texts = ["".join(r.choices(letters, k=r.randint(0, 30))) for _ in range(20_000)]
+    texts[7], texts[300] = "it's<|startoftext|> A", "<|endoftext|>"
+    assert T.ids_of(texts, path) == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_slices_end_after_so_many_characters(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    sizes, inner = [], T.respelled
+    monkeypatch.setattr(T, "SLICE_CHARS", 10)
+    monkeypatch.setattr(T, "respelled", lambda texts, path: sizes.append(len(texts)) or inner(texts, path))
+    texts = ["one", None, "two three", "a long, long text", "<|endoftext|> and more", "four", ""]
+    assert T.ids_of(texts, path) == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert sizes == [3, 1, 2]
+
+
+def test_lower_case_of_latin_letters_is_the_library_s():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path).normalizer
+    for c in range(0x250):
+        text = f"A{chr(c)}A"
+        assert T.normalized(text, path).split() == library.normalize_str(text).split()
+
+
+def test_encoding_takes_half_the_time_of_the_file_as_it_is():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = T.tokenizer_at(path)
+    r = random.Random(2)
+    words = ["".join(r.choice("abcdeo\u00e9\u00f1stn") for _ in range(r.randint(2, 9))) for _ in range(20_000)]
+    texts = [" ".join(r.choices(words, k=500)) for _ in range(100)]
+    assert T.ids_of(texts, path) == [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def seconds(encode):
+        start = time.process_time()
+        encode()
+        return time.process_time() - start
+
+    own = min(seconds(lambda: T.ids_of(texts, path)) for _ in range(3))
+    assert own < 0.5 * min(seconds(lambda: tokenizer.encode_batch_fast(texts, add_special_tokens=False)) for _ in range(3))
+
+
+@pytest.mark.parametrize("change", [{"end_of_word_suffix": None}, {"dropout": 0.0}, {"ignore_merges": True}])
+def test_models_of_another_kind_are_taken_as_they_are(tmp_path, change):
+    said = json.loads(open(public_tokenizers.path("word_bpe_49k.json"), "rb").read())
+    said["model"] |= change
+    path = f"{tmp_path}/other.json"
+    (tmp_path / "other.json").write_text(json.dumps(said))
+    texts = ["It's the other 12 \u00e9t\u00e9s", ""]
+    assert T.unsplit_at(path) is None
+    assert T.ids_of(texts, path) == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
