@@ -67,6 +67,9 @@ LETTERS_FIRST = r"\p{L}+|'(?:s|t|re|ve|m|ll|d)|\p{N}|[^\s\p{L}\p{N}]+"
 UNPRINTABLE = re.compile(r"[^\t\n\r\x20-\x7e]")
 #: Up to here all is composed, and Python's lower case is the library's.
 BEYOND_LATIN = re.compile(r"[^\x00-\u024f]")
+#: A spelled text of over LONG characters is given with a blank behind the first whole word after every 4,096, which keeps the queue of its merges short.
+LONG = 1 << 16
+STRETCH = re.compile("(?s).{4096}[\x00-\xff]*[\u0100-\u01ff]")
 SUFFIX = "</w>"
 #: What a model says besides its vocabulary and merges.
 MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": SUFFIX, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
@@ -148,6 +151,17 @@ def unsplit_at(path: str):
     return Tokenizer(BPE({spelled[t]: i for t, i in model["vocab"].items()}, [(spelled[a], spelled[b]) for a, b in merges]))
 
 
+@cache
+def stretches_at(path: str):
+    """``unsplit_at`` for long texts: merges stay within the stretches between blanks."""
+    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import CharDelimiterSplit
+
+    stretches = Tokenizer(unsplit_at(path).model)
+    stretches.pre_tokenizer = CharDelimiterSplit(" ")
+    return stretches
+
+
 def steps_for(text: str) -> str:
     """Which steps a text needs: ``printable`` ones have nothing to compose nor bytes to map, ``composed`` ones nothing to compose."""
     if text.isascii():
@@ -229,7 +243,11 @@ def ids_of(texts: list[str | None], tokenizer_path: str) -> list[list[int]]:
             plain = {j: normalized(texts[j] or "", tokenizer_path) for j in light}
             for own in ([j for j, x in plain.items() if x.isascii()], [j for j, x in plain.items() if not x.isascii()]):
                 if own:
-                    encode(unsplit, own, respelled([plain[j] for j in own], tokenizer_path))
+                    spelled = dict(zip(own, respelled([plain[j] for j in own], tokenizer_path), strict=True))
+                    long = [j for j in own if len(spelled[j]) > LONG]
+                    if long:
+                        encode(stretches_at(tokenizer_path), long, [STRETCH.sub(r"\g<0> ", spelled.pop(j)) for j in long])
+                    encode(unsplit, list(spelled), list(spelled.values()))
             if as_is:
                 encode(tokenizer_at(tokenizer_path), as_is, [texts[j] or "" for j in as_is])
             light, as_is, chars = [], [], 0

@@ -145,6 +145,17 @@ def test_slices_end_after_so_many_characters(monkeypatch):
     assert sizes == [3, 1, 2]
 
 
+def test_long_texts_are_merged_in_stretches(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    r = random.Random(3)
+    texts = [" ".join("".join(r.choice("abcdeo\u00e9stn'7") for _ in range(r.randint(1, 9))) for _ in range(30_000)), "x" * 70_000 + " end", "short", "a" * 70_000]
+    sizes, inner = [], T.stretches_at
+    monkeypatch.setattr(T, "stretches_at", lambda path: sizes.append(path) or inner(path))
+    assert T.ids_of(texts, path) == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+    assert sizes
+    assert T.STRETCH.sub(r"\g<0> ", "a" * 4099 + "\u0161b\u0162") == "a" * 4099 + "\u0161 b\u0162"
+
+
 def test_lower_case_of_latin_letters_is_the_library_s():
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path).normalizer
