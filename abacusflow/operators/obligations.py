@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import within_days_or_month
 from ..sources.scratch import stored
+from . import strips
 from .matching import amount_band, apart, leftovers, one_to_one, subset_sums
 
 PAID, PARTLY, OPEN, UNCOVERED = "PAGADO", "PARCIAL", "FALTA", "SIN EXTRACTO"
@@ -78,19 +79,10 @@ def scored_assignment(withheld: DataFrame, invoices: DataFrame, days: int = 45,
     return one_to_one(pairs.select("withholding", "invoice", "score"), "withholding", "invoice", [F.col("score")]).select("withholding", "invoice", "score")
 
 
-def matched_by_passes(debits: DataFrame, invoices: DataFrame, score: Column, tolerance: float = 1.0, least: float = 62.0) -> DataFrame:
-    """(debit, invoice, stage) of debits (debit, paid_day, paid, text) and invoices (invoice, day, amount, name), ``score`` a column over both.
-
-    name: amount within the tolerance, three days and a score; amount: the same
-    without a score, or within 15 days if neither side has another candidate;
-    late: a score and the amount, at any date; sums: two invoices for one debit, or
-    two debits for one invoice, of the same day's week.
-    """
+def _scored_passes(debits: DataFrame, invoices: DataFrame, score: Column, tolerance: float, least: float) -> DataFrame:
+    """The passes over single rows, for a score that is any column over both: all pairs are made."""
     days = F.abs(F.datediff("paid_day", "day"))
 
-    def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-        return amount_band(left, right, "paid", "amount", tolerance).withColumn("_days", days).withColumn("_score", score)
-
     def only(found: DataFrame) -> DataFrame:
         for side in ("debit", "invoice"):
             found = found.join(apart(found.groupBy(side).agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").select(side)), side, "left_semi")
@@ -103,11 +95,56 @@ def matched_by_passes(debits: DataFrame, invoices: DataFrame, score: Column, tol
         ("late", lambda p: p.where(f"_score >= {least}"), [-F.col("_score"), F.col("_days")]),
     ]
     out = None
-    scored = stored(pairs(debits, invoices).select("debit", "invoice", "_days", "_score"))  # once for all passes
+    pairs = amount_band(debits, invoices, "paid", "amount", tolerance).withColumn("_days", days).withColumn("_score", score)
+    scored = stored(pairs.select("debit", "invoice", "_days", "_score"))  # once for all passes
     for name, keep, order in passes:
         found = stored(one_to_one(keep(scored), "debit", "invoice", order).select("debit", "invoice", F.lit(name).alias("stage")))
         out = found if out is None else out.unionByName(found)
         scored = stored(scored.join(apart(found.select("debit")), "debit", "left_anti").join(apart(found.select("invoice")), "invoice", "left_anti"))
+    return out
+
+
+def _only_candidates(debits: DataFrame, invoices: DataFrame, tolerance: float, days: int) -> DataFrame:
+    """(debit, invoice) of debits with one invoice within the tolerance and some days, where no other such debit has it. Rows of one amount and day meet as one."""
+    stretch = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / (days + 1)).cast("long")
+    kinds = lambda df, own, amount, day: df.where(F.col(day).isNotNull()).groupBy(amount, day).agg(F.min(own).alias(own), F.count(F.lit(1)).alias(f"_n_{own}"))
+    mine, theirs = kinds(debits, "debit", "paid", "paid_day"), kinds(invoices, "invoice", "amount", "day")
+    wide = mine.withColumn("_s", F.explode(F.array(*[stretch("paid_day") + k for k in (-1, 0, 1)])))
+    pairs = amount_band(wide, theirs.withColumn("_s", stretch("day")), "paid", "amount", tolerance, ["_s"]).where(F.abs(F.datediff("paid_day", "day")) <= days)
+    one = pairs.groupBy("debit", "_n_debit").agg(F.sum("_n_invoice").alias("_n"), F.min("invoice").alias("invoice")).where("_n = 1")
+    return one.groupBy("invoice").agg(F.sum("_n_debit").alias("_n"), F.min("debit").alias("debit")).where("_n = 1").select("debit", "invoice")
+
+
+def _named_passes(debits: DataFrame, invoices: DataFrame, tolerance: float, least: float) -> DataFrame:
+    """The passes over single rows, for the score of the names ``_left`` and ``_right``: strip by strip of amounts."""
+    left = lambda df: df.select(F.col("debit").alias("id"), F.col("paid").alias("amount"), F.col("paid_day").alias("day"), F.col("_left").alias("name"))
+    right = lambda df: df.select(F.col("invoice").alias("id"), "amount", "day", F.col("_right").alias("name"))
+    stage = lambda found, name: found.select(F.col("l").alias("debit"), F.col("r").alias("invoice"), name.alias("stage"))
+    out = stage(strips.settled(left(debits), right(invoices), tolerance, strips.near_days(least, 3)), F.when(F.col("tag") == 0, "name").otherwise("amount"))
+    debits, invoices = (stored(x) for x in leftovers(debits, invoices, out, "debit", "invoice"))
+    found = stored(_only_candidates(debits, invoices, tolerance, 15).select("debit", "invoice", F.lit("unique").alias("stage")))
+    debits, invoices = leftovers(debits, invoices, found, "debit", "invoice")
+    late = strips.settled(left(debits), right(invoices), tolerance, strips.any_day(least))
+    return out.unionByName(found).unionByName(stage(late, F.lit("late")))
+
+
+def matched_by_passes(debits: DataFrame, invoices: DataFrame, score: Column | tuple[Column, Column], tolerance: float = 1.0, least: float = 62.0) -> DataFrame:
+    """(debit, invoice, stage) of debits (debit, paid_day, paid, text) and invoices (invoice, day, amount, name).
+
+    ``score`` is a column over both or, so that no pairs of rows need be made, the folded name that a
+    debit and that an invoice has, scored by their words (0 to 100; amounts of two decimals then).
+
+    name: amount within the tolerance, three days and a score; amount: the same
+    without a score, or within 15 days if neither side has another candidate;
+    late: a score and the amount, at any date; sums: two invoices for one debit, or
+    two debits for one invoice, of the same day's week.
+    """
+    if isinstance(score, Column):
+        out = _scored_passes(debits, invoices, score, tolerance, least)
+    else:
+        debits = stored(debits.select("debit", "paid_day", "paid", score[0].alias("_left")))
+        invoices = stored(invoices.select("invoice", "day", "amount", score[1].alias("_right")))
+        out = _named_passes(debits, invoices, tolerance, least)
     debits, invoices = (stored(x) for x in leftovers(debits, invoices, out, "debit", "invoice"))
     for name, goals, items, goal, item, paid, amount, when, then in (("two_invoices", debits, invoices, "debit", "invoice", "paid", "amount", "paid_day", "day"), ("two_debits", invoices, debits, "invoice", "debit", "amount", "paid", "day", "paid_day")):
         week = lambda df, c: df.withColumn("_week", F.date_trunc("week", c))

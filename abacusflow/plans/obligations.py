@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.money import MONEY
-from ..functions.similarity import token_set_ratio
 from ..operators import obligations
 from .inputs import read
 from .invoices import debits, invoices
@@ -52,5 +51,4 @@ def debit_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     paid = debits(spark, sf_dir).drop("customer")
     late = F.when(F.col("debit") % 3 == 0, F.date_add("paid_day", 40)).otherwise(F.col("paid_day"))
     paid = paid.withColumn("paid_day", late).withColumn("text", F.when(F.col("debit") % 4 == 0, "TRF / sin datos / 0").otherwise(F.col("text")))
-    score = token_set_ratio(T.fold(T.second_field(F.col("text"))), T.fold(F.col("name")))
-    return obligations.matched_by_passes(paid, inv, score)
+    return obligations.matched_by_passes(paid, inv, (T.fold(T.second_field(F.col("text"))), T.fold(F.col("name"))))
