@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.dates import within_days_or_month
 from ..functions.money import MONEY
-from ..functions.similarity import token_set_ratio
-from ..operators import asof, matching, proration, reports
+from ..operators import asof, matching, proration, reports, strips
 from ..sources.tables import seeded, upserted
 from .inputs import read
 from .registry import greedy_sql, query
@@ -40,20 +39,17 @@ _INVOICES = """inv as (select o_orderkey as invoice, o_custkey as customer, cast
 deb as (select invoice * 10 + 1 as debit, customer, cast(amount + cast((invoice % 7) / 10.0 as decimal(18,2)) as decimal(18,2)) as paid, day + cast(invoice % 5 - 1 as integer) as paid_day from inv where status <> 'P')"""
 
 
-def invoice_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Debits and invoices within 1.00 and not invoiced later than two days after payment, scored by name."""
-    pairs = matching.amount_band(debits(spark, sf_dir), invoices(spark, sf_dir).drop("customer"), "paid", "amount", 1.0)
-    pairs = pairs.where(F.coalesce(F.col("day") <= F.date_add("paid_day", 2), F.lit(True)))
-    score = token_set_ratio(T.fold(T.second_field(F.col("text"))), T.fold(F.col("name")))
-    return pairs.select("debit", "invoice", "paid_day", score.alias("score")).where("score >= 55")
+def by_name(paid: DataFrame, owed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Debits and invoices as ``strips`` takes them: id, amount, day and the folded name, which a debit has in its text."""
+    left = paid.select(F.col("debit").alias("id"), F.col("paid").alias("amount"), F.col("paid_day").alias("day"), T.fold(T.second_field(F.col("text"))).alias("name"))
+    return left, owed.select(F.col("invoice").alias("id"), "amount", "day", T.fold(F.col("name")).alias("name"))
 
 
 @query()
 def invoice_match_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Debits in order of date and id, each with its best invoice by name (55 at least) that no earlier debit took."""
-    pairs = invoice_pairs(spark, sf_dir)
-    taken = matching.one_to_one(pairs, "debit", "invoice", [F.col("paid_day"), F.col("debit"), -F.col("score")])
-    return taken.select("debit", "invoice", F.round("score", 6).alias("score"))
+    """Debits in order of date and id, each with its best invoice by name (55 at least) within 1.00, not invoiced later than two days after payment, that no earlier debit took."""
+    taken = strips.settled(*by_name(debits(spark, sf_dir), invoices(spark, sf_dir)), 1.0, strips.by_day(55.0, 2))
+    return taken.select(F.col("l").alias("debit"), F.col("r").alias("invoice"), F.round("tag", 6).alias("score"))
 
 
 @query(
