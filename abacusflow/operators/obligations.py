@@ -108,11 +108,11 @@ def _only_candidates(debits: DataFrame, invoices: DataFrame, tolerance: float, d
     """(debit, invoice) of debits with one invoice within the tolerance and some days, where no other such debit has it. Rows of one amount and day meet as one."""
     stretch = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / (days + 1)).cast("long")
     kinds = lambda df, own, amount, day: df.where(F.col(day).isNotNull()).groupBy(amount, day).agg(F.min(own).alias(own), F.count(F.lit(1)).alias(f"_n_{own}"))
-    mine, theirs = kinds(debits, "debit", "paid", "paid_day"), kinds(invoices, "invoice", "amount", "day")
+    mine, theirs = kinds(debits.where("debit is not null"), "debit", "paid", "paid_day"), kinds(invoices, "invoice", "amount", "day")
     wide = mine.withColumn("_s", F.explode(F.array(*[stretch("paid_day") + k for k in (-1, 0, 1)])))
     pairs = amount_band(wide, theirs.withColumn("_s", stretch("day")), "paid", "amount", tolerance, ["_s"]).where(F.abs(F.datediff("paid_day", "day")) <= days)
     one = pairs.groupBy("debit", "_n_debit").agg(F.sum("_n_invoice").alias("_n"), F.min("invoice").alias("invoice")).where("_n = 1")
-    return one.groupBy("invoice").agg(F.sum("_n_debit").alias("_n"), F.min("debit").alias("debit")).where("_n = 1").select("debit", "invoice")
+    return one.groupBy("invoice").agg(F.sum("_n_debit").alias("_n"), F.min("debit").alias("debit")).where("_n = 1 and invoice is not null").select("debit", "invoice")
 
 
 def _named_passes(debits: DataFrame, invoices: DataFrame, tolerance: float, least: float) -> DataFrame:

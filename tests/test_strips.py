@@ -22,7 +22,7 @@ def sides(seed):
     r = random.Random(seed)
     day = lambda: None if r.random() < 0.05 else DAY + timedelta(r.randrange(6))
     amount = lambda: None if r.random() < 0.02 else D(r.randrange(4000 if r.random() < 0.9 else 20)) / 100
-    return [[(first + k, amount(), day(), r.choice(NAMES)) for k in range(150)] for first in (0, 1000)]
+    return [[(first + k, amount(), day(), r.choice(NAMES)) for k in range(150)] + [(None, D(k), DAY, "ACME") for k in range(20)] for first in (0, 1000)]
 
 
 def greedy(pairs):
@@ -38,7 +38,7 @@ def ordered(rule, left, right):
     """The pairs within 0.10, each with its place in the order of the rule, and its tag."""
     for a, x, d, n in left:
         for b, y, e, m in right:
-            if x is None or y is None or abs(x - y) > D("0.1"):
+            if None in (a, b, x, y) or abs(x - y) > D("0.1"):
                 continue
             score, off = token_set(n, m), -1 if d is None or e is None else abs(d - e).days
             if rule == "by_day" and score >= 55 and (off < 0 or e <= d + timedelta(2)):
